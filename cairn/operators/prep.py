@@ -146,6 +146,19 @@ class FittedPrep:
         exprs = [F.col(k) for k in keep] + [F.expr(e).alias(n) for n, e in self.output_sql()]
         return df.select(*exprs)
 
+    def imputed(self, df: DataFrame, keep: list[str] | tuple[str, ...] = ()) -> DataFrame:
+        """The imputed (unscaled, unencoded) feature columns, plus the ``keep`` columns."""
+        exprs = [F.col(k) for k in keep]
+        for p in self.numeric:
+            if not p.dropped:
+                x = nan_to_null(F.col(p.name).cast("double"))
+                exprs.append((F.coalesce(x, F.lit(p.fill)) if p.fill is not None else x).alias(p.name))
+        for p in self.categorical:
+            if not p.dropped:
+                s = F.col(p.name).cast("string")
+                exprs.append((F.coalesce(s, F.lit(p.fill)) if p.fill is not None else s).alias(p.name))
+        return df.select(*exprs)
+
     # ---- vector form (Spark ML) -------------------------------------------------------------
     def pipeline_model(self, features_col: str = "features", train: DataFrame | None = None) -> PipelineModel:
         """Persistable stages giving the same features as ``columns`` in one vector."""

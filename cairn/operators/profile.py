@@ -27,26 +27,26 @@ def missing_ratios(df: DataFrame, columns: list[str] | None = None) -> DataFrame
     """
     columns = list(df.columns if columns is None else columns)
     if not columns:
-        return df.sparkSession.createDataFrame([], "column string, ratio double")
+        return df.sparkSession.createDataFrame([], "column_name string, ratio double")
     aggs = [
         F.coalesce(F.avg(F.when(_missing(df, c), 1.0).otherwise(0.0)), F.lit(0.0)).alias(f"r{i}")
         for i, c in enumerate(columns)
     ]
     one = df.agg(*aggs)
-    pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"r{i}").alias("ratio")) for i, c in enumerate(columns)])
+    pairs = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"r{i}").alias("ratio")) for i, c in enumerate(columns)])
     return one.select(F.inline(pairs))
 
 
 def missing_top(ratios: DataFrame, n: int = TOP_N) -> DataFrame:
     """The ``n`` highest ratios; ties by column name."""
-    return ratios.orderBy(F.desc("ratio"), F.asc("column")).limit(n)
+    return ratios.orderBy(F.desc("ratio"), F.asc("column_name")).limit(n)
 
 
 def missing_summary(ratios: DataFrame, n: int = TOP_N) -> DataFrame:
     """One row: ``missing_top5:<c>:<r>,...`` (``none`` when there are no columns)."""
     top = missing_top(ratios, n)
     entries = top.select(
-        F.struct((-F.col("ratio")).alias("k"), F.col("column").alias("c"), format_ratio("column", "ratio").alias("s")).alias("e")
+        F.struct((-F.col("ratio")).alias("k"), F.col("column_name").alias("c"), format_ratio("column_name", "ratio").alias("s")).alias("e")
     )
     joined = entries.agg(F.array_join(F.transform(F.array_sort(F.collect_list("e")), lambda e: e["s"]), ",").alias("j"))
     return joined.select(
@@ -56,7 +56,7 @@ def missing_summary(ratios: DataFrame, n: int = TOP_N) -> DataFrame:
 
 def missing_over(ratios: DataFrame, threshold: float) -> DataFrame:
     """Columns whose ratio is strictly above the threshold, in top-five order."""
-    return ratios.where(F.col("ratio") > F.lit(float(threshold))).orderBy(F.desc("ratio"), F.asc("column"))
+    return ratios.where(F.col("ratio") > F.lit(float(threshold))).orderBy(F.desc("ratio"), F.asc("column_name"))
 
 
 BOOL_TOKENS = ("True", "False", "TRUE", "FALSE", "true", "false")

@@ -132,7 +132,7 @@ def run_regression(
         logs.append(missing_summary(ratios).first()["summary"])
         over = missing_over(ratios, config.missing.report_threshold).collect()
         if over:
-            logs.append("missing_warning:" + ", ".join(f"{r['column']}:{r['ratio']:.3f}" for r in over))
+            logs.append("missing_warning:" + ", ".join(f"{r['column_name']}:{r['ratio']:.3f}" for r in over))
         actions.append("check_missing")
 
     sp = config.split
