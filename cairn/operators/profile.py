@@ -62,11 +62,12 @@ def missing_over(ratios: DataFrame, threshold: float) -> DataFrame:
 BOOL_TOKENS = ("True", "False", "TRUE", "FALSE", "true", "false")
 
 
-def column_kinds(df: DataFrame, columns: list[str] | None = None, decimal: str = ".") -> dict[str, str]:
+def column_kinds(df: DataFrame, columns: list[str] | None = None, decimal: str = ".",
+                 inspect_text: bool = True) -> dict[str, str]:
     """numeric / categorical per column, decided on all rows.
 
     Typed columns: numeric and boolean types are numeric, everything else
-    categorical. Text columns (CSV): one aggregation counts, per column, the
+    categorical. Text columns of a raw CSV frame (``inspect_text``): one aggregation counts, per column, the
     non-missing values and those that read as numbers (or booleans); a column
     is numeric when every non-missing value does. A boolean column counts as
     numeric only without missing values; an all-missing column is numeric.
@@ -78,7 +79,7 @@ def column_kinds(df: DataFrame, columns: list[str] | None = None, decimal: str =
         dt = df.schema[c].dataType
         if isinstance(dt, (NumericType, BooleanType)):
             kinds[c] = "numeric"
-        elif isinstance(dt, StringType):
+        elif isinstance(dt, StringType) and inspect_text:
             text_cols.append(c)
         else:
             kinds[c] = "categorical"

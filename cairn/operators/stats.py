@@ -11,10 +11,12 @@ stay exact and keep every pass a partial (map-side combined) aggregation:
   Low-cardinality columns: one ``groupBy(column, value).count()`` pass whose
   result is bounded by the distinct count, then cumulative counts.
   High-cardinality columns: order statistics by histogram refinement — each
-  pass counts rows per value bucket inside the current bracket (exponent
-  buckets first, then equal-width buckets), keeps the bucket holding the
-  wanted rank, and stops when the bracket holds one value or few enough rows
-  to fetch. A few passes, each reading only that column.
+  pass counts rows per value bucket inside the current bracket (first pass:
+  binary exponent x 2048 mantissa buckets, so any spread of magnitudes is
+  cut finely at once; later passes: 2048 equal-width buckets), keeps the
+  bucket holding the wanted rank, and stops when the bracket holds one value
+  or few enough rows to fetch. Typically one histogram pass plus one small
+  fetch, each reading only that column.
 * ``modes`` – most frequent value (smallest among ties) via a distributed
   value count and a ``min(struct(-count, value))`` reduction per column.
 """
@@ -30,7 +32,7 @@ from pyspark.sql import functions as F
 from cairn.functions.numeric import nan_to_null
 
 # Distinct-value bound under which a value-count table is fetched whole.
-VALUE_TABLE_LIMIT = 100_000
+VALUE_TABLE_LIMIT = 2_048
 # Rows a refined bracket may hold before its values are fetched and sorted.
 FETCH_LIMIT = 50_000
 # Buckets per refinement pass.
@@ -149,7 +151,7 @@ def exact_quantiles(
 def _order_stats_from_value_table(
     df: DataFrame, columns: list[str], wanted: dict[str, set[int]]
 ) -> dict[str, dict[int, float]]:
-    counts = _long_frame(df, columns).groupBy("cid", "x").count().collect()
+    counts = _rows(_long_frame(df, columns).groupBy("cid", "x").count())
     per: dict[int, list[tuple[float, int]]] = {}
     for r in counts:
         per.setdefault(r["cid"], []).append((r["x"], r["count"]))
@@ -172,11 +174,21 @@ def _order_stats_from_value_table(
 
 
 def _exp_bucket(x: Column) -> Column:
-    """Monotone bucket id from sign and binary exponent (handles any spread of magnitudes)."""
-    mag = F.floor(F.log2(F.abs(x))) + F.lit(1100)
+    """Monotone bucket id from sign, binary exponent and the top mantissa bits.
+
+    ``floor(log2|x|)`` is monotone (Java's log is semi-monotonic), and the
+    mantissa fraction is clamped into its binade, so the id never decreases
+    as x grows even where the rounded logarithm lands one binade off. One
+    pass thus splits any spread of magnitudes into ~``BUCKETS`` buckets per
+    binade.
+    """
+    e = F.floor(F.log2(F.abs(x)))
+    frac = F.abs(x) / F.pow(F.lit(2.0), e) - F.lit(1.0)
+    sub = F.least(F.greatest(F.floor(frac * F.lit(BUCKETS)), F.lit(0)), F.lit(BUCKETS - 1))
+    mag = (e + F.lit(1100)) * F.lit(BUCKETS) + sub + F.lit(1)
     return (
-        F.when(x == F.lit(float("inf")), F.lit(5000))
-        .when(x == F.lit(float("-inf")), F.lit(-5000))
+        F.when(x == F.lit(float("inf")), F.lit(10_000_000))
+        .when(x == F.lit(float("-inf")), F.lit(-10_000_000))
         .when(x > 0, mag)
         .when(x < 0, -mag)
         .otherwise(F.lit(0))
@@ -202,6 +214,15 @@ class _Bracket:
     count: int
     passes: int = 0
 
+    @property
+    def span(self) -> tuple[int, float, float, int]:
+        return (self.cid, self.lo, self.hi, self.passes)
+
+
+def _rows(df: DataFrame) -> list[dict]:
+    """Small result → list of dicts through Arrow (bounded by the callers)."""
+    return df.toArrow().to_pylist()
+
 
 def _order_stats_by_refinement(
     df: DataFrame,
@@ -209,55 +230,72 @@ def _order_stats_by_refinement(
     wanted: dict[str, set[int]],
     stats: dict[str, ColumnStats],
 ) -> dict[str, dict[int, float]]:
+    """Order statistics by histogram refinement.
+
+    Brackets of the same column are either identical or disjoint (they are
+    buckets of one histogram), so each row falls in at most one distinct
+    bracket per column: a CASE chain gives its bracket id and bucket, and one
+    ``groupBy(bracket, bucket)`` pass refines every open bracket at once.
+    """
     out: dict[str, dict[int, float]] = {c: {} for c in columns}
-    keys: dict[int, tuple[str, int]] = {}
-    open_: dict[int, _Bracket] = {}
-    tid = 0
+    brackets: list[tuple[str, int, _Bracket]] = []
     for i, c in enumerate(columns):
         s = stats[c]
         for r in sorted(wanted[c]):
-            open_[tid] = _Bracket(c, i, r, float(s.min), float(s.max), s.count)
-            keys[tid] = (c, r)
-            tid += 1
+            brackets.append((c, r, _Bracket(c, i, r, float(s.min), float(s.max), s.count)))
     long = _long_frame(df, columns)
+    x = F.col("x")
     for _ in range(MAX_PASSES):
-        # close brackets that hold one value or few enough rows to fetch
-        for t in list(open_):
-            b = open_[t]
+        open_ = []
+        for c, r, b in brackets:
             if b.lo == b.hi:
-                out[b.column][keys[t][1]] = b.lo
-                del open_[t]
-        fetch = {t: b for t, b in open_.items() if b.count <= FETCH_LIMIT}
+                out[c][r] = b.lo
+            elif r not in out[c]:
+                open_.append((c, r, b))
+        brackets = open_
+        if not brackets:
+            return out
+        spans = sorted({b.span for _, _, b in brackets})
+        fetch = [sp for sp in spans if next(b.count for _, _, b in brackets if b.span == sp) <= FETCH_LIMIT]
+        refine = [sp for sp in spans if sp not in fetch]
         if fetch:
             cond = None
-            for t, b in fetch.items():
-                m = (F.col("cid") == b.cid) & (F.col("x") >= b.lo) & (F.col("x") <= b.hi)
+            for cid, lo, hi, _ in fetch:
+                m = (F.col("cid") == cid) & (x >= lo) & (x <= hi)
                 cond = m if cond is None else (cond | m)
-            rows = long.where(cond).collect()
-            for t, b in fetch.items():
-                vals = sorted(r["x"] for r in rows if r["cid"] == b.cid and b.lo <= r["x"] <= b.hi)
-                out[b.column][keys[t][1]] = float(vals[b.rank])
-                del open_[t]
-        if not open_:
-            return out
-        items = []
-        for t, b in open_.items():
-            x = F.col("x")
-            bucket = _exp_bucket(x) if b.passes == 0 else _lin_bucket(x, b.lo, b.hi)
-            m = (F.col("cid") == b.cid) & (x >= b.lo) & (x <= b.hi)
-            items.append(F.when(m, F.struct(F.lit(t).alias("t"), bucket.alias("b"))))
-        hist = (
-            long.select("x", F.explode(F.filter(F.array(*items), lambda e: e.isNotNull())).alias("e"))
-            .groupBy(F.col("e.t").alias("t"), F.col("e.b").alias("b"))
+            got = _rows(long.where(cond))
+            for c, r, b in list(brackets):
+                if b.span in fetch:
+                    vals = sorted(v["x"] for v in got if v["cid"] == b.cid and b.lo <= v["x"] <= b.hi)
+                    out[c][r] = float(vals[b.rank])
+            brackets = [t for t in brackets if t[2].span not in fetch]
+        if not refine:
+            continue
+        gid = None
+        bucket = None
+        for g, (cid, lo, hi, passes) in enumerate(refine):
+            m = (F.col("cid") == cid) & (x >= lo) & (x <= hi)
+            bk = _exp_bucket(x) if passes == 0 else _lin_bucket(x, lo, hi)
+            gid = F.when(m, F.lit(g)) if gid is None else gid.when(m, F.lit(g))
+            bucket = F.when(m, bk) if bucket is None else bucket.when(m, bk)
+        hist = _rows(
+            long.select(gid.alias("g"), bucket.alias("b"), x)
+            .where(F.col("g").isNotNull())
+            .groupBy("g", "b")
             .agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
-            .collect()
         )
         per: dict[int, list] = {}
-        for r in hist:
-            per.setdefault(r["t"], []).append((r["b"], r["n"], r["lo"], r["hi"]))
-        for t, b in open_.items():
+        for h in hist:
+            per.setdefault(h["g"], []).append((h["b"], h["n"], h["lo"], h["hi"]))
+        for g in per:
+            per[g].sort()
+        index = {sp: g for g, sp in enumerate(refine)}
+        for _, _, b in brackets:
+            g = index.get(b.span)
+            if g is None:
+                continue
             cum = 0
-            for bucket, n, lo, hi in sorted(per[t]):
+            for _bk, n, lo, hi in per[g]:
                 if b.rank < cum + n:
                     b.rank -= cum
                     b.lo, b.hi, b.count = float(lo), float(hi), int(n)

@@ -120,7 +120,7 @@ def run_regression(
 
     key_cols = [key] if isinstance(key, str) else list(key or [])
     features = [c for c in df.columns if c != target and c not in key_cols]
-    kinds = column_kinds(df, features)
+    kinds = column_kinds(df, features, inspect_text=False)  # CSV text was typed by the source
     for c in features:  # typed frames: keep the numeric/categorical split in the schema
         if kinds[c] == "categorical" and isinstance(df.schema[c].dataType, NumericType):
             kinds[c] = "numeric"
