@@ -10,7 +10,7 @@ from cairn.functions.numeric import (
     test_count,
     test_count_col,
 )
-from cairn.functions.text import NA_TOKENS, format_ratio, has_cjk, na_to_null, sql_ident, sql_double, sql_string
+from cairn.functions.text import NA_TOKENS, format_ratio, has_cjk, na_to_null, qcol, sql_ident, sql_double, sql_string
 
 __all__ = [
     "NA_TOKENS",
@@ -21,6 +21,7 @@ __all__ = [
     "na_to_null",
     "nan_to_null",
     "parse_decimal",
+    "qcol",
     "sql_double",
     "sql_ident",
     "sql_string",

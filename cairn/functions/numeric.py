@@ -9,6 +9,8 @@ from operator import add
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from cairn.functions.text import qcol
+
 # The text forms a number may take.
 # Python float(): optional sign, digits with single underscores between them,
 # optional fraction, optional exponent; or inf / infinity / nan in any case.
@@ -36,7 +38,7 @@ def strict_double(c: Column | str) -> Column:
     the Python float grammar, so ``'1d'``/``'2f'`` (accepted by a plain cast)
     give NULL while ``'1_000'`` gives 1000.0. Anything else gives NULL.
     """
-    col = F.col(c) if isinstance(c, str) else c
+    col = qcol(c) if isinstance(c, str) else c
     text = F.regexp_replace(col.cast("string"), _STRIP, "")
     ok = text.rlike(PY_FLOAT_PATTERN) | text.rlike(PY_SPECIAL_PATTERN)
     value = F.when(ok, F.regexp_replace(text, "_", "").try_cast("double"))
@@ -58,7 +60,7 @@ def _sql_re(pattern: str) -> str:
 
 def parse_decimal(c: Column | str, decimal: str = ".") -> Column:
     """Parse CSV text as a number with the given decimal separator (NULL if it is not one)."""
-    col = F.col(c) if isinstance(c, str) else c
+    col = qcol(c) if isinstance(c, str) else c
     text = F.regexp_replace(col, r"^[ \t]+|[ \t]+$", "")
     if decimal != ".":
         text = F.when(~text.contains("."), F.replace(text, F.lit(decimal), F.lit(".")))
@@ -68,13 +70,13 @@ def parse_decimal(c: Column | str, decimal: str = ".") -> Column:
 
 def fill_missing(c: Column | str, value: float) -> Column:
     """Replace NULL/NaN with a scalar."""
-    col = F.col(c) if isinstance(c, str) else c
+    col = qcol(c) if isinstance(c, str) else c
     return F.coalesce(nan_to_null(col.cast("double")), F.lit(float(value)))
 
 
 def bin_by_edges(c: Column | str, inner_edges: list[float]) -> Column:
     """Right-closed binning: the number of inner edges strictly below the value."""
-    col = F.col(c) if isinstance(c, str) else c
+    col = qcol(c) if isinstance(c, str) else c
     if not inner_edges:
         return F.lit(0)
     terms = [F.when(col > F.lit(float(e)), 1).otherwise(0) for e in inner_edges]

@@ -19,19 +19,19 @@ CJK_PATTERN = "[぀-ヿ一-鿿ｦ-ﾝ]"
 
 def na_to_null(c: Column | str) -> Column:
     """Raw CSV text → NULL when it is one of the NA tokens."""
-    col = F.col(c) if isinstance(c, str) else c
+    col = qcol(c) if isinstance(c, str) else c
     return F.when(~col.isin(*NA_TOKENS), col)
 
 
 def has_cjk(c: Column | str) -> Column:
-    col = F.col(c) if isinstance(c, str) else c
+    col = qcol(c) if isinstance(c, str) else c
     return F.coalesce(col.rlike(CJK_PATTERN), F.lit(False))
 
 
 def format_ratio(name: Column | str, ratio: Column | str) -> Column:
     """``name:0.123`` (three decimals)."""
-    n = F.col(name) if isinstance(name, str) else name
-    r = F.col(ratio) if isinstance(ratio, str) else ratio
+    n = qcol(name) if isinstance(name, str) else name
+    r = qcol(ratio) if isinstance(ratio, str) else ratio
     return F.format_string("%s:%.3f", n, r)
 
 
@@ -51,3 +51,8 @@ def sql_double(value: float) -> str:
     if math.isinf(v):
         return "CAST('Infinity' AS DOUBLE)" if v > 0 else "CAST('-Infinity' AS DOUBLE)"
     return f"CAST('{v!r}' AS DOUBLE)"
+
+
+def qcol(name: str) -> Column:
+    """Column by exact name (dots, spaces and back-quotes in the name are literal)."""
+    return F.col(sql_ident(name))

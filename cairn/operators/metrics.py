@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cairn.functions.text import qcol
 from cairn.config import METRICS
 
 # Tolerances of the "all close" rule used when the target is constant.
@@ -48,8 +49,8 @@ def regression_metrics(
     group_by: list[str] | None = None,
     with_count: bool = False,
 ) -> DataFrame:
-    y = F.col(label).cast("double")
-    p = F.col(prediction).cast("double")
+    y = qcol(label).cast("double")
+    p = qcol(prediction).cast("double")
     aggs = metric_columns(y, p, tuple(metrics))
     if with_count:
         aggs.append(F.count(F.lit(1)).alias("n"))

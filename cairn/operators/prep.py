@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from cairn.config import CategoryPolicy, MissingPolicy, ScalingPolicy
 from cairn.functions.numeric import nan_to_null, strict_double_sql
-from cairn.functions.text import sql_double, sql_ident, sql_string
+from cairn.functions.text import sql_double, sql_ident, sql_string, qcol
 from cairn.operators.stats import column_stats, exact_quantiles, modes
 
 EPS = 2.220446049250313e-16
@@ -143,19 +143,19 @@ class FittedPrep:
         """One double column per output feature, plus the ``keep`` columns."""
         if self.drop_rows_on:
             df = df.where(self._where_sql().replace(" WHERE ", "", 1))
-        exprs = [F.col(k) for k in keep] + [F.expr(e).alias(n) for n, e in self.output_sql()]
+        exprs = [qcol(k) for k in keep] + [F.expr(e).alias(n) for n, e in self.output_sql()]
         return df.select(*exprs)
 
     def imputed(self, df: DataFrame, keep: list[str] | tuple[str, ...] = ()) -> DataFrame:
         """The imputed (unscaled, unencoded) feature columns, plus the ``keep`` columns."""
-        exprs = [F.col(k) for k in keep]
+        exprs = [qcol(k) for k in keep]
         for p in self.numeric:
             if not p.dropped:
-                x = nan_to_null(F.col(p.name).cast("double"))
+                x = nan_to_null(qcol(p.name).cast("double"))
                 exprs.append((F.coalesce(x, F.lit(p.fill)) if p.fill is not None else x).alias(p.name))
         for p in self.categorical:
             if not p.dropped:
-                s = F.col(p.name).cast("string")
+                s = qcol(p.name).cast("string")
                 exprs.append((F.coalesce(s, F.lit(p.fill)) if p.fill is not None else s).alias(p.name))
         return df.select(*exprs)
 
@@ -259,7 +259,7 @@ def fit_prep(
     if missing.categorical == "drop_rows":
         drop_on += categorical
     if drop_on:
-        conds = [F.col(c).isNotNull() for c in drop_on] + [~F.isnan(F.col(c).cast("double")) for c in drop_on if c in numeric]
+        conds = [qcol(c).isNotNull() for c in drop_on] + [~F.isnan(qcol(c).cast("double")) for c in drop_on if c in numeric]
         for cnd in conds:
             train = train.where(cnd)
 
@@ -285,8 +285,8 @@ def fit_prep(
     if scaling.strategy == "robust":
         imputed = train.select(
             *[
-                (F.coalesce(nan_to_null(F.col(c).cast("double")), F.lit(fills[c]).cast("double")) if fills[c] is not None
-                 else nan_to_null(F.col(c).cast("double"))).alias(c)
+                (F.coalesce(nan_to_null(qcol(c).cast("double")), F.lit(fills[c]).cast("double")) if fills[c] is not None
+                 else nan_to_null(qcol(c).cast("double"))).alias(c)
                 for c in numeric
             ]
         )
@@ -338,7 +338,7 @@ def fit_prep(
 
 def _category_counts(df: DataFrame, columns: list[str]) -> dict[str, dict]:
     """Distributed value count of every categorical column (NULL counted as a key)."""
-    items = F.array(*[F.struct(F.lit(i).alias("cid"), F.col(c).cast("string").alias("v")) for i, c in enumerate(columns)])
+    items = F.array(*[F.struct(F.lit(i).alias("cid"), qcol(c).cast("string").alias("v")) for i, c in enumerate(columns)])
     rows = df.select(F.inline(items)).groupBy("cid", "v").count().collect()
     out: dict[str, dict] = {c: {} for c in columns}
     for r in rows:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, FloatType, DoubleType, NumericType, StringType
 
+from cairn.functions.text import qcol
 from cairn.functions.numeric import parse_decimal
 from cairn.functions.text import format_ratio
 
@@ -13,7 +14,7 @@ TOP_N = 5
 
 
 def _missing(df: DataFrame, c: str):
-    col = F.col(c)
+    col = qcol(c)
     dt = df.schema[c].dataType
     if isinstance(dt, (FloatType, DoubleType)):
         return col.isNull() | F.isnan(col)
@@ -87,9 +88,9 @@ def column_kinds(df: DataFrame, columns: list[str] | None = None, decimal: str =
         aggs = [F.count(F.lit(1)).alias("rows")]
         for i, c in enumerate(text_cols):
             aggs += [
-                F.count(F.col(c)).alias(f"n{i}"),
+                F.count(qcol(c)).alias(f"n{i}"),
                 F.count(parse_decimal(c, decimal)).alias(f"num{i}"),
-                F.count_if(F.col(c).isin(*BOOL_TOKENS)).alias(f"b{i}"),
+                F.count_if(qcol(c).isin(*BOOL_TOKENS)).alias(f"b{i}"),
             ]
         r = df.agg(*aggs).first()
         for i, c in enumerate(text_cols):

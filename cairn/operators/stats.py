@@ -29,6 +29,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cairn.functions.text import qcol
 from cairn.functions.numeric import nan_to_null
 
 # Distinct-value bound under which a value-count table is fetched whole.
@@ -56,7 +57,7 @@ class ColumnStats:
 
 
 def _num(c: str) -> Column:
-    return nan_to_null(F.col(c).cast("double"))
+    return nan_to_null(qcol(c).cast("double"))
 
 
 def column_stats(df: DataFrame, columns: list[str]) -> dict[str, ColumnStats]:
@@ -317,7 +318,7 @@ def modes(df: DataFrame, columns: list[str], numeric: bool) -> dict[str, object]
     if numeric:
         vals = [_num(c) for c in columns]
     else:
-        vals = [F.col(c).cast("string") for c in columns]
+        vals = [qcol(c).cast("string") for c in columns]
     items = F.array(*[F.struct(F.lit(i).alias("cid"), v.alias("x")) for i, v in enumerate(vals)])
     best = (
         df.select(F.inline(items))
