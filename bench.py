@@ -32,7 +32,8 @@ def lineitem_run(spark: SparkSession, d: str, kind: str, params: dict, stratify:
     lm = catalog.lineitem_missing(spark, d).drop("l_orderkey", "l_linenumber")
     cfg = PipelineConfig(target=TargetSpec("explicit", "l_extendedprice"), model=ModelPolicy(kind, params),
                          split=SplitPolicy(stratify_by_target_quantiles=stratify))
-    res = run_regression(spark, cfg, lm)
+    # lm is a row-wise projection of the parquet scan: its file row index is a stable row id
+    res = run_regression(spark, cfg, lm, row_id="_metadata")
     return regression_metrics(res.predictions, res.target, "prediction", with_count=True)
 
 

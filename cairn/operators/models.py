@@ -37,6 +37,7 @@ _LOG = logging.getLogger(__name__)
 SPARK_MAX_DEPTH = 30
 DEFAULT_TREES = 100
 FOREST_BINS = 256
+FOREST_NODE_MEMORY_MB = 1024
 
 
 def max_features_count(value, n_features: int) -> str:
@@ -82,6 +83,9 @@ def build_estimator(policy: ModelPolicy, n_features: int, features_col: str = "f
         minInstancesPerNode=int(p.get("min_samples_leaf", 1)), bootstrap=bool(p.get("bootstrap", True)),
         featureSubsetStrategy=max_features_count(p.get("max_features"), n_features),
         maxBins=FOREST_BINS, impurity="variance",
+        # more tree nodes split per pass over the data, and node ids cached (and
+        # checkpointed into the shared folder) instead of re-walking every tree
+        maxMemoryInMB=FOREST_NODE_MEMORY_MB, cacheNodeIds=True, checkpointInterval=10,
     )
     if p.get("random_state") is not None:
         kwargs["seed"] = int(p["random_state"])

@@ -113,11 +113,23 @@ def exact_quantiles(
     df: DataFrame,
     probs: dict[str, list[float]],
     stats: dict[str, ColumnStats] | None = None,
+    accuracy: int | None = None,
 ) -> dict[str, list[float | None]]:
-    """Exact linear-interpolated quantiles of several columns (missing values skipped)."""
+    """Exact linear-interpolated quantiles of several columns (missing values skipped).
+
+    ``accuracy`` switches to Spark's one-pass ``percentile_approx`` (rank error
+    about 1/accuracy) for callers that prefer one pass over exactness.
+    """
     columns = list(probs)
     if not columns:
         return {}
+    if accuracy is not None:
+        row = df.agg(*[
+            F.percentile_approx(_num(c), [float(p) for p in probs[c]], int(accuracy)).alias(f"q{i}")
+            for i, c in enumerate(columns)
+        ]).first()
+        return {c: (list(row[f"q{i}"]) if row[f"q{i}"] is not None else [None] * len(probs[c]))
+                for i, c in enumerate(columns)}
     stats = stats or column_stats(df, columns)
     result: dict[str, list[float | None]] = {}
     # order statistics wanted per column: rank -> value

@@ -15,6 +15,7 @@ table), so a lost executor recomputes exactly the same rows.
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -33,6 +34,10 @@ from cairn.operators.split import random_split, stratified_split
 from cairn.operators.target import repair_target, resolve_target
 
 
+_LOG = logging.getLogger(__name__)
+ROW_ID = "_cairn_row"
+
+
 class StepRegistry:
     """Named user steps (``DataFrame -> DataFrame``) applied after loading, in the given order."""
 
@@ -86,6 +91,7 @@ def run_regression(
     df: DataFrame | None = None,
     key: list[str] | str | None = None,
     unique_key: bool = False,
+    row_id: str | None = None,
     steps: list[str] = (),
     registry: StepRegistry | None = None,
     feature_stages: list = (),
@@ -101,7 +107,9 @@ def run_regression(
         df, _, encoding = read_csv(spark, config.file)
         logs.append(f"encoding={encoding}")
         actions.append("detect_encoding")
-        df = materialize(df, "csv-typed")  # parse once; later passes read columnar
+        # parse once (later passes read columnar) and freeze a row id in the same write
+        df = materialize(df.withColumn(ROW_ID, F.monotonically_increasing_id()), "csv-typed")
+        row_id = row_id or ROW_ID
         actions.append("load_csv")
     for name in steps:
         if registry is None:
@@ -114,12 +122,12 @@ def run_regression(
     actions.append("identify_target")
     df, repair = repair_target(df, target, config.target_nan_threshold)
     if "encoding=" in (logs[0] if logs else ""):
-        logs.insert(1, f"csv_shape={repair.rows}x{len(df.columns)}")
+        logs.insert(1, f"csv_shape={repair.rows}x{len([c for c in df.columns if c != ROW_ID])}")
     logs.append(repair.log)
     actions.append("validate_target_numeric")
 
     key_cols = [key] if isinstance(key, str) else list(key or [])
-    features = [c for c in df.columns if c != target and c not in key_cols]
+    features = [c for c in df.columns if c != target and c not in key_cols and c != ROW_ID]
     kinds = column_kinds(df, features, inspect_text=False)  # CSV text was typed by the source
     for c in features:  # typed frames: keep the numeric/categorical split in the schema
         if kinds[c] == "categorical" and isinstance(df.schema[c].dataType, NumericType):
@@ -132,14 +140,15 @@ def run_regression(
         logs.append(missing_summary(ratios).first()["summary"])
         over = missing_over(ratios, config.missing.report_threshold).collect()
         if over:
-            logs.append("missing_warning:" + ", ".join(f"{r['column_name']}:{r['ratio']:.3f}" for r in over))
+            _LOG.warning("Missing ratios above threshold %.2f: %s", config.missing.report_threshold,
+                         ", ".join(f"{r['column_name']}:{r['ratio']:.3f}" for r in over))
         actions.append("check_missing")
 
     sp = config.split
     if sp.stratify_by_target_quantiles:
-        split = stratified_split(df, target, sp.test_size, sp.random_state, key_cols or None, unique_key)
+        split = stratified_split(df, target, sp.test_size, sp.random_state, key_cols or None, unique_key, row_id=row_id)
     else:
-        split = random_split(df, sp.test_size, sp.random_state, key_cols or None, unique_key)
+        split = random_split(df, sp.test_size, sp.random_state, key_cols or None, unique_key, row_id=row_id)
     split = split.persist(StorageLevel.MEMORY_AND_DISK)
     train, test = split.where(~F.col("is_test")), split.where(F.col("is_test"))
     logs.append("train_test_split")
@@ -176,3 +185,22 @@ def run_regression(
         logs.append(f"persist_artifacts:{artifacts[0]},{artifacts[1]}")
         actions.append("persist_artifacts")
     return RunResult(metrics, logs, target, kinds, prep, prep_model, model, split, predictions, artifacts, actions)
+
+
+def run_with_payload(spark: SparkSession, config: PipelineConfig, **kwargs) -> tuple[DataFrame, RunResult | None]:
+    """Run and return the result payload frame (status, actions, metrics, logs, error).
+
+    A failing step adds ``action_error:<step>:<error class>:<message>`` to the
+    log and the payload carries ``execution_failed`` (bad settings:
+    ``configuration_error``) instead of metrics.
+    """
+    from cairn.sources.artifacts import result_frame
+
+    try:
+        res = run_regression(spark, config, **kwargs)
+    except (ValueError, TypeError, KeyError, RuntimeError, NotImplementedError) as exc:
+        step = getattr(exc, "step", None) or "run_regression"
+        logs = [f"action_error:{step}:{type(exc).__name__}:{exc}"]
+        status = "configuration_error" if isinstance(exc, (TypeError, KeyError, NotImplementedError)) else "execution_failed"
+        return result_frame(spark, status, None, logs, None, str(exc)), None
+    return result_frame(spark, "success", res.metrics, res.logs, res.actions, None), res

@@ -75,3 +75,13 @@ def test_entry_points(spark):
     row = df.first()
     assert row.r2 > 0.99 and row.n > 0
     assert set(E.oracle_sql()) <= set(E.queries())
+
+
+def test_failure_payload(spark):
+    from cairn.plans import run_with_payload
+
+    df = spark.createDataFrame([(1.0, "bad"), (2.0, "worse"), (3.0, "x")], "x double, target string")
+    payload, res = run_with_payload(spark, PipelineConfig(target=TargetSpec("explicit", "target")), df=df)
+    row = payload.first()
+    assert res is None and row.status == "execution_failed"
+    assert row.logs[0].startswith("action_error:run_regression:ValueError:Target column could not be coerced")

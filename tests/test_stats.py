@@ -30,3 +30,8 @@ def test_value_table_path_and_modes(spark):
 def test_all_missing_column(spark):
     df = spark.createDataFrame([(None,), (None,)], "x double")
     assert S.exact_quantiles(df, {"x": [0.5]})["x"] == [None]
+
+
+def test_approximate_switch(spark):
+    df = spark.createDataFrame([(float(i),) for i in range(1001)], "x double")
+    assert S.exact_quantiles(df, {"x": [0.5]}, accuracy=10_000)["x"] == [500.0]
