@@ -34,7 +34,7 @@ def lineitem_run(spark: SparkSession, d: str, kind: str, params: dict, stratify:
                          split=SplitPolicy(stratify_by_target_quantiles=stratify))
     # lm is a row-wise projection of the parquet scan: its file row index is a stable row id
     res = run_regression(spark, cfg, lm, row_id="_metadata")
-    return regression_metrics(res.predictions, res.target, "prediction", with_count=True)
+    return _consume(res)
 
 
 def prep_fit_all(spark: SparkSession, d: str) -> DataFrame:
@@ -71,8 +71,14 @@ HEADLINE = {
 
 
 def _flagship(spark: SparkSession, d: str) -> DataFrame:
-    res = catalog._part_run(spark, d, "linear_regression", {})
-    return regression_metrics(res.predictions, res.target, "prediction", with_count=True)
+    return _consume(catalog._part_run(spark, d, "linear_regression", {}))
+
+
+def _consume(res) -> DataFrame:
+    """Metrics of a run as a small frame; the run's cached split is released afterwards."""
+    rows = regression_metrics(res.predictions, res.target, "prediction", with_count=True).collect()
+    res.release()
+    return res.predictions.sparkSession.createDataFrame(rows)
 
 
 def main() -> None:

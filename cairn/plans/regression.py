@@ -16,6 +16,7 @@ table), so a lost executor recomputes exactly the same rows.
 from __future__ import annotations
 
 import logging
+import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -73,6 +74,11 @@ class RunResult:
     predictions: DataFrame
     artifacts: tuple[str, str] | None = None
     actions: list[str] = field(default_factory=list)
+    timings: dict[str, float] = field(default_factory=dict)
+
+    def release(self) -> None:
+        """Drop the cached split frame once the results have been consumed."""
+        self.split.unpersist()
 
 
 def run_report(spark: SparkSession, logs: list[str]) -> DataFrame:
@@ -98,6 +104,14 @@ def run_regression(
 ) -> RunResult:
     logs: list[str] = []
     actions: list[str] = []
+    timings: dict[str, float] = {}
+    clock = [time.perf_counter()]
+
+    def tick(step: str) -> None:
+        now = time.perf_counter()
+        timings[step] = round(now - clock[0], 3)
+        clock[0] = now
+
     if df is None:
         from cairn.session import materialize
         from cairn.sources.csv import read_csv
@@ -111,6 +125,7 @@ def run_regression(
         df = materialize(df.withColumn(ROW_ID, F.monotonically_increasing_id()), "csv-typed")
         row_id = row_id or ROW_ID
         actions.append("load_csv")
+        tick("load_csv")
     for name in steps:
         if registry is None:
             raise KeyError(f"Action '{name}' is not registered.")
@@ -120,11 +135,13 @@ def run_regression(
     target = resolve_target(df.columns, config.target)
     logs.append(f"target:{target}")
     actions.append("identify_target")
+    tick("identify_target")
     df, repair = repair_target(df, target, config.target_nan_threshold)
     if "encoding=" in (logs[0] if logs else ""):
         logs.insert(1, f"csv_shape={repair.rows}x{len([c for c in df.columns if c != ROW_ID])}")
     logs.append(repair.log)
     actions.append("validate_target_numeric")
+    tick("validate_target_numeric")
 
     key_cols = [key] if isinstance(key, str) else list(key or [])
     features = [c for c in df.columns if c != target and c not in key_cols and c != ROW_ID]
@@ -134,6 +151,7 @@ def run_regression(
             kinds[c] = "numeric"
     logs.append("split_xy")
     actions.append("split_xy")
+    tick("split_xy")
 
     if config.check_missing:
         ratios = missing_ratios(df, features)
@@ -143,6 +161,7 @@ def run_regression(
             _LOG.warning("Missing ratios above threshold %.2f: %s", config.missing.report_threshold,
                          ", ".join(f"{r['column_name']}:{r['ratio']:.3f}" for r in over))
         actions.append("check_missing")
+        tick("check_missing")
 
     sp = config.split
     if sp.stratify_by_target_quantiles:
@@ -153,28 +172,34 @@ def run_regression(
     train, test = split.where(~F.col("is_test")), split.where(F.col("is_test"))
     logs.append("train_test_split")
     actions.append("train_test_split")
+    tick("train_test_split")
 
     numeric = [c for c in features if kinds[c] == "numeric"]
     categorical = [c for c in features if kinds[c] == "categorical"]
     prep = fit_prep(train, numeric, categorical, config.missing, config.scaling, config.category)
     logs.append(prep.log())
     actions.append("build_preprocessor")
+    tick("build_preprocessor")
     prep_model = prep.pipeline_model("features", train)
     logs.append("fit_transform_preprocessor")
     actions.append("fit_transform_preprocessor")
+    tick("fit_transform_preprocessor")
 
     n_features = len(prep.output_columns)
     estimator = build_estimator(config.model, n_features, "features", target, "prediction")
     model = Pipeline(stages=[*feature_stages, estimator]).fit(prep_model.transform(train))
     logs.append(model_log(config.model))
     actions.append("train_model")
+    tick("train_model")
 
     predictions = model.transform(prep_model.transform(test))
     logs.append("predict")
     actions.append("predict")
+    tick("predict")
     metrics = metrics_dict(predictions, target, "prediction", config.eval.metrics)
     logs.append(metrics_log(config.eval.metrics))
     actions.append("evaluate")
+    tick("evaluate")
 
     artifacts = None
     if config.persist:
@@ -184,7 +209,8 @@ def run_regression(
                                    config.artifacts.model_name, config.artifacts.preprocessor_name)
         logs.append(f"persist_artifacts:{artifacts[0]},{artifacts[1]}")
         actions.append("persist_artifacts")
-    return RunResult(metrics, logs, target, kinds, prep, prep_model, model, split, predictions, artifacts, actions)
+        tick("persist_artifacts")
+    return RunResult(metrics, logs, target, kinds, prep, prep_model, model, split, predictions, artifacts, actions, timings)
 
 
 def run_with_payload(spark: SparkSession, config: PipelineConfig, **kwargs) -> tuple[DataFrame, RunResult | None]:
