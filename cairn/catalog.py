@@ -230,6 +230,59 @@ def q_cjk(spark, d):
     return _t(spark, d, "documents").select("doc_id", has_cjk("text").alias("has_cjk"))
 
 
+# ---- column statistics: moments, exact quantiles (refinement path), modes -------------------
+
+_STAT_COLS = [("lineitem", "l_extendedprice"), ("lineitem", "l_discount"), ("orders", "o_totalprice"), ("part", "p_size")]
+
+
+@query("column_moments", " UNION ALL ".join(
+    f"SELECT '{c}' AS column_name, count(*) AS n, ROUND(avg({c}), 6) AS mean, ROUND(var_pop({c}), 4) AS var_pop, "
+    f"CAST(min({c}) AS DOUBLE) AS min_value, CAST(max({c}) AS DOUBLE) AS max_value FROM {t}" for t, c in _STAT_COLS))
+def q_column_moments(spark, d):
+    from cairn.operators.stats import column_stats
+
+    rows = []
+    for t, c in _STAT_COLS:
+        st = column_stats(_t(spark, d, t), [c])[c]
+        rows.append((c, st.count, st.mean, st.var_pop, st.min, st.max))
+    out = spark.createDataFrame(rows, "column_name string, n long, mean double, var_pop double, min_value double, max_value double")
+    return out.select("column_name", "n", _r("mean", "mean"), F.round("var_pop", 4).alias("var_pop"), "min_value", "max_value")
+
+
+_QPROBS = [0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 1.0]
+
+
+@query("quantiles_exact", " UNION ALL ".join(
+    f"SELECT '{c}' AS column_name, CAST({p} AS DOUBLE) AS prob, ROUND(quantile_cont({c}, {p}), 6) AS value FROM {t}"
+    for t, c in _STAT_COLS for p in _QPROBS))
+def q_quantiles(spark, d):
+    from cairn.operators.stats import exact_quantiles
+
+    rows = []
+    for t, c in _STAT_COLS:
+        got = exact_quantiles(_t(spark, d, t), {c: _QPROBS})[c]
+        rows += [(c, float(p), float(v)) for p, v in zip(_QPROBS, got)]
+    out = spark.createDataFrame(rows, "column_name string, prob double, value double")
+    return out.select("column_name", "prob", _r("value", "value"))
+
+
+@query("column_modes", """SELECT * FROM (SELECT 'l_quantity' AS column_name, CAST(l_quantity AS VARCHAR) AS mode_value FROM lineitem
+  GROUP BY l_quantity ORDER BY count(*) DESC, l_quantity LIMIT 1)
+UNION ALL SELECT * FROM (SELECT 'l_shipmode_day', CAST(dayofweek(l_shipdate) AS VARCHAR) FROM lineitem
+  GROUP BY dayofweek(l_shipdate) ORDER BY count(*) DESC, dayofweek(l_shipdate) LIMIT 1)
+UNION ALL SELECT * FROM (SELECT 'o_orderpriority', o_orderpriority FROM orders GROUP BY o_orderpriority ORDER BY count(*) DESC, o_orderpriority LIMIT 1)""")
+def q_modes(spark, d):
+    from cairn.operators.stats import modes
+
+    li = _t(spark, d, "lineitem").select("l_quantity", (F.dayofweek("l_shipdate") - 1).alias("l_shipmode_day"))
+    o = _t(spark, d, "orders")
+    num = modes(li, ["l_quantity", "l_shipmode_day"], True)
+    cat = modes(o, ["o_orderpriority"], False)
+    rows = [("l_quantity", str(num["l_quantity"])), ("l_shipmode_day", str(int(num["l_shipmode_day"]))),
+            ("o_orderpriority", cat["o_orderpriority"])]
+    return spark.createDataFrame(rows, "column_name string, mode_value string")
+
+
 # ---- A4 gate, A5 median repair, P1–P3 target choice -------------------------------------------
 
 _GATE = """SELECT '{v}' AS variant, count(*) AS n, count(*) - count(y) AS n_bad,

@@ -37,6 +37,8 @@ _LOG = logging.getLogger(__name__)
 SPARK_MAX_DEPTH = 30
 DEFAULT_TREES = 100
 FOREST_BINS = 256
+# per-node split statistics grow with features x bins: keep their product bounded
+FOREST_BIN_BUDGET = 4096
 FOREST_NODE_MEMORY_MB = 1024
 
 
@@ -56,6 +58,11 @@ def max_features_count(value, n_features: int) -> str:
     return "all" if k >= d else str(k)
 
 
+def forest_bins(n_features: int) -> int:
+    """256 bins for narrow data, fewer for wide data (at least Spark's default of 32)."""
+    return max(32, min(FOREST_BINS, FOREST_BIN_BUDGET // max(1, int(n_features))))
+
+
 def build_estimator(policy: ModelPolicy, n_features: int, features_col: str = "features",
                     label_col: str = "label", prediction_col: str = "prediction"):
     p = dict(policy.params)
@@ -82,7 +89,7 @@ def build_estimator(policy: ModelPolicy, n_features: int, features_col: str = "f
         numTrees=int(p.get("n_estimators", DEFAULT_TREES)), maxDepth=int(depth),
         minInstancesPerNode=int(p.get("min_samples_leaf", 1)), bootstrap=bool(p.get("bootstrap", True)),
         featureSubsetStrategy=max_features_count(p.get("max_features"), n_features),
-        maxBins=FOREST_BINS, impurity="variance",
+        maxBins=forest_bins(n_features), impurity="variance",
         # more tree nodes split per pass over the data, and node ids cached (and
         # checkpointed into the shared folder) instead of re-walking every tree
         maxMemoryInMB=FOREST_NODE_MEMORY_MB, cacheNodeIds=True, checkpointInterval=10,

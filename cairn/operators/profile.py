@@ -4,7 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, FloatType, DoubleType, NumericType, StringType
+from pyspark.sql.types import (
+    ArrayType,
+    BinaryType,
+    BooleanType,
+    DoubleType,
+    FloatType,
+    MapType,
+    NumericType,
+    StringType,
+    StructType,
+    UserDefinedType,
+)
 
 from cairn.functions.text import qcol
 from cairn.functions.numeric import parse_decimal
@@ -22,20 +33,25 @@ def _missing(df: DataFrame, c: str):
 
 
 def missing_ratios(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """(column, ratio) for every column: one aggregation, then an unpivot of the one-row result.
+    """(column_name, ratio) for every column: unpivot to missing flags, one grouped mean.
 
-    ``ratio`` is 0.0 for an empty frame.
+    ``ratio`` is 0.0 for an empty frame. The aggregate stays two expressions
+    however many columns there are; partial aggregation leaves one row per
+    column and partition.
     """
     columns = list(df.columns if columns is None else columns)
+    spark = df.sparkSession
     if not columns:
-        return df.sparkSession.createDataFrame([], "column_name string, ratio double")
-    aggs = [
-        F.coalesce(F.avg(F.when(_missing(df, c), 1.0).otherwise(0.0)), F.lit(0.0)).alias(f"r{i}")
-        for i, c in enumerate(columns)
-    ]
-    one = df.agg(*aggs)
-    pairs = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"r{i}").alias("ratio")) for i, c in enumerate(columns)])
-    return one.select(F.inline(pairs))
+        return spark.createDataFrame([], "column_name string, ratio double")
+    flags = F.array(*[
+        F.struct(F.lit(c).alias("column_name"), F.when(_missing(df, c), 1.0).otherwise(0.0).alias("m"))
+        for c in columns
+    ])
+    names = spark.createDataFrame([(c,) for c in columns], "column_name string")
+    ratios = df.select(F.inline(flags)).groupBy("column_name").agg(F.avg("m").alias("ratio"))
+    # columns of an empty frame still get a row (ratio 0.0); the name list is the column list
+    return names.join(F.broadcast(ratios), "column_name", "left").select(
+        "column_name", F.coalesce(F.col("ratio"), F.lit(0.0)).alias("ratio"))
 
 
 def missing_top(ratios: DataFrame, n: int = TOP_N) -> DataFrame:
@@ -78,6 +94,9 @@ def column_kinds(df: DataFrame, columns: list[str] | None = None, decimal: str =
     text_cols = []
     for c in columns:
         dt = df.schema[c].dataType
+        if isinstance(dt, (ArrayType, MapType, StructType, BinaryType, UserDefinedType)):
+            raise TypeError(f"feature column {c!r} has unsupported type {dt.simpleString()}; "
+                            "expand it into scalar columns first")
         if isinstance(dt, (NumericType, BooleanType)):
             kinds[c] = "numeric"
         elif isinstance(dt, StringType) and inspect_text:
@@ -85,16 +104,20 @@ def column_kinds(df: DataFrame, columns: list[str] | None = None, decimal: str =
         else:
             kinds[c] = "categorical"
     if text_cols:
-        aggs = [F.count(F.lit(1)).alias("rows")]
+        # long form: (column id, text) rows, three counts per column id
+        items = F.array(*[F.struct(F.lit(i).alias("cid"), qcol(c).alias("v")) for i, c in enumerate(text_cols)])
+        v = F.col("v")
+        rows = (
+            df.select(F.inline(items))
+            .groupBy("cid")
+            .agg(F.count(F.lit(1)).alias("rows"), F.count(v).alias("n"),
+                 F.count(parse_decimal(v, decimal)).alias("num"), F.count_if(v.isin(*BOOL_TOKENS)).alias("b"))
+            .toArrow().to_pylist()
+        )
+        got = {r["cid"]: r for r in rows}
         for i, c in enumerate(text_cols):
-            aggs += [
-                F.count(qcol(c)).alias(f"n{i}"),
-                F.count(parse_decimal(c, decimal)).alias(f"num{i}"),
-                F.count_if(qcol(c).isin(*BOOL_TOKENS)).alias(f"b{i}"),
-            ]
-        r = df.agg(*aggs).first()
-        for i, c in enumerate(text_cols):
-            n, num, b = r[f"n{i}"], r[f"num{i}"], r[f"b{i}"]
+            r = got.get(i, {"rows": 0, "n": 0, "num": 0, "b": 0})
+            n, num, b = r["n"], r["num"], r["b"]
             if n == 0 or num == n or (b == n and n == r["rows"]):
                 kinds[c] = "numeric"
             else:

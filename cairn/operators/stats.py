@@ -61,32 +61,39 @@ def _num(c: str) -> Column:
 
 
 def column_stats(df: DataFrame, columns: list[str]) -> dict[str, ColumnStats]:
-    """One aggregation pass over all ``columns`` (cast to double, NaN = missing)."""
+    """One aggregation pass over all ``columns`` (cast to double, NaN = missing).
+
+    The columns are unpivoted to ``(column id, value)`` rows and aggregated by
+    column id, so the aggregate has six expressions however many columns
+    there are (a wide aggregate with one HyperLogLog per column takes longer
+    to code-generate than to run). Partial aggregation leaves one row per
+    column and partition before the shuffle.
+    """
     if not columns:
         return {}
-    aggs = [F.count(F.lit(1)).alias("__rows")]
-    for i, c in enumerate(columns):
-        x = _num(c)
-        aggs += [
-            F.count(x).alias(f"n{i}"),
-            F.avg(x).alias(f"m{i}"),
-            F.var_pop(x).alias(f"v{i}"),
-            F.min(x).alias(f"lo{i}"),
-            F.max(x).alias(f"hi{i}"),
-            F.approx_count_distinct(x, 0.02).alias(f"d{i}"),
-        ]
-    row = df.agg(*aggs).first()
+    items = F.array(*[F.struct(F.lit(i).alias("cid"), _num(c).alias("x")) for i, c in enumerate(columns)])
+    x = F.col("x")
+    rows = _rows(
+        df.select(F.inline(items))
+        .groupBy("cid")
+        .agg(
+            F.count(F.lit(1)).alias("rows"),
+            F.count(x).alias("n"),
+            F.avg(x).alias("m"),
+            F.var_pop(x).alias("v"),
+            F.min(x).alias("lo"),
+            F.max(x).alias("hi"),
+            F.approx_count_distinct(x, 0.02).alias("d"),
+        )
+    )
+    got = {r["cid"]: r for r in rows}
     out = {}
     for i, c in enumerate(columns):
-        out[c] = ColumnStats(
-            rows=int(row["__rows"]),
-            count=int(row[f"n{i}"]),
-            mean=row[f"m{i}"],
-            var_pop=row[f"v{i}"],
-            min=row[f"lo{i}"],
-            max=row[f"hi{i}"],
-            approx_distinct=int(row[f"d{i}"]),
-        )
+        r = got.get(i)
+        if r is None:  # empty frame
+            out[c] = ColumnStats(0, 0, None, None, None, None, 0)
+            continue
+        out[c] = ColumnStats(int(r["rows"]), int(r["n"]), r["m"], r["v"], r["lo"], r["hi"], int(r["d"]))
     return out
 
 
