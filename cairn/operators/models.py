@@ -106,6 +106,11 @@ def build_estimator(policy: ModelPolicy, n_features: int, features_col: str = "f
 def gram_statistics(df: DataFrame, features_col: str, label_col: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, float, float, int]:
     """X'X, X'y, sum(x), sum(y), y'y, n via per-partition NumPy sums and one partial aggregation."""
     arr = df.select(vector_to_array(F.col(features_col)).alias("x"), F.col(label_col).cast("double").alias("y"))
+    # every task emits a d x d partial sum that partial aggregation cannot combine, so keep
+    # the number of tasks near the cluster's parallelism (coalesce: no shuffle)
+    target = 4 * df.sparkSession.sparkContext.defaultParallelism
+    if arr.rdd.getNumPartitions() > target:
+        arr = arr.coalesce(target)
 
     def partial(batches):
         import pandas as pd

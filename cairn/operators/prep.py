@@ -7,10 +7,11 @@ rows, independent of the number of columns:
 
 1. one aggregation: count, missing, mean, population variance, min, max and
    an approximate distinct count of every numeric column;
-2. medians / quantiles (exact, see ``cairn.operators.stats``) when a policy
-   needs them, numeric modes when ``most_frequent`` is asked for;
-3. one distributed value count of every categorical column, giving both the
-   most frequent value and the sorted category vocabulary.
+2. ONE grouped job for the rest: the value/bucket histograms behind the exact
+   medians (see ``cairn.operators.stats``) together with the value count of
+   every categorical column, which gives both its most frequent value and its
+   sorted vocabulary. A median whose histogram bucket holds several values
+   adds one small fetch; numeric modes (``most_frequent``) one value count.
 
 Scaler statistics are those of the *imputed* column. For standard and
 min-max scaling they follow in closed form from pass 1 and the fill value
@@ -41,7 +42,7 @@ from pyspark.sql import functions as F
 from cairn.config import CategoryPolicy, MissingPolicy, ScalingPolicy
 from cairn.functions.numeric import nan_to_null, strict_double_sql
 from cairn.functions.text import sql_double, sql_ident, sql_string, qcol
-from cairn.operators.stats import column_stats, exact_quantiles, modes
+from cairn.operators.stats import column_stats, exact_quantiles, first_pass, modes
 
 EPS = 2.220446049250313e-16
 
@@ -265,12 +266,15 @@ def fit_prep(
 
     # pass 1: moments of every numeric column
     st = column_stats(train, numeric)
+    # pass 2 (one job): median histograms of the numeric columns + value counts of the categorical ones
+    need_median = missing.numeric == "median"
+    hist, counts = first_pass(train, [c for c in numeric if st[c].count] if need_median else [], st, categorical)
     fills: dict[str, float | None] = {}
     if missing.numeric in ("mean", "median", "most_frequent"):
         if missing.numeric == "mean":
             fills = {c: st[c].mean for c in numeric}
         elif missing.numeric == "median":
-            q = exact_quantiles(train, {c: [0.5] for c in numeric}, st)
+            q = exact_quantiles(train, {c: [0.5] for c in numeric}, st, first=hist)
             fills = {c: q[c][0] for c in numeric}
         else:
             fills = {c: (float(v) if v is not None else None) for c, v in modes(train, numeric, True).items()}
@@ -313,10 +317,9 @@ def fit_prep(
             scale = iqr if iqr != 0 else 1.0
         plans.append(NumericPlan(c, fill, center, scale))
 
-    # pass 3: categorical value counts → mode and vocabulary
+    # categorical value counts (from pass 2) → mode and vocabulary
     cat_plans: list[CategoricalPlan] = []
     if categorical:
-        counts = _category_counts(train, categorical)
         for c in categorical:
             table = counts.get(c, {})
             rows_missing = table.pop(None, 0)
@@ -334,13 +337,3 @@ def fit_prep(
                 vocab.add(fill)
             cat_plans.append(CategoricalPlan(c, fill, tuple(sorted(vocab))))
     return FittedPrep(plans, cat_plans, category.encode, category.handle_unknown, drop_on)
-
-
-def _category_counts(df: DataFrame, columns: list[str]) -> dict[str, dict]:
-    """Distributed value count of every categorical column (NULL counted as a key)."""
-    items = F.array(*[F.struct(F.lit(i).alias("cid"), qcol(c).cast("string").alias("v")) for i, c in enumerate(columns)])
-    rows = df.select(F.inline(items)).groupBy("cid", "v").count().collect()
-    out: dict[str, dict] = {c: {} for c in columns}
-    for r in rows:
-        out[columns[r["cid"]]][r["v"]] = r["count"]
-    return out

@@ -121,6 +121,7 @@ def exact_quantiles(
     probs: dict[str, list[float]],
     stats: dict[str, ColumnStats] | None = None,
     accuracy: int | None = None,
+    first: dict[str, list] | None = None,
 ) -> dict[str, list[float | None]]:
     """Exact linear-interpolated quantiles of several columns (missing values skipped).
 
@@ -151,13 +152,11 @@ def exact_quantiles(
             lo, hi, _ = _positions(n, p)
             ranks.update((lo, hi))
         wanted[c] = ranks
-    small = [c for c in wanted if stats[c].approx_distinct <= VALUE_TABLE_LIMIT or stats[c].min == stats[c].max]
-    large = [c for c in wanted if c not in small]
-    found: dict[str, dict[int, float]] = {c: {} for c in wanted}
-    if small:
-        found.update(_order_stats_from_value_table(df, small, wanted))
-    if large:
-        found.update(_order_stats_by_refinement(df, large, wanted, stats))
+    if not wanted:
+        return result
+    if first is None:
+        first, _ = first_pass(df, list(wanted), stats, [])
+    found = _order_stats_by_refinement(df, list(wanted), wanted, stats, first)
     for c in wanted:
         n = stats[c].count
         vals = []
@@ -168,29 +167,52 @@ def exact_quantiles(
     return result
 
 
-def _order_stats_from_value_table(
-    df: DataFrame, columns: list[str], wanted: dict[str, set[int]]
-) -> dict[str, dict[int, float]]:
-    counts = _rows(_long_frame(df, columns).groupBy("cid", "x").count())
-    per: dict[int, list[tuple[float, int]]] = {}
-    for r in counts:
-        per.setdefault(r["cid"], []).append((r["x"], r["count"]))
-    out: dict[str, dict[int, float]] = {}
-    for i, c in enumerate(columns):
-        table = sorted(per.get(i, []))
-        ranks = sorted(wanted[c])
-        got: dict[int, float] = {}
-        cum = 0
-        k = 0
-        for value, cnt in table:
-            cum += cnt
-            while k < len(ranks) and ranks[k] < cum:
-                got[ranks[k]] = float(value)
-                k += 1
-            if k == len(ranks):
-                break
-        out[c] = got
-    return out
+def first_pass(
+    df: DataFrame,
+    numeric: list[str],
+    stats: dict[str, ColumnStats],
+    categorical: list[str],
+) -> tuple[dict[str, list[tuple[float, int, float, float]]], dict[str, dict]]:
+    """ONE job: value/bucket histograms of numeric columns and value counts of categorical ones.
+
+    Numeric columns with few distinct values are keyed by the value itself
+    (a value-count table); the others by their magnitude bucket (exponent x
+    mantissa bits). Categorical columns are keyed by their text (NULL kept as
+    a key, for the missing count). Every key group is partial-aggregated, so
+    a hot value is one row per partition before the shuffle, and the result
+    is bounded by the distinct values (numeric: also by the bucket count).
+    Returns ``({numeric column: [(key, n, min, max) sorted]}, {categorical column: {value: n}})``.
+    """
+    items = []
+    for i, c in enumerate(numeric):
+        x = _num(c)
+        s = stats[c]
+        by_value = s.approx_distinct <= VALUE_TABLE_LIMIT or s.min == s.max
+        key = x if by_value else _exp_bucket(x).cast("double")
+        items.append(F.struct(F.lit(i).alias("cid"), key.alias("kd"), F.lit(None).cast("string").alias("ks"), x.alias("x")))
+    off = len(numeric)
+    for j, c in enumerate(categorical):
+        items.append(F.struct(F.lit(off + j).alias("cid"), F.lit(None).cast("double").alias("kd"),
+                              qcol(c).cast("string").alias("ks"), F.lit(None).cast("double").alias("x")))
+    if not items:
+        return {}, {}
+    rows = _rows(
+        df.select(F.inline(F.array(*items)))
+        .where((F.col("cid") >= off) | F.col("x").isNotNull())
+        .groupBy("cid", "kd", "ks")
+        .agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
+    )
+    hist: dict[str, list] = {c: [] for c in numeric}
+    counts: dict[str, dict] = {c: {} for c in categorical}
+    for r in rows:
+        cid = r["cid"]
+        if cid < off:
+            hist[numeric[cid]].append((r["kd"], r["n"], r["lo"], r["hi"]))
+        else:
+            counts[categorical[cid - off]][r["ks"]] = r["n"]
+    for c in hist:
+        hist[c].sort()
+    return hist, counts
 
 
 def _exp_bucket(x: Column) -> Column:
@@ -249,6 +271,7 @@ def _order_stats_by_refinement(
     columns: list[str],
     wanted: dict[str, set[int]],
     stats: dict[str, ColumnStats],
+    first: dict[str, list],
 ) -> dict[str, dict[int, float]]:
     """Order statistics by histogram refinement.
 
@@ -260,9 +283,15 @@ def _order_stats_by_refinement(
     out: dict[str, dict[int, float]] = {c: {} for c in columns}
     brackets: list[tuple[str, int, _Bracket]] = []
     for i, c in enumerate(columns):
-        s = stats[c]
+        hist = first[c]
         for r in sorted(wanted[c]):
-            brackets.append((c, r, _Bracket(c, i, r, float(s.min), float(s.max), s.count)))
+            cum = 0
+            for _key, n, lo, hi in hist:
+                if r < cum + n:
+                    # the first pass was pass 0: the bracket continues with equal-width buckets
+                    brackets.append((c, r, _Bracket(c, i, r - cum, float(lo), float(hi), int(n), passes=1)))
+                    break
+                cum += n
     long = _long_frame(df, columns)
     x = F.col("x")
     for _ in range(MAX_PASSES):

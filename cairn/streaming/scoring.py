@@ -33,8 +33,10 @@ def score_stream(
     prediction: str = "prediction",
     available_now: bool = True,
     checkpoint: str | None = None,
+    max_files_per_trigger: int = 1000,
 ) -> StreamingQuery:
-    stream = spark.readStream.schema(schema).parquet(source_path)
+    # bounded micro-batches, also when a large backlog is drained with availableNow
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger).parquet(source_path)
     scored = model.transform(prep_model.transform(stream)).select(*keep, prediction)
     writer = (
         scored.writeStream.format("parquet")
