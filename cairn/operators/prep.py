@@ -268,7 +268,9 @@ def fit_prep(
     st = column_stats(train, numeric)
     # pass 2 (one job): median histograms of the numeric columns + value counts of the categorical ones
     need_median = missing.numeric == "median"
-    hist, counts = first_pass(train, [c for c in numeric if st[c].count] if need_median else [], st, categorical)
+    med_cols = [c for c in numeric if st[c].count] if need_median else []
+    med_ranks = {c: {(st[c].count - 1) // 2, st[c].count // 2} for c in med_cols}
+    hist, counts = first_pass(train, med_cols, st, categorical, med_ranks)
     fills: dict[str, float | None] = {}
     if missing.numeric in ("mean", "median", "most_frequent"):
         if missing.numeric == "mean":

@@ -121,7 +121,7 @@ def exact_quantiles(
     probs: dict[str, list[float]],
     stats: dict[str, ColumnStats] | None = None,
     accuracy: int | None = None,
-    first: dict[str, list] | None = None,
+    first: dict[str, dict] | None = None,
 ) -> dict[str, list[float | None]]:
     """Exact linear-interpolated quantiles of several columns (missing values skipped).
 
@@ -155,7 +155,7 @@ def exact_quantiles(
     if not wanted:
         return result
     if first is None:
-        first, _ = first_pass(df, list(wanted), stats, [])
+        first, _ = first_pass(df, list(wanted), stats, [], wanted)
     found = _order_stats_by_refinement(df, list(wanted), wanted, stats, first)
     for c in wanted:
         n = stats[c].count
@@ -172,17 +172,29 @@ def first_pass(
     numeric: list[str],
     stats: dict[str, ColumnStats],
     categorical: list[str],
-) -> tuple[dict[str, list[tuple[float, int, float, float]]], dict[str, dict]]:
-    """ONE job: value/bucket histograms of numeric columns and value counts of categorical ones.
-
-    Numeric columns with few distinct values are keyed by the value itself
-    (a value-count table); the others by their magnitude bucket (exponent x
-    mantissa bits). Categorical columns are keyed by their text (NULL kept as
-    a key, for the missing count). Every key group is partial-aggregated, so
-    a hot value is one row per partition before the shuffle, and the result
-    is bounded by the distinct values (numeric: also by the bucket count).
-    Returns ``({numeric column: [(key, n, min, max) sorted]}, {categorical column: {value: n}})``.
+    wanted: dict[str, set[int]] | None = None,
+) -> tuple[dict[str, dict[int, tuple[float, float, int, int]]], dict[str, dict]]:
+    """ONE scan: value/bucket histograms of numeric columns and value counts of categorical ones.
+
+    Numeric columns with few distinct values are keyed by the value itself;
+    the others by their magnitude bucket (exponent x mantissa bits).
+    Categorical columns are keyed by their text (NULL kept as a key, for the
+    missing count). Every key group is partial-aggregated, so a hot value is
+    one row per partition before the shuffle.
+
+    The driver never receives a numeric histogram: a running count per column
+    (window over that column's buckets) joined with the broadcast list of
+    wanted ranks returns only the bucket that holds each rank. Categorical
+    counts come back whole: they are the category vocabulary.
+
+    Returns ``({numeric column: {rank: (lo, hi, bucket rows, rank within bucket)}},
+    {categorical column: {value: rows}})``.
     """
+    from pyspark import StorageLevel
+    from pyspark.sql import Window
+
+    wanted = wanted or {c: set() for c in numeric}
+    numeric = [c for c in numeric if wanted.get(c)]
     items = []
     for i, c in enumerate(numeric):
         x = _num(c)
@@ -196,23 +208,35 @@ def first_pass(
                               qcol(c).cast("string").alias("ks"), F.lit(None).cast("double").alias("x")))
     if not items:
         return {}, {}
-    rows = _rows(
+    groups = (
         df.select(F.inline(F.array(*items)))
         .where((F.col("cid") >= off) | F.col("x").isNotNull())
         .groupBy("cid", "kd", "ks")
         .agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
     )
-    hist: dict[str, list] = {c: [] for c in numeric}
+    both = bool(numeric) and bool(categorical)
+    if both:  # two small reads of one aggregated result: keep it instead of scanning twice
+        groups = groups.persist(StorageLevel.MEMORY_AND_DISK)
     counts: dict[str, dict] = {c: {} for c in categorical}
-    for r in rows:
-        cid = r["cid"]
-        if cid < off:
-            hist[numeric[cid]].append((r["kd"], r["n"], r["lo"], r["hi"]))
-        else:
-            counts[categorical[cid - off]][r["ks"]] = r["n"]
-    for c in hist:
-        hist[c].sort()
-    return hist, counts
+    if categorical:
+        for r in _rows(groups.where(F.col("cid") >= off).select("cid", "ks", "n")):
+            counts[categorical[r["cid"] - off]][r["ks"]] = r["n"]
+    found: dict[str, dict[int, tuple[float, float, int, int]]] = {c: {} for c in numeric}
+    if numeric:
+        spark = df.sparkSession
+        ranks = spark.createDataFrame([(i, int(r)) for i, c in enumerate(numeric) for r in sorted(wanted[c])],
+                                      "rcid int, rank long")
+        running = Window.partitionBy("cid").orderBy("kd").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        hist = groups.where(F.col("cid") < off).withColumn("cum", F.sum("n").over(running))
+        hit = hist.join(
+            F.broadcast(ranks),  # one row per wanted rank
+            (F.col("cid") == F.col("rcid")) & (F.col("cum") - F.col("n") <= F.col("rank")) & (F.col("rank") < F.col("cum")),
+        )
+        for r in _rows(hit.select("cid", "rank", "lo", "hi", "n", (F.col("rank") - (F.col("cum") - F.col("n"))).alias("k"))):
+            found[numeric[r["cid"]]][int(r["rank"])] = (float(r["lo"]), float(r["hi"]), int(r["n"]), int(r["k"]))
+    if both:
+        groups.unpersist()
+    return found, counts
 
 
 def _exp_bucket(x: Column) -> Column:
@@ -271,7 +295,7 @@ def _order_stats_by_refinement(
     columns: list[str],
     wanted: dict[str, set[int]],
     stats: dict[str, ColumnStats],
-    first: dict[str, list],
+    first: dict[str, dict],
 ) -> dict[str, dict[int, float]]:
     """Order statistics by histogram refinement.
 
@@ -283,15 +307,10 @@ def _order_stats_by_refinement(
     out: dict[str, dict[int, float]] = {c: {} for c in columns}
     brackets: list[tuple[str, int, _Bracket]] = []
     for i, c in enumerate(columns):
-        hist = first[c]
         for r in sorted(wanted[c]):
-            cum = 0
-            for _key, n, lo, hi in hist:
-                if r < cum + n:
-                    # the first pass was pass 0: the bracket continues with equal-width buckets
-                    brackets.append((c, r, _Bracket(c, i, r - cum, float(lo), float(hi), int(n), passes=1)))
-                    break
-                cum += n
+            lo, hi, n, k = first[c][r]
+            # the first pass was pass 0: the bracket continues with equal-width buckets
+            brackets.append((c, r, _Bracket(c, i, k, lo, hi, n, passes=1)))
     long = _long_frame(df, columns)
     x = F.col("x")
     for _ in range(MAX_PASSES):
