@@ -30,7 +30,7 @@ from cairn.config import PipelineConfig
 from cairn.operators.metrics import metrics_dict, metrics_log
 from cairn.operators.models import build_estimator, model_log
 from cairn.operators.prep import FittedPrep, fit_prep
-from cairn.operators.profile import column_kinds, missing_over, missing_ratios, missing_summary
+from cairn.operators.profile import column_kinds, missing_ratios
 from cairn.operators.split import random_split, stratified_split
 from cairn.operators.target import repair_target, resolve_target
 
@@ -101,7 +101,16 @@ def run_regression(
     steps: list[str] = (),
     registry: StepRegistry | None = None,
     feature_stages: list = (),
+    model_features_col: str = "features",
 ) -> RunResult:
+    """Run the regression workflow; see the module docstring for the steps.
+
+    ``key``/``unique_key``/``row_id`` choose the split's row order (see
+    ``cairn.operators.split``). ``steps`` are names in ``registry`` applied to
+    the loaded frame in order; ``feature_stages`` are Spark ML stages fitted
+    between the preprocessing and the model (they read ``features`` and the
+    model reads ``model_features_col``).
+    """
     logs: list[str] = []
     actions: list[str] = []
     timings: dict[str, float] = {}
@@ -154,12 +163,15 @@ def run_regression(
     tick("split_xy")
 
     if config.check_missing:
-        ratios = missing_ratios(df, features)
-        logs.append(missing_summary(ratios).first()["summary"])
-        over = missing_over(ratios, config.missing.report_threshold).collect()
+        # one job; the result has one row per feature column
+        ratios = sorted(((r["column_name"], float(r["ratio"])) for r in missing_ratios(df, features).collect()),
+                        key=lambda t: (-t[1], t[0]))
+        top = ",".join(f"{c}:{v:.3f}" for c, v in ratios[:5]) or "none"
+        logs.append(f"missing_top5:{top}")
+        over = [(c, v) for c, v in ratios if v > config.missing.report_threshold]
         if over:
             _LOG.warning("Missing ratios above threshold %.2f: %s", config.missing.report_threshold,
-                         ", ".join(f"{r['column_name']}:{r['ratio']:.3f}" for r in over))
+                         ", ".join(f"{c}:{v:.3f}" for c, v in over))
         actions.append("check_missing")
         tick("check_missing")
 
@@ -186,7 +198,7 @@ def run_regression(
     tick("fit_transform_preprocessor")
 
     n_features = len(prep.output_columns)
-    estimator = build_estimator(config.model, n_features, "features", target, "prediction")
+    estimator = build_estimator(config.model, n_features, model_features_col, target, "prediction")
     model = Pipeline(stages=[*feature_stages, estimator]).fit(prep_model.transform(train))
     logs.append(model_log(config.model))
     actions.append("train_model")

@@ -85,3 +85,24 @@ def test_failure_payload(spark):
     row = payload.first()
     assert res is None and row.status == "execution_failed"
     assert row.logs[0].startswith("action_error:run_regression:ValueError:Target column could not be coerced")
+
+
+def test_feature_stage_between_prep_and_model(spark):
+    from pyspark.ml.feature import PolynomialExpansion
+
+    df = spark.createDataFrame([(float(i), float(i * i + 1)) for i in range(30)], "x double, target double")
+    cfg = PipelineConfig(target=TargetSpec("explicit", "target"))
+    plain = run_regression(spark, cfg, df)
+    poly = run_regression(spark, cfg, df, feature_stages=[PolynomialExpansion(inputCol="features", outputCol="poly", degree=2)],
+                          model_features_col="poly")
+    assert poly.metrics["r2"] > 0.999 > plain.metrics["r2"]
+
+
+def test_complex_feature_types_are_rejected(spark):
+    from cairn.operators.profile import column_kinds
+
+    df = spark.createDataFrame([([1.0, 2.0], 1.0)], "v array<double>, target double")
+    with pytest.raises(TypeError, match="unsupported type array<double>"):
+        column_kinds(df)
+    ts = spark.sql("SELECT timestamp'2024-01-01 00:00:00' AS t, 1.0 AS target")
+    assert column_kinds(ts, ["t"]) == {"t": "categorical"}
