@@ -39,6 +39,8 @@ FETCH_LIMIT = 50_000
 # Buckets per refinement pass.
 BUCKETS = 2048
 MAX_PASSES = 64
+# histogram rows the driver may receive directly (an upper bound computed before the pass)
+DIRECT_HISTOGRAM_LIMIT = 200_000
 
 
 @dataclass(frozen=True)
@@ -214,14 +216,33 @@ def first_pass(
         .groupBy("cid", "kd", "ks")
         .agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
     )
+    counts: dict[str, dict] = {c: {} for c in categorical}
+    found: dict[str, dict[int, tuple[float, float, int, int]]] = {c: {} for c in numeric}
+    bound = sum(_histogram_bound(stats[c]) for c in numeric)
+    if bound <= DIRECT_HISTOGRAM_LIMIT:
+        # provably small: read histograms and category counts in the same single job
+        hists: dict[int, list] = {}
+        for r in _rows(groups):
+            if r["cid"] >= off:
+                counts[categorical[r["cid"] - off]][r["ks"]] = r["n"]
+            else:
+                hists.setdefault(r["cid"], []).append((r["kd"], r["n"], r["lo"], r["hi"]))
+        for i, c in enumerate(numeric):
+            hist = sorted(hists.get(i, []))
+            for rank in wanted[c]:
+                cum = 0
+                for _key, n, lo, hi in hist:
+                    if rank < cum + n:
+                        found[c][rank] = (float(lo), float(hi), int(n), int(rank - cum))
+                        break
+                    cum += n
+        return found, counts
     both = bool(numeric) and bool(categorical)
     if both:  # two small reads of one aggregated result: keep it instead of scanning twice
         groups = groups.persist(StorageLevel.MEMORY_AND_DISK)
-    counts: dict[str, dict] = {c: {} for c in categorical}
     if categorical:
         for r in _rows(groups.where(F.col("cid") >= off).select("cid", "ks", "n")):
             counts[categorical[r["cid"] - off]][r["ks"]] = r["n"]
-    found: dict[str, dict[int, tuple[float, float, int, int]]] = {c: {} for c in numeric}
     if numeric:
         spark = df.sparkSession
         ranks = spark.createDataFrame([(i, int(r)) for i, c in enumerate(numeric) for r in sorted(wanted[c])],
@@ -239,6 +260,20 @@ def first_pass(
     return found, counts
 
 
+def _histogram_bound(s: ColumnStats) -> int:
+    """Upper bound on the first-pass histogram rows of a column, from its moments pass."""
+    if s.count == 0:
+        return 0
+    if s.approx_distinct <= VALUE_TABLE_LIMIT or s.min == s.max:
+        return int(s.approx_distinct * 1.1) + 16  # HLL error margin
+    lo, hi = float(s.min), float(s.max)
+    if not (math.isfinite(lo) and math.isfinite(hi)) or lo <= 0 <= hi:
+        return 10**12  # magnitudes down to zero: no useful bound
+    a, b = sorted((abs(lo), abs(hi)))
+    binades = math.floor(math.log2(b)) - math.floor(math.log2(a)) + 3
+    return binades * BUCKETS
+
+
 def _exp_bucket(x: Column) -> Column:
     """Monotone bucket id from sign, binary exponent and the top mantissa bits.
 

@@ -5,7 +5,8 @@ import pytest
 from cairn.operators import stats as S
 
 
-def test_exact_quantiles_on_skewed_and_heavy_tailed_data(spark, monkeypatch):
+@pytest.mark.parametrize("direct_limit", [0, 10**9])
+def test_exact_quantiles_on_skewed_and_heavy_tailed_data(spark, monkeypatch, direct_limit):
     rng = np.random.default_rng(1)
     n = 20_000
     a = np.concatenate([rng.lognormal(0, 6, n // 2), -rng.exponential(3, n // 4), np.full(n // 4, 7.25)])
@@ -14,6 +15,7 @@ def test_exact_quantiles_on_skewed_and_heavy_tailed_data(spark, monkeypatch):
     df = spark.createDataFrame(pdf).repartition(8)
     monkeypatch.setattr(S, "FETCH_LIMIT", 50)
     monkeypatch.setattr(S, "VALUE_TABLE_LIMIT", 10)
+    monkeypatch.setattr(S, "DIRECT_HISTOGRAM_LIMIT", direct_limit)
     probs = [0, 0.1, 0.25, 0.5, 0.75, 0.9, 1.0]
     got = S.exact_quantiles(df, {"a": probs, "b": probs})
     for c in "ab":
@@ -35,3 +37,13 @@ def test_all_missing_column(spark):
 def test_approximate_switch(spark):
     df = spark.createDataFrame([(float(i),) for i in range(1001)], "x double")
     assert S.exact_quantiles(df, {"x": [0.5]}, accuracy=10_000)["x"] == [500.0]
+
+
+@pytest.mark.parametrize("direct_limit", [0, 10**9])
+def test_fused_pass_counts_categories(spark, monkeypatch, direct_limit):
+    monkeypatch.setattr(S, "DIRECT_HISTOGRAM_LIMIT", direct_limit)
+    df = spark.createDataFrame([(1.0, "a"), (2.0, "b"), (3.0, None), (4.0, "a")], "x double, c string")
+    st = S.column_stats(df, ["x"])
+    found, counts = S.first_pass(df, ["x"], st, ["c"], {"x": {1, 2}})
+    assert counts == {"c": {"a": 2, "b": 1, None: 1}}
+    assert found["x"][1][:2] == (2.0, 2.0) and found["x"][2][:2] == (3.0, 3.0)
