@@ -517,6 +517,17 @@ def q_ols_two(spark, d):
     return _coef_frame(spark, ["pk_mod", "size_full"], _fit_linear(y, ["pk_mod", "size_full"], "y2"))
 
 
+@query("ols_gram", SQL["ols_two_features"])
+def q_ols_gram(spark, d):
+    """Same fit through the distributed Gram matrix and the minimum-norm solve."""
+    from pyspark.ml import Pipeline
+
+    y = _part_y2(spark, d)
+    est = build_estimator(ModelPolicy("linear_regression", solver="gram"), 2, "features", "y2", "prediction")
+    model = Pipeline(stages=[VectorAssembler(inputCols=["pk_mod", "size_full"], outputCol="features"), est]).fit(y)
+    return _coef_frame(spark, ["pk_mod", "size_full"], model)
+
+
 _PREDICT_SQL = f"""WITH {PART_SPLIT_CTE}, y AS (SELECT *, p_retailprice + 0.5 * size_full AS y2 FROM ps),
 tr AS (SELECT * FROM y WHERE NOT is_test), {_OLS2.format(src='tr')}
 SELECT p_partkey, ROUND(my + b1 * (pk_mod - m1) + b2 * (size_full - m2), 6) AS prediction FROM y, b WHERE is_test"""

@@ -3,8 +3,11 @@
 * ``linear_regression``: ``LinearRegression`` (normal equations via a
   distributed Gram matrix, L-BFGS fallback when it is singular), no
   regularisation.
-* ``linear_regression`` with ``positive=True``: Spark ML has no bounded
-  least squares, so the Gram matrix X'X, X'y is accumulated per partition in
+* ``linear_regression`` with ``positive=True`` (or ``solver="gram"``, the
+  minimum-norm least-squares fit, which is what a rank-deficient design such
+  as full one-hot + intercept needs for predictions on unseen categories to
+  match the min-norm convention): Spark ML has no bounded least squares, so
+  the Gram matrix X'X, X'y is accumulated per partition in
   ``mapInPandas`` (NumPy on Arrow batches), summed with a partial
   aggregation, and the d x d problem is solved on the driver by an active-set
   NNLS. Scoring is a JVM-side dot product (``vector_to_array`` +
@@ -68,9 +71,10 @@ def build_estimator(policy: ModelPolicy, n_features: int, features_col: str = "f
     p = dict(policy.params)
     if policy.kind == "linear_regression":
         fit_intercept = bool(p.get("fit_intercept", True))
-        if p.get("positive", False):
+        if p.get("positive", False) or policy.solver == "gram":
             return NonNegativeLeastSquares(featuresCol=features_col, labelCol=label_col,
-                                           predictionCol=prediction_col, fitIntercept=fit_intercept)
+                                           predictionCol=prediction_col, fitIntercept=fit_intercept,
+                                           positive=bool(p.get("positive", False)))
         return LinearRegression(featuresCol=features_col, labelCol=label_col, predictionCol=prediction_col,
                                 fitIntercept=fit_intercept, regParam=0.0, elasticNetParam=0.0,
                                 solver="auto", maxIter=500, tol=1e-10, standardization=True)
@@ -192,9 +196,16 @@ def nnls_gram(g: np.ndarray, b: np.ndarray, tol: float = 1e-10, max_iter: int |
     return np.maximum(x, 0.0)
 
 
+def min_norm_gram(g: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Minimum-norm solution of the normal equations (equals the min-norm least-squares fit)."""
+    return np.linalg.lstsq(g, b, rcond=None)[0]
+
+
 class _NnlsParams(HasFeaturesCol, HasLabelCol, HasPredictionCol):
     fitIntercept = Param(Params._dummy(), "fitIntercept", "fit an unconstrained intercept",
                          typeConverter=TypeConverters.toBoolean)
+    positive = Param(Params._dummy(), "positive", "constrain coefficients to be >= 0",
+                     typeConverter=TypeConverters.toBoolean)
 
 
 class NonNegativeLeastSquaresModel(Model, _NnlsParams, DefaultParamsReadable, DefaultParamsWritable):
@@ -203,10 +214,10 @@ class NonNegativeLeastSquaresModel(Model, _NnlsParams, DefaultParamsReadable, De
 
     @keyword_only
     def __init__(self, featuresCol="features", labelCol="label", predictionCol="prediction",
-                 fitIntercept=True, coefficients=None, intercept=0.0):
+                 fitIntercept=True, positive=True, coefficients=None, intercept=0.0):
         super().__init__()
         self._setDefault(featuresCol="features", labelCol="label", predictionCol="prediction",
-                         fitIntercept=True, intercept=0.0, coefficients=[])
+                         fitIntercept=True, positive=True, intercept=0.0, coefficients=[])
         self._set(**self._input_kwargs)
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
@@ -218,26 +229,32 @@ class NonNegativeLeastSquaresModel(Model, _NnlsParams, DefaultParamsReadable, De
 
 
 class NonNegativeLeastSquares(Estimator, _NnlsParams, DefaultParamsReadable, DefaultParamsWritable):
+    """Least squares from the distributed Gram matrix: NNLS (``positive``) or the minimum-norm solution."""
+
     @keyword_only
-    def __init__(self, featuresCol="features", labelCol="label", predictionCol="prediction", fitIntercept=True):
+    def __init__(self, featuresCol="features", labelCol="label", predictionCol="prediction", fitIntercept=True,
+                 positive=True):
         super().__init__()
-        self._setDefault(featuresCol="features", labelCol="label", predictionCol="prediction", fitIntercept=True)
+        self._setDefault(featuresCol="features", labelCol="label", predictionCol="prediction", fitIntercept=True,
+                         positive=True)
         self._set(**self._input_kwargs)
 
     def _fit(self, dataset: DataFrame) -> NonNegativeLeastSquaresModel:
         fc, lc = self.getOrDefault(self.featuresCol), self.getOrDefault(self.labelCol)
         xtx, xty, sx, sy, _, n = gram_statistics(dataset, fc, lc)
+        solve = nnls_gram if self.getOrDefault(self.positive) else min_norm_gram
         if self.getOrDefault(self.fitIntercept) and n > 0:
             mx, my = sx / n, sy / n
             g = xtx - n * np.outer(mx, mx)
             b = xty - n * mx * my
-            beta = nnls_gram(g, b)
+            beta = solve(g, b)
             icpt = float(my - mx @ beta)
         else:
-            beta = nnls_gram(xtx, xty)
+            beta = solve(xtx, xty)
             icpt = 0.0
         return NonNegativeLeastSquaresModel(featuresCol=fc, labelCol=lc, predictionCol=self.getOrDefault(self.predictionCol),
                                             fitIntercept=self.getOrDefault(self.fitIntercept),
+                                            positive=self.getOrDefault(self.positive),
                                             coefficients=[float(v) for v in beta], intercept=icpt)
 
 

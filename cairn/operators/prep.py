@@ -71,6 +71,7 @@ class FittedPrep:
     encode: str = "onehot"
     handle_unknown: str = "ignore"
     drop_rows_on: list[str] = field(default_factory=list)
+    train_rows: int | None = None  # train rows the fit saw (after drop_rows)
 
     # ---- SQL text of every output column -------------------------------------------------
     def _num_sql(self, p: NumericPlan) -> str:
@@ -338,4 +339,5 @@ def fit_prep(
             if rows_missing and fill is not None:
                 vocab.add(fill)
             cat_plans.append(CategoricalPlan(c, fill, tuple(sorted(vocab))))
-    return FittedPrep(plans, cat_plans, category.encode, category.handle_unknown, drop_on)
+    rows = next(iter(st.values())).rows if st else None
+    return FittedPrep(plans, cat_plans, category.encode, category.handle_unknown, drop_on, rows)

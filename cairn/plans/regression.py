@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
 from cairn.config import PipelineConfig
-from cairn.operators.metrics import metrics_dict, metrics_log
+from cairn.operators.metrics import metrics_dict, metrics_log, regression_metrics
 from cairn.operators.models import build_estimator, model_log
 from cairn.operators.prep import FittedPrep, fit_prep
 from cairn.operators.profile import column_kinds, missing_ratios
@@ -208,7 +208,13 @@ def run_regression(
     logs.append("predict")
     actions.append("predict")
     tick("predict")
-    metrics = metrics_dict(predictions, target, "prediction", config.eval.metrics)
+    if prep.drop_rows_on:
+        # rows kept by drop_rows, from passes that run anyway (fit moments, metrics aggregation)
+        row = regression_metrics(predictions, target, "prediction", config.eval.metrics, with_count=True).first()
+        metrics = {m: float(row[m]) if row[m] is not None else float("nan") for m in config.eval.metrics}
+        logs.append(f"drop_rows:train_kept={prep.train_rows},test_kept={row['n']}")
+    else:
+        metrics = metrics_dict(predictions, target, "prediction", config.eval.metrics)
     logs.append(metrics_log(config.eval.metrics))
     actions.append("evaluate")
     tick("evaluate")

@@ -110,3 +110,41 @@ def test_constant_target_rule_and_groups(spark):
     assert got == {"a": 1.0, "b": 0.0}
     with pytest.raises(ValueError, match="Unsupported metric"):
         EvalPolicy(("r2", "mape"))
+
+
+def test_gram_solver_gives_min_norm_solution(spark):
+    from cairn.operators.prep import fit_prep
+    from cairn.config import ScalingPolicy
+
+    rows = [(float(i % 5), "abc"[i % 3], 2.0 * (i % 5) + {"a": 1.0, "b": 3.0, "c": -2.0}["abc"[i % 3]]) for i in range(60)]
+    df = spark.createDataFrame(rows, "x double, cat string, y double")
+    prep = fit_prep(df, ["x"], ["cat"], scaling=ScalingPolicy("none"))
+    pm = prep.pipeline_model("features", df)
+    data = pm.transform(df)
+    gram = build_estimator(ModelPolicy("linear_regression", solver="gram"), 4, "features", "y").fit(data)
+    spark_lr = build_estimator(ModelPolicy("linear_regression"), 4, "features", "y").fit(data)
+    a = [r.prediction for r in gram.transform(data).collect()]
+    b = [r.prediction for r in spark_lr.transform(data).collect()]
+    assert np.allclose(a, b, atol=1e-6)
+    # min-norm coefficients of the centred problem (numpy reference)
+    x = np.array([[r[0], r[1] == "a", r[1] == "b", r[1] == "c"] for r in rows], dtype=float)
+    y = np.array([r[2] for r in rows])
+    xc, yc = x - x.mean(0), y - y.mean()
+    expected = np.linalg.lstsq(xc, yc, rcond=None)[0]
+    assert np.allclose(gram.getOrDefault("coefficients"), expected, atol=1e-8)
+    with pytest.raises(ValueError, match="linear solver"):
+        ModelPolicy("linear_regression", solver="qr")
+
+
+def test_drop_rows_counts_in_report(spark):
+    from cairn.config import MissingPolicy, PipelineConfig, TargetSpec
+    from cairn.plans import run_regression
+
+    rows = [(None if i % 4 == 0 else float(i), float(2 * i)) for i in range(40)]
+    df = spark.createDataFrame(rows, "x double, target double")
+    cfg = PipelineConfig(target=TargetSpec("explicit", "target"), missing=MissingPolicy(numeric="drop_rows"))
+    res = run_regression(spark, cfg, df)
+    entry = [line for line in res.logs if line.startswith("drop_rows:")][0]
+    kept_train = int(entry.split("train_kept=")[1].split(",")[0])
+    kept_test = int(entry.split("test_kept=")[1])
+    assert kept_train + kept_test == 30
