@@ -34,17 +34,22 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass, field
 
-from pyspark.ml import PipelineModel
+from pyspark import keyword_only
+from pyspark.ml import PipelineModel, Transformer
 from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexerModel, VectorAssembler
+from pyspark.ml.param import Param, Params, TypeConverters
+from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairn.config import CategoryPolicy, MissingPolicy, ScalingPolicy
 from cairn.functions.numeric import nan_to_null, strict_double_sql
 from cairn.functions.text import sql_double, sql_ident, sql_string, qcol
-from cairn.operators.stats import column_stats, exact_quantiles, first_pass, modes
+from cairn.operators.stats import column_stats, exact_quantiles, first_pass, modes, vocabulary_table
 
 EPS = 2.220446049250313e-16
+# categories a column may have for its vocabulary to be written into the plan as literals
+LITERAL_VOCAB_LIMIT = 10_000
 
 
 @dataclass(frozen=True)
@@ -62,6 +67,30 @@ class CategoricalPlan:
     fill: str | None
     vocabulary: tuple[str, ...] = ()
     dropped: bool = False
+    # large vocabularies live in a (value, code) parquet table instead of the plan
+    vocab_path: str | None = None
+    vocab_size: int = 0
+
+    @property
+    def size(self) -> int:
+        return self.vocab_size if self.vocab_path else len(self.vocabulary)
+
+
+class AttachNominal(Transformer, DefaultParamsReadable, DefaultParamsWritable):
+    """Declare a code column as nominal with ``numValues`` categories (for the one-hot encoder)."""
+
+    column = Param(Params._dummy(), "column", "code column", typeConverter=TypeConverters.toString)
+    numValues = Param(Params._dummy(), "numValues", "number of categories", typeConverter=TypeConverters.toInt)
+
+    @keyword_only
+    def __init__(self, column=None, numValues=None):
+        super().__init__()
+        self._set(**self._input_kwargs)
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        c, n = self.getOrDefault(self.column), self.getOrDefault(self.numValues)
+        meta = {"ml_attr": {"type": "nominal", "num_vals": int(n), "name": c}}
+        return dataset.withColumn(c, F.col(c).alias(c, metadata=meta))
 
 
 @dataclass
@@ -96,12 +125,47 @@ class FittedPrep:
     def numeric_outputs(self) -> list[tuple[str, str]]:
         return [(p.name, self._num_sql(p)) for p in self.numeric if not p.dropped]
 
+    def _table_plans(self) -> list[tuple[int, CategoricalPlan]]:
+        return [(i, p) for i, p in enumerate(self.categorical) if p.vocab_path and not p.dropped]
+
+    def _vocab_join_sql(self) -> str:
+        """LEFT JOINs bringing each table vocabulary's code in as ``__vc<i>``."""
+        joins = []
+        for i, p in self._table_plans():
+            joins.append(
+                f" LEFT JOIN (SELECT value AS __vv{i}, code AS __vc{i} FROM parquet.`{p.vocab_path}`) AS __j{i}"
+                f" ON {self._cat_imputed_sql(p)} = __j{i}.__vv{i}"
+            )
+        return "".join(joins)
+
+    def _with_codes(self, df: DataFrame) -> DataFrame:
+        """Column form: join the table vocabularies (shuffle join; AQE splits a hot category)."""
+        for i, p in self._table_plans():
+            voc = df.sparkSession.read.parquet(p.vocab_path).select(
+                F.col("value").alias(f"__vv{i}"), F.col("code").alias(f"__vc{i}"))
+            df = df.join(voc, F.expr(self._cat_imputed_sql(p)) == F.col(f"__vv{i}"), "left")
+        return df
+
+    def _table_index_sql(self, i: int, p: CategoricalPlan, unknown: int) -> str:
+        s = self._cat_imputed_sql(p)
+        code = f"coalesce(__vc{i}, {int(unknown)})"
+        if self.handle_unknown == "error":
+            msg = sql_string(f"Found unknown categories in column {p.name} during transform")
+            code = f"CASE WHEN {s} IS NOT NULL AND __vc{i} IS NULL THEN raise_error({msg}) ELSE {code} END"
+        return f"CAST({code} AS DOUBLE)"
+
     def categorical_outputs(self) -> list[tuple[str, str]]:
         out: list[tuple[str, str]] = []
-        for p in self.categorical:
+        for i, p in enumerate(self.categorical):
             if p.dropped:
                 continue
             s = self._cat_imputed_sql(p)
+            if p.vocab_path:
+                if self.encode == "onehot":
+                    raise ValueError(f"column {p.name} has {p.vocab_size} categories: its one-hot encoding "
+                                     "exists only in vector form (pipeline_model)")
+                out.append((p.name, self._table_index_sql(i, p, -1)))
+                continue
             guard = self._unknown_error(p, s) if self.handle_unknown == "error" else None
             if self.encode == "onehot":
                 for i, v in enumerate(p.vocabulary):
@@ -130,6 +194,15 @@ class FittedPrep:
     def output_columns(self) -> list[str]:
         return [n for n, _ in self.output_sql()]
 
+    @property
+    def feature_count(self) -> int:
+        """Width of the feature vector."""
+        n = sum(1 for p in self.numeric if not p.dropped)
+        for p in self.categorical:
+            if not p.dropped:
+                n += p.size if self.encode == "onehot" else 1
+        return n
+
     def _where_sql(self) -> str:
         if not self.drop_rows_on:
             return ""
@@ -145,6 +218,7 @@ class FittedPrep:
         """One double column per output feature, plus the ``keep`` columns."""
         if self.drop_rows_on:
             df = df.where(self._where_sql().replace(" WHERE ", "", 1))
+        df = self._with_codes(df)
         exprs = [qcol(k) for k in keep] + [F.expr(e).alias(n) for n, e in self.output_sql()]
         return df.select(*exprs)
 
@@ -163,7 +237,7 @@ class FittedPrep:
 
     # ---- vector form (Spark ML) -------------------------------------------------------------
     def pipeline_model(self, features_col: str = "features", train: DataFrame | None = None) -> PipelineModel:
-        """Persistable stages giving the same features as ``columns`` in one vector."""
+        """Persistable stages giving the same features as ``columns`` in one (sparse) vector."""
         select = ["*"]
         num_out = []
         for p in self.numeric:
@@ -171,44 +245,42 @@ class FittedPrep:
                 name = f"__num_{len(num_out)}"
                 select.append(f"{self._num_sql(p)} AS {sql_ident(name)}")
                 num_out.append(name)
-        cats = [p for p in self.categorical if not p.dropped]
+        cats = [(i, p) for i, p in enumerate(self.categorical) if not p.dropped]
         cat_out: list[str] = []
+        temp: list[str] = [f"__vv{i}" for i, _ in self._table_plans()] + [f"__vc{i}" for i, _ in self._table_plans()]
         stages: list = []
         if self.encode == "onehot" and cats:
-            idx_in, idx_out, labels = [], [], []
-            for i, p in enumerate(cats):
-                select.append(f"{self._cat_imputed_sql(p)} AS {sql_ident(f'__cat_{i}')}")
-                idx_in.append(f"__cat_{i}")
-                idx_out.append(f"__idx_{i}")
-                labels.append(list(p.vocabulary))
             invalid = "error" if self.handle_unknown == "error" else "keep"
-            # one indexer per column: label lists of unequal length must not be padded
-            indexers = [
-                StringIndexerModel.from_labels(lab, inputCol=i_in, outputCol=i_out, handleInvalid=invalid)
-                for lab, i_in, i_out in zip(labels, idx_in, idx_out)
-            ]
-            ohe = OneHotEncoder(
-                inputCols=idx_out,
-                outputCols=[f"__ohe_{i}" for i in range(len(cats))],
-                dropLast=(invalid == "keep"),
-                handleInvalid="error",
-            )
-            stages = [*indexers, ohe]
-            cat_out = [f"__ohe_{i}" for i in range(len(cats))]
+            idx_out = []
+            for i, p in cats:
+                if p.vocab_path:
+                    # code from the joined vocabulary table; unknown -> k, dropped by the encoder
+                    idx = f"__idx_{i}"
+                    select.append(f"{self._table_index_sql(i, p, p.vocab_size)} AS {idx}")
+                    n_vals = p.vocab_size + 1 if invalid == "keep" else p.vocab_size
+                    stages.append(AttachNominal(column=idx, numValues=n_vals))
+                else:
+                    # one indexer per column: label lists of unequal length must not be padded
+                    select.append(f"{self._cat_imputed_sql(p)} AS {sql_ident(f'__cat_{i}')}")
+                    temp.append(f"__cat_{i}")
+                    idx = f"__idx_{i}"
+                    stages.append(StringIndexerModel.from_labels(list(p.vocabulary), inputCol=f"__cat_{i}",
+                                                                 outputCol=idx, handleInvalid=invalid))
+                idx_out.append(idx)
+            temp += idx_out
+            cat_out = [f"__ohe_{i}" for i, _ in cats]
+            stages.append(OneHotEncoder(inputCols=idx_out, outputCols=cat_out, dropLast=(invalid == "keep"),
+                                        handleInvalid="error"))
         else:
             for i, (_, e) in enumerate(self.categorical_outputs()):
                 name = f"__catv_{i}"
                 select.append(f"{e} AS {sql_ident(name)}")
                 cat_out.append(name)
-        sql = SQLTransformer(statement=f"SELECT {', '.join(select)} FROM __THIS__{self._where_sql()}")
+        sql = SQLTransformer(
+            statement=f"SELECT {', '.join(select)} FROM __THIS__{self._vocab_join_sql()}{self._where_sql()}")
         assembler = VectorAssembler(inputCols=num_out + cat_out, outputCol=features_col, handleInvalid="error")
-        drop = SQLTransformer(
-            statement="SELECT * EXCEPT ({}) FROM __THIS__".format(
-                ", ".join(sql_ident(c) for c in num_out + cat_out + [f"__cat_{i}" for i in range(len(cats))
-                                                                     if self.encode == "onehot"]
-                          + [f"__idx_{i}" for i in range(len(cats)) if self.encode == "onehot"])
-            )
-        )
+        drop = SQLTransformer(statement="SELECT * EXCEPT ({}) FROM __THIS__".format(
+            ", ".join(sql_ident(c) for c in num_out + cat_out + temp)))
         from pyspark.ml import Pipeline
 
         pipe = Pipeline(stages=[sql, *stages, assembler, drop])
@@ -265,13 +337,17 @@ def fit_prep(
         for cnd in conds:
             train = train.where(cnd)
 
-    # pass 1: moments of every numeric column
-    st = column_stats(train, numeric)
-    # pass 2 (one job): median histograms of the numeric columns + value counts of the categorical ones
+    # pass 1: moments of every numeric column, distinct counts of the categorical ones
+    st = column_stats(train, numeric, categorical)
+    # vocabularies small enough to travel with the plan are counted in pass 2; larger ones
+    # become distributed (value, code) tables
+    small_cats = [c for c in categorical if st[c].approx_distinct <= LITERAL_VOCAB_LIMIT]
+    large_cats = [c for c in categorical if c not in small_cats]
+    # pass 2 (one job): median histograms of the numeric columns + value counts of the small categorical ones
     need_median = missing.numeric == "median"
     med_cols = [c for c in numeric if st[c].count] if need_median else []
     med_ranks = {c: {(st[c].count - 1) // 2, st[c].count // 2} for c in med_cols}
-    hist, counts = first_pass(train, med_cols, st, categorical, med_ranks)
+    hist, counts = first_pass(train, med_cols, st, small_cats, med_ranks)
     fills: dict[str, float | None] = {}
     if missing.numeric in ("mean", "median", "most_frequent"):
         if missing.numeric == "mean":
@@ -322,8 +398,12 @@ def fit_prep(
 
     # categorical value counts (from pass 2) → mode and vocabulary
     cat_plans: list[CategoricalPlan] = []
+    large_modes = modes(train, large_cats, False) if large_cats and missing.categorical == "most_frequent" else {}
     if categorical:
         for c in categorical:
+            if c in large_cats:
+                cat_plans.append(_large_plan(train, c, st[c], missing, category, large_modes.get(c)))
+                continue
             table = counts.get(c, {})
             rows_missing = table.pop(None, 0)
             if missing.categorical == "constant":
@@ -341,3 +421,21 @@ def fit_prep(
             cat_plans.append(CategoricalPlan(c, fill, tuple(sorted(vocab))))
     rows = next(iter(st.values())).rows if st else None
     return FittedPrep(plans, cat_plans, category.encode, category.handle_unknown, drop_on, rows)
+
+
+def _large_plan(train: DataFrame, c: str, st, missing: MissingPolicy, category: CategoryPolicy,
+                mode_value) -> CategoricalPlan:
+    """Plan of a high-cardinality column: distributed mode, vocabulary as a table."""
+    if missing.categorical == "constant":
+        fill = missing.fill_value_categorical or "missing"
+    elif missing.categorical == "most_frequent":
+        fill = mode_value
+    else:
+        fill = None
+    if missing.categorical == "most_frequent" and st.count == 0:
+        return CategoricalPlan(c, None, dropped=True)
+    if category.encode == "none":
+        return CategoricalPlan(c, fill)
+    extra = fill if (st.missing and fill is not None) else None
+    path, size = vocabulary_table(train, c, extra)
+    return CategoricalPlan(c, fill, (), vocab_path=path, vocab_size=size)

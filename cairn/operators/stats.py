@@ -62,43 +62,87 @@ def _num(c: str) -> Column:
     return nan_to_null(qcol(c).cast("double"))
 
 
-def column_stats(df: DataFrame, columns: list[str]) -> dict[str, ColumnStats]:
+def column_stats(df: DataFrame, columns: list[str], categorical: list[str] = ()) -> dict[str, ColumnStats]:
     """One aggregation pass over all ``columns`` (cast to double, NaN = missing).
 
     The columns are unpivoted to ``(column id, value)`` rows and aggregated by
-    column id, so the aggregate has six expressions however many columns
-    there are (a wide aggregate with one HyperLogLog per column takes longer
-    to code-generate than to run). Partial aggregation leaves one row per
-    column and partition before the shuffle.
+    column id, so the aggregate has a fixed handful of expressions however
+    many columns there are (a wide aggregate with one HyperLogLog per column
+    takes longer to code-generate than to run). Partial aggregation leaves
+    one row per column and partition before the shuffle. ``categorical``
+    columns (text) get rows, non-missing count and approximate distinct count
+    in the same pass.
     """
-    if not columns:
+    categorical = list(categorical)
+    if not columns and not categorical:
         return {}
-    items = F.array(*[F.struct(F.lit(i).alias("cid"), _num(c).alias("x")) for i, c in enumerate(columns)])
-    x = F.col("x")
+    null_d, null_s = F.lit(None).cast("double"), F.lit(None).cast("string")
+    items = [F.struct(F.lit(i).alias("cid"), _num(c).alias("x"), null_s.alias("v")) for i, c in enumerate(columns)]
+    off = len(columns)
+    items += [F.struct(F.lit(off + j).alias("cid"), null_d.alias("x"), qcol(c).cast("string").alias("v"))
+              for j, c in enumerate(categorical)]
+    x, v = F.col("x"), F.col("v")
     rows = _rows(
-        df.select(F.inline(items))
+        df.select(F.inline(F.array(*items)))
         .groupBy("cid")
         .agg(
             F.count(F.lit(1)).alias("rows"),
             F.count(x).alias("n"),
             F.avg(x).alias("m"),
-            F.var_pop(x).alias("v"),
+            F.var_pop(x).alias("var"),
             F.min(x).alias("lo"),
             F.max(x).alias("hi"),
             F.approx_count_distinct(x, 0.02).alias("d"),
+            F.count(v).alias("nv"),
+            F.approx_count_distinct(v, 0.02).alias("dv"),
         )
     )
     got = {r["cid"]: r for r in rows}
     out = {}
-    for i, c in enumerate(columns):
+    for i, c in enumerate(columns + categorical):
         r = got.get(i)
         if r is None:  # empty frame
             out[c] = ColumnStats(0, 0, None, None, None, None, 0)
-            continue
-        out[c] = ColumnStats(int(r["rows"]), int(r["n"]), r["m"], r["v"], r["lo"], r["hi"], int(r["d"]))
+        elif i < off:
+            out[c] = ColumnStats(int(r["rows"]), int(r["n"]), r["m"], r["var"], r["lo"], r["hi"], int(r["d"]))
+        else:
+            out[c] = ColumnStats(int(r["rows"]), int(r["nv"]), None, None, None, None, int(r["dv"]))
     return out
 
 
+def vocabulary_table(df: DataFrame, column: str, extra: str | None = None) -> tuple[str, int]:
+    """Sorted distinct values of a text column with their 0-based rank, as a parquet table.
+
+    For vocabularies too large to travel with the plan: distinct values are
+    range-partitioned and sorted inside each partition (distributed sort),
+    row ids are frozen in a written table, per-partition counts (one row per
+    partition) give each partition's first code, and the codes are written
+    under the shared checkpoint folder. Returns (path, vocabulary size).
+    """
+    from cairn.session import materialize, scratch_path
+
+    spark = df.sparkSession
+    vals = df.select(qcol(column).cast("string").alias("value")).where(F.col("value").isNotNull())
+    if extra is not None:
+        vals = vals.unionByName(spark.createDataFrame([(extra,)], "value string"))
+    parts = max(1, spark.sparkContext.defaultParallelism)
+    ranged = (vals.distinct().repartitionByRange(parts, "value").sortWithinPartitions("value")
+              .withColumn("mid", F.monotonically_increasing_id()))
+    frozen = materialize(ranged, "vocab-ids")
+    pid = F.shiftright(F.col("mid"), 33)
+    sizes = sorted((r["pid"], r["count"]) for r in _rows(frozen.groupBy(pid.alias("pid")).count()))
+    offsets, total = [], 0
+    for p_, n in sizes:
+        offsets.append((int(p_), total))
+        total += int(n)
+    base = spark.createDataFrame(offsets, "pid long, base long")  # one row per partition
+    coded = frozen.join(F.broadcast(base), pid == F.col("pid")).select(
+        "value", (F.col("base") + F.col("mid").bitwiseAND(F.lit((1 << 33) - 1))).alias("code"))
+    path = scratch_path(spark, "vocab")
+    coded.write.parquet(path)
+    return path, total
+
+
 def _positions(n: int, p: float) -> tuple[int, int, float]:
     pos = p * (n - 1)
     lo = math.floor(pos)

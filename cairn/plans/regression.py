@@ -197,7 +197,7 @@ def run_regression(
     actions.append("fit_transform_preprocessor")
     tick("fit_transform_preprocessor")
 
-    n_features = len(prep.output_columns)
+    n_features = prep.feature_count
     estimator = build_estimator(config.model, n_features, model_features_col, target, "prediction")
     model = Pipeline(stages=[*feature_stages, estimator]).fit(prep_model.transform(train))
     logs.append(model_log(config.model))

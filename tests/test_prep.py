@@ -87,3 +87,35 @@ def test_vector_form_equals_column_form(spark, frame):
 def test_drop_rows_filters_both_sides(spark, frame):
     prep = fit_prep(frame, ["num"], ["cat"], MissingPolicy(numeric="drop_rows", categorical="drop_rows"))
     assert prep.columns(frame).count() == 3
+
+
+@pytest.mark.parametrize("encode", ["ordinal", "onehot"])
+def test_table_vocabulary_matches_literal_vocabulary(spark, monkeypatch, encode, tmp_path):
+    import cairn.operators.prep as P
+    from pyspark.ml import PipelineModel
+
+    rows = [(float(i), f"v{i % 37:02d}" if i % 11 else None, float(i)) for i in range(300)]
+    df = spark.createDataFrame(rows, "num double, cat string, target double")
+    train = df.where(F.col("cat") != "v05")  # v05 unseen in the fit
+    lit = fit_prep(train, ["num"], ["cat"], category=CategoryPolicy(encode))
+    monkeypatch.setattr(P, "LITERAL_VOCAB_LIMIT", 3)
+    tab = fit_prep(train, ["num"], ["cat"], category=CategoryPolicy(encode))
+    assert tab.categorical[0].vocab_path and tab.categorical[0].vocab_size == len(lit.categorical[0].vocabulary)
+    assert tab.categorical[0].fill == lit.categorical[0].fill
+    assert tab.feature_count == lit.feature_count
+    pm_lit, pm_tab = lit.pipeline_model("features", train), tab.pipeline_model("features", train)
+    pm_tab.write().overwrite().save(str(tmp_path / "tab"))
+    pm_tab = PipelineModel.load(str(tmp_path / "tab"))
+
+    def vecs(pm):
+        out = pm.transform(df).select("target", vector_to_array("features").alias("v")).orderBy("target").collect()
+        return np.array([r.v for r in out])
+
+    assert np.allclose(vecs(pm_lit), vecs(pm_tab))
+    if encode == "ordinal":
+        a = lit.columns(df, keep=["target"]).orderBy("target").toPandas()
+        b = tab.columns(df, keep=["target"]).orderBy("target").toPandas()
+        assert np.allclose(a.to_numpy(), b.to_numpy())
+    else:
+        with pytest.raises(ValueError, match="vector form"):
+            tab.columns(df)
