@@ -402,6 +402,27 @@ def q_ordinal(spark, d):
     return prep.columns(p, keep=["p_partkey"])
 
 
+def _line_text(spark: SparkSession, d: str) -> DataFrame:
+    """lineitem with a unique text column: one category per line (60,000 at sf0.01)."""
+    li = _t(spark, d, "lineitem")
+    return li.select(
+        "l_orderkey", "l_linenumber", "l_returnflag",
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).cast("string").alias("line_code"),
+    )
+
+
+@query("ordinal_large", """WITH v AS (SELECT k, CAST(row_number() OVER (ORDER BY k) - 1 AS DOUBLE) AS code
+  FROM (SELECT DISTINCT CAST(l_orderkey * 10 + l_linenumber AS VARCHAR) AS k FROM lineitem WHERE l_returnflag <> 'R'))
+SELECT l_orderkey, l_linenumber, COALESCE(v.code, CAST(-1 AS DOUBLE)) AS line_code
+FROM lineitem LEFT JOIN v ON CAST(lineitem.l_orderkey * 10 + lineitem.l_linenumber AS VARCHAR) = v.k""")
+def q_ordinal_large(spark, d):
+    """Ordinal codes of a column with more categories than a literal vocabulary holds (table + join path)."""
+    li = _line_text(spark, d)
+    prep = fit_prep(li.where(F.col("l_returnflag") != "R"), [], ["line_code"],
+                    category=CategoryPolicy("ordinal", "ignore"))
+    return prep.columns(li, keep=["l_orderkey", "l_linenumber"])
+
+
 # ---- D1–D6 split --------------------------------------------------------------------------------
 
 _EDGES = "e AS (SELECT quantile_cont(o_totalprice, [0.0, 0.2, 0.4, 0.6, 0.8, 1.0]) AS q FROM orders)"
@@ -678,6 +699,22 @@ def q_csv_roundtrip(spark, d):
     return df
 
 
+@query("documents_csv_1252", "SELECT CAST(doc_id AS DOUBLE) AS doc_id, lang, text FROM documents")
+def q_documents_csv_1252(spark, d):
+    """Whole document texts (multi-line, quotes, accents) written as windows-1252 CSV, read back with the
+    encoding detected by the inventory job."""
+    from cairn.config import FileSpec
+    from cairn.sources.csv import read_csv
+
+    docs = _t(spark, d, "documents").select("doc_id", "lang", "text")
+    path = scratch_path(spark, "documents-1252")
+    spark.conf.set("spark.sql.legacy.javaCharsets", "true")
+    (docs.write.option("encoding", "windows-1252").option("header", "true").option("escape", '"')
+     .option("ignoreLeadingWhiteSpace", "false").option("ignoreTrailingWhiteSpace", "false").csv(path))
+    df, _, _ = read_csv(spark, FileSpec(path, None, check_exists=False))
+    return df
+
+
 # ---- S6 encoding inventory, M5 forest, X3 report (rows-only: no SQL form) ------------------------
 
 @query("encoding_inventory")
