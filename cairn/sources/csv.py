@@ -72,19 +72,23 @@ def _reader(spark: SparkSession, spec: FileSpec, charset: str):
     )
 
 
-def read_raw(spark: SparkSession, spec: FileSpec, encoding: str = "utf-8") -> DataFrame:
-    """All-text frame with pandas-style column names (NA tokens not yet applied)."""
+def read_raw(spark: SparkSession, spec: FileSpec, encoding: str = "utf-8", paths: list[str] | None = None) -> DataFrame:
+    """All-text frame with pandas-style column names (NA tokens not yet applied).
+
+    ``paths`` reads several files with the same header in one scan (default: ``spec.path``).
+    """
     charset = spark_charset(encoding)
-    first = _reader(spark, spec, charset).option("header", "false").csv(spec.path).limit(1).collect()
+    src = paths or spec.path
+    first = _reader(spark, spec, charset).option("header", "false").csv(src).limit(1).collect()
     if not first:
         raise ValueError(f"CSV is empty: {spec.path}")
     width = len(first[0])
     if spec.has_header:
         names = pandas_style_names(list(first[0]))
-        df = _reader(spark, spec, charset).option("header", "true").csv(spec.path)
+        df = _reader(spark, spec, charset).option("header", "true").csv(src)
     else:
         names = [str(i) for i in range(width)]
-        df = _reader(spark, spec, charset).option("header", "false").csv(spec.path)
+        df = _reader(spark, spec, charset).option("header", "false").csv(src)
     return df.toDF(*names)
 
 

@@ -56,36 +56,53 @@ def detect_bytes(data: bytes) -> str:
     return FALLBACK
 
 
+def header_line(data: bytes, encoding: str) -> str:
+    """First line of a file, decoded with its detected encoding (BOM dropped)."""
+    if encoding.startswith(("utf-16", "utf-32")):
+        text = data.decode(encoding, errors="replace")
+    else:
+        end = data.find(b"\n")
+        text = (data if end < 0 else data[:end]).decode(encoding, errors="replace")
+    return text.split("\n", 1)[0].rstrip("\r").lstrip("\ufeff")
+
+
 def encoding_inventory(spark: SparkSession, path: str) -> DataFrame:
-    """(path, length, encoding) per file under ``path`` (a file, folder or glob)."""
+    """(path, length, encoding, header) per file under ``path`` (a file, folder or glob)."""
     files = spark.read.format("binaryFile").load(path).select("path", "length", "content")
 
     def classify(batches):
         import pandas as pd
 
         for b in batches:
+            encs = [detect_bytes(bytes(c)) for c in b["content"]]
             yield pd.DataFrame({
                 "path": b["path"],
                 "length": b["length"],
-                "encoding": [detect_bytes(bytes(c)) for c in b["content"]],
+                "encoding": encs,
+                "header": [header_line(bytes(c), e) for c, e in zip(b["content"], encs)],
             })
 
-    return files.mapInPandas(classify, "path string, length long, encoding string")
+    return files.mapInPandas(classify, "path string, length long, encoding string, header string")
 
 
 def read_csv_folder(spark: SparkSession, spec: FileSpec) -> tuple[DataFrame, dict[str, str], list[str]]:
-    """Read every file under ``spec.path`` with its own encoding; union by column name."""
+    """Read every file under ``spec.path`` with its own encoding; union by column name.
+
+    Files sharing an encoding and a header line are read together in one scan,
+    so the plan grows with the number of distinct (encoding, header) pairs, not
+    with the number of files.
+    """
     from cairn.sources.csv import read_raw, type_columns
 
-    inv = encoding_inventory(spark, spec.path).select("path", "encoding").collect()
-    groups: dict[str, list[str]] = {}
+    inv = encoding_inventory(spark, spec.path).select("path", "encoding", "header").collect()
+    groups: dict[tuple[str, str], list[str]] = {}
     for r in inv:
-        groups.setdefault(r["encoding"], []).append(r["path"])
+        groups.setdefault((r["encoding"], r["header"] if spec.has_header else ""), []).append(r["path"])
     frames = []
-    for enc, paths in sorted(groups.items()):
-        for p in paths:
-            sub = FileSpec(p, enc, spec.delimiter, spec.decimal, spec.has_header, spec.multi_line, check_exists=False)
-            frames.append(read_raw(spark, sub, enc))
+    for (enc, _), paths in sorted(groups.items()):
+        sub = FileSpec(paths[0], enc, spec.delimiter, spec.decimal, spec.has_header, spec.multi_line,
+                       check_exists=False)
+        frames.append(read_raw(spark, sub, enc, paths=sorted(paths)))
     raw = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
     typed, kinds = type_columns(raw, spec.decimal)
-    return typed, kinds, sorted(groups)
+    return typed, kinds, sorted({enc for enc, _ in groups})

@@ -74,6 +74,21 @@ def test_folder_of_mixed_encodings(spark, tmp_path):
     assert kinds["v"] == "numeric"
 
 
+def test_folder_groups_files_by_encoding_and_header(spark, tmp_path):
+    d = tmp_path / "grouped"
+    d.mkdir()
+    _write(d / "a.csv", "name,v\ncafé,1\n".encode("utf-8"))
+    _write(d / "b.csv", "name,v\nthé,2\n".encode("utf-8"))
+    _write(d / "c.csv", "v,name,note\n3,crème,x\n".encode("utf-8"))
+    _write(d / "d.csv", "name,v\nnaïve,4\n".encode("windows-1252"))
+    heads = {r.path.rsplit("/", 1)[-1]: r.header for r in encoding_inventory(spark, str(d)).collect()}
+    assert heads == {"a.csv": "name,v", "b.csv": "name,v", "c.csv": "v,name,note", "d.csv": "name,v"}
+    df, kinds, encs = read_csv_folder(spark, FileSpec(str(d)))
+    got = sorted((r.name, r.v, r.note) for r in df.collect())
+    assert got == [("café", 1.0, None), ("crème", 3.0, "x"), ("naïve", 4.0, None), ("thé", 2.0, None)]
+    assert encs == ["utf-8", "windows-1252"]
+
+
 def test_missing_file_is_rejected():
     with pytest.raises(ValueError, match="CSV not found"):
         FileSpec("/nonexistent/file.csv")
