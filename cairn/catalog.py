@@ -490,11 +490,13 @@ def q_prep_full(spark, d):
 
 # ---- M1 / M3 / M14 / S12 models ----------------------------------------------------------------
 
-def _fit_linear(df: DataFrame, features: list[str], label: str, params: dict | None = None) -> PipelineModel:
+def _fit_linear(df: DataFrame, features: list[str], label: str, params: dict | None = None,
+                solver: str = "auto") -> PipelineModel:
     from pyspark.ml import Pipeline
 
     asm = VectorAssembler(inputCols=features, outputCol="features")
-    est = build_estimator(ModelPolicy("linear_regression", params or {}), len(features), "features", label, "prediction")
+    est = build_estimator(ModelPolicy("linear_regression", params or {}, solver), len(features), "features", label,
+                          "prediction")
     return Pipeline(stages=[asm, est]).fit(df)
 
 
@@ -535,7 +537,8 @@ b AS (SELECT (s22 * s1y - s12 * s2y) / (s11 * s22 - s12 * s12) AS b1, (s11 * s2y
 SELECT ROUND(b1, 6) AS coef_pk_mod, ROUND(b2, 6) AS coef_size_full, ROUND(my - b1 * m1 - b2 * m2, 6) AS intercept FROM b""")
 def q_ols_two(spark, d):
     y = _part_y2(spark, d)
-    return _coef_frame(spark, ["pk_mod", "size_full"], _fit_linear(y, ["pk_mod", "size_full"], "y2"))
+    """Spark's LinearRegression (normal equations); the default Gram path is checked by ols_gram."""
+    return _coef_frame(spark, ["pk_mod", "size_full"], _fit_linear(y, ["pk_mod", "size_full"], "y2", solver="spark"))
 
 
 @query("ols_gram", SQL["ols_two_features"])

@@ -1,17 +1,17 @@
 """Regression models on Spark ML: OLS, non-negative OLS and random forest.
 
-* ``linear_regression``: ``LinearRegression`` (normal equations via a
-  distributed Gram matrix, L-BFGS fallback when it is singular), no
-  regularisation.
-* ``linear_regression`` with ``positive=True`` (or ``solver="gram"``, the
-  minimum-norm least-squares fit, which is what a rank-deficient design such
-  as full one-hot + intercept needs for predictions on unseen categories to
-  match the min-norm convention): Spark ML has no bounded least squares, so
-  the Gram matrix X'X, X'y is accumulated per partition in
-  ``mapInPandas`` (NumPy on Arrow batches), summed with a partial
-  aggregation, and the d x d problem is solved on the driver by an active-set
-  NNLS. Scoring is a JVM-side dot product (``vector_to_array`` +
-  ``aggregate``), wrapped in a persistable ML model.
+* ``linear_regression`` (default ``solver="auto"``: up to ``GRAM_MAX_FEATURES``
+  features) and ``positive=True``: ONE pass accumulates X'X, X'y per task in
+  ``mapInPandas`` (NumPy on Arrow batches, one packed row per task), Spark's
+  ``Summarizer`` sums the rows in two levels, and the d x d problem is solved
+  on the driver: the minimum-norm least-squares fit (what a rank-deficient
+  design such as full one-hot + intercept needs for predictions on unseen
+  categories to follow the min-norm convention) or active-set NNLS. Spark's
+  ``LinearRegression`` (``solver="spark"``, and above the feature limit, where
+  it switches to distributed L-BFGS) reads the data twice, because its
+  training summary computes its metrics eagerly. Scoring is a JVM-side dot
+  product (``vector_to_array`` + ``aggregate``), wrapped in a persistable ML
+  model.
 * ``random_forest``: ``RandomForestRegressor`` with the workflow defaults
   (100 trees, fully grown = depth 30, all features per split, 256 bins).
 """
@@ -61,6 +61,11 @@ def max_features_count(value, n_features: int) -> str:
     return "all" if k >= d else str(k)
 
 
+# the Gram path holds a d x d matrix per task and solves it on the driver; Spark's own normal-equation
+# solver has the same limit (above it LinearRegression uses distributed L-BFGS)
+GRAM_MAX_FEATURES = 4096
+
+
 def forest_bins(n_features: int) -> int:
     """256 bins for narrow data, fewer for wide data (at least Spark's default of 32)."""
     return max(32, min(FOREST_BINS, FOREST_BIN_BUDGET // max(1, int(n_features))))
@@ -71,7 +76,8 @@ def build_estimator(policy: ModelPolicy, n_features: int, features_col: str = "f
     p = dict(policy.params)
     if policy.kind == "linear_regression":
         fit_intercept = bool(p.get("fit_intercept", True))
-        if p.get("positive", False) or policy.solver == "gram":
+        gram = policy.solver == "gram" or (policy.solver == "auto" and n_features <= GRAM_MAX_FEATURES)
+        if p.get("positive", False) or gram:
             return NonNegativeLeastSquares(featuresCol=features_col, labelCol=label_col,
                                            predictionCol=prediction_col, fitIntercept=fit_intercept,
                                            positive=bool(p.get("positive", False)))
@@ -108,63 +114,69 @@ def build_estimator(policy: ModelPolicy, n_features: int, features_col: str = "f
 
 
 def gram_statistics(df: DataFrame, features_col: str, label_col: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, float, float, int]:
-    """X'X, X'y, sum(x), sum(y), y'y, n via per-partition NumPy sums and one partial aggregation."""
-    arr = df.select(vector_to_array(F.col(features_col)).alias("x"), F.col(label_col).cast("double").alias("y"))
-    # every task emits a d x d partial sum that partial aggregation cannot combine, so keep
-    # the number of tasks near the cluster's parallelism (coalesce: no shuffle)
-    target = 4 * df.sparkSession.sparkContext.defaultParallelism
-    if arr.rdd.getNumPartitions() > target:
-        arr = arr.coalesce(target)
+    """X'X, X'y, sum(x), sum(y), y'y, n in one pass over ``df``.
+
+    Each task reduces its Arrow batches in NumPy to ONE packed row (upper
+    triangle of X'X, then X'y, sum(x), sum(y), y'y, n). Spark's ``Summarizer``
+    adds the rows element-wise in two levels, first within groups of tasks
+    (``partition id mod sqrt(tasks)``), then globally, so no single task merges
+    more than about sqrt(tasks) partials of size d(d+1)/2; the input is coalesced
+    to a few tasks per core, so the partial count follows the cluster, not the data.
+    """
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.stat import Summarizer
+
+    # one d(d+1)/2 partial per task: keep the task count near the cluster's parallelism
+    # (coalesce: no shuffle, never increases the partition count)
+    tasks = 4 * df.sparkSession.sparkContext.defaultParallelism
+    arr = df.select(vector_to_array(F.col(features_col)).alias("x"),
+                    F.col(label_col).cast("double").alias("y")).coalesce(tasks)
 
     def partial(batches):
         import pandas as pd
 
-        xtx = xty = sx = None
-        sy = yy = 0.0
-        n = 0
+        acc, iu, d = None, None, 0
         for b in batches:
             if len(b) == 0:
                 continue
             x = np.vstack(b["x"].to_numpy())
             y = b["y"].to_numpy(dtype=float)
-            if xtx is None:
+            if acc is None:
                 d = x.shape[1]
-                xtx, xty, sx = np.zeros((d, d)), np.zeros(d), np.zeros(d)
-            xtx += x.T @ x
-            xty += x.T @ y
-            sx += x.sum(axis=0)
-            sy += float(y.sum())
-            yy += float(y @ y)
-            n += len(y)
-        if xtx is None:
-            return
-        d = xtx.shape[0]
-        rows = [(i, j, float(xtx[i, j])) for i in range(d) for j in range(d)]
-        rows += [(i, -1, float(xty[i])) for i in range(d)]
-        rows += [(i, -2, float(sx[i])) for i in range(d)]
-        rows += [(-1, -1, sy), (-2, -2, yy), (-3, -3, float(n))]
-        yield pd.DataFrame(rows, columns=["i", "j", "v"])
-
-    sums = arr.mapInPandas(partial, "i int, j int, v double").groupBy("i", "j").agg(F.sum("v").alias("v")).collect()
-    d = 1 + max([r["i"] for r in sums] + [-1])
-    xtx, xty, sx = np.zeros((d, d)), np.zeros(d), np.zeros(d)
-    sy = yy = 0.0
-    n = 0
-    for r in sums:
-        i, j, v = r["i"], r["j"], r["v"]
-        if i >= 0 and j >= 0:
-            xtx[i, j] = v
-        elif j == -1 and i >= 0:
-            xty[i] = v
-        elif j == -2 and i >= 0:
-            sx[i] = v
-        elif i == -1:
-            sy = v
-        elif i == -2:
-            yy = v
-        elif i == -3:
-            n = int(v)
-    return xtx, xty, sx, sy, yy, n
+                iu = np.triu_indices(d)
+                acc = np.zeros(len(iu[0]) + 2 * d + 3)
+            m = len(iu[0])
+            acc[:m] += (x.T @ x)[iu]
+            acc[m:m + d] += x.T @ y
+            acc[m + d:m + 2 * d] += x.sum(axis=0)
+            acc[m + 2 * d:] += (float(y.sum()), float(y @ y), float(len(y)))
+        if acc is not None:
+            yield pd.DataFrame({"s": [acc]})
+
+    parts = arr.mapInPandas(partial, "s array<double>").select(array_to_vector("s").alias("s"))
+    groups = max(1, math.isqrt(tasks))
+    level1 = parts.groupBy((F.spark_partition_id() % groups).alias("g")).agg(Summarizer.sum(F.col("s")).alias("s"))
+    row = level1.agg(Summarizer.sum(F.col("s")).alias("s")).first()
+    if row is None or row["s"] is None or row["s"].size == 0:
+        return np.zeros((0, 0)), np.zeros(0), np.zeros(0), 0.0, 0.0, 0
+    tot = row["s"].toArray()
+    d = _gram_dim(len(tot))
+    iu = np.triu_indices(d)
+    m = len(iu[0])
+    xtx = np.zeros((d, d))
+    xtx[iu] = tot[:m]
+    xtx = xtx + np.triu(xtx, 1).T
+    xty, sx = tot[m:m + d], tot[m + d:m + 2 * d]
+    sy, yy, n = tot[m + 2 * d:]
+    return xtx, xty, sx, float(sy), float(yy), int(round(n))
+
+
+def _gram_dim(length: int) -> int:
+    """d from the packed length L = d(d+1)/2 + 2d + 3, i.e. d = (sqrt(8L + 1) - 5) / 2."""
+    d = (math.isqrt(8 * length + 1) - 5) // 2
+    if d * (d + 1) // 2 + 2 * d + 3 != length:
+        raise ValueError(f"unexpected packed Gram length {length}")
+    return d
 
 
 def nnls_gram(g: np.ndarray, b: np.ndarray, tol: float = 1e-10, max_iter: int | None = None) -> np.ndarray:

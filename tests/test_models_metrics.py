@@ -122,7 +122,7 @@ def test_gram_solver_gives_min_norm_solution(spark):
     pm = prep.pipeline_model("features", df)
     data = pm.transform(df)
     gram = build_estimator(ModelPolicy("linear_regression", solver="gram"), 4, "features", "y").fit(data)
-    spark_lr = build_estimator(ModelPolicy("linear_regression"), 4, "features", "y").fit(data)
+    spark_lr = build_estimator(ModelPolicy("linear_regression", solver="spark"), 4, "features", "y").fit(data)
     a = [r.prediction for r in gram.transform(data).collect()]
     b = [r.prediction for r in spark_lr.transform(data).collect()]
     assert np.allclose(a, b, atol=1e-6)
@@ -136,6 +136,34 @@ def test_gram_solver_gives_min_norm_solution(spark):
         ModelPolicy("linear_regression", solver="qr")
 
 
+def test_gram_statistics_equal_numpy_over_many_partitions(spark):
+    from pyspark.ml.functions import array_to_vector
+
+    from cairn.operators.models import gram_statistics
+
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(500, 12))
+    y = x @ rng.normal(size=12) + rng.normal(size=500)
+    rows = [([float(v) for v in xi], float(yi)) for xi, yi in zip(x, y)]
+    df = spark.createDataFrame(rows, "x array<double>, y double").repartition(37)
+    df = df.select(array_to_vector("x").alias("features"), "y")
+    xtx, xty, sx, sy, yy, n = gram_statistics(df, "features", "y")
+    assert n == 500
+    assert np.allclose(xtx, x.T @ x) and np.allclose(xty, x.T @ y) and np.allclose(sx, x.sum(0))
+    assert np.isclose(sy, y.sum()) and np.isclose(yy, y @ y)
+
+
+def test_auto_solver_uses_one_pass_gram_up_to_the_feature_limit():
+    from pyspark.ml.regression import LinearRegression
+
+    from cairn.operators.models import GRAM_MAX_FEATURES, NonNegativeLeastSquares
+
+    assert isinstance(build_estimator(ModelPolicy(), GRAM_MAX_FEATURES), NonNegativeLeastSquares)
+    assert isinstance(build_estimator(ModelPolicy(), GRAM_MAX_FEATURES + 1), LinearRegression)
+    assert isinstance(build_estimator(ModelPolicy(solver="spark"), 3), LinearRegression)
+    assert not build_estimator(ModelPolicy(), 3).getOrDefault("positive")
+
+
 def test_drop_rows_counts_in_report(spark):
     from cairn.config import MissingPolicy, PipelineConfig, TargetSpec
     from cairn.plans import run_regression
