@@ -199,7 +199,10 @@ def run_regression(
 
     n_features = prep.feature_count
     estimator = build_estimator(config.model, n_features, model_features_col, target, "prediction")
-    model = Pipeline(stages=[*feature_stages, estimator]).fit(prep_model.transform(train))
+    fit_input = prep_model.transform(train)
+    if config.model.kind == "random_forest":
+        fit_input = spread_for_passes(fit_input, train)
+    model = Pipeline(stages=[*feature_stages, estimator]).fit(fit_input)
     logs.append(model_log(config.model))
     actions.append("train_model")
     tick("train_model")
@@ -231,6 +234,23 @@ def run_regression(
     return RunResult(metrics, logs, target, kinds, prep, prep_model, model, split, predictions, artifacts, actions, timings)
 
 
+def spread_for_passes(df: DataFrame, source: DataFrame) -> DataFrame:
+    """Round-robin ``df`` over the cluster's cores when its ``source`` has fewer partitions than cores.
+
+    For fits that read their input many times (a forest reads it once per tree
+    level): a small input held in few partitions (a parquet row group is read by
+    one task) would leave cores idle on every pass. A large input already has more
+    partitions than cores and is left as it is, so this never adds a shuffle at
+    scale. ``source`` is the cached frame ``df`` derives from, so counting its
+    partitions runs no job. Spark sorts rows before a round-robin repartition,
+    so a retried task rebuilds the same partitions (and the same bootstrap samples).
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if source.rdd.getNumPartitions() < cores:
+        return df.repartition(cores)
+    return df
+
+
 def run_with_payload(spark: SparkSession, config: PipelineConfig, **kwargs) -> tuple[DataFrame, RunResult | None]:
     """Run and return the result payload frame (status, actions, metrics, logs, error).
 
