@@ -37,6 +37,8 @@ from cairn.operators.target import repair_target, resolve_target
 
 _LOG = logging.getLogger(__name__)
 ROW_ID = "_cairn_row"
+# a cached split frame of at least this many rows held in fewer partitions than cores is spread over the cores
+SPREAD_MIN_ROWS = 100_000
 
 
 class StepRegistry:
@@ -181,6 +183,11 @@ def run_regression(
     else:
         split = random_split(df, sp.test_size, sp.random_state, key_cols or None, unique_key, row_id=row_id)
     split = split.persist(StorageLevel.MEMORY_AND_DISK)
+    if (repair.rows or 0) >= SPREAD_MIN_ROWS and split.rdd.getNumPartitions() < spark.sparkContext.defaultParallelism:
+        # every later pass (fit statistics, model, scoring) reads this frame: spread one that sits in fewer
+        # partitions than cores (only small inputs do; below SPREAD_MIN_ROWS the shuffle costs more than it saves)
+        split.unpersist()
+        split = split.repartition(spark.sparkContext.defaultParallelism).persist(StorageLevel.MEMORY_AND_DISK)
     train, test = split.where(~F.col("is_test")), split.where(F.col("is_test"))
     logs.append("train_test_split")
     actions.append("train_test_split")
