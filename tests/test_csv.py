@@ -89,6 +89,14 @@ def test_folder_groups_files_by_encoding_and_header(spark, tmp_path):
     assert encs == ["utf-8", "windows-1252"]
 
 
+def test_multi_character_delimiter_is_literal(spark, tmp_path):
+    p = _write(tmp_path / "m.csv", "a||b||c\n1||x.y||3\n4||z||6\n".encode("utf-8"))
+    df, kinds, _ = read_csv(spark, FileSpec(p, delimiter="||"))
+    assert df.columns == ["a", "b", "c"]
+    assert sorted((r.a, r.b, r.c) for r in df.collect()) == [(1.0, "x.y", 3.0), (4.0, "z", 6.0)]
+    assert kinds == {"a": "numeric", "b": "categorical", "c": "numeric"}
+
+
 def test_missing_file_is_rejected():
     with pytest.raises(ValueError, match="CSV not found"):
         FileSpec("/nonexistent/file.csv")
