@@ -27,6 +27,9 @@ from cairn.operators.profile import column_kinds
 STANDARD_CHARSETS = {"utf-8", "utf8", "utf-16", "utf-16le", "utf-16be", "utf-32", "utf-32le", "utf-32be",
                      "iso-8859-1", "us-ascii"}
 CHARSET_ALIASES = {"utf-8-sig": "utf-8", "ascii": "us-ascii", "utf8": "utf-8"}
+# Detected encodings that decode ASCII bytes as ASCII (a folder of ASCII files and files in
+# one of these is read with that one).
+ASCII_SUPERSETS = {"utf-8", "windows-1252", "shift_jis", "cp932"}
 
 
 def spark_charset(encoding: str) -> str:
@@ -122,6 +125,9 @@ def read_csv(spark: SparkSession, spec: FileSpec, encoding: str | None = None) -
 
             found = encoding_inventory(spark, spec.path).select("encoding").distinct().collect()
             encs = sorted({r["encoding"] for r in found})
+            others = [e for e in encs if e != "ascii"]
+            if len(others) == 1 and others[0] in ASCII_SUPERSETS:
+                encs = others  # pure-ASCII files read the same under the other encoding
             if len(encs) > 1:
                 raise ValueError(f"files under {spec.path} use several encodings {encs}; use read_csv_folder")
             encoding = encs[0] if encs else "utf-8"

@@ -97,6 +97,16 @@ def test_multi_character_delimiter_is_literal(spark, tmp_path):
     assert kinds == {"a": "numeric", "b": "categorical", "c": "numeric"}
 
 
+def test_ascii_files_join_the_folder_encoding(spark, tmp_path):
+    d = tmp_path / "parts"
+    d.mkdir()
+    _write(d / "part-0.csv", "name,v\nplain,1\n".encode("ascii"))
+    _write(d / "part-1.csv", "name,v\nnaïve,2\n".encode("windows-1252"))
+    df, _, enc = read_csv(spark, FileSpec(str(d)))
+    assert enc == "windows-1252"
+    assert sorted(r.name for r in df.collect()) == ["naïve", "plain"]
+
+
 def test_missing_file_is_rejected():
     with pytest.raises(ValueError, match="CSV not found"):
         FileSpec("/nonexistent/file.csv")
