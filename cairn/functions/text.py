@@ -28,11 +28,24 @@ def has_cjk(c: Column | str) -> Column:
     return F.coalesce(col.rlike(CJK_PATTERN), F.lit(False))
 
 
+def _python_3f(ratio):
+    return ratio.map(lambda v: None if v != v else "%.3f" % v)
+
+
 def format_ratio(name: Column | str, ratio: Column | str) -> Column:
-    """``name:0.123`` (three decimals)."""
+    """``name:0.123`` (three decimals, rounded like Python's ``%.3f``).
+
+    Python rounds the exact binary value half-to-even (0.2115 is stored as
+    0.21149999… → ``0.211``); Java's ``%.3f`` (``format_string``) rounds the
+    shortest decimal form half-up (→ ``0.212``) and ``format_number`` treats
+    0.0005 as a tie. The digits therefore come from a small Arrow-batched
+    Python function; it is applied to the few rows of a top-n report.
+    """
+    from pyspark.sql.functions import pandas_udf
+
     n = qcol(name) if isinstance(name, str) else name
     r = qcol(ratio) if isinstance(ratio, str) else ratio
-    return F.format_string("%s:%.3f", n, r)
+    return F.concat(n, F.lit(":"), pandas_udf(_python_3f, "string")(r.cast("double")))
 
 
 def sql_ident(name: str) -> str:

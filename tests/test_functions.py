@@ -52,3 +52,12 @@ def test_sql_double_literal_is_exact(spark):
     vals = [0.1, 1e-300, -2.5e17, 1 / 3, float("inf")]
     row = spark.sql("SELECT " + ", ".join(f"{sql_double(v)} AS c{i}" for i, v in enumerate(vals))).first()
     assert [row[f"c{i}"] for i in range(len(vals))] == vals
+
+
+def test_ratio_format_rounds_like_python(spark):
+    from cairn.functions.text import format_ratio
+
+    vals = [0.2115, 0.0625, 0.0005, 0.1235, 0.0375, 1 / 3, 0.0, 1.0, 0.9995]
+    df = spark.createDataFrame([(f"c{i}", v) for i, v in enumerate(vals)], "name string, ratio double")
+    got = {r["name"]: r["s"] for r in df.select("name", format_ratio("name", "ratio").alias("s")).collect()}
+    assert got == {f"c{i}": f"c{i}:" + "%.3f" % v for i, v in enumerate(vals)}
