@@ -106,3 +106,18 @@ def test_complex_feature_types_are_rejected(spark):
         column_kinds(df)
     ts = spark.sql("SELECT timestamp'2024-01-01 00:00:00' AS t, 1.0 AS target")
     assert column_kinds(ts, ["t"]) == {"t": "categorical"}
+
+
+def test_spreading_the_split_frame_keeps_results(spark, monkeypatch):
+    import cairn.plans.regression as R
+    from cairn import catalog
+
+    got = []
+    for limit in (10**12, 0):  # never spread, always spread (part sf0.001 sits in one partition)
+        monkeypatch.setattr(R, "SPREAD_MIN_ROWS", limit)
+        res = catalog._part_run(spark, "/root/testdata/sf0.001", "linear_regression", {})
+        got.append((res.metrics, res.split.where("is_test").count(), res.split.rdd.getNumPartitions()))
+        res.release()
+    (m0, t0, p0), (m1, t1, p1) = got
+    assert t0 == t1 and p1 >= p0
+    assert all(abs(m0[k] - m1[k]) <= 1e-9 * max(1.0, abs(m0[k])) for k in m0)
