@@ -129,6 +129,8 @@ def vocabulary_table(df: DataFrame, column: str, extra: str | None = None) -> tu
     if extra is not None:
         vals = vals.unionByName(spark.createDataFrame([(extra,)], "value string"))
     parts = max(1, spark.sparkContext.defaultParallelism)
+    # with AQE the distinct shuffle runs once as a query stage; the range partitioner's sampling
+    # job reads its output rather than the input again (checked in the event log)
     ranged = (vals.distinct().repartitionByRange(parts, "value").sortWithinPartitions("value")
               .withColumn("mid", F.monotonically_increasing_id()))
     frozen = materialize(ranged, "vocab-ids")
