@@ -718,6 +718,25 @@ def q_documents_csv_1252(spark, d):
     return df
 
 
+@query("csv_folder_mixed", "SELECT CAST(doc_id AS DOUBLE) AS doc_id, lang, text FROM documents")
+def q_csv_folder_mixed(spark, d):
+    """One folder of document CSV files in two encodings (en/de as UTF-8, fr/es as windows-1252), read back
+    with each file's detected encoding; files sharing an encoding and header are read in one scan."""
+    from cairn.config import FileSpec
+    from cairn.sources.encoding import read_csv_folder
+
+    docs = _t(spark, d, "documents").select("doc_id", "lang", "text")
+    base = scratch_path(spark, "documents-mixed")
+    spark.conf.set("spark.sql.legacy.javaCharsets", "true")
+    as_utf8 = F.col("lang").isin("en", "de")
+    for charset, part in (("utf-8", docs.where(as_utf8)), ("windows-1252", docs.where(~as_utf8))):
+        (part.repartition(3, "lang").write.option("encoding", charset).option("header", "true")
+         .option("escape", '"').option("ignoreLeadingWhiteSpace", "false")
+         .option("ignoreTrailingWhiteSpace", "false").csv(f"{base}/{charset}"))
+    df, _, _ = read_csv_folder(spark, FileSpec(f"{base}/*/*.csv", check_exists=False))
+    return df
+
+
 # ---- S6 encoding inventory, M5 forest, X3 report (rows-only: no SQL form) ------------------------
 
 @query("encoding_inventory")
