@@ -107,6 +107,15 @@ def test_ascii_files_join_the_folder_encoding(spark, tmp_path):
     assert sorted(r.name for r in df.collect()) == ["naïve", "plain"]
 
 
+@pytest.mark.parametrize("codec,expected", [("utf-8-sig", "utf-8-sig"), ("utf-16", "utf-16")])
+def test_byte_order_marked_files(spark, tmp_path, codec, expected):
+    p = _write(tmp_path / "bom.csv", "name,v\ncafé,1\n東京,2\n".encode(codec))
+    df, _, enc = read_csv(spark, FileSpec(p))
+    assert enc == expected
+    assert df.columns == ["name", "v"]  # the mark is not part of the first header cell
+    assert sorted((r.name, r.v) for r in df.collect()) == [("café", 1.0), ("東京", 2.0)]
+
+
 def test_missing_file_is_rejected():
     with pytest.raises(ValueError, match="CSV not found"):
         FileSpec("/nonexistent/file.csv")
