@@ -121,3 +121,17 @@ def test_spreading_the_split_frame_keeps_results(spark, monkeypatch):
     (m0, t0, p0), (m1, t1, p1) = got
     assert t0 == t1 and p1 >= p0
     assert all(abs(m0[k] - m1[k]) <= 1e-9 * max(1.0, abs(m0[k])) for k in m0)
+
+
+def test_forest_fits_a_nonlinear_target_with_the_workflow_settings(spark):
+    # step in x1, square in x2, offset per category: R2 >= 0.9 as the reference's forest thresholds ask
+    rows = []
+    for i in range(400):
+        x1, x2, cat = i % 20, (i * 7) % 13, "abc"[i % 3]
+        rows.append((float(x1), float(x2), cat, 50.0 * (x1 > 10) + x2 ** 2 + {"a": 0.0, "b": 20.0, "c": -20.0}[cat]))
+    df = spark.createDataFrame(rows, "x1 double, x2 double, cat string, y double")
+    cfg = PipelineConfig(target=TargetSpec("explicit", "y"),
+                         model=ModelPolicy("random_forest", {"n_estimators": 200, "random_state": 42}))
+    res = run_regression(spark, cfg, df)
+    assert res.metrics["r2"] >= 0.9
+    res.release()
