@@ -49,6 +49,9 @@ def ship_package(spark: SparkSession) -> None:
     if sc.applicationId in _SHIPPED:
         return
     root = os.path.dirname(os.path.abspath(__file__))
+    if not os.path.isdir(root):  # imported from an archive: it was shipped with --py-files already
+        _SHIPPED.add(sc.applicationId)
+        return
     fd, path = tempfile.mkstemp(prefix="cairn-pkg-", suffix=".zip")
     os.close(fd)
     with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as zf:
