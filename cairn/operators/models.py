@@ -61,6 +61,9 @@ def max_features_count(value, n_features: int) -> str:
     return "all" if k >= d else str(k)
 
 
+# relative singular-value cutoff of the normal equations: an exact dependency (full one-hot +
+# intercept) shows up near 1e-16; independent directions keep condition numbers up to 1e12
+GRAM_RCOND = 1e-12
 # the Gram path holds a d x d matrix per task and solves it on the driver; Spark's own normal-equation
 # solver has the same limit (above it LinearRegression uses distributed L-BFGS)
 GRAM_MAX_FEATURES = 4096
@@ -208,9 +211,28 @@ def nnls_gram(g: np.ndarray, b: np.ndarray, tol: float = 1e-10, max_iter: int |
     return np.maximum(x, 0.0)
 
 
+def nnls_equilibrated(g: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """NNLS on the equilibrated normal equations: beta = D z with z >= 0 (D > 0 keeps the signs)."""
+    d = np.sqrt(np.clip(np.diag(g), 0.0, None))
+    d[d == 0] = 1.0
+    return nnls_gram(g / np.outer(d, d), b / d) / d
+
+
 def min_norm_gram(g: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Minimum-norm solution of the normal equations (equals the min-norm least-squares fit)."""
-    return np.linalg.lstsq(g, b, rcond=None)[0]
+    """Minimum-norm solution of the normal equations (equals the min-norm least-squares fit).
+
+    The normal equations square the condition number, so features on very different scales
+    (e.g. 1e6 next to 1e-3 without scaling) would lose the small one. The system is first
+    solved equilibrated (``D G D z = D b``, ``D = diag(G)^-1/2``); when that has full rank the
+    solution is unique and ``D z`` is returned. A rank-deficient design (full one-hot +
+    intercept) is solved for the minimum norm in the original coordinates.
+    """
+    d = np.sqrt(np.clip(np.diag(g), 0.0, None))
+    d[d == 0] = 1.0
+    z, _, rank, _ = np.linalg.lstsq(g / np.outer(d, d), b / d, rcond=GRAM_RCOND)
+    if rank == len(b):
+        return z / d
+    return np.linalg.lstsq(g, b, rcond=GRAM_RCOND)[0]
 
 
 class _NnlsParams(HasFeaturesCol, HasLabelCol, HasPredictionCol):
@@ -254,7 +276,7 @@ class NonNegativeLeastSquares(Estimator, _NnlsParams, DefaultParamsReadable, Def
     def _fit(self, dataset: DataFrame) -> NonNegativeLeastSquaresModel:
         fc, lc = self.getOrDefault(self.featuresCol), self.getOrDefault(self.labelCol)
         xtx, xty, sx, sy, _, n = gram_statistics(dataset, fc, lc)
-        solve = nnls_gram if self.getOrDefault(self.positive) else min_norm_gram
+        solve = nnls_equilibrated if self.getOrDefault(self.positive) else min_norm_gram
         if self.getOrDefault(self.fitIntercept) and n > 0:
             mx, my = sx / n, sy / n
             g = xtx - n * np.outer(mx, mx)

@@ -176,3 +176,48 @@ def test_drop_rows_counts_in_report(spark):
     kept_train = int(entry.split("train_kept=")[1].split(",")[0])
     kept_test = int(entry.split("test_kept=")[1])
     assert kept_train + kept_test == 30
+
+
+def test_min_norm_gram_equals_least_squares_on_x():
+    from cairn.operators.models import min_norm_gram
+
+    for seed in range(20):
+        rng = np.random.default_rng(seed)
+        n = 400
+        # rank-deficient: full one-hot next to an intercept (centred columns sum to zero)
+        oh = np.eye(3)[rng.integers(0, 3, n)]
+        x = np.column_stack([rng.normal(0, 1, n), oh, rng.normal(5, 2, n)])
+        y = x @ np.array([1.0, 2.0, 3.0, 4.0, -1.0]) + rng.normal(0, 0.1, n)
+        xc, yc = x - x.mean(0), y - y.mean()
+        assert np.allclose(min_norm_gram(xc.T @ xc, xc.T @ yc), np.linalg.lstsq(xc, yc, rcond=None)[0],
+                           rtol=1e-6, atol=1e-8)
+        # full rank, unscaled features nine orders of magnitude apart
+        x = np.column_stack([rng.normal(0, 1e6, n), rng.normal(0, 1e-3, n), rng.normal(0, 1, n)])
+        y = x @ np.array([2e-6, 5e3, 1.5]) + rng.normal(0, 1e-3, n)
+        xc, yc = x - x.mean(0), y - y.mean()
+        assert np.allclose(min_norm_gram(xc.T @ xc, xc.T @ yc), np.linalg.lstsq(xc, yc, rcond=None)[0], rtol=1e-6)
+
+
+def test_nnls_on_unscaled_features_equals_brute_force():
+    import itertools
+
+    from cairn.operators.models import nnls_equilibrated
+
+    rng = np.random.default_rng(1)
+    n = 1000
+    x = np.column_stack([rng.normal(0, 1e6, n), rng.normal(0, 1e-3, n), rng.normal(0, 1, n)])
+    y = x @ np.array([2e-6, 5e3, -1.5]) + rng.normal(0, 1e-3, n)
+    xc, yc = x - x.mean(0), y - y.mean()
+    best = None
+    for k in range(4):  # every active set, unconstrained least squares on it, keep the feasible best
+        for cols in itertools.combinations(range(3), k):
+            beta = np.zeros(3)
+            if cols:
+                sol = np.linalg.lstsq(xc[:, cols], yc, rcond=None)[0]
+                if (sol < 0).any():
+                    continue
+                beta[list(cols)] = sol
+            rss = float(np.sum((yc - xc @ beta) ** 2))
+            if best is None or rss < best[0]:
+                best = (rss, beta)
+    assert np.allclose(nnls_equilibrated(xc.T @ xc, xc.T @ yc), best[1], rtol=1e-6, atol=1e-12)
