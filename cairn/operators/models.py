@@ -263,7 +263,11 @@ class NonNegativeLeastSquaresModel(Model, _NnlsParams, DefaultParamsReadable, De
 
 
 class NonNegativeLeastSquares(Estimator, _NnlsParams, DefaultParamsReadable, DefaultParamsWritable):
-    """Least squares from the distributed Gram matrix: NNLS (``positive``) or the minimum-norm solution."""
+    """Least squares from the distributed Gram matrix: NNLS (``positive``) or the minimum-norm solution.
+
+    With ``positive=False`` this is also the default linear solver up to ``GRAM_MAX_FEATURES``
+    features (one pass over the data; the name is kept so saved pipelines keep loading).
+    """
 
     @keyword_only
     def __init__(self, featuresCol="features", labelCol="label", predictionCol="prediction", fitIntercept=True,
