@@ -50,6 +50,7 @@ from cairn.operators.stats import column_stats, exact_quantiles, first_pass, mod
 EPS = 2.220446049250313e-16
 # categories a column may have for its vocabulary to be written into the plan as literals
 LITERAL_VOCAB_LIMIT = 10_000
+LITERAL_VOCAB_TOTAL = 200_000
 
 
 @dataclass(frozen=True)
@@ -342,6 +343,15 @@ def fit_prep(
     # vocabularies small enough to travel with the plan are counted in pass 2; larger ones
     # become distributed (value, code) tables
     small_cats = [c for c in categorical if st[c].approx_distinct <= LITERAL_VOCAB_LIMIT]
+    # the literal vocabularies together stay within LITERAL_VOCAB_TOTAL (wide frames): the largest
+    # ones move to the table path until the rest fit
+    by_size = sorted(small_cats, key=lambda c: (-st[c].approx_distinct, c))
+    total = sum(st[c].approx_distinct for c in small_cats)
+    for c in by_size:
+        if total <= LITERAL_VOCAB_TOTAL:
+            break
+        small_cats.remove(c)
+        total -= st[c].approx_distinct
     large_cats = [c for c in categorical if c not in small_cats]
     # pass 2 (one job): median histograms of the numeric columns + value counts of the small categorical ones
     need_median = missing.numeric == "median"

@@ -119,3 +119,18 @@ def test_table_vocabulary_matches_literal_vocabulary(spark, monkeypatch, encode,
     else:
         with pytest.raises(ValueError, match="vector form"):
             tab.columns(df)
+
+
+def test_vocabulary_total_budget_moves_the_largest_columns_to_tables(spark, monkeypatch):
+    import cairn.operators.prep as P
+
+    rows = [(float(i), f"w{i % 40:02d}", f"s{i % 4}", float(i)) for i in range(400)]
+    df = spark.createDataFrame(rows, "num double, wide string, small string, target double")
+    lit = fit_prep(df, ["num"], ["wide", "small"], category=CategoryPolicy("ordinal"))
+    monkeypatch.setattr(P, "LITERAL_VOCAB_TOTAL", 10)  # 40 + 4 values: only "small" stays literal
+    mixed = fit_prep(df, ["num"], ["wide", "small"], category=CategoryPolicy("ordinal"))
+    plans = {p.name: p for p in mixed.categorical}
+    assert plans["wide"].vocab_path and not plans["small"].vocab_path
+    a = lit.columns(df, keep=["target"]).orderBy("target").toPandas()
+    b = mixed.columns(df, keep=["target"]).orderBy("target").toPandas()
+    assert np.allclose(a.to_numpy(), b.to_numpy())
