@@ -39,6 +39,7 @@ VALUE_TABLE_LIMIT = 2_048
 HLL_RSD = 0.05
 # Rows a refined bracket may hold before its values are fetched and sorted.
 FETCH_LIMIT = 50_000
+FETCH_TOTAL = 200_000
 # Buckets per refinement pass.
 BUCKETS = 2048
 MAX_PASSES = 64
@@ -408,7 +409,15 @@ def _order_stats_by_refinement(
         if not brackets:
             return out
         spans = sorted({b.span for _, _, b in brackets})
-        fetch = [sp for sp in spans if next(b.count for _, _, b in brackets if b.span == sp) <= FETCH_LIMIT]
+        size = {sp: next(b.count for _, _, b in brackets if b.span == sp) for sp in spans}
+        # fetch the smallest brackets while the rows of this pass stay within FETCH_TOTAL (many columns);
+        # the others are refined once more and come back smaller
+        fetch, budget = [], FETCH_TOTAL
+        for sp in sorted((sp for sp in spans if size[sp] <= FETCH_LIMIT), key=lambda sp: (size[sp], sp)):
+            if size[sp] > budget:
+                break
+            fetch.append(sp)
+            budget -= size[sp]
         refine = [sp for sp in spans if sp not in fetch]
         if fetch:
             cond = None
