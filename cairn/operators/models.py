@@ -159,7 +159,12 @@ def gram_statistics(df: DataFrame, features_col: str, label_col: str) -> tuple[n
     parts = arr.mapInPandas(partial, "s array<double>").select(array_to_vector("s").alias("s"))
     groups = max(1, math.isqrt(tasks))
     level1 = parts.groupBy((F.spark_partition_id() % groups).alias("g")).agg(Summarizer.sum(F.col("s")).alias("s"))
-    row = level1.agg(Summarizer.sum(F.col("s")).alias("s")).first()
+    try:
+        row = level1.agg(Summarizer.sum(F.col("s")).alias("s")).first()
+    except Exception as exc:  # the Summarizer refuses an empty aggregation
+        if "Nothing has been added" not in str(exc):
+            raise
+        row = None
     if row is None or row["s"] is None or row["s"].size == 0:
         return np.zeros((0, 0)), np.zeros(0), np.zeros(0), 0.0, 0.0, 0
     tot = row["s"].toArray()
@@ -280,6 +285,8 @@ class NonNegativeLeastSquares(Estimator, _NnlsParams, DefaultParamsReadable, Def
     def _fit(self, dataset: DataFrame) -> NonNegativeLeastSquaresModel:
         fc, lc = self.getOrDefault(self.featuresCol), self.getOrDefault(self.labelCol)
         xtx, xty, sx, sy, _, n = gram_statistics(dataset, fc, lc)
+        if n == 0:
+            raise ValueError("No training rows to fit the linear model.")
         solve = nnls_equilibrated if self.getOrDefault(self.positive) else min_norm_gram
         if self.getOrDefault(self.fitIntercept) and n > 0:
             mx, my = sx / n, sy / n

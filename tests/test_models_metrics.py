@@ -221,3 +221,11 @@ def test_nnls_on_unscaled_features_equals_brute_force():
             if best is None or rss < best[0]:
                 best = (rss, beta)
     assert np.allclose(nnls_equilibrated(xc.T @ xc, xc.T @ yc), best[1], rtol=1e-6, atol=1e-12)
+
+
+def test_gram_fit_on_no_rows_is_an_error(spark):
+    from pyspark.ml.functions import array_to_vector
+
+    empty = spark.createDataFrame([], "x array<double>, y double").select(array_to_vector("x").alias("features"), "y")
+    with pytest.raises(ValueError, match="No training rows"):
+        build_estimator(ModelPolicy("linear_regression", solver="gram"), 2, "features", "y").fit(empty)
