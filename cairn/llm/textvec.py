@@ -130,3 +130,73 @@ def _window(values: np.ndarray, width: int, what: np.ufunc, neutral: int) -> np.
     head = what.accumulate(grid, axis=1).ravel()
     tail = what.accumulate(grid[:, ::-1], axis=1)[:, ::-1].ravel()
     return what(tail[: n - width + 1], head[width - 1 : n])
+
+
+class Texts:
+    """One chunk of texts with the pieces that the gram features need, made when asked for."""
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+        self.data, self.offsets, self.n = data, offsets, len(offsets) - 1
+        self.ph = PolyHash(data)
+        self._chars: tuple[np.ndarray, np.ndarray] | None = None
+        self._words: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
+
+    @property
+    def chars(self) -> tuple[np.ndarray, np.ndarray]:
+        """Start of every code point (and the end of the data), and the first code point of each text."""
+        if self._chars is None:
+            starts = np.append(np.flatnonzero((self.data & 0xC0) != 0x80), len(self.data))
+            self._chars = starts, np.searchsorted(starts, self.offsets)
+        return self._chars
+
+    @property
+    def words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        if self._words is None:
+            self._words = split_words(self.data, self.offsets)
+        return self._words
+
+    def char_grams(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of all runs of ``n`` code points, and the range of each text in them."""
+        starts, first = self.chars
+        if len(starts) <= n:
+            return np.zeros(0, U64), np.zeros(self.n + 1, np.int64)
+        h = self.ph.spans(starts[:-n], starts[n:])
+        return _without_crossing(h, first, n)
+
+    def word_grams(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of all runs of ``n`` words (white space between them does not count), and each text's range."""
+        starts, ends, first = self.words
+        w = self.ph.spans(starts, ends)
+        if len(w) < n:
+            return np.zeros(0, U64), np.zeros(self.n + 1, np.int64)
+        h = w[: len(w) - n + 1]
+        for k in range(1, n):
+            h = mix64(h * U64(0x9E3779B97F4A7C15) + w[k : len(w) - n + 1 + k])
+        return _without_crossing(h, first, n)
+
+
+def _without_crossing(h: np.ndarray, first: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Drops the runs that reach into the next text."""
+    if n == 1:
+        return h, np.minimum(first, len(h))
+    keep = np.ones(len(h), dtype=bool)
+    for k in range(1, n):
+        at = first[1:] - k
+        at = at[(at >= 0) & (at < len(h))]
+        keep[at] = False
+    kept = np.concatenate(([0], np.cumsum(keep)))
+    return h[keep], kept[np.minimum(first, len(h))]
+
+
+def texts_of(column: pa.Array, most: int = CHUNK_BYTES) -> Iterator[tuple[int, int, Texts]]:
+    """Chunks ``(from, to, Texts)`` of a text column."""
+    data, offsets = utf8(column)
+    for a, b in chunks(offsets, most):
+        yield a, b, Texts(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+
+
+def range_sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Sum of ``values`` over each text's range (also of several columns)."""
+    total = np.zeros((len(values) + 1, *values.shape[1:]))
+    np.cumsum(values, axis=0, out=total[1:])
+    return total[first[1:]] - total[first[:-1]]
