@@ -47,8 +47,8 @@ from cairn.llm.common import map_arrow, row_key, shuffle_partitions, text_frame,
 
 SPAN = 400
 GRAM = 160
-#: A gram with more different contexts than this is counted by window hashes instead of in one task.
-HOT_CONTEXTS = 5_000
+#: A gram with more different contexts than this (about 70 MB of bytes) is counted by window hashes instead of in one task.
+HOT_CONTEXTS = 100_000
 #: Depth to which multikey quicksort orders before blind tries take over.
 SHALLOW = 8
 #: Groups up to this size look at the common prefixes of all their members.
