@@ -10,8 +10,6 @@ from pyspark.sql import functions as F
 
 from cairn.session import scratch_path
 
-DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder (zstd) and read back: cuts the lineage and survives lost executors."""
@@ -28,7 +26,7 @@ def text_key(text: str = "text") -> list[Column]:
 
 def row_key(ident: str = "doc_id") -> Column:
     """A hash of the row's id; a null id has a key too."""
-    return F.xxhash64(F.lit("row"), F.col(ident)).alias("rid")
+    return F.xxhash64(F.lit("row"), F.col(ident).cast("long")).alias("rid")
 
 
 def text_frame(df: DataFrame, ident: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -55,5 +53,9 @@ def shuffle_partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def kept_columns(docs: DataFrame) -> list[str]:
-    return [c for c in docs.columns]
+#: A document's own columns travel under this one name, so that their names cannot clash with an operator's.
+ROW = "__row"
+
+
+def as_row(docs: DataFrame) -> DataFrame:
+    return docs.select(F.struct("*").alias(ROW))

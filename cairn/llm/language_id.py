@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairn.llm import textvec as tv
-from cairn.llm.common import map_arrow
+from cairn.llm.common import ROW, as_row, map_arrow
 from cairn.llm.linear import Sparse, fit_ftrl, fit_temperature
 
 BITS = 16
@@ -177,8 +177,9 @@ def keep_identified(docs: DataFrame, min_confidence: float = MIN_CONFIDENCE, per
     """
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     model = fit(base, per_lang)
-    names = docs.columns
     if not model.languages:
         return docs.where(F.col("text").rlike(r"\p{L}"))
-    found = predict(docs, model, tuple(names)).where((F.col("lang_pred") != "und") & (F.col("score") >= min_confidence))
-    return found.select(*[F.coalesce("lang", "lang_pred").alias("lang") if c == "lang" else F.col(f"`{c}`") for c in names])
+    found = predict(as_row(docs).select(ROW, F.col(f"{ROW}.text").alias("text")), model, (ROW,))
+    found = found.where((F.col("lang_pred") != "und") & (F.col("score") >= min_confidence))
+    own = [F.col(f"{ROW}.`{c}`") for c in docs.columns]
+    return found.select(*[F.coalesce(v, F.col("lang_pred")).alias(c) if c == "lang" else v.alias(c) for c, v in zip(docs.columns, own)])

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairn.llm import textvec as tv
-from cairn.llm.common import map_arrow
+from cairn.llm.common import ROW, as_row, map_arrow
 from cairn.llm.linear import Sparse, fit_logistic, fit_platt, sigmoid
 
 #: Fixed values of the base rule.
@@ -177,5 +177,5 @@ def digest(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFram
 
 def keep_good(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """The documents that pass, with their own columns."""
-    names = docs.columns
-    return judge(docs, fit(docs, labels, sample), tuple(names)).where("kept").select(*[f"`{c}`" for c in names])
+    rows = as_row(docs).select(ROW, F.col(f"{ROW}.text").alias("text"))
+    return judge(rows, fit(docs, labels, sample), (ROW,)).where("kept").select(f"{ROW}.*")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cairn.llm import language_id, packing, quality_rules, suffix_dedup
+from cairn.llm import language_id, ngram_join, packing, quality_rules, suffix_dedup
 
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -21,6 +21,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class and number of links of every document under 5-word Jaccard >= 0.8."""
+    return ngram_join.jaccard_classes(table(spark, sf_dir, "documents"))
+
+
 @query
 def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every byte of a 400-byte string that occurs twice goes; digest of what is left."""

@@ -39,11 +39,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairn.llm import textvec as tv
-from cairn.llm.common import map_arrow, row_key, shuffle_partitions, text_frame, text_key, written
+from cairn.llm.common import ROW, as_row, map_arrow, row_key, shuffle_partitions, text_frame, text_key, written
 
 SPAN = 400
 GRAM = 160
@@ -419,11 +419,16 @@ def remove_repeats(docs: DataFrame, hot_contexts: int = HOT_CONTEXTS) -> DataFra
     columns and all rows stay; documents without repeats are untouched.
     """
     removed = _removed(docs, hot_contexts).select("k1", "k2", F.col("kept").alias("_kept"))
-    names = docs.columns
     whole = F.try_validate_utf8(F.col("_kept").cast("string"))
-    text = F.when(F.col("_kept").isNull(), F.col("text")).otherwise(F.coalesce(whole, F.regexp_replace(F.make_valid_utf8(F.col("_kept").cast("string")), "�", "")))
-    out = docs.withColumns(dict(zip(("k1", "k2"), text_key()))).join(removed, ["k1", "k2"], "left").withColumn("_new", text)
-    return out.select(*[
-        F.col("_new").alias(c) if c == "text"
-        else F.when(F.col("_kept").isNull(), F.col(c)).otherwise(F.length("_new").cast("long")).alias(c) if c == "n_chars"
-        else F.col(f"`{c}`") for c in names])
+    new = F.coalesce(whole, F.regexp_replace(F.make_valid_utf8(F.col("_kept").cast("string")), "\ufffd", ""))
+    rows = as_row(docs).select(ROW, *text_key(f"{ROW}.text")).join(removed, ["k1", "k2"], "left").withColumn("_new", new)
+
+    def column(name: str) -> Column:
+        own = F.col(f"{ROW}.`{name}`")
+        if name == "text":
+            return F.when(F.col("_kept").isNull(), own).otherwise(F.col("_new")).alias(name)
+        if name == "n_chars":
+            return F.when(F.col("_kept").isNull(), own).otherwise(F.length("_new").cast("long")).alias(name)
+        return own.alias(name)
+
+    return rows.select(*[column(c) for c in docs.columns])
