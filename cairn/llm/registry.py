@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cairn.llm import byte_bpe, language_id, line_crf, ngram_join, one_bit_ann, packing, quality_rules, suffix_dedup, toxicity
+from cairn.llm import byte_bpe, language_id, line_crf, ngram_join, one_bit_ann, packing, quality_rules, suffix_dedup, toxicity, wrapper_extract
 
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -45,6 +45,12 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@query
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page, by the wrapper of its host."""
+    return wrapper_extract.main_text(table(spark, sf_dir, "pages"))
+
+
 @query
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every token of every document in one piece of a full sequence."""
