@@ -2,20 +2,17 @@
 
 from cairn.functions.numeric import (
     bin_by_edges,
-    fill_missing,
     nan_to_null,
     parse_decimal,
     strict_double,
     strict_double_sql,
     test_count,
-    test_count_col,
 )
 from cairn.functions.text import NA_TOKENS, format_ratio, has_cjk, na_to_null, qcol, sql_ident, sql_double, sql_string
 
 __all__ = [
     "NA_TOKENS",
     "bin_by_edges",
-    "fill_missing",
     "format_ratio",
     "has_cjk",
     "na_to_null",
@@ -28,5 +25,4 @@ __all__ = [
     "strict_double",
     "strict_double_sql",
     "test_count",
-    "test_count_col",
 ]

@@ -68,19 +68,11 @@ def parse_decimal(c: Column | str, decimal: str = ".") -> Column:
     return F.when(ok, text.try_cast("double"))
 
 
-def fill_missing(c: Column | str, value: float) -> Column:
-    """Replace NULL/NaN with a scalar."""
-    col = qcol(c) if isinstance(c, str) else c
-    return F.coalesce(nan_to_null(col.cast("double")), F.lit(float(value)))
-
-
 def bin_by_edges(c: Column | str, inner_edges: list[float]) -> Column:
-    """Right-closed binning: the number of inner edges strictly below the value."""
+    """Right-closed binning: the number of inner edges strictly below the value (NULL has no bin)."""
     col = qcol(c) if isinstance(c, str) else c
-    if not inner_edges:
-        return F.lit(0)
-    terms = [F.when(col > F.lit(float(e)), 1).otherwise(0) for e in inner_edges]
-    return reduce(add, terms)
+    below = [F.when(col > F.lit(float(e)), 1).otherwise(0) for e in inner_edges]
+    return F.when(col.isNotNull(), reduce(add, below, F.lit(0)))
 
 
 def test_count(n: int, test_size: float) -> int:
@@ -88,7 +80,3 @@ def test_count(n: int, test_size: float) -> int:
     if n < 2:
         raise RuntimeError("Need at least two samples to perform a train/test split.")
     return max(1, min(n - 1, math.ceil(n * float(test_size))))
-
-
-def test_count_col(n: Column, test_size: float) -> Column:
-    return F.greatest(F.lit(1), F.least(n - 1, F.ceil(n * F.lit(float(test_size)))))

@@ -13,18 +13,26 @@ ALLCLOSE_RTOL = 1e-5
 ALLCLOSE_ATOL = 1e-8
 
 
+def _pair(y: Column, p: Column) -> Column:
+    return y.isNotNull() & p.isNotNull() & ~F.isnan(y) & ~F.isnan(p)
+
+
 def metric_columns(y: Column, p: Column, metrics: tuple[str, ...] = METRICS) -> list[Column]:
     """Aggregate expressions for the requested metrics, in the requested order.
 
     r2 = 1 - SSE/SST with SST = n * var_pop(y); when the target is constant
     (decided by ``min = max``, not by a float zero test) r2 is 1.0 if every
-    prediction is close to the target, else 0.0.
+    prediction is close to the target, else 0.0. Only rows with both values
+    (neither NULL nor NaN) count, in every part of every formula; ``n_pairs``
+    of :func:`regression_metrics` tells how many there are.
     """
     for m in metrics:
         if m not in METRICS:
             raise ValueError(f"Unsupported metric requested: {m}")
+    both = _pair(y, p)
+    y, p = F.when(both, y), F.when(both, p)
     d = y - p
-    n = F.count(F.lit(1))
+    n = F.count(d)
     sse = F.sum(d * d)
     out = []
     for m in metrics:
@@ -48,14 +56,18 @@ def regression_metrics(
     metrics: tuple[str, ...] = METRICS,
     group_by: list[str] | None = None,
     with_count: bool = False,
+    with_pairs: bool = False,
 ) -> DataFrame:
+    """The metrics as one row (or one per group); ``n`` counts all rows, ``n_pairs`` those that the metrics use."""
     y = qcol(label).cast("double")
     p = qcol(prediction).cast("double")
     aggs = metric_columns(y, p, tuple(metrics))
     if with_count:
         aggs.append(F.count(F.lit(1)).alias("n"))
+    if with_pairs:
+        aggs.append(F.count_if(_pair(y, p)).alias("n_pairs"))
     if group_by:
-        return df.groupBy(*group_by).agg(*aggs)
+        return df.groupBy(*[qcol(g) for g in group_by]).agg(*aggs)
     return df.agg(*aggs)
 
 
