@@ -1,19 +1,20 @@
 """Regression models on Spark ML: OLS, non-negative OLS and random forest.
 
-* ``linear_regression`` (default ``solver="auto"``: up to ``GRAM_MAX_FEATURES``
-  features) and ``positive=True``: ONE pass accumulates X'X, X'y per task in
-  ``mapInPandas`` (NumPy on Arrow batches, one packed row per task), Spark's
-  ``Summarizer`` sums the rows in two levels, and the d x d problem is solved
-  on the driver: the minimum-norm least-squares fit (what a rank-deficient
-  design such as full one-hot + intercept needs for predictions on unseen
-  categories to follow the min-norm convention) or active-set NNLS. Spark's
-  ``LinearRegression`` (``solver="spark"``, and above the feature limit, where
-  it switches to distributed L-BFGS) reads the data twice, because its
-  training summary computes its metrics eagerly. Scoring is a JVM-side dot
-  product (``vector_to_array`` + ``aggregate``), wrapped in a persistable ML
-  model.
+* ``linear_regression`` (``solver="auto"`` or ``"gram"``) and ``positive=True``:
+  ONE pass accumulates X'X, X'y per task in ``mapInArrow`` (the non-zero
+  entries of a sparse row only), Spark's ``Summarizer`` sums the tasks' rows in
+  two levels, and the d x d problem is solved on the driver: the minimum-norm
+  least-squares fit (what a rank-deficient design such as full one-hot +
+  intercept needs for predictions on unseen categories) or active-set NNLS.
+  Columns that lie far from zero are shifted by a data row first, so that
+  centring does not cancel; the system is equilibrated before it is solved.
+  A design wider than ``GRAM_MAX_FEATURES`` is refused by name rather than
+  solved in another way; ``solver="spark"`` (Spark's ``LinearRegression``, two
+  passes) is the explicit choice for it. Scoring is a JVM-side dot product over
+  the non-zero entries, wrapped in a persistable ML model.
 * ``random_forest``: ``RandomForestRegressor`` with the workflow defaults
-  (100 trees, fully grown = depth 30, all features per split, 256 bins).
+  (100 trees, fully grown = Spark's deepest, 30; all features per split) and
+  the same number of histogram bins at every width.
 """
 
 from __future__ import annotations
@@ -24,12 +25,11 @@ import math
 import numpy as np
 from pyspark import keyword_only
 from pyspark.ml import Estimator, Model
-from pyspark.ml.functions import vector_to_array
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import HasFeaturesCol, HasLabelCol, HasPredictionCol
 from pyspark.ml.regression import LinearRegression, RandomForestRegressor
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairn.config import ModelPolicy
@@ -39,9 +39,6 @@ _LOG = logging.getLogger(__name__)
 # Spark's deepest tree and the forest defaults of the workflow.
 SPARK_MAX_DEPTH = 30
 DEFAULT_TREES = 100
-FOREST_BINS = 256
-# per-node split statistics grow with features x bins: keep their product bounded
-FOREST_BIN_BUDGET = 4096
 FOREST_NODE_MEMORY_MB = 1024
 
 
@@ -61,26 +58,22 @@ def max_features_count(value, n_features: int) -> str:
     return "all" if k >= d else str(k)
 
 
-# relative singular-value cutoff of the normal equations: an exact dependency (full one-hot +
+# relative eigenvalue cutoff of the equilibrated normal equations: an exact dependency (full one-hot +
 # intercept) shows up near 1e-16; independent directions keep condition numbers up to 1e12
 GRAM_RCOND = 1e-12
-# the Gram path holds a d x d matrix per task and solves it on the driver; Spark's own normal-equation
-# solver has the same limit (above it LinearRegression uses distributed L-BFGS)
+# the driver holds and solves a d x d matrix (128 MB at this width)
 GRAM_MAX_FEATURES = 4096
 
 
-def forest_bins(n_features: int) -> int:
-    """256 bins for narrow data, fewer for wide data (at least Spark's default of 32)."""
-    return max(32, min(FOREST_BINS, FOREST_BIN_BUDGET // max(1, int(n_features))))
-
-
 def build_estimator(policy: ModelPolicy, n_features: int, features_col: str = "features",
                     label_col: str = "label", prediction_col: str = "prediction"):
     p = dict(policy.params)
     if policy.kind == "linear_regression":
         fit_intercept = bool(p.get("fit_intercept", True))
-        gram = policy.solver == "gram" or (policy.solver == "auto" and n_features <= GRAM_MAX_FEATURES)
-        if p.get("positive", False) or gram:
+        if p.get("positive", False) or policy.solver != "spark":
+            if n_features > GRAM_MAX_FEATURES:
+                raise ValueError(f"{n_features} features are more than the one-pass solver holds ({GRAM_MAX_FEATURES}); "
+                                 "encode categories as ordinals, or choose solver='spark' (without positive=True)")
             return NonNegativeLeastSquares(featuresCol=features_col, labelCol=label_col,
                                            predictionCol=prediction_col, fitIntercept=fit_intercept,
                                            positive=bool(p.get("positive", False)))
@@ -94,15 +87,14 @@ def build_estimator(policy: ModelPolicy, n_features: int, features_col: str = "f
         raise NotImplementedError("min_samples_split has no Spark ML counterpart")
     depth = p.get("max_depth")
     if depth is None or depth > SPARK_MAX_DEPTH:
-        if depth is not None:
-            _LOG.warning("max_depth %s capped at Spark's maximum of %s", depth, SPARK_MAX_DEPTH)
+        _LOG.warning("max_depth %s: trees end at Spark's deepest level, %s", depth or "unlimited", SPARK_MAX_DEPTH)
         depth = SPARK_MAX_DEPTH
     kwargs = dict(
         featuresCol=features_col, labelCol=label_col, predictionCol=prediction_col,
         numTrees=int(p.get("n_estimators", DEFAULT_TREES)), maxDepth=int(depth),
         minInstancesPerNode=int(p.get("min_samples_leaf", 1)), bootstrap=bool(p.get("bootstrap", True)),
         featureSubsetStrategy=max_features_count(p.get("max_features"), n_features),
-        maxBins=forest_bins(n_features), impurity="variance",
+        maxBins=int(policy.max_bins), impurity="variance",
         # more tree nodes split per pass over the data, and node ids cached (and
         # checkpointed into the shared folder) instead of re-walking every tree
         maxMemoryInMB=FOREST_NODE_MEMORY_MB, cacheNodeIds=True, checkpointInterval=10,
@@ -116,59 +108,109 @@ def build_estimator(policy: ModelPolicy, n_features: int, features_col: str = "f
 # Non-negative least squares
 
 
-def gram_statistics(df: DataFrame, features_col: str, label_col: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, float, float, int]:
-    """X'X, X'y, sum(x), sum(y), y'y, n in one pass over ``df``.
+def _entries(features_col: str) -> Column:
+    """A vector column as ``struct(size, indices, values)``; a dense vector has null indices."""
+    u = F.unwrap_udt(F.col(features_col))
+    return F.struct(u["size"].alias("size"), u["indices"].alias("indices"), u["values"].alias("values"))
+
+
+def shift_row(df: DataFrame, features_col: str, label_col: str) -> tuple[np.ndarray, float] | None:
+    """A point near the data: the first row's values, where they are neither 0 nor 1 (indicators stay sparse)."""
+    row = df.select(F.col(features_col).alias("x"), F.col(label_col).cast("double").alias("y")).first()
+    if row is None:
+        return None
+    x = row["x"].toArray()
+    return np.where((x == 0) | (x == 1) | ~np.isfinite(x), 0.0, x), float(row["y"] or 0.0)
+
+
+def gram_statistics(df: DataFrame, features_col: str, label_col: str, shift: tuple[np.ndarray, float] | None = None,
+                    ) -> tuple[np.ndarray, np.ndarray, np.ndarray, float, float, int]:
+    """X'X, X'y, sum(x), sum(y), y'y, n of the rows less ``shift``, in one pass over ``df``.
 
     Each task reduces its Arrow batches in NumPy to ONE packed row (upper
-    triangle of X'X, then X'y, sum(x), sum(y), y'y, n). Spark's ``Summarizer``
-    adds the rows element-wise in two levels, first within groups of tasks
-    (``partition id mod sqrt(tasks)``), then globally, so no single task merges
-    more than about sqrt(tasks) partials of size d(d+1)/2; the input is coalesced
-    to a few tasks per core, so the partial count follows the cluster, not the data.
+    triangle of X'X, then X'y, sum(x), sum(y), y'y, n). Batches of sparse rows
+    add the products of their non-zero entries; the shifted columns, which are
+    dense, go through one small matrix product. Spark's ``Summarizer`` adds the
+    rows element-wise in two levels, first within groups of tasks (``partition
+    id mod sqrt(tasks)``), then globally, so no single task merges more than
+    about sqrt(tasks) partials of size d(d+1)/2; the input is coalesced to a few
+    tasks per core, so the partial count follows the cluster, not the data.
     """
     from pyspark.ml.functions import array_to_vector
     from pyspark.ml.stat import Summarizer
 
+    shift = shift or shift_row(df, features_col, label_col)
+    if shift is None:
+        return np.zeros((0, 0)), np.zeros(0), np.zeros(0), 0.0, 0.0, 0
+    x0, y0 = shift
+    d = len(x0)
     # one d(d+1)/2 partial per task: keep the task count near the cluster's parallelism
     # (coalesce: no shuffle, never increases the partition count)
     tasks = 4 * df.sparkSession.sparkContext.defaultParallelism
-    arr = df.select(vector_to_array(F.col(features_col)).alias("x"),
-                    F.col(label_col).cast("double").alias("y")).coalesce(tasks)
+    rows = df.select(_entries(features_col).alias("x"), F.col(label_col).cast("double").alias("y")).coalesce(tasks)
 
     def partial(batches):
-        import pandas as pd
+        import pyarrow as pa
 
-        acc, iu, d = None, None, 0
+        xtx, xty, sx, tail = np.zeros((d, d)), np.zeros(d), np.zeros(d), np.zeros(3)
+        moved = np.flatnonzero(x0)
         for b in batches:
-            if len(b) == 0:
+            if not b.num_rows:
                 continue
-            x = np.vstack(b["x"].to_numpy())
-            y = b["y"].to_numpy(dtype=float)
-            if acc is None:
-                d = x.shape[1]
-                iu = np.triu_indices(d)
-                acc = np.zeros(len(iu[0]) + 2 * d + 3)
-            m = len(iu[0])
-            acc[:m] += (x.T @ x)[iu]
-            acc[m:m + d] += x.T @ y
-            acc[m + d:m + 2 * d] += x.sum(axis=0)
-            acc[m + 2 * d:] += (float(y.sum()), float(y @ y), float(len(y)))
-        if acc is not None:
-            yield pd.DataFrame({"s": [acc]})
-
-    parts = arr.mapInPandas(partial, "s array<double>").select(array_to_vector("s").alias("s"))
+            n = b.num_rows
+            y = b.column("y").to_numpy(zero_copy_only=False) - y0
+            indices, values = b.column("x").field("indices"), b.column("x").field("values")
+            flat = values.flatten().to_numpy(zero_copy_only=False)
+            sizes = np.diff(values.offsets.to_numpy())
+            if indices.null_count == n and (sizes == d).all():
+                x = flat.reshape(n, d) - x0
+                xtx += x.T @ x
+                xty += x.T @ y
+                sx += x.sum(axis=0)
+            else:
+                row = np.repeat(np.arange(n), sizes)
+                dense = np.asarray(indices.is_null())
+                cols = np.empty(len(flat), np.int64)
+                cols[~dense[row]] = indices.flatten().to_numpy(zero_copy_only=False)
+                starts = np.cumsum(sizes) - sizes
+                cols[dense[row]] = (np.arange(len(flat)) - starts[row])[dense[row]]
+                some = flat != 0
+                row, cols, flat = row[some], cols[some], flat[some]
+                # the shifted columns as one dense block, all others by their non-zero entries
+                place = np.full(d, -1)
+                place[moved] = np.arange(len(moved))
+                block = np.tile(-x0[moved], (n, 1))
+                of = place[cols]
+                np.add.at(block, (row[of >= 0], of[of >= 0]), flat[of >= 0])
+                row, cols, flat = row[of < 0], cols[of < 0], flat[of < 0]
+                xtx[np.ix_(moved, moved)] += block.T @ block
+                xty[moved] += block.T @ y
+                sx[moved] += block.sum(axis=0)
+                np.add.at(xty, cols, flat * y[row])
+                np.add.at(sx, cols, flat)
+                for k, m in enumerate(moved):
+                    cross = np.bincount(cols, weights=flat * block[row, k], minlength=d)
+                    xtx[m] += cross
+                    xtx[:, m] += cross
+                count = np.bincount(row, minlength=n)
+                begin = np.cumsum(count) - count
+                for step in range(int(count.max(initial=0))):  # pairs of entries `step` places apart in their row
+                    left = np.arange(len(row))
+                    left = left[left - begin[row] + step < count[row]]
+                    right = left + step
+                    product = flat[left] * flat[right]
+                    np.add.at(xtx, (cols[left], cols[right]), product)
+                    if step:
+                        np.add.at(xtx, (cols[right], cols[left]), product)
+            tail += (float(y.sum()), float(y @ y), float(n))
+        if tail[2]:
+            packed = np.concatenate((xtx[np.triu_indices(d)], xty, sx, tail))
+            yield pa.RecordBatch.from_arrays([pa.array([packed], pa.list_(pa.float64()))], names=["s"])
+
+    parts = rows.mapInArrow(partial, "s array<double>").select(array_to_vector("s").alias("s"))
     groups = max(1, math.isqrt(tasks))
     level1 = parts.groupBy((F.spark_partition_id() % groups).alias("g")).agg(Summarizer.sum(F.col("s")).alias("s"))
-    try:
-        row = level1.agg(Summarizer.sum(F.col("s")).alias("s")).first()
-    except Exception as exc:  # the Summarizer refuses an empty aggregation
-        if "Nothing has been added" not in str(exc):
-            raise
-        row = None
-    if row is None or row["s"] is None or row["s"].size == 0:
-        return np.zeros((0, 0)), np.zeros(0), np.zeros(0), 0.0, 0.0, 0
-    tot = row["s"].toArray()
-    d = _gram_dim(len(tot))
+    tot = level1.agg(Summarizer.sum(F.col("s")).alias("s")).first()["s"].toArray()
     iu = np.triu_indices(d)
     m = len(iu[0])
     xtx = np.zeros((d, d))
@@ -179,14 +221,6 @@ def gram_statistics(df: DataFrame, features_col: str, label_col: str) -> tuple[n
     return xtx, xty, sx, float(sy), float(yy), int(round(n))
 
 
-def _gram_dim(length: int) -> int:
-    """d from the packed length L = d(d+1)/2 + 2d + 3, i.e. d = (sqrt(8L + 1) - 5) / 2."""
-    d = (math.isqrt(8 * length + 1) - 5) // 2
-    if d * (d + 1) // 2 + 2 * d + 3 != length:
-        raise ValueError(f"unexpected packed Gram length {length}")
-    return d
-
-
 def nnls_gram(g: np.ndarray, b: np.ndarray, tol: float = 1e-10, max_iter: int | None = None) -> np.ndarray:
     """Active-set (Lawson–Hanson) NNLS on the normal equations: min ½β'Gβ − b'β, β ≥ 0."""
     d = len(b)
@@ -204,7 +238,9 @@ def nnls_gram(g: np.ndarray, b: np.ndarray, tol: float = 1e-10, max_iter: int |
             s = np.zeros(d)
             idx = np.flatnonzero(passive)
             s[idx] = np.linalg.lstsq(g[np.ix_(idx, idx)], b[idx], rcond=None)[0]
-            if (s[idx] > 0).all() or it >= max_iter:
+            if it >= max_iter:
+                raise RuntimeError(f"non-negative least squares did not settle in {max_iter} steps")
+            if (s[idx] > 0).all():
                 break
             neg = idx[s[idx] <= 0]
             alpha = np.min(x[neg] / (x[neg] - s[neg]))
@@ -227,17 +263,22 @@ def min_norm_gram(g: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Minimum-norm solution of the normal equations (equals the min-norm least-squares fit).
 
     The normal equations square the condition number, so features on very different scales
-    (e.g. 1e6 next to 1e-3 without scaling) would lose the small one. The system is first
-    solved equilibrated (``D G D z = D b``, ``D = diag(G)^-1/2``); when that has full rank the
-    solution is unique and ``D z`` is returned. A rank-deficient design (full one-hot +
-    intercept) is solved for the minimum norm in the original coordinates.
+    (1e6 next to 1e-3) would lose the small one. The system is solved equilibrated
+    (``D G D z = D b``, ``D = diag(G)^-1/2``) by its eigenvectors. ``D z`` is a least-squares
+    solution; where the design is rank-deficient (full one-hot + intercept) its part in the
+    null space of ``G``, which is ``D`` times that of ``D G D``, is taken off, and what remains
+    has the smallest norm in the original coordinates.
     """
     d = np.sqrt(np.clip(np.diag(g), 0.0, None))
-    d[d == 0] = 1.0
-    z, _, rank, _ = np.linalg.lstsq(g / np.outer(d, d), b / d, rcond=GRAM_RCOND)
-    if rank == len(b):
-        return z / d
-    return np.linalg.lstsq(g, b, rcond=GRAM_RCOND)[0]
+    inverse = np.where(d > 0, 1.0 / np.where(d > 0, d, 1.0), 1.0)
+    values, vectors = np.linalg.eigh(g * np.outer(inverse, inverse))
+    keep = values > GRAM_RCOND * max(values.max(initial=0.0), 0.0)
+    z = vectors[:, keep] @ ((vectors[:, keep].T @ (b * inverse)) / values[keep])
+    beta = z * inverse
+    if keep.all():
+        return beta
+    null, _ = np.linalg.qr(vectors[:, ~keep] * inverse[:, None])
+    return beta - null @ (null.T @ beta)
 
 
 class _NnlsParams(HasFeaturesCol, HasLabelCol, HasPredictionCol):
@@ -261,8 +302,11 @@ class NonNegativeLeastSquaresModel(Model, _NnlsParams, DefaultParamsReadable, De
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
         coef = F.array(*[F.lit(float(c)) for c in self.getOrDefault(self.coefficients)])
-        x = vector_to_array(F.col(self.getOrDefault(self.featuresCol)))
-        dot = F.aggregate(F.zip_with(x, coef, lambda a, c: a * c), F.lit(0.0), lambda acc, v: acc + v)
+        x = _entries(self.getOrDefault(self.featuresCol))
+        plus = lambda acc, v: acc + v
+        dense = F.aggregate(F.zip_with(x["values"], coef, lambda v, c: v * c), F.lit(0.0), plus)
+        sparse = F.aggregate(F.zip_with(x["values"], x["indices"], lambda v, i: v * F.get(coef, i)), F.lit(0.0), plus)
+        dot = F.when(x["indices"].isNull(), dense).otherwise(sparse)
         return dataset.withColumn(self.getOrDefault(self.predictionCol),
                                   dot + F.lit(float(self.getOrDefault(self.intercept))))
 
@@ -270,8 +314,8 @@ class NonNegativeLeastSquaresModel(Model, _NnlsParams, DefaultParamsReadable, De
 class NonNegativeLeastSquares(Estimator, _NnlsParams, DefaultParamsReadable, DefaultParamsWritable):
     """Least squares from the distributed Gram matrix: NNLS (``positive``) or the minimum-norm solution.
 
-    With ``positive=False`` this is also the default linear solver up to ``GRAM_MAX_FEATURES``
-    features (one pass over the data; the name is kept so saved pipelines keep loading).
+    With ``positive=False`` this is also the default linear solver (one pass over the data; the
+    name is kept so saved pipelines keep loading).
     """
 
     @keyword_only
@@ -284,16 +328,19 @@ class NonNegativeLeastSquares(Estimator, _NnlsParams, DefaultParamsReadable, Def
 
     def _fit(self, dataset: DataFrame) -> NonNegativeLeastSquaresModel:
         fc, lc = self.getOrDefault(self.featuresCol), self.getOrDefault(self.labelCol)
-        xtx, xty, sx, sy, _, n = gram_statistics(dataset, fc, lc)
-        if n == 0:
+        shift = None
+        if not self.getOrDefault(self.fitIntercept):  # through the origin: nothing may be moved
+            row = dataset.select(fc).first()
+            shift = (np.zeros(row[0].size), 0.0) if row else None
+        shift = shift or shift_row(dataset, fc, lc)
+        if shift is None:
             raise ValueError("No training rows to fit the linear model.")
+        xtx, xty, sx, sy, _, n = gram_statistics(dataset, fc, lc, shift)
         solve = nnls_equilibrated if self.getOrDefault(self.positive) else min_norm_gram
-        if self.getOrDefault(self.fitIntercept) and n > 0:
+        if self.getOrDefault(self.fitIntercept):
             mx, my = sx / n, sy / n
-            g = xtx - n * np.outer(mx, mx)
-            b = xty - n * mx * my
-            beta = solve(g, b)
-            icpt = float(my - mx @ beta)
+            beta = solve(xtx - n * np.outer(mx, mx), xty - n * mx * my)
+            icpt = float(my + shift[1] - (mx + shift[0]) @ beta)
         else:
             beta = solve(xtx, xty)
             icpt = 0.0

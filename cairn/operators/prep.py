@@ -21,12 +21,15 @@ imputed expression.
 
 Apply
 -----
-The fitted constants become SQL literals. ``FittedPrep.columns(df)`` is one
-``select`` (whole-stage codegen, no UDF, no join) giving one double column per
-output feature; ``FittedPrep.pipeline_model()`` is a persistable Spark ML
+The fitted constants become SQL literals, ordinal codes come from Spark's
+string indexer (a hash lookup, whatever the number of categories).
+``FittedPrep.columns(df)`` gives one double column per output feature (asking
+for the columns of a one-hot encoding is asking for one column per category,
+at any number); ``FittedPrep.pipeline_model()`` is a persistable Spark ML
 ``PipelineModel`` (SQL stage + string indexers + one-hot encoder + vector
 assembler) giving the same values as a (sparse) feature vector, usable on
-batch and streaming frames alike.
+batch and streaming frames alike. Vocabularies too large for the plan are
+``(value, code)`` tables that are joined in; both forms give the same values.
 """
 
 from __future__ import annotations
@@ -51,6 +54,8 @@ EPS = 2.220446049250313e-16
 # categories a column may have for its vocabulary to be written into the plan as literals
 LITERAL_VOCAB_LIMIT = 10_000
 LITERAL_VOCAB_TOTAL = 200_000
+# keys over which rows with a missing category are dealt in a vocabulary join
+NULL_SPREAD = 512
 
 
 @dataclass(frozen=True)
@@ -118,10 +123,11 @@ class FittedPrep:
             s = f"coalesce({s}, {sql_string(p.fill)})"
         return s
 
-    def _unknown_error(self, p: CategoricalPlan, s: str) -> str:
-        vocab = ", ".join(sql_string(v) for v in p.vocabulary) or "NULL"
+    def _unknown_error(self, i: int, p: CategoricalPlan, s: str) -> str:
+        vocab = ", ".join(sql_string(v) for v in p.vocabulary) or "CAST(NULL AS STRING)"
+        known = f"__vc{i} IS NOT NULL" if p.vocab_path else f"coalesce({s} IN ({vocab}), false)"
         msg = sql_string(f"Found unknown categories in column {p.name} during transform")
-        return f"CASE WHEN {s} IS NOT NULL AND NOT array_contains(array({vocab}), {s}) THEN raise_error({msg}) END"
+        return f"CASE WHEN {s} IS NOT NULL AND NOT ({known}) THEN raise_error({msg}) END"
 
     def numeric_outputs(self) -> list[tuple[str, str]]:
         return [(p.name, self._num_sql(p)) for p in self.numeric if not p.dropped]
@@ -140,13 +146,48 @@ class FittedPrep:
         return "".join(joins)
 
     def _with_codes(self, df: DataFrame) -> DataFrame:
-        """Column form: join the table vocabularies (shuffle join; AQE splits a hot category)."""
+        """Column form: join the table vocabularies, look up the literal ones.
+
+        A missing category matches nothing; it is dealt over ``NULL_SPREAD``
+        keys so that the rows without one do not meet in one task (AQE splits
+        other hot categories).
+        """
+        spread = F.pmod(F.xxhash64(*[qcol(c) for c in df.columns[:8]]), F.lit(NULL_SPREAD)).cast("string")
         for i, p in self._table_plans():
             voc = df.sparkSession.read.parquet(p.vocab_path).select(
                 F.col("value").alias(f"__vv{i}"), F.col("code").alias(f"__vc{i}"))
-            df = df.join(voc, F.expr(self._cat_imputed_sql(p)) == F.col(f"__vv{i}"), "left")
+            key = F.coalesce(F.expr(self._cat_imputed_sql(p)), F.concat(F.lit("\u0000"), spread))
+            df = df.join(voc, key == F.col(f"__vv{i}"), "left")
+        for i, p in self._ordinal_plans():
+            df = self._indexer(i, p).transform(df.withColumn(f"__cat_{i}", F.expr(self._cat_imputed_sql(p))))
         return df
 
+    def _ordinal_plans(self) -> list[tuple[int, CategoricalPlan]]:
+        """Literal vocabularies whose codes are looked up by an indexer."""
+        if self.encode != "ordinal":
+            return []
+        return [(i, p) for i, p in enumerate(self.categorical) if not p.dropped and not p.vocab_path and p.vocabulary]
+
+    def _indexer(self, i: int, p: CategoricalPlan) -> StringIndexerModel:
+        return StringIndexerModel.from_labels(list(p.vocabulary), inputCol=f"__cat_{i}", outputCol=f"__ord_{i}", handleInvalid="keep")
+
+    def _ordinal_sql(self, i: int, p: CategoricalPlan) -> str:
+        """The indexer's code; it gives the vocabulary's size to unknown and missing values."""
+        unknown = "-1.0D"
+        if self.handle_unknown == "error":
+            unknown = f"raise_error({sql_string(f'Found unknown categories in column {p.name} during transform')})"
+        return (f"CASE WHEN {self._cat_imputed_sql(p)} IS NULL THEN CAST(NULL AS DOUBLE) "
+                f"WHEN __ord_{i} >= {len(p.vocabulary)} THEN {unknown} ELSE __ord_{i} END")
+
+    def _vocabulary(self, p: CategoricalPlan) -> list[str]:
+        """All categories in code order (a table's are read: the caller asked for a column each)."""
+        if not p.vocab_path:
+            return list(p.vocabulary)
+        from pyspark.sql import SparkSession
+
+        voc = SparkSession.getActiveSession().read.parquet(p.vocab_path)
+        return [r["value"] for r in voc.orderBy("code").select("value").collect()]
+
     def _table_index_sql(self, i: int, p: CategoricalPlan, unknown: int) -> str:
         s = self._cat_imputed_sql(p)
         code = f"coalesce(__vc{i}, {int(unknown)})"
@@ -161,25 +202,21 @@ class FittedPrep:
             if p.dropped:
                 continue
             s = self._cat_imputed_sql(p)
-            if p.vocab_path:
-                if self.encode == "onehot":
-                    raise ValueError(f"column {p.name} has {p.vocab_size} categories: its one-hot encoding "
-                                     "exists only in vector form (pipeline_model)")
-                out.append((p.name, self._table_index_sql(i, p, -1)))
-                continue
-            guard = self._unknown_error(p, s) if self.handle_unknown == "error" else None
             if self.encode == "onehot":
-                for i, v in enumerate(p.vocabulary):
-                    e = f"CASE WHEN {s} = {sql_string(v)} THEN 1.0D ELSE 0.0D END"
-                    if guard and i == 0:
+                guard = self._unknown_error(i, p, s) if self.handle_unknown == "error" else None
+                for k, v in enumerate(self._vocabulary(p)):
+                    hit = f"__vc{i} = {k}" if p.vocab_path else f"{s} = {sql_string(v)}"
+                    e = f"CASE WHEN {hit} THEN 1.0D ELSE 0.0D END"
+                    if guard and k == 0:
                         e = f"coalesce({guard}, {e})"
                     out.append((f"{p.name}_{v}", e))
+            elif p.vocab_path:
+                out.append((p.name, self._table_index_sql(i, p, -1)))
             elif self.encode == "ordinal":
-                vocab = ", ".join(sql_string(v) for v in p.vocabulary) or "CAST(NULL AS STRING)"
-                e = f"CAST(array_position(array({vocab}), {s}) - 1 AS DOUBLE)"
-                if guard:
-                    e = f"coalesce({guard}, {e})"
-                out.append((p.name, e))
+                if p.vocabulary:
+                    out.append((p.name, self._ordinal_sql(i, p)))
+                else:
+                    out.append((p.name, f"CASE WHEN {s} IS NOT NULL THEN -1.0D END"))
             else:
                 num = strict_double_sql(s)
                 msg = sql_string(f"could not convert string to float in column {p.name}")
@@ -273,10 +310,17 @@ class FittedPrep:
             stages.append(OneHotEncoder(inputCols=idx_out, outputCols=cat_out, dropLast=(invalid == "keep"),
                                         handleInvalid="error"))
         else:
+            for i, p in self._ordinal_plans():
+                select.append(f"{self._cat_imputed_sql(p)} AS __cat_{i}")
+                stages.append(self._indexer(i, p))
+                temp += [f"__cat_{i}", f"__ord_{i}"]
+            after = []
             for i, (_, e) in enumerate(self.categorical_outputs()):
                 name = f"__catv_{i}"
-                select.append(f"{e} AS {sql_ident(name)}")
+                (after if "__ord_" in e else select).append(f"{e} AS {sql_ident(name)}")
                 cat_out.append(name)
+            if after:
+                stages.append(SQLTransformer(statement=f"SELECT *, {', '.join(after)} FROM __THIS__"))
         sql = SQLTransformer(
             statement=f"SELECT {', '.join(select)} FROM __THIS__{self._vocab_join_sql()}{self._where_sql()}")
         assembler = VectorAssembler(inputCols=num_out + cat_out, outputCol=features_col, handleInvalid="error")

@@ -147,21 +147,65 @@ def test_gram_statistics_equal_numpy_over_many_partitions(spark):
     rows = [([float(v) for v in xi], float(yi)) for xi, yi in zip(x, y)]
     df = spark.createDataFrame(rows, "x array<double>, y double").repartition(37)
     df = df.select(array_to_vector("x").alias("features"), "y")
-    xtx, xty, sx, sy, yy, n = gram_statistics(df, "features", "y")
+    xtx, xty, sx, sy, yy, n = gram_statistics(df, "features", "y", (np.zeros(12), 0.0))
     assert n == 500
     assert np.allclose(xtx, x.T @ x) and np.allclose(xty, x.T @ y) and np.allclose(sx, x.sum(0))
     assert np.isclose(sy, y.sum()) and np.isclose(yy, y @ y)
 
 
-def test_auto_solver_uses_one_pass_gram_up_to_the_feature_limit():
+def test_one_solver_at_every_width_and_a_refusal_beyond_it():
     from pyspark.ml.regression import LinearRegression
 
     from cairn.operators.models import GRAM_MAX_FEATURES, NonNegativeLeastSquares
 
     assert isinstance(build_estimator(ModelPolicy(), GRAM_MAX_FEATURES), NonNegativeLeastSquares)
-    assert isinstance(build_estimator(ModelPolicy(), GRAM_MAX_FEATURES + 1), LinearRegression)
-    assert isinstance(build_estimator(ModelPolicy(solver="spark"), 3), LinearRegression)
+    for policy in (ModelPolicy(), ModelPolicy(params={"positive": True})):
+        with pytest.raises(ValueError, match="solver='spark'"):
+            build_estimator(policy, GRAM_MAX_FEATURES + 1)
+    assert isinstance(build_estimator(ModelPolicy(solver="spark"), GRAM_MAX_FEATURES + 1), LinearRegression)
     assert not build_estimator(ModelPolicy(), 3).getOrDefault("positive")
+    assert build_estimator(ModelPolicy("random_forest"), 10).getMaxBins() == build_estimator(ModelPolicy("random_forest"), 900).getMaxBins()
+
+
+def _linear(spark, x, y, sparse=False, **params):
+    from pyspark.ml.linalg import Vectors
+
+    make = (lambda r: Vectors.sparse(len(r), {int(i): float(r[i]) for i in np.flatnonzero(r)})) if sparse else (lambda r: Vectors.dense(r.tolist()))
+    df = spark.createDataFrame([(make(r), float(v)) for r, v in zip(x, y)], ["features", "label"])
+    model = build_estimator(ModelPolicy("linear_regression", params), x.shape[1]).fit(df)
+    return model, np.array([r.prediction for r in model.transform(df).select("prediction").collect()])
+
+
+def test_linear_fit_far_from_zero_and_on_unlike_scales(spark):
+    rng = np.random.default_rng(0)
+    t = 1.7e9 + rng.uniform(0, 1e5, 400)
+    model, p = _linear(spark, t[:, None], 3 * t + 7)
+    assert abs(model.getOrDefault("coefficients")[0] - 3) < 1e-9 and np.abs(p - (3 * t + 7)).max() < 1e-4
+    x = np.column_stack([rng.normal(size=400) * 1e6, rng.normal(size=400) * 1e-3, np.eye(3)[rng.integers(0, 3, 400)]])
+    y = x @ [2e-6, 5e3, 1, 2, 3] + 4
+    coefs = []
+    for sparse in (False, True):
+        model, p = _linear(spark, x, y, sparse)
+        assert np.abs(p - y).max() < 1e-8
+        coefs.append(model.getOrDefault("coefficients"))
+    assert np.allclose(coefs[0], coefs[1]) and np.allclose(coefs[0][2:], [-1, 0, 1], atol=1e-8)  # minimum norm
+    model, p = _linear(spark, x[:, 2:] + 5, (x[:, 2:] + 5) @ [1, 2, 3], fit_intercept=False)
+    assert model.getOrDefault("intercept") == 0 and np.allclose(model.getOrDefault("coefficients"), [1, 2, 3])
+
+
+def test_nnls_that_does_not_settle_is_an_error():
+    from cairn.operators.models import nnls_gram
+
+    with pytest.raises(RuntimeError, match="settle"):
+        nnls_gram(np.eye(5), np.ones(5), max_iter=2)
+
+
+def test_metrics_use_complete_pairs_only(spark):
+    from cairn.operators.metrics import regression_metrics
+
+    df = spark.createDataFrame([(1.0, 1.5), (2.0, 2.5), (None, 9.0), (3.0, float("nan"))], "label double, prediction double")
+    r = regression_metrics(df, with_count=True, with_pairs=True).first()
+    assert (r.n, r.n_pairs) == (4, 2) and abs(r.rmse - 0.5) < 1e-12 and abs(r.mae - 0.5) < 1e-12 and abs(r.r2 - 0.0) < 1e-12
 
 
 def test_drop_rows_counts_in_report(spark):
