@@ -32,26 +32,30 @@ def _missing(df: DataFrame, c: str):
     return col.isNull()
 
 
+#: Columns of one wide aggregate; a wider frame takes several in one job.
+WIDE = 64
+
+
 def missing_ratios(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """(column_name, ratio) for every column: unpivot to missing flags, one grouped mean.
+    """(column_name, ratio) for every column: wide means of missing flags, then unpivoted.
 
-    ``ratio`` is 0.0 for an empty frame. The aggregate stays two expressions
-    however many columns there are; partial aggregation leaves one row per
-    column and partition.
+    ``ratio`` is 0.0 for an empty frame. One row per partition and ``WIDE``
+    columns reaches the shuffle; the rows themselves are not multiplied.
     """
     columns = list(df.columns if columns is None else columns)
     spark = df.sparkSession
     if not columns:
         return spark.createDataFrame([], "column_name string, ratio double")
-    flags = F.array(*[
-        F.struct(F.lit(c).alias("column_name"), F.when(_missing(df, c), 1.0).otherwise(0.0).alias("m"))
-        for c in columns
-    ])
-    names = spark.createDataFrame([(c,) for c in columns], "column_name string")
-    ratios = df.select(F.inline(flags)).groupBy("column_name").agg(F.avg("m").alias("ratio"))
-    # columns of an empty frame still get a row (ratio 0.0); the name list is the column list
-    return names.join(F.broadcast(ratios), "column_name", "left").select(
-        "column_name", F.coalesce(F.col("ratio"), F.lit(0.0)).alias("ratio"))
+    means = [F.coalesce(F.avg(F.when(_missing(df, c), 1.0).otherwise(0.0)), F.lit(0.0)) for c in columns]
+    chunks = [list(range(at, min(at + WIDE, len(columns)))) for at in range(0, len(columns), WIDE)]
+    parts = []
+    for chunk in chunks:
+        pairs = F.array(*[F.struct(F.lit(columns[i]).alias("column_name"), F.col(f"m{i}").alias("ratio")) for i in chunk])
+        parts.append(df.agg(*[means[i].alias(f"m{i}") for i in chunk]).select(F.inline(pairs)))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
 
 
 def missing_top(ratios: DataFrame, n: int = TOP_N) -> DataFrame:
@@ -104,22 +108,28 @@ def column_kinds(df: DataFrame, columns: list[str] | None = None, decimal: str =
         else:
             kinds[c] = "categorical"
     if text_cols:
-        # long form: (column id, text) rows, three counts per column id
-        items = F.array(*[F.struct(F.lit(i).alias("cid"), qcol(c).alias("v")) for i, c in enumerate(text_cols)])
-        v = F.col("v")
-        rows = (
-            df.select(F.inline(items))
-            .groupBy("cid")
-            .agg(F.count(F.lit(1)).alias("rows"), F.count(v).alias("n"),
-                 F.count(parse_decimal(v, decimal)).alias("num"), F.count_if(v.isin(*BOOL_TOKENS)).alias("b"))
-            .toArrow().to_pylist()
-        )
-        got = {r["cid"]: r for r in rows}
-        for i, c in enumerate(text_cols):
-            r = got.get(i, {"rows": 0, "n": 0, "num": 0, "b": 0})
-            n, num, b = r["n"], r["num"], r["b"]
-            if n == 0 or num == n or (b == n and n == r["rows"]):
-                kinds[c] = "numeric"
-            else:
-                kinds[c] = "categorical"
+        counts = text_counts(df, text_cols, decimal)
+        kinds |= {c: text_kind(counts[c]) for c in text_cols}
     return {c: kinds[c] for c in columns}
+
+
+def text_counts(df: DataFrame, columns: list[str], decimal: str = ".") -> dict[str, dict[str, int]]:
+    """Per text column: rows, values (``n``), values that read as numbers (``num``) and as booleans (``b``)."""
+    # long form: (column id, text) rows, a few counts per column id
+    items = F.array(*[F.struct(F.lit(i).alias("cid"), qcol(c).alias("v")) for i, c in enumerate(columns)])
+    v = F.col("v")
+    rows = (
+        df.select(F.inline(items))
+        .groupBy("cid")
+        .agg(F.count(F.lit(1)).alias("rows"), F.count(v).alias("n"),
+             F.count(parse_decimal(v, decimal)).alias("num"), F.count_if(v.isin(*BOOL_TOKENS)).alias("b"))
+        .toArrow().to_pylist()
+    )
+    got = {r["cid"]: r for r in rows}
+    return {c: got.get(i, {"rows": 0, "n": 0, "num": 0, "b": 0}) for i, c in enumerate(columns)}
+
+
+def text_kind(counts: dict[str, int]) -> str:
+    n, booleans = counts["n"], counts["b"]
+    numbers = n == 0 or counts["num"] == n or (booleans == n and n == counts["rows"])
+    return "numeric" if numbers else "categorical"

@@ -9,36 +9,39 @@ Passes over the data for one default run (median + standard + one-hot,
 linear model): target quality + median, kinds (CSV only), split histograms,
 numeric moments, medians, category counts, model fit, metrics. The split
 frame is persisted (MEMORY_AND_DISK) because every later step reads it; its
-lineage is deterministic (md5 order key, or a row id frozen in a written
-table), so a lost executor recomputes exactly the same rows.
+lineage is deterministic (md5 order of keys and contents), so a lost executor
+recomputes exactly the same rows.
 """
 
 from __future__ import annotations
 
 import logging
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import NumericType
 
 from cairn.config import PipelineConfig
-from cairn.operators.metrics import metrics_dict, metrics_log, regression_metrics
-from cairn.operators.models import build_estimator, model_log
+from cairn.operators.metrics import metrics_log, regression_metrics
+from cairn.operators.models import SPARK_MAX_DEPTH, build_estimator, model_log
 from cairn.operators.prep import FittedPrep, fit_prep
 from cairn.operators.profile import column_kinds, missing_ratios
-from cairn.operators.split import random_split, stratified_split
+from cairn.operators.split import KEY_COLUMNS, random_split, stratified_split
 from cairn.operators.target import repair_target, resolve_target
 
 
 _LOG = logging.getLogger(__name__)
-ROW_ID = "_cairn_row"
 # a cached split frame of at least this many rows held in fewer partitions than cores is spread over the cores
+# (how it is spread changes no result: the forest's input has partitions of its own)
 SPREAD_MIN_ROWS = 100_000
+# rows of a forest's input partition; its bootstrap follows the partitions, so their number follows the rows alone
+FOREST_ROWS = 250_000
+FOREST_MIN_PARTITIONS = 8
 
 
 class StepRegistry:
@@ -48,16 +51,15 @@ class StepRegistry:
         self._steps: dict[str, Callable[[DataFrame], DataFrame]] = {}
 
     def register(self, name: str, fn: Callable[[DataFrame], DataFrame]) -> None:
-        if not name or not name.strip():
-            raise ValueError("Step name must not be empty.")
-        if name in self._steps:
-            raise ValueError(f"Action '{name}' is already registered.")
-        self._steps[name] = fn
+        if not (name or "").strip():
+            raise ValueError("a step needs a name that is not empty")
+        if self._steps.setdefault(name, fn) is not fn:
+            raise ValueError(f"a step called {name!r} is already registered")
 
     def get(self, name: str) -> Callable[[DataFrame], DataFrame]:
-        if name not in self._steps:
-            raise KeyError(f"Action '{name}' is not registered.")
-        return self._steps[name]
+        if name in self._steps:
+            return self._steps[name]
+        raise KeyError(f"no step called {name!r} is registered")
 
     def names(self) -> list[str]:
         return list(self._steps)
@@ -93,6 +95,35 @@ def run_report(spark: SparkSession, logs: list[str]) -> DataFrame:
     return spark.createDataFrame(rows, "seq int, step string, detail string")
 
 
+class StepFailed(Exception):
+    """A step of the run failed: its name, the log and actions so far, and the cause."""
+
+    def __init__(self, step: str, logs: list[str], actions: list[str]):
+        super().__init__(step)
+        self.step, self.logs, self.actions = step, logs, actions
+
+
+class _Run:
+    """Log, actions and timings of one run; every step runs inside :meth:`step`."""
+
+    def __init__(self) -> None:
+        self.logs: list[str] = []
+        self.actions: list[str] = []
+        self.timings: dict[str, float] = {}
+
+    @contextmanager
+    def step(self, name: str) -> Iterator[None]:
+        began = time.perf_counter()
+        try:
+            yield
+        except Exception as exc:
+            if entry := getattr(exc, "entry", None):
+                self.logs.append(entry)
+            raise StepFailed(name, self.logs, self.actions) from exc
+        self.actions.append(name)
+        self.timings[name] = round(time.perf_counter() - began, 3)
+
+
 def run_regression(
     spark: SparkSession,
     config: PipelineConfig,
@@ -111,167 +142,168 @@ def run_regression(
     ``cairn.operators.split``). ``steps`` are names in ``registry`` applied to
     the loaded frame in order; ``feature_stages`` are Spark ML stages fitted
     between the preprocessing and the model (they read ``features`` and the
-    model reads ``model_features_col``).
+    model reads ``model_features_col``). An error is raised as it is; see
+    :func:`run_with_payload` for the step it came from.
     """
-    logs: list[str] = []
-    actions: list[str] = []
-    timings: dict[str, float] = {}
-    clock = [time.perf_counter()]
-
-    def tick(step: str) -> None:
-        now = time.perf_counter()
-        timings[step] = round(now - clock[0], 3)
-        clock[0] = now
-
-    if df is None:
+    try:
+        return _run(spark, config, df, key, unique_key, row_id, steps, registry, feature_stages, model_features_col)
+    except StepFailed as failed:
+        raise failed.__cause__
+
+
+def _run(spark: SparkSession, config: PipelineConfig, df: DataFrame | None = None, key: list[str] | str | None = None,
+         unique_key: bool = False, row_id: str | None = None, steps: list[str] = (), registry: StepRegistry | None = None,
+         feature_stages: list = (), model_features_col: str = "features") -> RunResult:
+    run = _Run()
+    logs = run.logs
+    from_csv = df is None
+    if from_csv:
         from cairn.session import materialize
-        from cairn.sources.csv import read_csv
+        from cairn.sources.csv import csv_encoding, read_csv
 
         if config.file is None:
             raise ValueError("either a DataFrame or config.file is required")
-        df, _, encoding = read_csv(spark, config.file)
-        logs.append(f"encoding={encoding}")
-        actions.append("detect_encoding")
-        # parse once (later passes read columnar) and freeze a row id in the same write
-        df = materialize(df.withColumn(ROW_ID, F.monotonically_increasing_id()), "csv-typed")
-        row_id = row_id or ROW_ID
-        actions.append("load_csv")
-        tick("load_csv")
+        with run.step("detect_encoding"):
+            encoding = csv_encoding(spark, config.file)
+            logs.append(f"encoding={encoding}")
+        with run.step("load_csv"):
+            # parse once: later passes read columnar
+            df = materialize(read_csv(spark, config.file, encoding)[0], "csv-typed")
     for name in steps:
-        if registry is None:
-            raise KeyError(f"Action '{name}' is not registered.")
-        df = registry.get(name)(df)
-        actions.append(name)
-
-    target = resolve_target(df.columns, config.target)
-    logs.append(f"target:{target}")
-    actions.append("identify_target")
-    tick("identify_target")
-    df, repair = repair_target(df, target, config.target_nan_threshold)
-    if "encoding=" in (logs[0] if logs else ""):
-        logs.insert(1, f"csv_shape={repair.rows}x{len([c for c in df.columns if c != ROW_ID])}")
-    logs.append(repair.log)
-    actions.append("validate_target_numeric")
-    tick("validate_target_numeric")
+        with run.step(name):
+            df = (registry or StepRegistry()).get(name)(df)
+
+    with run.step("identify_target"):
+        target = resolve_target(df.columns, config.target)
+        logs.append(f"target:{target}")
+    with run.step("validate_target_numeric"):
+        df, repair = repair_target(df, target, config.target_nan_threshold)
+        if from_csv:
+            logs.insert(1, f"csv_shape={repair.rows}x{len(df.columns)}")
+        logs.append(repair.log)
 
     key_cols = [key] if isinstance(key, str) else list(key or [])
-    features = [c for c in df.columns if c != target and c not in key_cols and c != ROW_ID]
-    kinds = column_kinds(df, features, inspect_text=False)  # CSV text was typed by the source
-    for c in features:  # typed frames: keep the numeric/categorical split in the schema
-        if kinds[c] == "categorical" and isinstance(df.schema[c].dataType, NumericType):
-            kinds[c] = "numeric"
-    logs.append("split_xy")
-    actions.append("split_xy")
-    tick("split_xy")
+    with run.step("split_xy"):
+        features = [c for c in df.columns if c != target and c not in key_cols]
+        kinds = column_kinds(df, features, inspect_text=False)  # CSV text was typed by the source
+        logs.append("split_xy")
 
     if config.check_missing:
-        # one job; the result has one row per feature column
-        ratios = sorted(((r["column_name"], float(r["ratio"])) for r in missing_ratios(df, features).collect()),
-                        key=lambda t: (-t[1], t[0]))
-        top = ",".join(f"{c}:{v:.3f}" for c, v in ratios[:5]) or "none"
-        logs.append(f"missing_top5:{top}")
-        over = [(c, v) for c, v in ratios if v > config.missing.report_threshold]
-        if over:
-            _LOG.warning("Missing ratios above threshold %.2f: %s", config.missing.report_threshold,
-                         ", ".join(f"{c}:{v:.3f}" for c, v in over))
-        actions.append("check_missing")
-        tick("check_missing")
-
-    sp = config.split
-    if sp.stratify_by_target_quantiles:
-        split = stratified_split(df, target, sp.test_size, sp.random_state, key_cols or None, unique_key, row_id=row_id)
-    else:
-        split = random_split(df, sp.test_size, sp.random_state, key_cols or None, unique_key, row_id=row_id)
-    split = split.persist(StorageLevel.MEMORY_AND_DISK)
-    if (repair.rows or 0) >= SPREAD_MIN_ROWS and split.rdd.getNumPartitions() < spark.sparkContext.defaultParallelism:
-        # every later pass (fit statistics, model, scoring) reads this frame: spread one that sits in fewer
-        # partitions than cores (only small inputs do; below SPREAD_MIN_ROWS the shuffle costs more than it saves)
-        split.unpersist()
-        split = split.repartition(spark.sparkContext.defaultParallelism).persist(StorageLevel.MEMORY_AND_DISK)
-    train, test = split.where(~F.col("is_test")), split.where(F.col("is_test"))
-    logs.append("train_test_split")
-    actions.append("train_test_split")
-    tick("train_test_split")
+        with run.step("check_missing"):
+            # one job; the result has one row per feature column
+            ratios = sorted(((r["column_name"], float(r["ratio"])) for r in missing_ratios(df, features).collect()),
+                            key=lambda t: (-t[1], t[0]))
+            top = ",".join(f"{c}:{v:.3f}" for c, v in ratios[:5]) or "none"
+            logs.append(f"missing_top5:{top}")
+            over = [(c, v) for c, v in ratios if v > config.missing.report_threshold]
+            if over:
+                _LOG.warning("Missing ratios above threshold %.2f: %s", config.missing.report_threshold,
+                             ", ".join(f"{c}:{v:.3f}" for c, v in over))
+
+    with run.step("train_test_split"):
+        sp = config.split
+        order = dict(key=key_cols or None, unique_key=unique_key, keep_keys=True, row_id=row_id)
+        if sp.stratify_by_target_quantiles:
+            # with missing targets filled, the statistics before the fill no longer hold
+            known = repair.stats if not repair.missing else None
+            split = stratified_split(df, target, sp.test_size, sp.random_state, stats=known, **order)
+        else:
+            split = random_split(df, sp.test_size, sp.random_state, **order)
+        split = split.persist(StorageLevel.MEMORY_AND_DISK)
+        if repair.rows >= SPREAD_MIN_ROWS and split.rdd.getNumPartitions() < spark.sparkContext.defaultParallelism:
+            # every later pass (fit statistics, model, scoring) reads this frame: spread one that sits in fewer
+            # partitions than cores (only small inputs do; below SPREAD_MIN_ROWS the shuffle costs more than it saves)
+            split.unpersist()
+            split = split.repartition(spark.sparkContext.defaultParallelism).persist(StorageLevel.MEMORY_AND_DISK)
+        train, test = split.where(~F.col("is_test")), split.where(F.col("is_test"))
+        logs.append("train_test_split")
 
     numeric = [c for c in features if kinds[c] == "numeric"]
     categorical = [c for c in features if kinds[c] == "categorical"]
-    prep = fit_prep(train, numeric, categorical, config.missing, config.scaling, config.category)
-    logs.append(prep.log())
-    actions.append("build_preprocessor")
-    tick("build_preprocessor")
-    prep_model = prep.pipeline_model("features", train)
-    logs.append("fit_transform_preprocessor")
-    actions.append("fit_transform_preprocessor")
-    tick("fit_transform_preprocessor")
-
-    n_features = prep.feature_count
-    estimator = build_estimator(config.model, n_features, model_features_col, target, "prediction")
-    fit_input = prep_model.transform(train)
-    if config.model.kind == "random_forest":
-        fit_input = spread_for_passes(fit_input, train)
-    model = Pipeline(stages=[*feature_stages, estimator]).fit(fit_input)
-    logs.append(model_log(config.model))
-    actions.append("train_model")
-    tick("train_model")
-
-    predictions = model.transform(prep_model.transform(test))
-    logs.append("predict")
-    actions.append("predict")
-    tick("predict")
-    if prep.drop_rows_on:
-        # rows kept by drop_rows, from passes that run anyway (fit moments, metrics aggregation)
+    with run.step("build_preprocessor"):
+        prep = fit_prep(train, numeric, categorical, config.missing, config.scaling, config.category)
+        logs.append(prep.log())
+    with run.step("fit_transform_preprocessor"):
+        prep_model = prep.pipeline_model("features", train)
+        logs.append("fit_transform_preprocessor")
+
+    with run.step("train_model"):
+        estimator = build_estimator(config.model, prep.feature_count, model_features_col, target, "prediction")
+        fit_input = prep_model.transform(train)
+        if config.model.kind == "random_forest":
+            fit_input = forest_input(fit_input, repair.rows)
+            wanted = config.model.params.get("max_depth")
+            if wanted is None or wanted > SPARK_MAX_DEPTH:
+                logs.append(f"forest_depth_limit:{SPARK_MAX_DEPTH}")
+        model = Pipeline(stages=[*feature_stages, estimator]).fit(fit_input)
+        logs.append(model_log(config.model))
+
+    with run.step("predict"):
+        predictions = model.transform(prep_model.transform(test)).drop(*KEY_COLUMNS)
+        logs.append("predict")
+    with run.step("evaluate"):
         row = regression_metrics(predictions, target, "prediction", config.eval.metrics, with_count=True).first()
         metrics = {m: float(row[m]) if row[m] is not None else float("nan") for m in config.eval.metrics}
-        logs.append(f"drop_rows:train_kept={prep.train_rows},test_kept={row['n']}")
-    else:
-        metrics = metrics_dict(predictions, target, "prediction", config.eval.metrics)
-    logs.append(metrics_log(config.eval.metrics))
-    actions.append("evaluate")
-    tick("evaluate")
+        if prep.drop_rows_on:
+            # rows kept by drop_rows, from passes that run anyway (fit moments, metrics aggregation)
+            logs.append(f"drop_rows:train_kept={prep.train_rows},test_kept={row['n']}")
+        logs.append(metrics_log(config.eval.metrics))
 
     artifacts = None
     if config.persist:
         from cairn.sources.artifacts import save_artifacts
 
-        artifacts = save_artifacts(prep_model, model, config.artifact_dir(),
-                                   config.artifacts.model_name, config.artifacts.preprocessor_name)
-        logs.append(f"persist_artifacts:{artifacts[0]},{artifacts[1]}")
-        actions.append("persist_artifacts")
-        tick("persist_artifacts")
-    return RunResult(metrics, logs, target, kinds, prep, prep_model, model, split, predictions, artifacts, actions, timings)
+        with run.step("persist_artifacts"):
+            artifacts = save_artifacts(prep_model, model, config.artifact_dir(),
+                                       config.artifacts.model_name, config.artifacts.preprocessor_name)
+            logs.append(f"persist_artifacts:{artifacts[0]},{artifacts[1]}")
+    return RunResult(metrics, logs, target, kinds, prep, prep_model, model, split, predictions, artifacts, run.actions, run.timings)
 
 
-def spread_for_passes(df: DataFrame, source: DataFrame) -> DataFrame:
-    """Round-robin ``df`` over the cluster's cores when its ``source`` has fewer partitions than cores.
+def forest_input(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` in partitions that follow the rows' order keys and number, not the cluster.
 
-    For fits that read their input many times (a forest reads it once per tree
-    level): a small input held in few partitions (a parquet row group is read by
-    one task) would leave cores idle on every pass. A large input already has more
-    partitions than cores and is left as it is, so this never adds a shuffle at
-    scale. ``source`` is the cached frame ``df`` derives from, so counting its
-    partitions runs no job. Spark sorts rows before a round-robin repartition,
-    so a retried task rebuilds the same partitions (and the same bootstrap samples).
+    Spark draws a forest's bootstrap per partition, in row order: with fixed
+    partitions the same data and seed give the same trees on any number of
+    cores, and a retried task draws the same rows.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if source.rdd.getNumPartitions() < cores:
-        return df.repartition(cores)
-    return df
+    parts = max(FOREST_MIN_PARTITIONS, -(-rows // FOREST_ROWS))
+    keys = [c for c in KEY_COLUMNS if c in df.columns]
+    return df.repartition(parts, *keys).sortWithinPartitions(*keys)
 
 
-def run_with_payload(spark: SparkSession, config: PipelineConfig, **kwargs) -> tuple[DataFrame, RunResult | None]:
+# The payload's status and error kinds.
+OK, ERROR = "ok", "error"
+CONFIGURATION_ERROR, EXECUTION_FAILED, UNEXPECTED_ERROR = "configuration_error", "execution_failed", "unexpected_error"
+
+
+def run_with_payload(spark: SparkSession, config: PipelineConfig | Callable[[], PipelineConfig], **kwargs) -> tuple[DataFrame, RunResult | None]:
     """Run and return the result payload frame (status, actions, metrics, logs, error).
 
-    A failing step adds ``action_error:<step>:<error class>:<message>`` to the
-    log and the payload carries ``execution_failed`` (bad settings:
-    ``configuration_error``) instead of metrics.
+    ``config`` may be a function that builds the configuration, so that a bad
+    setting is reported too. A failing step keeps all log entries and actions
+    before it and adds ``action_error:<step>:<error class>:<message>``; the
+    payload's ``error`` is its kind: ``configuration_error`` for settings that
+    do not hold, ``execution_failed`` for a step, Spark's errors included, and
+    ``unexpected_error`` for anything outside of one.
     """
     from cairn.sources.artifacts import result_frame
 
     try:
-        res = run_regression(spark, config, **kwargs)
-    except (ValueError, TypeError, KeyError, RuntimeError, NotImplementedError) as exc:
-        step = getattr(exc, "step", None) or "run_regression"
-        logs = [f"action_error:{step}:{type(exc).__name__}:{exc}"]
-        status = "configuration_error" if isinstance(exc, (TypeError, KeyError, NotImplementedError)) else "execution_failed"
-        return result_frame(spark, status, None, logs, None, str(exc)), None
-    return result_frame(spark, "success", res.metrics, res.logs, res.actions, None), res
+        settings = config() if callable(config) else config
+    except (ValueError, TypeError, KeyError, NotImplementedError) as exc:
+        return result_frame(spark, ERROR, None, [f"configuration:{exc}"], [], CONFIGURATION_ERROR), None
+    try:
+        res = _run(spark, settings, **kwargs)
+        return result_frame(spark, OK, res.metrics, res.logs, res.actions, None), res
+    except StepFailed as failed:
+        cause = failed.__cause__
+        # the first line: Spark's messages go on with the plan and the stack
+        message = (str(cause).strip().splitlines() or [""])[0]
+        logs = [*failed.logs, f"action_error:{failed.step}:{type(cause).__name__}:{message}"]
+        kind = CONFIGURATION_ERROR if isinstance(cause, NotImplementedError) else EXECUTION_FAILED
+        return result_frame(spark, ERROR, None, logs, failed.actions, kind), None
+    except ValueError as exc:
+        return result_frame(spark, ERROR, None, [f"configuration:{exc}"], [], CONFIGURATION_ERROR), None
+    except Exception as exc:
+        return result_frame(spark, ERROR, None, [f"unexpected:{type(exc).__name__}"], [], UNEXPECTED_ERROR), None

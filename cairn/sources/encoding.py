@@ -1,19 +1,21 @@
-"""Encoding inventory: which charset is each file under a path? (a Spark job over the files)
-
-``binaryFile`` lists and reads the files in parallel, a ``mapInPandas``
-function classifies each file's bytes, and ``read_csv_folder`` reads each
-encoding group with its own charset and unions them by name. Rule order:
-byte-order mark → ASCII → strict UTF-8 → Shift-JIS / CP932 when the strict
-decode succeeds and holds CJK text → windows-1252. The whole file is decoded
-(not a sample), so a late invalid byte is not missed. ``binaryFile`` holds one
-file per row: files over 2 GB need the (splittable) plain reader instead.
+"""Encoding inventory: which charset is each file under a path? (a Spark job over the files' lines)
+
+The text reader hands over each line's bytes as they are and splits large
+files, so no file is held whole (one without any ``\\n`` is one line). An Arrow function tells of every line whether
+it is ASCII, strict UTF-8, and Shift-JIS or CP932 text with CJK characters; the
+answers are combined per file with ``bool_and`` / ``bool_or`` (none of these
+encodings carries a state from line to line). Rule order: byte-order mark →
+ASCII → strict UTF-8 → Shift-JIS / CP932 when every line decodes and CJK text
+occurs → windows-1252. The reader drops a UTF-8 mark by itself; the three bytes
+by which the lines fall short of the file's size give it away. The first line's hash groups files by header; lines that
+leave a quote open tell whether a file may hold quoted line breaks.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.config import FileSpec
@@ -27,62 +29,84 @@ BOMS = (
     (b"\xfe\xff", "utf-16"),
 )
 CJK_RANGES = ((0x3040, 0x30FF), (0x4E00, 0x9FFF), (0xFF66, 0xFF9D))
-SHIFT_JIS_CANDIDATES = ("shift_jis", "cp932")
+JAPANESE = ("shift_jis", "cp932")
 FALLBACK = "windows-1252"
+#: What a line tells: decodes as the encoding, and (Japanese ones) has CJK text.
+FLAGS = ("ascii", "utf8", "shift_jis", "cp932", "cjk_shift_jis", "cjk_cp932")
 
 
-def _has_cjk(text: str) -> bool:
-    return any(lo <= ord(ch) <= hi for ch in text for lo, hi in CJK_RANGES)
+def _decodes(line: bytes, encoding: str) -> str | None:
+    try:
+        return line.decode(encoding)
+    except UnicodeDecodeError:
+        return None
+
+
+def _has_cjk(text: str | None) -> bool:
+    return text is not None and any(lo <= ord(ch) <= hi for ch in text for lo, hi in CJK_RANGES)
+
+
+def line_flags(line: bytes) -> tuple[bool, ...]:
+    """The FLAGS of one line."""
+    if line.isascii():
+        return (True, True, True, True, False, False)
+    texts = [_decodes(line, name) for name in JAPANESE]
+    return (False, _decodes(line, "utf-8") is not None, *[t is not None for t in texts], *[_has_cjk(t) for t in texts])
 
 
 def detect_bytes(data: bytes) -> str:
+    """The rules on one piece of bytes in memory."""
     for bom, name in BOMS:
         if data.startswith(bom):
             return name
-    if data.isascii():
-        return "ascii"
-    try:
-        data.decode("utf-8")
-        return "utf-8"
-    except UnicodeDecodeError:
-        pass
-    for cand in SHIFT_JIS_CANDIDATES:
-        try:
-            text = data.decode(cand)
-        except UnicodeDecodeError:
-            continue
-        if _has_cjk(text):
-            return cand
-    return FALLBACK
-
-
-def header_line(data: bytes, encoding: str) -> str:
-    """First line of a file, decoded with its detected encoding (BOM dropped)."""
-    if encoding.startswith(("utf-16", "utf-32")):
-        text = data.decode(encoding, errors="replace")
-    else:
-        end = data.find(b"\n")
-        text = (data if end < 0 else data[:end]).decode(encoding, errors="replace")
-    return text.split("\n", 1)[0].rstrip("\r").lstrip("\ufeff")
-
-
-def encoding_inventory(spark: SparkSession, path: str) -> DataFrame:
-    """(path, length, encoding, header) per file under ``path`` (a file, folder or glob)."""
-    files = spark.read.format("binaryFile").load(path).select("path", "length", "content")
+    told = dict(zip(FLAGS, line_flags(data)))
+    if told["ascii"] or told["utf8"]:
+        return "ascii" if told["ascii"] else "utf-8"
+    return next((name for name in JAPANESE if told[name] and told[f"cjk_{name}"]), FALLBACK)
+
+
+def verdict(mark: Column) -> Column:
+    """Encoding of a file from its combined flags and its byte-order mark (null: none)."""
+    rules = F.when(F.col("ascii"), F.lit("ascii")).when(F.col("utf8"), F.lit("utf-8"))
+    for name in JAPANESE:
+        rules = rules.when(F.col(name) & F.col(f"cjk_{name}"), F.lit(name))
+    return F.coalesce(mark, rules.otherwise(F.lit(FALLBACK)))
+
+
+def encoding_inventory(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(path, length, encoding, header, open_quotes) per non-empty file under ``path`` (a file, folder or glob).
+
+    ``header`` is the hash of the first line's bytes; ``open_quotes`` counts
+    lines with an odd number of quotes.
+    """
+    lines = spark.read.option("lineSep", "\n").text(path).select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("length"),
+        F.col("value").cast("binary").alias("line"),
+        # the line that starts a file: the first row of its first block
+        F.when(F.col("_metadata.file_block_start") == 0, F.monotonically_increasing_id()).alias("at"))
 
     def classify(batches):
-        import pandas as pd
+        import numpy as np
+        import pyarrow as pa
 
         for b in batches:
-            encs = [detect_bytes(bytes(c)) for c in b["content"]]
-            yield pd.DataFrame({
-                "path": b["path"],
-                "length": b["length"],
-                "encoding": encs,
-                "header": [header_line(bytes(c), e) for c, e in zip(b["content"], encs)],
-            })
-
-    return files.mapInPandas(classify, "path string, length long, encoding string, header string")
+            raw = b.column("line").to_pylist()
+            flags = np.array([line_flags(x) for x in raw], bool).reshape(len(raw), len(FLAGS))
+            marks = [next((name for bom, name in BOMS if x.startswith(bom)), None) for x in raw]
+            quotes = [x.count(b'"') % 2 for x in raw]
+            cols = [*[b.column(c) for c in ("path", "length", "at")], *[pa.array(flags[:, k]) for k in range(len(FLAGS))],
+                    pa.array(marks, pa.string()), pa.array(quotes, pa.int64()), b.column("line")]
+            yield pa.RecordBatch.from_arrays(cols, names=["path", "length", "at", *FLAGS, "mark", "odd", "line"])
+
+    told = lines.mapInArrow(classify, "path string, length long, at long, " + ", ".join(f"{f} boolean" for f in FLAGS) + ", mark string, odd long, line binary")
+    told = told.select("path", "length", *FLAGS, "odd", (F.octet_length("line") + 1).alias("bytes"), F.when(F.col("at").isNotNull(), F.struct("at", "mark", F.sha2("line", 256).alias("header"))).alias("first"))
+    files = told.groupBy("path").agg(
+        F.max("length").alias("length"),
+        *[(F.bool_or if f.startswith("cjk") else F.bool_and)(f).alias(f) for f in FLAGS],
+        F.sum("odd").alias("open_quotes"), F.sum("bytes").alias("bytes"), F.min("first").alias("first"))
+    # a last line without an end counts one byte too many
+    utf8_mark = F.when((F.col("length") - F.col("bytes")).isin(2, 3) & F.col("utf8"), F.lit("utf-8-sig"))
+    return files.select("path", "length", verdict(F.coalesce("first.mark", utf8_mark)).alias("encoding"), F.col("first.header").alias("header"), "open_quotes")
 
 
 def read_csv_folder(spark: SparkSession, spec: FileSpec) -> tuple[DataFrame, dict[str, str], list[str]]:
@@ -90,19 +114,23 @@ def read_csv_folder(spark: SparkSession, spec: FileSpec) -> tuple[DataFrame, dic
 
     Files sharing an encoding and a header line are read together in one scan,
     so the plan grows with the number of distinct (encoding, header) pairs, not
-    with the number of files.
+    with the number of files. One small row per file reaches the driver.
     """
     from cairn.sources.csv import read_raw, type_columns
 
-    inv = encoding_inventory(spark, spec.path).select("path", "encoding", "header").collect()
-    groups: dict[tuple[str, str], list[str]] = {}
+    inv = encoding_inventory(spark, spec.path).collect()
+    groups: dict[tuple[str, str], list] = {}
     for r in inv:
-        groups.setdefault((r["encoding"], r["header"] if spec.has_header else ""), []).append(r["path"])
+        groups.setdefault((spec.encoding or r["encoding"], r["header"] if spec.has_header else ""), []).append(r)
+    if not groups:
+        raise ValueError(f"CSV is empty: {spec.path}")
     frames = []
-    for (enc, _), paths in sorted(groups.items()):
-        sub = FileSpec(paths[0], enc, spec.delimiter, spec.decimal, spec.has_header, spec.multi_line,
-                       check_exists=False)
-        frames.append(read_raw(spark, sub, enc, paths=sorted(paths)))
+    for (enc, _), files in sorted(groups.items(), key=lambda g: g[0]):
+        wide = enc.startswith(("utf-16", "utf-32"))  # their line ends are no single bytes
+        multi = spec.multi_line if spec.multi_line is not None else wide or any(f["open_quotes"] for f in files)
+        paths = sorted(f["path"] for f in files)
+        sub = FileSpec(paths[0], enc, spec.delimiter, spec.decimal, spec.has_header, multi, check_exists=False)
+        frames.append(read_raw(spark, sub, enc, paths=paths))
     raw = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
     typed, kinds = type_columns(raw, spec.decimal)
     return typed, kinds, sorted({enc for enc, _ in groups})

@@ -82,7 +82,7 @@ def test_folder_groups_files_by_encoding_and_header(spark, tmp_path):
     _write(d / "c.csv", "v,name,note\n3,crème,x\n".encode("utf-8"))
     _write(d / "d.csv", "name,v\nnaïve,4\n".encode("windows-1252"))
     heads = {r.path.rsplit("/", 1)[-1]: r.header for r in encoding_inventory(spark, str(d)).collect()}
-    assert heads == {"a.csv": "name,v", "b.csv": "name,v", "c.csv": "v,name,note", "d.csv": "name,v"}
+    assert heads["a.csv"] == heads["b.csv"] == heads["d.csv"] != heads["c.csv"]
     df, kinds, encs = read_csv_folder(spark, FileSpec(str(d)))
     got = sorted((r.name, r.v, r.note) for r in df.collect())
     assert got == [("café", 1.0, None), ("crème", 3.0, "x"), ("naïve", 4.0, None), ("thé", 2.0, None)]
@@ -119,3 +119,68 @@ def test_byte_order_marked_files(spark, tmp_path, codec, expected):
 def test_missing_file_is_rejected():
     with pytest.raises(ValueError, match="CSV not found"):
         FileSpec("/nonexistent/file.csv")
+
+
+def test_rows_that_are_too_long_are_refused(spark, tmp_path):
+    p = _write(tmp_path / "long.csv", b"a,b\n1,2\n3,4,5\n6\n")
+    with pytest.raises(ValueError, match="1 CSV row"):
+        read_csv(spark, FileSpec(p))
+    p = _write(tmp_path / "short.csv", b"a,b\n1,2\n6\n")
+    assert sorted((r.a, r.b) for r in read_csv(spark, FileSpec(p))[0].collect()) == [(1.0, 2.0), (6.0, None)]
+
+
+def test_folder_with_an_explicit_encoding_matches_columns_by_name(spark, tmp_path):
+    d = tmp_path / "two"
+    d.mkdir()
+    _write(d / "x.csv", b"a,b\n1,2\n")
+    _write(d / "y.csv", b"b,a\n30,3\n")
+    df, _, enc = read_csv(spark, FileSpec(str(d), " UTF-8 "))
+    assert enc == "utf-8" and sorted((r.a, r.b) for r in df.collect()) == [(1.0, 2.0), (3.0, 30.0)]
+
+
+def test_header_names_that_differ_in_case_or_hold_back_ticks(spark, tmp_path):
+    p = _write(tmp_path / "n.csv", b"A,a,x`y,s.t\n1,2,3,4\n")
+    df, kinds, _ = read_csv(spark, FileSpec(p))
+    assert df.columns == ["A", "a.1", "x`y", "s.t"] and tuple(df.first()) == (1.0, 2.0, 3.0, 4.0)
+    df.write.parquet(str(tmp_path / "back"))
+
+
+def test_last_column_of_a_csv_is_the_users(spark, tmp_path):
+    from cairn.config import PipelineConfig, TargetSpec
+    from cairn.plans import StepRegistry, run_regression
+
+    lines = ["x,c,y"] + [f"{i},{'ab'[i % 2]},{(i * 37) % 11}" for i in range(60)]
+    p = _write(tmp_path / "t.csv", "\n".join(lines).encode())
+    steps = StepRegistry()
+    steps.register("choose", lambda df: df.select("x", "y"))
+    steps.register("twice", lambda df: df.union(df))
+    res = run_regression(spark, PipelineConfig(file=FileSpec(p), target=TargetSpec("last_column")), steps=["choose", "twice"], registry=steps)
+    assert res.target == "y" and res.kinds == {"x": "numeric"} and res.metrics["r2"] < 0.9
+    assert res.split.count() == 120 and res.split.where("is_test").count() == 24
+
+
+def test_large_files_are_read_in_splits_and_settings_stay(spark, tmp_path):
+    before = spark.conf.get("spark.sql.legacy.javaCharsets", None)
+    plain = _write(tmp_path / "plain.csv", "n,v\n東京,1\n".encode("shift_jis"))
+    assert [r.n for r in read_csv(spark, FileSpec(plain))[0].collect()] == ["東京"]
+    assert spark.conf.get("spark.sql.legacy.javaCharsets", None) == before
+    rows = "".join(f"{i},word {i}\n" for i in range(40_000))
+    p = _write(tmp_path / "big.csv", ("k,t\n" + rows).encode())
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "100k")
+        df, _, enc = read_csv(spark, FileSpec(p))
+        assert enc == "ascii" and df.rdd.getNumPartitions() > 3 and df.count() == 40_000
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_line_rules_equal_whole_file_rules(spark, tmp_path):
+    files = {
+        "a": "plain\ntext".encode(), "b": "café\nplain\n".encode(), "c": "plain\r\ncafé\n".encode("windows-1252"),
+        "d": "名前\n東京\nabc".encode("shift_jis"), "e": "①\n名\n".encode("cp932"), "f": b"x\ry\rz", "g": b"\xff\n\xfe",
+    }
+    for name, data in files.items():
+        _write(tmp_path / name, data)
+    got = {r.path.rsplit("/", 1)[-1]: r.encoding for r in encoding_inventory(spark, str(tmp_path)).collect()}
+    assert got == {name: detect_bytes(data) for name, data in files.items()}

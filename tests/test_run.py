@@ -2,7 +2,7 @@ import json
 
 import pytest
 
-from cairn.config import ArtifactSpec, FileSpec, ModelPolicy, PipelineConfig, SplitPolicy, TargetSpec
+from cairn.config import ArtifactSpec, CategoryPolicy, FileSpec, ModelPolicy, PipelineConfig, SplitPolicy, TargetSpec
 from cairn.plans import StepRegistry, run_regression, run_report
 from cairn.sources.artifacts import payload_json, result_frame
 
@@ -46,7 +46,7 @@ def test_registry_rules(spark):
         reg.register("double", lambda df: df)
     with pytest.raises(ValueError, match="empty"):
         reg.register(" ", lambda df: df)
-    with pytest.raises(KeyError, match="not registered"):
+    with pytest.raises(KeyError, match="no step called 'nope'"):
         reg.get("nope")
     df = spark.createDataFrame([(float(i), float(i)) for i in range(10)], "x double, target double")
     cfg = PipelineConfig(target=TargetSpec("explicit", "target"))
@@ -55,10 +55,10 @@ def test_registry_rules(spark):
 
 
 def test_payload_and_artifact_rules(spark):
-    text = payload_json("success", {"r2": 1.0}, ["predict"], ["evaluate"])
+    text = payload_json("ok", {"r2": 1.0}, ["predict"], ["evaluate"])
     assert list(json.loads(text)) == sorted(json.loads(text))
-    assert result_frame(spark, "success", {"r2": 1.0}, ["x"]).first().metrics == {"r2": 1.0}
-    with pytest.raises(ValueError, match="relative"):
+    assert result_frame(spark, "ok", {"r2": 1.0}, ["x"]).first().metrics == {"r2": 1.0}
+    with pytest.raises(ValueError, match="must be relative"):
         ArtifactSpec(directory="/abs")
     with pytest.raises(ValueError, match=r"\.\."):
         ArtifactSpec(directory="a/../b")
@@ -83,8 +83,22 @@ def test_failure_payload(spark):
     df = spark.createDataFrame([(1.0, "bad"), (2.0, "worse"), (3.0, "x")], "x double, target string")
     payload, res = run_with_payload(spark, PipelineConfig(target=TargetSpec("explicit", "target")), df=df)
     row = payload.first()
-    assert res is None and row.status == "execution_failed"
-    assert row.logs[0].startswith("action_error:run_regression:ValueError:Target column could not be coerced")
+    assert res is None and (row.status, row.error) == ("error", "execution_failed")
+    assert row.actions == ["identify_target"] and row.logs[:2] == ["target:target", "target_numeric_failed:nan_ratio=1.000"]
+    assert row.logs[2].startswith("action_error:validate_target_numeric:TargetGateError:Target column could not be coerced")
+
+    def bad_settings():
+        return PipelineConfig(split=SplitPolicy(test_size=0.7))
+
+    row = run_with_payload(spark, bad_settings, df=df)[0].first()
+    assert (row.status, row.error) == ("error", "configuration_error")
+    rows = [(float(i), "ab"[i % 2] if i else "rare", float(i)) for i in range(40)]
+    cat = spark.createDataFrame(rows, "x double, c string, target double")
+    cfg = PipelineConfig(target=TargetSpec("explicit", "target"), category=CategoryPolicy("onehot", "error"))
+    seeds = [run_with_payload(spark, PipelineConfig(**{**cfg.__dict__, "split": SplitPolicy(random_state=s)}), df=cat)[0].first() for s in range(8)]
+    failed = [r for r in seeds if r.status == "error"]
+    assert failed and all(r.error == "execution_failed" and r.logs[0] == "target:target" and r.logs[-1].startswith("action_error:") for r in failed)
+    assert all(r.status == "ok" and r.error is None for r in seeds if r not in failed)
 
 
 def test_feature_stage_between_prep_and_model(spark):
