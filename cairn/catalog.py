@@ -707,13 +707,13 @@ def q_documents_csv_1252(spark, d):
     """Whole document texts (multi-line, quotes, accents) written as windows-1252 CSV, read back with the
     encoding detected by the inventory job."""
     from cairn.config import FileSpec
-    from cairn.sources.csv import read_csv
+    from cairn.sources.csv import charsets, read_csv
 
     docs = _t(spark, d, "documents").select("doc_id", "lang", "text")
     path = scratch_path(spark, "documents-1252")
-    spark.conf.set("spark.sql.legacy.javaCharsets", "true")
-    (docs.write.option("encoding", "windows-1252").option("header", "true").option("escape", '"')
-     .option("ignoreLeadingWhiteSpace", "false").option("ignoreTrailingWhiteSpace", "false").csv(path))
+    with charsets(spark, "windows-1252"):
+        (docs.write.option("encoding", "windows-1252").option("header", "true").option("escape", '"')
+         .option("ignoreLeadingWhiteSpace", "false").option("ignoreTrailingWhiteSpace", "false").csv(path))
     df, _, _ = read_csv(spark, FileSpec(path, None, check_exists=False))
     return df
 
@@ -723,34 +723,37 @@ def q_csv_folder_mixed(spark, d):
     """One folder of document CSV files in two encodings (en/de as UTF-8, fr/es as windows-1252), read back
     with each file's detected encoding; files sharing an encoding and header are read in one scan."""
     from cairn.config import FileSpec
+    from cairn.sources.csv import charsets
     from cairn.sources.encoding import read_csv_folder
 
     docs = _t(spark, d, "documents").select("doc_id", "lang", "text")
     base = scratch_path(spark, "documents-mixed")
-    spark.conf.set("spark.sql.legacy.javaCharsets", "true")
     as_utf8 = F.col("lang").isin("en", "de")
     for charset, part in (("utf-8", docs.where(as_utf8)), ("windows-1252", docs.where(~as_utf8))):
-        (part.repartition(3, "lang").write.option("encoding", charset).option("header", "true")
-         .option("escape", '"').option("ignoreLeadingWhiteSpace", "false")
-         .option("ignoreTrailingWhiteSpace", "false").csv(f"{base}/{charset}"))
+        with charsets(spark, charset):
+            (part.write.option("encoding", charset).option("header", "true")
+             .option("escape", '"').option("ignoreLeadingWhiteSpace", "false")
+             .option("ignoreTrailingWhiteSpace", "false").csv(f"{base}/{charset}"))
     df, _, _ = read_csv_folder(spark, FileSpec(f"{base}/*/*.csv", check_exists=False))
     return df
 
 
 # ---- S6 encoding inventory, M5 forest, X3 report (rows-only: no SQL form) ------------------------
 
-@query("encoding_inventory")
+@query("encoding_inventory", "SELECT * FROM (VALUES ('utf-8', 'utf-8'), ('windows-1252', 'windows-1252')) AS t(written_as, encoding) WHERE (SELECT count(*) FROM documents) > 0")
 def q_encoding_inventory(spark, d):
+    from cairn.sources.csv import charsets
     from cairn.sources.encoding import encoding_inventory
 
     docs = _t(spark, d, "documents").select("doc_id", "lang", "text")
     base = scratch_path(spark, "encodings")
-    spark.conf.set("spark.sql.legacy.javaCharsets", "true")
     for charset in ("utf-8", "windows-1252"):
-        docs.repartition(4, "lang").write.option("encoding", charset).option("header", "true").csv(f"{base}/{charset}")
+        with charsets(spark, charset):
+            docs.write.option("encoding", charset).option("header", "true").csv(f"{base}/{charset}")
     inv = encoding_inventory(spark, f"{base}/*/*.csv")
     folder = F.regexp_extract("path", r"/(utf-8|windows-1252)/", 1)
-    return inv.groupBy(folder.alias("written_as"), "encoding").agg(F.count(F.lit(1)).alias("files"))
+    # a file of English lines only is ASCII in both folders
+    return inv.where("encoding <> 'ascii'").select(folder.alias("written_as"), "encoding").distinct()
 
 
 def _part_run(spark, d, kind: str, params: dict) -> "object":
@@ -775,9 +778,16 @@ def q_run_report(spark, d):
     return run_report(spark, res.logs)
 
 
+def _cases() -> None:
+    """The further cases add themselves to Q and SQL."""
+    from cairn import catalog_cases  # noqa: F401
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    _cases()
     return dict(Q)
 
 
 def oracle_sql() -> dict[str, str]:
+    _cases()
     return dict(SQL)
