@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from cairn.llm.common import map_arrow, text_frame
 
 #: Pre-tokens remembered in each of the two generations.
-REMEMBERED = 200_000
+REMEMBERED = 500_000
 _MASK = (1 << 64) - 1
 
 
@@ -112,6 +112,22 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
+class Known(dict):
+    """Ids of recent pre-tokens: this dict and the generation before it."""
+
+    def __init__(self, codec: "Codec"):
+        self.codec = codec
+        self.old: dict[str, tuple[int, ...]] = {}
+
+    def __missing__(self, token: str) -> tuple[int, ...]:
+        ids = self.old.get(token) or self.codec.piece(token)
+        if len(self) >= REMEMBERED:
+            self.old = dict(self)
+            self.clear()
+        self[token] = ids
+        return ids
+
+
 class Codec:
     """Encoder and decoder for one ranks file and pre-token pattern."""
 
@@ -124,23 +140,16 @@ class Codec:
         self.table = PerfectHash(self.keys)
         self.bytes_of = dict(zip(self.ids, self.keys))
         self.text_of = {i: str(i) for i in self.ids}
-        self.new: dict[str, tuple[int, ...]] = {}
-        self.old: dict[str, tuple[int, ...]] = {}
+        self.known = Known(self)
 
     def piece(self, token: str) -> tuple[int, ...]:
-        ids = self.old.get(token)
-        if ids is None:
-            raw = token.encode()
-            at = self.table.slot(raw)
-            ids = (self.ids[at],) if self.keys[at] == raw else tuple(merge(raw, self.ranks))
-        if len(self.new) >= REMEMBERED:
-            self.old, self.new = self.new, {}
-        self.new[token] = ids
-        return ids
+        """Ids of one pre-token: the perfect hash first, merging else."""
+        raw = token.encode()
+        at = self.table.slot(raw)
+        return (self.ids[at],) if self.keys[at] == raw else tuple(merge(raw, self.ranks))
 
     def encode(self, text: str) -> list[int]:
-        known, piece = self.new.get, self.piece
-        return list(chain.from_iterable([known(t) or piece(t) for t in self.find(text)]))
+        return list(chain.from_iterable(map(self.known.__getitem__, self.find(text))))
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
