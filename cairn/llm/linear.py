@@ -6,6 +6,7 @@ bounded by the sample size, which is a parameter of each operator.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,19 +21,48 @@ class Sparse:
     value: np.ndarray
     width: int
 
+    #: Entries worked on at once, so that temporary arrays stay small.
+    CHUNK = 1 << 19
+
     @classmethod
     def of(cls, rows: list[tuple[np.ndarray, np.ndarray]], width: int) -> Sparse:
         ptr = np.concatenate(([0], np.cumsum([len(r[0]) for r in rows]))).astype(np.int64)
-        index = np.concatenate([r[0] for r in rows]) if rows else np.zeros(0, np.int64)
-        value = np.concatenate([r[1] for r in rows]) if rows else np.zeros(0)
-        return cls(ptr, index.astype(np.int64), value.astype(np.float64), width)
+        index = np.concatenate([r[0] for r in rows]).astype(np.int32, copy=False) if rows else np.zeros(0, np.int32)
+        value = np.concatenate([r[1] for r in rows]).astype(np.float32, copy=False) if rows else np.zeros(0, np.float32)
+        return cls(ptr, index, value, width)
+
+    def _parts(self) -> Iterator[tuple[int, int, slice]]:
+        """Ranges of rows of about CHUNK entries, with their entries."""
+        at, n = 0, len(self.ptr) - 1
+        while at < n:
+            to = min(n, max(at + 1, int(np.searchsorted(self.ptr, self.ptr[at] + self.CHUNK, side="right")) - 1))
+            yield at, to, slice(int(self.ptr[at]), int(self.ptr[to]))
+            at = to
 
     def dot(self, w: np.ndarray) -> np.ndarray:
-        total = np.concatenate(([0.0], np.cumsum(self.value * w[self.index])))
-        return total[self.ptr[1:]] - total[self.ptr[:-1]]
+        out = np.zeros(len(self.ptr) - 1)
+        for a, b, e in self._parts():
+            total = np.concatenate(([0.0], np.cumsum(self.value[e] * w[self.index[e]])))
+            p = self.ptr[a : b + 1] - self.ptr[a]
+            out[a:b] = total[p[1:]] - total[p[:-1]]
+        return out
 
     def tdot(self, r: np.ndarray) -> np.ndarray:
-        return np.bincount(self.index, weights=self.value * np.repeat(r, np.diff(self.ptr)), minlength=self.width)
+        out = np.zeros(self.width)
+        for a, b, e in self._parts():
+            out += np.bincount(self.index[e], weights=self.value[e] * np.repeat(r[a:b], np.diff(self.ptr[a : b + 1])), minlength=self.width)
+        return out
+
+    def rescale(self, scale: np.ndarray) -> None:
+        """Multiplies every column in place."""
+        for _, _, e in self._parts():
+            self.value[e] *= scale[self.index[e]].astype(np.float32)
+
+    def mean_square(self) -> np.ndarray:
+        out = np.zeros(self.width)
+        for _, _, e in self._parts():
+            out += np.bincount(self.index[e], weights=self.value[e].astype(np.float64) ** 2, minlength=self.width)
+        return out / max(1, len(self.ptr) - 1)
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -43,12 +73,13 @@ def fit_logistic(x: Sparse, y: np.ndarray, l2: float = 1e-3, steps: int = 150) -
     """Weights and intercept of an L2-penalised logistic regression (accelerated full gradients).
 
     Columns are brought to one scale by their root mean square first; the
-    returned weights are for the raw columns.
+    returned weights are for the raw columns. ``x`` is rescaled in place.
     """
     n = max(1, len(y))
-    scale = np.sqrt(np.bincount(x.index, weights=x.value**2, minlength=x.width) / n)
+    scale = np.sqrt(x.mean_square())
     scale = 1.0 / (scale + 0.05 * (scale.max(initial=0.0) or 1.0))
-    z = Sparse(x.ptr, x.index, x.value * scale[x.index], x.width)
+    x.rescale(scale)
+    z = x
     # the largest curvature: power iteration on Z'Z / 4n
     v = np.ones(x.width) / np.sqrt(x.width)
     top = 1.0
