@@ -3,17 +3,48 @@
 from __future__ import annotations
 
 import json
+import re
 
 from pyspark.ml import PipelineModel
+from pyspark.ml.feature import SQLTransformer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 
+#: Where a table that a saved SQL stage reads is kept, next to the preprocessor.
+TABLES = "{base}/{name}-tables"
+_TABLE = re.compile(r"parquet\.`([^`]+)`")
+
+
+def _with_tables(model: PipelineModel, place) -> PipelineModel:
+    """The same stages, with every table path of their SQL replaced by ``place(path)``."""
+    stages = []
+    for stage in model.stages:
+        statement = stage.getStatement() if isinstance(stage, SQLTransformer) else ""
+        moved = _TABLE.sub(lambda m: f"parquet.`{place(m[1])}`", statement)
+        stages.append(SQLTransformer(statement=moved) if moved != statement else stage)
+    return PipelineModel(stages=stages)
+
+
 def save_artifacts(prep_model: PipelineModel, model, directory: str,
                    model_name: str = "model", preprocessor_name: str = "preprocessor") -> tuple[str, str]:
-    """Write both parts under ``directory`` (two sub-folders); returns their paths."""
+    """Write both parts under ``directory`` (two sub-folders); returns their paths.
+
+    Vocabulary tables that the preprocessor joins are copied next to it, so
+    the scratch folder may go.
+    """
     base = directory.rstrip("/")
     model_path, prep_path = f"{base}/{model_name}", f"{base}/{preprocessor_name}"
+    tables = TABLES.format(base=base, name=preprocessor_name)
+    places: dict[str, str] = {}
+
+    def keep(path: str) -> str:
+        if path not in places:
+            places[path] = f"{tables}/{len(places)}"
+            SparkSession.getActiveSession().read.parquet(path).write.mode("overwrite").parquet(places[path])
+        return places[path]
+
+    prep_model = _with_tables(prep_model, keep)
     prep_model.write().overwrite().save(prep_path)
     wrapped = model if isinstance(model, PipelineModel) else PipelineModel(stages=[model])
     wrapped.write().overwrite().save(model_path)
@@ -28,7 +59,9 @@ def load_artifacts(directory: str, model_name: str = "model",
         model = PipelineModel.load(f"{base}/{model_name}")
     except Exception as exc:  # both parts must exist
         raise RuntimeError(f"artifacts under {base} are incomplete: {exc}") from exc
-    return prep, model
+    # the folder may have been moved since it was written
+    tables = TABLES.format(base=base, name=preprocessor_name)
+    return _with_tables(prep, lambda path: f"{tables}/{path.rsplit('/', 1)[-1]}"), model
 
 
 RESULT_SCHEMA = T.StructType([

@@ -130,3 +130,27 @@ def test_vocabulary_total_budget_moves_the_largest_columns_to_tables(spark, monk
     a = lit.columns(df, keep=["target"]).orderBy("target").toPandas()
     b = mixed.columns(df, keep=["target"]).orderBy("target").toPandas()
     assert np.allclose(a.to_numpy(), b.to_numpy())
+
+
+def test_saved_preprocessor_carries_its_vocabulary_tables(spark, tmp_path, monkeypatch):
+    import shutil
+
+    import cairn.operators.prep as P
+    from cairn.operators.models import build_estimator
+    from cairn.config import ModelPolicy
+    from cairn.sources.artifacts import load_artifacts, save_artifacts
+
+    rows = [(float(i), f"v{i % 9}", float(i % 9)) for i in range(90)]
+    df = spark.createDataFrame(rows, "num double, cat string, target double")
+    monkeypatch.setattr(P, "LITERAL_VOCAB_LIMIT", 3)
+    prep = fit_prep(df, ["num"], ["cat"])
+    pm = prep.pipeline_model("features", df)
+    model = build_estimator(ModelPolicy(), prep.feature_count, "features", "target").fit(pm.transform(df))
+    save_artifacts(pm, model, str(tmp_path / "a"))
+    want = [r.prediction for r in model.transform(pm.transform(df)).orderBy("num").collect()]
+    shutil.copytree(tmp_path / "a", tmp_path / "elsewhere")
+    scratch = prep.categorical[0].vocab_path.replace("file:", "")
+    pm2, model2 = load_artifacts(str(tmp_path / "elsewhere"))
+    assert all(scratch not in s.getStatement() and str(tmp_path / "a") not in s.getStatement() for s in pm2.stages if hasattr(s, "getStatement"))
+    got = [r.prediction for r in model2.transform(pm2.transform(df)).orderBy("num").collect()]
+    assert np.allclose(got, want)
