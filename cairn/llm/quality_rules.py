@@ -37,7 +37,7 @@ SYMBOLS = b"#*$%&|<>"
 #: A document is kept from this calibrated probability on.
 KEEP_FROM = 0.3
 #: Labelled rows of which the model is learned.
-SAMPLE = 4_000
+SAMPLE = 2_000
 BITS = 17
 WORD_ORDERS = (1, 2)
 CHAR_ORDERS = (2, 3, 4)
@@ -135,14 +135,17 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, sample: int) -> Dat
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> QualityModel | None:
     """Fits and calibrates; ``None`` if there are not both labels to learn from."""
     rows = map_arrow(labelled(docs, labels, "quality", sample).select("text", "y", "held"), _sample_batch, "y int, held boolean, cols binary, vals binary").toArrow().to_pylist()
-    rows.sort(key=lambda r: (r["y"], r["cols"], r["vals"]))
+    rows.sort(key=lambda r: (r["y"], r["cols"], r["vals"]))  # the order of arrival plays no part
     y = np.array([r["y"] for r in rows], float)
     held = np.array([r["held"] for r in rows], bool)
     if not 0 < y[~held].sum() < (~held).sum():
         return None
-    design = [(np.frombuffer(r["cols"], np.int32), np.frombuffer(r["vals"], np.float32)) for r in rows]
-    w, b = fit_logistic(Sparse.of([d for d, h in zip(design, held) if not h], 1 << BITS), y[~held])
-    margin = Sparse.of([d for d, h in zip(design, held) if h], 1 << BITS).dot(w) + b
+    unpack = lambda r: (np.frombuffer(r["cols"], np.int32), np.frombuffer(r["vals"], np.float32))
+    unseen = Sparse.of([unpack(r) for r in rows if r["held"]], 1 << BITS)
+    learn = Sparse.of([unpack(r) for r in rows if not r["held"]], 1 << BITS)
+    del rows
+    w, b = fit_logistic(learn, y[~held])
+    margin = unseen.dot(w) + b
     slope, shift = fit_platt(margin, y[held])
     return QualityModel(w.astype(np.float32), b, slope, shift)
 
