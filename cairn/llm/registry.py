@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cairn.llm import byte_bpe, language_id, line_crf, ngram_join, one_bit_ann, packing, quality_rules, suffix_dedup, toxicity, wrapper_extract
+from cairn.llm import byte_bpe, language_id, line_crf, ngram_join, one_bit_ann, oracles, packing, quality_rules, suffix_dedup, toxicity, wrapper_extract
 
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op1_ngram_jaccard_join": oracles.NGRAM_JOIN, "op3_suffix_array_dedup": oracles.SUFFIX_DEDUP}
 
 
 def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
