@@ -38,6 +38,19 @@ def text_frame(df: DataFrame, ident: str = "doc_id", text: str = "text", keep: t
     )
 
 
+#: Rows of an Arrow batch, unless the session asks for another number than Spark's default: texts are long.
+BATCH_ROWS = 2_000
+_BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """``df``; its session sends Arrow batches of at most ``BATCH_ROWS`` rows from now on, if it had Spark's default."""
+    conf = df.sparkSession.conf
+    if conf.get(_BATCH_SETTING) == "10000":
+        conf.set(_BATCH_SETTING, str(BATCH_ROWS))
+    return df
+
+
 def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
     """``mapInArrow`` with a function of one batch."""
 
@@ -46,7 +59,7 @@ def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | Non
             if batch.num_rows and (out := fn(batch)) is not None:
                 yield out
 
-    return df.mapInArrow(run, schema)
+    return bounded_batches(df).mapInArrow(run, schema)
 
 
 def shuffle_partitions(df: DataFrame) -> int:
@@ -59,3 +72,14 @@ ROW = "__row"
 
 def as_row(docs: DataFrame) -> DataFrame:
     return docs.select(F.struct("*").alias(ROW))
+
+
+def with_text(docs: DataFrame, keep: list[str], *more: Column) -> DataFrame:
+    """``keep`` columns and ``more``, with the text as ``_text`` unless it travels in ``ROW`` already."""
+    own = [] if ROW in keep else [F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_text")]
+    return docs.select(*[f"`{c}`" for c in keep], *own, *more)
+
+
+def text_of(batch: pa.RecordBatch) -> pa.Array:
+    """The text column of a batch of :func:`with_text`."""
+    return batch.column("_text") if "_text" in batch.schema.names else batch.column(ROW).field("text")

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairn.llm import textvec as tv
-from cairn.llm.common import ROW, as_row, map_arrow
+from cairn.llm.common import ROW, as_row, bounded_batches, map_arrow, text_of, with_text
 from cairn.llm.linear import Sparse, fit_ftrl, fit_temperature
 
 BITS = 16
@@ -36,7 +36,7 @@ PER_LANG = 600
 #: A language may not be left out of the sample for being frequent; more languages than this are refused.
 MAX_LANGS = 500
 #: In the pipeline: texts below this confidence are rejected.
-MIN_CONFIDENCE = 0.5
+MIN_CONFIDENCE = 0.3
 
 
 @dataclass
@@ -81,7 +81,7 @@ def _count_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 
 def document_frequencies(learn: DataFrame) -> tuple[np.ndarray, int]:
     """How many texts have each column, and the number of texts; 2**BITS rows at most reach the driver."""
-    rows = learn.select("text").mapInArrow(_count_documents, "col long, n long").groupBy("col").agg(F.sum("n").alias("n")).toPandas()
+    rows = bounded_batches(learn.select("text")).mapInArrow(_count_documents, "col long, n long").groupBy("col").agg(F.sum("n").alias("n")).toPandas()
     df = np.zeros(1 << BITS)
     known = rows[rows.col >= 0]
     df[known.col.to_numpy()] = known.n.to_numpy()
@@ -143,7 +143,7 @@ def predict(docs: DataFrame, model: LanguageModel, keep: tuple[str, ...] = ("doc
         m = shared.value
         best, score = [], []
         ok = batch.column("_letter").to_numpy(zero_copy_only=False)
-        for a, b, texts in tv.texts_of(batch.column("_text")):
+        for a, b, texts in tv.texts_of(text_of(batch)):
             if not m.languages:
                 best += ["und"] * (b - a)
                 score += [0.0] * (b - a)
@@ -157,8 +157,9 @@ def predict(docs: DataFrame, model: LanguageModel, keep: tuple[str, ...] = ("doc
         return pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(best, pa.string()), pa.array(score, pa.float64())], names=[*names, "lang_pred", "score"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*names).schema)
-    letter = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("_letter")
-    return map_arrow(docs.select(*names, F.col("text").cast("string").alias("_text"), letter), run, fields + ", lang_pred string, score double")
+    text = F.col(f"{ROW}.text") if ROW in names else F.col("text")
+    letter = F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias("_letter")
+    return map_arrow(with_text(docs, names, letter), run, fields + ", lang_pred string, score double")
 
 
 def digest(docs: DataFrame, per_lang: int = PER_LANG) -> DataFrame:
@@ -179,7 +180,7 @@ def keep_identified(docs: DataFrame, min_confidence: float = MIN_CONFIDENCE, per
     model = fit(base, per_lang)
     if not model.languages:
         return docs.where(F.col("text").rlike(r"\p{L}"))
-    found = predict(as_row(docs).select(ROW, F.col(f"{ROW}.text").alias("text")), model, (ROW,))
+    found = predict(as_row(docs), model, (ROW,))
     found = found.where((F.col("lang_pred") != "und") & (F.col("score") >= min_confidence))
     own = [F.col(f"{ROW}.`{c}`") for c in docs.columns]
     return found.select(*[F.coalesce(v, F.col("lang_pred")).alias(c) if c == "lang" else v.alias(c) for c, v in zip(docs.columns, own)])

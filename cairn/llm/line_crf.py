@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairn.llm import textvec as tv
-from cairn.llm.common import map_arrow
+from cairn.llm.common import map_arrow, text_of, with_text
 from cairn.llm.linear import fit_platt, sigmoid
 
 SAMPLE = 2_500
@@ -258,7 +258,7 @@ def score(docs: DataFrame, model: LineModel | None, keep: tuple[str, ...] = ("do
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         m, scores, lines = shared.value, [], []
-        for _, _, texts in tv.texts_of(batch.column("_text")):
+        for _, _, texts in tv.texts_of(text_of(batch)):
             x, size, first = line_features(texts)
             lines.append(np.diff(first))
             scores.append(m.score(x, size, first) if m else np.where(lines[-1] > 0, 0.5, 0.0))
@@ -266,7 +266,7 @@ def score(docs: DataFrame, model: LineModel | None, keep: tuple[str, ...] = ("do
         return pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(s), pa.array((s >= predict_from).astype(np.int32)), pa.array(np.concatenate(lines).astype(np.int64))], names=[*names, "score", "predicted", "n_lines"])
 
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.select(*names).schema)
-    return map_arrow(docs.select(*names, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_text")), run, fields + "score double, predicted int, n_lines long")
+    return map_arrow(with_text(docs, names), run, fields + "score double, predicted int, n_lines long")
 
 
 def digest(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:

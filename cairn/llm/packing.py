@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from cairn.llm.common import text_frame
+from cairn.llm.common import bounded_batches, text_frame
 
 WINDOW = 4096
 TIERS = (512, 1024, 2048, 4096)
@@ -43,7 +43,7 @@ END_ID = 2
 POOL_TOKENS = 1 << 20
 STEP_TOKENS = 1 << 16
 #: Words whose ids are kept by a Python worker; beyond it the memory starts anew.
-KNOWN_WORDS = 400_000
+KNOWN_WORDS = 250_000
 
 # Letters, digits and white space below U+0250, where lower-casing
 # needs no composition; texts with other characters go through the tokenizer's own normaliser.
@@ -238,4 +238,4 @@ def pack(docs: DataFrame, tokenizer: str | None = None, with_ids: bool = False)
         if windows := whole + windows + last_windows(pending):
             yield out(windows)
 
-    return text_frame(docs).mapInArrow(run, PIECES + (", ids array<int>" if with_ids else ""))
+    return bounded_batches(text_frame(docs)).mapInArrow(run, PIECES + (", ids array<int>" if with_ids else ""))

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairn.llm import textvec as tv
-from cairn.llm.common import ROW, as_row, map_arrow
+from cairn.llm.common import ROW, as_row, map_arrow, text_of, with_text
 from cairn.llm.linear import Sparse, fit_logistic, fit_platt, sigmoid
 
 #: Fixed values of the base rule.
@@ -161,7 +161,7 @@ def judge(docs: DataFrame, model: QualityModel | None, keep: tuple[str, ...] = (
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         m, parts = shared.value, []
-        for _, _, texts in tv.texts_of(batch.column("_text")):
+        for _, _, texts in tv.texts_of(text_of(batch)):
             c = base_counts(texts)
             p = m.probability(texts) if m else np.ones(texts.n)
             failed = (c["n_words"] < MIN_WORDS) | (100 * c["n_repeat_words"] > MAX_REPEAT_PERCENT * c["n_words"])
@@ -170,7 +170,7 @@ def judge(docs: DataFrame, model: QualityModel | None, keep: tuple[str, ...] = (
         return pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], *out], names=[*names, *COUNTS, "base_failed", "kept", "probability"])
 
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.select(*names).schema)
-    return map_arrow(docs.select(*names, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_text")), run, fields + VERDICT)
+    return map_arrow(with_text(docs, names), run, fields + VERDICT)
 
 
 def digest(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
@@ -180,5 +180,4 @@ def digest(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFram
 
 def keep_good(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """The documents that pass, with their own columns."""
-    rows = as_row(docs).select(ROW, F.col(f"{ROW}.text").alias("text"))
-    return judge(rows, fit(docs, labels, sample), (ROW,)).where("kept").select(f"{ROW}.*")
+    return judge(as_row(docs), fit(docs, labels, sample), (ROW,)).where("kept").select(f"{ROW}.*")

@@ -19,7 +19,7 @@ U64 = np.uint64
 BASE = 0x9E3779B97F4A7C15 | 1
 BASE_INV = pow(BASE, -1, 1 << 64)
 #: Bytes worked on at once; a longer text is a chunk of its own.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 
 _POWERS: dict[str, np.ndarray] = {}
 

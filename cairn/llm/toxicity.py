@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairn.llm import textvec as tv
-from cairn.llm.common import map_arrow
+from cairn.llm.common import map_arrow, text_of, with_text
 from cairn.llm.linear import fit_platt, sigmoid
 
 #: Labelled documents of which lexicon and scores are learned: toxic ones and others.
@@ -433,11 +433,11 @@ def score(docs: DataFrame, model: ToxicModel, keep: tuple[str, ...] = ("doc_id",
     names = list(keep)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        s = np.concatenate([shared.value.score(texts) for _, _, texts in tv.texts_of(batch.column("_text"))])
+        s = np.concatenate([shared.value.score(texts) for _, _, texts in tv.texts_of(text_of(batch))])
         return pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(s), pa.array((s >= predict_from).astype(np.int32))], names=[*names, "score", "predicted"])
 
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.select(*names).schema)
-    return map_arrow(docs.select(*names, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_text")), run, fields + "score double, predicted int")
+    return map_arrow(with_text(docs, names), run, fields + "score double, predicted int")
 
 
 def digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
