@@ -27,6 +27,7 @@ from __future__ import annotations
 import bisect
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,8 +43,8 @@ END_ID = 2
 #: Tokens packed at a time, and of a step group.
 POOL_TOKENS = 1 << 20
 STEP_TOKENS = 1 << 16
-#: Words whose ids are kept by a Python worker; beyond it the memory starts anew.
-KNOWN_WORDS = 250_000
+#: Words whose ids a Python worker keeps in each of two generations.
+KNOWN_WORDS = 400_000
 
 # Letters, digits and white space below U+0250, where lower-casing
 # needs no composition; texts with other characters go through the tokenizer's own normaliser.
@@ -60,6 +61,7 @@ class WordIds(dict):
     def __init__(self, path: str):
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
+        self.old: dict[str, bytes] = {}
         self.whole = Tokenizer.from_file(path)
         self.whole.encode_special_tokens = True
         self.single = Tokenizer.from_file(path)
@@ -69,13 +71,17 @@ class WordIds(dict):
 
     def __missing__(self, word: str) -> bytes:
         if len(self) >= KNOWN_WORDS:
+            self.old = dict(self)
             self.clear()
-        ids = self[word] = np.array(self.single.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        ids = self.old.get(word)
+        if ids is None:
+            ids = array("I", self.single.encode(word, add_special_tokens=False).ids).tobytes()
+        self[word] = ids
         return ids
 
     def encode(self, text: str) -> bytes:
         if _PLAIN.search(text):
-            return np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+            return array("I", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
         return b"".join(map(self.__getitem__, _WORD.findall(text.lower())))
 
 
