@@ -63,6 +63,8 @@ def max_features_count(value, n_features: int) -> str:
 GRAM_RCOND = 1e-12
 # the driver holds and solves a d x d matrix (128 MB at this width)
 GRAM_MAX_FEATURES = 4096
+# widths at which a batch of sparse rows is multiplied as a full matrix (the same sums either way)
+NARROW = 64
 
 
 def build_estimator(policy: ModelPolicy, n_features: int, features_col: str = "features",
@@ -169,11 +171,19 @@ def gram_statistics(df: DataFrame, features_col: str, label_col: str, shift: tup
                 sx += x.sum(axis=0)
             else:
                 row = np.repeat(np.arange(n), sizes)
-                dense = np.asarray(indices.is_null())
+                dense = np.asarray(indices.is_null())  # rows stored in full
                 cols = np.empty(len(flat), np.int64)
                 cols[~dense[row]] = indices.flatten().to_numpy(zero_copy_only=False)
                 starts = np.cumsum(sizes) - sizes
                 cols[dense[row]] = (np.arange(len(flat)) - starts[row])[dense[row]]
+                if d <= NARROW:  # a full matrix of the batch is small
+                    x = np.tile(-x0, (n, 1))
+                    x[row, cols] += flat
+                    xtx += x.T @ x
+                    xty += x.T @ y
+                    sx += x.sum(axis=0)
+                    tail += (float(y.sum()), float(y @ y), float(n))
+                    continue
                 some = flat != 0
                 row, cols, flat = row[some], cols[some], flat[some]
                 # the shifted columns as one dense block, all others by their non-zero entries

@@ -31,7 +31,7 @@ from cairn.operators.metrics import metrics_log, regression_metrics
 from cairn.operators.models import SPARK_MAX_DEPTH, build_estimator, model_log
 from cairn.operators.prep import FittedPrep, fit_prep
 from cairn.operators.profile import column_kinds, missing_ratios
-from cairn.operators.split import KEY_COLUMNS, random_split, stratified_split
+from cairn.operators.split import KEY_COLUMNS, random_split, stratified_split, with_order_keys
 from cairn.operators.target import repair_target, resolve_target
 
 
@@ -79,10 +79,12 @@ class RunResult:
     artifacts: tuple[str, str] | None = None
     actions: list[str] = field(default_factory=list)
     timings: dict[str, float] = field(default_factory=dict)
+    cached: DataFrame | None = None
 
     def release(self) -> None:
-        """Drop the cached split frame once the results have been consumed."""
-        self.split.unpersist()
+        """Drop the cached rows once the results have been consumed."""
+        if self.cached is not None:
+            self.cached.unpersist()
 
 
 def run_report(spark: SparkSession, logs: list[str]) -> DataFrame:
@@ -202,19 +204,21 @@ def _run(spark: SparkSession, config: PipelineConfig, df: DataFrame | None = Non
 
     with run.step("train_test_split"):
         sp = config.split
-        order = dict(key=key_cols or None, unique_key=unique_key, keep_keys=True, row_id=row_id)
+        # the rows with their order keys are cached: the cut's passes and every later step read them
+        base = with_order_keys(df, sp.random_state, key_cols or None, unique_key, row_id).persist(StorageLevel.MEMORY_AND_DISK)
+        if repair.rows >= SPREAD_MIN_ROWS and base.rdd.getNumPartitions() < spark.sparkContext.defaultParallelism:
+            # spread rows that sit in fewer partitions than cores (only small inputs do; below SPREAD_MIN_ROWS the
+            # shuffle costs more than it saves)
+            base.unpersist()
+            base = df.repartition(spark.sparkContext.defaultParallelism)
+            base = with_order_keys(base, sp.random_state, key_cols or None, unique_key, row_id).persist(StorageLevel.MEMORY_AND_DISK)
+        order = dict(key=key_cols or None, unique_key=unique_key, keep_keys=True, row_id=row_id, keyed=True)
         if sp.stratify_by_target_quantiles:
             # with missing targets filled, the statistics before the fill no longer hold
             known = repair.stats if not repair.missing else None
-            split = stratified_split(df, target, sp.test_size, sp.random_state, stats=known, **order)
+            split = stratified_split(base, target, sp.test_size, sp.random_state, stats=known, **order)
         else:
-            split = random_split(df, sp.test_size, sp.random_state, **order)
-        split = split.persist(StorageLevel.MEMORY_AND_DISK)
-        if repair.rows >= SPREAD_MIN_ROWS and split.rdd.getNumPartitions() < spark.sparkContext.defaultParallelism:
-            # every later pass (fit statistics, model, scoring) reads this frame: spread one that sits in fewer
-            # partitions than cores (only small inputs do; below SPREAD_MIN_ROWS the shuffle costs more than it saves)
-            split.unpersist()
-            split = split.repartition(spark.sparkContext.defaultParallelism).persist(StorageLevel.MEMORY_AND_DISK)
+            split = random_split(base, sp.test_size, sp.random_state, **order)
         train, test = split.where(~F.col("is_test")), split.where(F.col("is_test"))
         logs.append("train_test_split")
 
@@ -257,7 +261,7 @@ def _run(spark: SparkSession, config: PipelineConfig, df: DataFrame | None = Non
             artifacts = save_artifacts(prep_model, model, config.artifact_dir(),
                                        config.artifacts.model_name, config.artifacts.preprocessor_name)
             logs.append(f"persist_artifacts:{artifacts[0]},{artifacts[1]}")
-    return RunResult(metrics, logs, target, kinds, prep, prep_model, model, split, predictions, artifacts, run.actions, run.timings)
+    return RunResult(metrics, logs, target, kinds, prep, prep_model, model, split, predictions, artifacts, run.actions, run.timings, base)
 
 
 def forest_input(df: DataFrame, rows: int) -> DataFrame:
