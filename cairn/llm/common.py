@@ -58,6 +58,7 @@ def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | Non
         for batch in batches:
             if batch.num_rows and (out := fn(batch)) is not None:
                 yield out
+        pa.default_memory_pool().release_unused()  # the worker may idle beside other stages' tasks
 
     return bounded_batches(df).mapInArrow(run, schema)
 
