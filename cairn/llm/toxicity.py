@@ -9,10 +9,11 @@
   shared by many endings is kept as a **stem**; otherwise the whole word is.
 * **Matching.** Text is folded to lower case and cut into words at once for a
   whole batch. A misspelling within ``e`` edits leaves one of ``e + 1`` parts of
-  the term intact, so bit tables over the parts' hashes and then the parts
-  themselves let nearly all words pass by; the others run the Levenshtein
-  automaton of the word against the trie of terms (distance 1 from 6 letters
-  on, 2 from 12; stems match with any ending).
+  the term intact (cut between characters, and looked for ``e`` characters either
+  way), so bit tables over the parts' hashes and then the hashes themselves let
+  nearly all words pass by; the others run the Levenshtein automaton of the word
+  against the trie of terms (distance 1 from 4 letters on, if under 6 letters the
+  labels show that such matches are toxic, 2 from 12; stems match with any ending).
 * **Context.** Each match is weighed by its term's log odds and its distance,
   down where the window around it shows quotation (quotation marks, reporting
   words), up where it addresses somebody. Sum, maximum and density of the
@@ -47,6 +48,8 @@ SAMPLE_TOXIC, SAMPLE_CLEAN = 1_500, 8_000
 #: Least log odds of a term, and least log likelihood ratio of its surroundings against chance (about 1e-6).
 MIN_ODDS = 2.5
 EVIDENCE = 13.8
+#: Terms of fewer letters forgive an edit only if the labels support it.
+SHORT = 6
 #: Shortest stem, and the most terms a lexicon holds.
 MIN_STEM = 4
 MAX_TERMS = 1_000
@@ -92,7 +95,9 @@ def tokens(texts: tv.Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
         lead = np.flatnonzero((texts.data[:-1] == 0xC2) & (texts.data[1:] == second))
         blank[lead] = blank[lead + 1] = 32
     starts, ends, first = tv.split_words(blank, texts.offsets)
-    return data, starts, ends, first, tv.PolyHash(data)
+    ph = tv.PolyHash(data)
+    ph.chars = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))  # where characters begin
+    return data, starts, ends, first, ph
 
 
 # ---- lexicon trie and Levenshtein automaton ------------------------------------------------
@@ -116,8 +121,8 @@ class Trie:
 
 
 def allowed(length: int) -> int:
-    """Edits that a term of this length forgives."""
-    return 0 if length < 6 else 1 if length < 12 else 2
+    """Edits that a term of this length forgives at most."""
+    return 0 if length < 4 else 1 if length < 12 else 2
 
 
 def _hash_of(piece: bytes) -> int:
@@ -133,45 +138,45 @@ class Lexicon:
         for i, (word, _, _, _) in enumerate(terms):
             self.trie.add(word, i)
         self.found: dict[str, tuple[int, int] | None] = {}
-        self.parts: list[tuple[int, bool, int, list[tuple[str, int, int, int, int]]]] = []
-        self.tables: dict[tuple[str, int, int], np.ndarray] = {}
+        # by place and length in characters: bit table, sorted hashes of parts, shortest and longest word of each
+        self.tables: dict[tuple[str, int, int], tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
+        parts: dict[tuple[str, int, int], dict[int, tuple[int, int]]] = {}
         for word, stem, _, edits in terms:
-            raw = word.encode()
-            n, slack = len(raw), edits * (2 if len(raw) < 2 * len(word) else 4)  # bytes that the edits may add or take
+            n = len(word)
+            shortest, longest = n - edits, 1 << 60 if stem else n + edits
             cut = [n * k // (edits + 1) for k in range(edits + 2)]
-            looks = []
             for k, (a, b) in enumerate(zip(cut, cut[1:])):
-                h = _hash_of(raw[a:b])
+                h = _hash_of(word[a:b].encode())
                 if k == 0:
-                    looks.append(("head", 0, b - a, h))
+                    looks = [("head", 0, b - a)]
                 elif k == edits and not stem:
-                    looks.append(("tail", 0, b - a, h))
+                    looks = [("tail", 0, b - a)]
                 else:
-                    looks += [("head", a + shift, b - a, h) for shift in range(-slack, slack + 1) if a + shift >= 0]
-            self.parts.append((n, stem, slack, looks))
-            for kind, at, size, h in looks:
-                table = self.tables.setdefault((kind, at, size), np.zeros(1 << _BITS, bool))
-                table[h >> (64 - _BITS)] = True
+                    looks = [("head", a + shift, b - a) for shift in range(-edits, edits + 1) if a + shift >= 0]
+                for look in looks:
+                    known = parts.setdefault(look, {})
+                    lo, hi = known.get(h, (shortest, longest))
+                    known[h] = (min(lo, shortest), max(hi, longest))
+        for look, known in parts.items():
+            hashes = np.array(sorted(known), np.uint64)
+            table = np.zeros(1 << _BITS, bool)
+            table[(hashes >> tv.U64(64 - _BITS)).astype(np.int64)] = True
+            self.tables[look] = (table, hashes, *(np.array([known[h][k] for h in sorted(known)], np.int64) for k in (0, 1)))
 
     def candidates(self, ph: tv.PolyHash, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Indices of the words that keep a part of some term; the others cannot match."""
-        size = ends - starts
+        begin, end = np.searchsorted(ph.chars, starts), np.searchsorted(ph.chars, ends)
+        size = end - begin
         hit = np.zeros(len(starts), bool)
-        for (kind, shift, n), table in self.tables.items():
+        for (kind, shift, n), (table, hashes, shortest, longest) in self.tables.items():
             at = np.flatnonzero(size >= shift + n)
-            lo = starts[at] + shift if kind == "head" else ends[at] - n
-            hit[at] |= table[(ph.spans(lo, lo + n) >> tv.U64(64 - _BITS)).astype(np.int64)]
-        some = np.flatnonzero(hit)
-        sure = np.zeros(len(some), bool)
-        lo, hi, size = starts[some], ends[some], size[some]
-        for n, stem, slack, looks in self.parts:
-            fits = ~sure & (size >= n - slack) & (stem | (size <= n + slack))
-            for kind, shift, length, h in looks:
-                at = np.flatnonzero(fits & (size >= shift + length))
-                if len(at):
-                    begin = lo[at] + shift if kind == "head" else hi[at] - length
-                    sure[at] |= ph.spans(begin, begin + length) == tv.U64(h)
-        return some[sure]
+            lo = begin[at] + shift if kind == "head" else end[at] - n
+            h = ph.spans(ph.chars[lo], ph.chars[lo + n])
+            some = np.flatnonzero(table[(h >> tv.U64(64 - _BITS)).astype(np.int64)])
+            at, h = at[some], h[some]
+            place = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
+            hit[at[(hashes[place] == h) & (size[at] >= shortest[place]) & (size[at] <= longest[place])]] = True
+        return np.flatnonzero(hit)
 
     def match(self, word: str) -> tuple[int, int] | None:
         """Best term of a folded word and its distance; remembered for recent words."""
@@ -287,13 +292,24 @@ def _near_batch(lexicon: Lexicon, batch: pa.RecordBatch) -> pa.RecordBatch:
 
 
 def without_chance_neighbours(lexicon: Lexicon, sample: DataFrame) -> Lexicon:
-    """Terms whose inexact matches also turn up in clean documents are matched exactly only."""
+    """Terms whose inexact matches also turn up in clean documents are matched exactly only.
+
+    So are terms of under ``SHORT`` letters, unless inexact matches have the log
+    odds of a term themselves.
+    """
     if not lexicon.terms:
         return lexicon
     shared = sample.sparkSession.sparkContext.broadcast(lexicon)
-    near = map_arrow(sample.where("y = 0").select("text", "y"), lambda b: _near_batch(shared.value, b), "term int, y int, n long")
-    common = {r["term"] for r in near.select("term").distinct().collect()}
-    return Lexicon([(w, stem, weight, 0 if i in common else edits) for i, (w, stem, weight, edits) in enumerate(lexicon.terms)])
+    n1, n0 = (sample.where(F.col("y") == y).count() for y in (1, 0))
+    near = map_arrow(sample.select("text", "y"), lambda b: _near_batch(shared.value, b), "term int, y int, n long")
+    seen = {(r["term"], r["y"]): r["n"] for r in near.groupBy("term", "y").agg(F.sum("n").alias("n")).collect()}
+
+    def kept(i: int, word: str) -> bool:
+        toxic, clean = seen.get((i, 1), 0), seen.get((i, 0), 0)
+        supported = toxic > 0 and math.log((toxic + 0.5) / (n1 + 1.0)) - math.log((clean + 0.5) / (n0 + 1.0)) >= MIN_ODDS
+        return supported if len(word) < SHORT else not clean
+
+    return Lexicon([(w, stem, weight, edits if edits and kept(i, w) else 0) for i, (w, stem, weight, edits) in enumerate(lexicon.terms)])
 
 
 def choose_terms(rows: dict[str, tuple[int, int, float]]) -> list[tuple[str, bool, float, int]]:

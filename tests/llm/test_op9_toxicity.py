@@ -88,3 +88,49 @@ def test_lexicon_of_words_and_stems_and_defined_cases(spark):
     assert {(900, 0), (901, 0), (None, 1), (902, 1), (903, 1)} <= got
     assert {r.predicted for r in tx.digest(docs, lab.limit(0)).collect()} == {1} or len({r.score for r in tx.digest(docs, lab.limit(0)).collect()}) == 1
     assert tx.digest(docs.limit(0), lab).count() == 0
+
+
+ACCENTED = [("imbécile", False, 3.0), ("ärgerlich", True, 2.0), ("estúpidamente", False, 4.0), ("дурак", False, 3.0), ("идиотский", True, 2.0), ("crétin", False, 2.0), ("niño", False, 2.0), ("añ", False, 2.0)]
+
+
+def test_part_filter_keeps_every_misspelling_of_accented_and_cyrillic_terms():
+    rng, lex = random.Random(2), tx.Lexicon([(w, stem, x, tx.allowed(len(w))) for w, stem, x in ACCENTED])
+    words = ["imbecile", "crétin"]
+    for _ in range(3_000):
+        w = list(rng.choice(ACCENTED)[0] + rng.choice(["", "", "абв", "xyz"]))
+        for _ in range(rng.randint(0, 3)):
+            k, how = rng.randrange(len(w)) if w else 0, rng.random()
+            if how < 0.3 and w:
+                w.pop(k)
+            elif how < 0.6 or not w:
+                w.insert(k, rng.choice("aeéñыж中🙂"))
+            else:
+                w[k] = rng.choice("aeéñыж中🙂")
+        words += ["".join(w)] if w else []
+    want = []
+    for w in words:
+        ds = [min(distance(w[:k], t) for k in range(len(w) + 1)) if stem else distance(w, t) for t, stem, _ in ACCENTED]
+        ok = [d for d, (t, _, _) in zip(ds, ACCENTED) if d <= tx.allowed(len(t))]
+        want.append(min(ok) if ok else None)
+        found = lex.match(w)
+        assert (found and found[1]) == want[-1]
+    _, _, texts = next(tv.texts_of(pa.array([" ".join(words)])))
+    _, starts, ends, _, ph = tx.tokens(texts)
+    assert len(starts) == len(words) and want[0] == 1
+    assert set(np.flatnonzero([d is not None for d in want])) <= set(lex.candidates(ph, starts, ends).tolist())
+
+
+def test_short_terms_forgive_an_edit_where_the_labels_support_it(spark):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    rows, labels = [], []
+    for i in range(600):
+        words = [word() for _ in range(40)]
+        if i % 5 == 0:
+            words[10:10] = ["zonk", "zonk"[: i % 3 + 1] + rng.choice("qruvwxyz") + "zonk"[i % 3 + 2 :] if i % 10 == 0 else "zonk", word(), "wurp"]
+        elif i % 5 == 1:
+            words.insert(10, rng.choice(["warp", "worp"]))
+        rows.append((i, " ".join(words)))
+        labels.append((i, 1, int(i % 5 == 0)))
+    terms = {w: edits for w, _, _, edits in tx.fit(documents(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).lexicon.terms}
+    assert terms["zonk"] == 1 and terms["wurp"] == 0
