@@ -1,12 +1,13 @@
 """Toxicity: Levenshtein automata intersected with a lexicon trie, and context-window scores.
 
 * **Lexicon.** Nobody lists the abusive words of every language, so the terms
-  come from the labels. In a bounded sample of labelled documents every word
-  and every word beginning is counted once per document; terms that toxic
-  documents have and others hardly do are taken if they occur in so many
-  different surroundings (copies of one passage count once) that chance does
-  not explain it (``EVIDENCE``). A beginning
-  shared by many endings is kept as a **stem**; otherwise the whole word is.
+  come from the labels. In all labelled documents (but the sampled ones kept for
+  calibration) every word and every word beginning is counted once per document;
+  terms that toxic documents have and others hardly do are taken if they occur in
+  so many different surroundings (copies of one passage count once, wherever they
+  lie) that chance does not explain it (``EVIDENCE``). Surroundings are only told
+  apart for terms whose occurrences could be enough. A beginning shared by many
+  endings is kept as a **stem**; otherwise the whole word is.
 * **Matching.** Text is folded to lower case and cut into words at once for a
   whole batch. A misspelling within ``e`` edits leaves one of ``e + 1`` parts of
   the term intact (cut between characters, and looked for ``e`` characters either
@@ -17,8 +18,8 @@
 * **Context.** Each match is weighed by its term's log odds and its distance,
   down where the window around it shows quotation (quotation marks, reporting
   words), up where it addresses somebody. Sum, maximum and density of the
-  weights go through a small logistic regression fitted on the sample, and a
-  calibration on a held-out fifth of it.
+  weights go through a small logistic regression fitted on a bounded sample, and
+  a calibration on a held-out fifth of it.
 
 Scoring is one Arrow pass without a shuffle.
 
@@ -30,29 +31,31 @@ are equal; repeated rows score alike; other columns play no part.
 from __future__ import annotations
 
 import math
-import zlib
 from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairn.llm import textvec as tv
-from cairn.llm.common import map_arrow, text_of, with_text
+from cairn.llm.common import map_arrow, text_of, with_text, written
 from cairn.llm.linear import fit_platt, sigmoid
 
-#: Labelled documents of which lexicon and scores are learned: toxic ones and others.
+#: Labelled documents of which the scores' weights are learned: toxic ones and others.
 SAMPLE_TOXIC, SAMPLE_CLEAN = 1_500, 8_000
+#: Up to so many labels (16 bytes each) are broadcast to the documents; with more of them the texts are shuffled.
+BROADCAST_LABELS = 8_000_000
 #: Least log odds of a term, and least log likelihood ratio of its surroundings against chance (about 1e-6).
 MIN_ODDS = 2.5
 EVIDENCE = 13.8
 #: Terms of fewer letters forgive an edit only if the labels support it.
 SHORT = 6
-#: Shortest stem, and the most terms a lexicon holds.
+#: Log likelihood ratio that settles whether a term's inexact matches are chance (20 to 1).
+NEAR_EVIDENCE = 3.0
+#: Shortest stem.
 MIN_STEM = 4
-MAX_TERMS = 1_000
 #: A beginning gives way to a longer one that keeps this share of its documents.
 KEEP_SHARE = 0.75
 PREDICT_FROM = 0.3
@@ -223,52 +226,89 @@ class Lexicon:
 
 # ---- learning the lexicon ------------------------------------------------------------------
 
-def _terms_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
-    """Per batch: each term's toxic and clean documents and, for toxic ones, hashes of its surroundings."""
-    toxic, clean = Counter(), Counter()
-    around: dict[str, set[int]] = {}
-    ys = batch.column("y").to_pylist()
-    base = 0
-    for _, _, texts in tv.texts_of(batch.column("text")):
-        data, starts, ends, first, _ = tokens(texts)
-        raw = data.tobytes()
+#: The term that every document has.
+ANY = ""
+
+
+def _terms(word: str) -> list[str]:
+    """A word's terms: the whole word (``word$``) and its beginnings."""
+    return ([word + "$"] if len(word) <= 40 else []) + [word[:k] for k in range(MIN_STEM, min(len(word), 12))]
+
+
+def _different(texts: tv.Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[list[str]]]:
+    """Of every word its hash, its document and its number among the different words, and those words' terms."""
+    data, starts, ends, first, ph = tokens(texts)
+    h = ph.spans(starts, ends)
+    _, at, word = np.unique(h, return_index=True, return_inverse=True)
+    raw = data.tobytes()
+    return h, np.repeat(np.arange(texts.n), np.diff(first)), word, [_terms(raw[s:e].decode("utf-8", "replace")) for s, e in zip(starts[at].tolist(), ends[at].tolist())]
+
+
+def _counts_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """Per batch: each term's toxic and clean documents and its occurrences in toxic ones."""
+    toxic, clean, times = Counter(), Counter(), Counter()
+    ys = np.array(batch.column("y").to_pylist(), np.int64)
+    for at, to, texts in tv.texts_of(batch.column("text")):
+        _, doc, word, terms = _different(texts)
+        y = ys[at:to]
+        pairs = np.unique(doc * max(1, len(terms)) + word)
+        in_doc, which = pairs // max(1, len(terms)), pairs % max(1, len(terms))
+        bounds = np.searchsorted(in_doc, np.arange(texts.n + 1)).tolist()
+        which = which.tolist()
         for i in range(texts.n):
-            words = [raw[s:e].decode("utf-8", "replace") for s, e in zip(starts[first[i] : first[i + 1]].tolist(), ends[first[i] : first[i + 1]].tolist())]
-            y = ys[base + i]
             seen: set[str] = set()
-            for w in set(words):
-                if len(w) <= 40:
-                    seen.add(w + "$")
-                seen.update(w[:k] for k in range(MIN_STEM, min(len(w), 12)))
-            (toxic if y else clean).update(seen)
-            if y:
-                for k, w in enumerate(words):
-                    h = zlib.crc32(f"{words[k - 1] if k else ''} {words[k + 1] if k + 1 < len(words) else ''}".encode())
-                    for t in ([w + "$"] if len(w) <= 40 else []) + [w[:j] for j in range(MIN_STEM, min(len(w), 12))]:
-                        s = around.setdefault(t, set())
-                        if len(s) < 64:
-                            s.add(h)
-        base += texts.n
+            for w in which[bounds[i] : bounds[i + 1]]:
+                seen.update(terms[w])
+            (toxic if y[i] else clean).update([ANY, *seen])
+        often = np.bincount(word[y[doc] == 1], minlength=len(terms))
+        for w in np.flatnonzero(often).tolist():
+            for t in terms[w]:
+                times[t] += int(often[w])
     keys = list(toxic.keys() | clean.keys())
-    return pa.RecordBatch.from_arrays([
-        pa.array(keys), pa.array([toxic[k] for k in keys], pa.int64()), pa.array([clean[k] for k in keys], pa.int64()),
-        pa.array([len(around.get(k, ())) for k in keys], pa.int64())], names=["term", "toxic", "clean", "contexts"])
+    return pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), *[pa.array([c[k] for k in keys], pa.int64()) for c in (toxic, clean, times)]], names=["term", "toxic", "clean", "times"])
 
 
-def learn_lexicon(sample: DataFrame) -> Lexicon:
-    """The terms of ``(text, y)``; at most ``MAX_TERMS`` reach the driver as a lexicon."""
-    n1, n0 = (sample.where(F.col("y") == y).count() for y in (1, 0))
-    if not n1:
+def _around_batch(wanted: frozenset[str], batch: pa.RecordBatch) -> pa.RecordBatch:
+    """Per batch: the different surroundings (words before and after) of each wanted term."""
+    found: set[tuple[str, int]] = set()
+    for _, _, texts in tv.texts_of(batch.column("text")):
+        h, doc, word, terms = _different(texts)
+        terms = [[t for t in x if t in wanted] for x in terms]
+        same = np.append(doc[1:] == doc[:-1], False) if len(doc) else np.zeros(0, bool)
+        after = np.where(same, np.roll(h, -1), tv.U64(0))
+        before = np.where(np.roll(same, 1), np.roll(h, 1), tv.U64(0))
+        around = tv.mix64(before * tv.U64(0x9E3779B97F4A7C15) + tv.mix64(after)).view(np.int64)
+        hot = np.flatnonzero(np.array([bool(x) for x in terms], bool)[word])
+        for w, a in zip(word[hot].tolist(), around[hot].tolist()):
+            found.update((t, a) for t in terms[w])
+    terms_, arounds = zip(*found) if found else ((), ())
+    return pa.RecordBatch.from_arrays([pa.array(terms_, pa.string()), pa.array(arounds, pa.int64())], names=["term", "around"])
+
+
+def learn_lexicon(known: DataFrame, toxic: DataFrame) -> Lexicon:
+    """The terms of ``(text, y)``; ``toxic`` are its rows with ``y = 1``."""
+    counts = map_arrow(known.select("text", "y"), _counts_batch, "term string, toxic long, clean long, times long")
+    total = written(counts.groupBy("term").agg(*[F.sum(c).alias(c) for c in ("toxic", "clean", "times")]), "terms")
+    every = total.where(F.col("term") == ANY).first()
+    if not every or not every["toxic"]:
         return Lexicon([])
-    counts = map_arrow(sample.select("text", "y"), _terms_batch, "term string, toxic long, clean long, contexts long")
-    total = counts.groupBy("term").agg(*[F.sum(c).alias(c) for c in ("toxic", "clean", "contexts")])
+    n1, n0 = every["toxic"], every["clean"]
     odds = F.log((F.col("toxic") + 0.5) / (n1 + 1.0)) - F.log((F.col("clean") + 0.5) / (n0 + 1.0))
     p = (n1 + 1) / (n0 + n1 + 2)  # share of toxic documents: what chance gives any word
-    k, c = F.col("contexts").cast("double"), F.col("clean").cast("double")
-    evidence = k * F.log(k / (k + c) / p) + F.when(c > 0, c * F.log(c / (k + c) / (1 - p))).otherwise(0.0)
-    rows = (total.where("contexts > 0 and toxic > 0").withColumns({"odds": odds, "evidence": evidence})
-            .where((F.col("evidence") >= EVIDENCE) & (F.col("odds") >= MIN_ODDS))
-            .orderBy(F.desc(F.col("odds") * F.sqrt("contexts")), "term").limit(20 * MAX_TERMS).collect())
+
+    def evident(k: Column) -> Column:
+        k, c = k.cast("double"), F.col("clean").cast("double")
+        evidence = k * F.log(k / (k + c) / p) + F.when(c > 0, c * F.log(c / (k + c) / (1 - p))).otherwise(0.0)
+        return (k > p * (k + c)) & (evidence >= EVIDENCE)
+
+    # no term has more surroundings than occurrences
+    likely = total.where((F.col("term") != ANY) & (F.col("times") > 0) & (F.col("toxic") > 0)).withColumn("odds", odds).where((F.col("odds") >= MIN_ODDS) & evident(F.col("times")))
+    wanted = toxic.sparkSession.sparkContext.broadcast(frozenset(r["term"] for r in likely.select("term").collect()))
+    if not wanted.value:
+        return Lexicon([])
+    around = map_arrow(toxic.select("text"), lambda b: _around_batch(wanted.value, b), "term string, around long")
+    contexts = around.distinct().groupBy("term").agg(F.count(F.lit(1)).alias("contexts"))
+    rows = likely.join(contexts, "term").where(evident(F.col("contexts"))).collect()
     return Lexicon(choose_terms({r["term"]: (r["toxic"], r["contexts"], r["odds"]) for r in rows}))
 
 
@@ -292,10 +332,11 @@ def _near_batch(lexicon: Lexicon, batch: pa.RecordBatch) -> pa.RecordBatch:
 
 
 def without_chance_neighbours(lexicon: Lexicon, sample: DataFrame) -> Lexicon:
-    """Terms whose inexact matches also turn up in clean documents are matched exactly only.
+    """Terms whose inexact matches turn up by chance, as the sample shows, are matched exactly only.
 
-    So are terms of under ``SHORT`` letters, unless inexact matches have the log
-    odds of a term themselves.
+    The ratio compares that a term's inexact matches are as toxic as a term must
+    be with that they are as toxic as any word: ``NEAR_EVIDENCE`` against them
+    withdraws the edits, and terms of under ``SHORT`` letters need as much for them.
     """
     if not lexicon.terms:
         return lexicon
@@ -304,10 +345,12 @@ def without_chance_neighbours(lexicon: Lexicon, sample: DataFrame) -> Lexicon:
     near = map_arrow(sample.select("text", "y"), lambda b: _near_batch(shared.value, b), "term int, y int, n long")
     seen = {(r["term"], r["y"]): r["n"] for r in near.groupBy("term", "y").agg(F.sum("n").alias("n")).collect()}
 
+    p = (n1 + 1) / (n0 + n1 + 2)
+    q = 1 / (1 + (1 - p) / p * math.exp(-MIN_ODDS))
+
     def kept(i: int, word: str) -> bool:
-        toxic, clean = seen.get((i, 1), 0), seen.get((i, 0), 0)
-        supported = toxic > 0 and math.log((toxic + 0.5) / (n1 + 1.0)) - math.log((clean + 0.5) / (n0 + 1.0)) >= MIN_ODDS
-        return supported if len(word) < SHORT else not clean
+        ratio = seen.get((i, 1), 0) * math.log(q / p) + seen.get((i, 0), 0) * math.log((1 - q) / (1 - p))
+        return ratio >= NEAR_EVIDENCE if len(word) < SHORT else ratio > -NEAR_EVIDENCE
 
     return Lexicon([(w, stem, weight, edits if edits and kept(i, w) else 0) for i, (w, stem, weight, edits) in enumerate(lexicon.terms)])
 
@@ -336,7 +379,7 @@ def choose_terms(rows: dict[str, tuple[int, int, float]]) -> list[tuple[str, boo
         word, stem = t.rstrip("$"), not t.endswith("$")
         if len(word) >= (MIN_STEM if stem else 3):
             out.append((word, stem, rows[t][2], allowed(len(word))))
-    return sorted(out, key=lambda x: (-x[2], x[0]))[:MAX_TERMS]
+    return sorted(out, key=lambda x: (-x[2], x[0]))
 
 
 # ---- scores --------------------------------------------------------------------------------
@@ -405,21 +448,25 @@ def fit_scores(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return mean, scale, w[:-1], float(w[-1])
 
 
-def labelled(docs: DataFrame, labels: DataFrame, toxic: int = SAMPLE_TOXIC, clean: int = SAMPLE_CLEAN) -> DataFrame:
-    """``(text, y, held)`` of about ``toxic`` toxic and ``clean`` other labelled documents, drawn by a hash of the id."""
+def labelled(docs: DataFrame, labels: DataFrame, toxic: int = SAMPLE_TOXIC, clean: int = SAMPLE_CLEAN) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``(text, y, held)`` of about ``toxic`` toxic and ``clean`` other labelled documents, drawn by a hash of the id;
+    all labelled documents but the drawn ones that are held; the toxic ones of these."""
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("y")).dropDuplicates(["doc_id"])
     counts = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     share = F.when(F.col("y") == 1, min(1.0, toxic / max(1, counts.get(1, 0)))).otherwise(min(1.0, clean / max(1, counts.get(0, 0))))
-    drawn = known.where(F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1_000_000)) / 1e6 < share)
+    drawn = F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1_000_000)) / 1e6 < share
     held = F.pmod(F.xxhash64(F.lit("calibration"), "doc_id"), F.lit(5)) == 0
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return texts.join(F.broadcast(drawn), "doc_id").withColumn("held", held)
+    learned = known.where(~(drawn & held))
+    small = F.broadcast if sum(counts.values()) <= BROADCAST_LABELS else lambda df: df
+    return texts.join(F.broadcast(known.where(drawn)), "doc_id").withColumn("held", held), texts.join(small(learned), "doc_id"), texts.join(small(learned.where("y = 1")), "doc_id")
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> ToxicModel:
-    sample = labelled(docs, labels).persist()
+    sample, learned, toxic = labelled(docs, labels)
+    sample = sample.persist()
     try:
-        lexicon = learn_lexicon(sample.where(~F.col("held")))
+        lexicon = learn_lexicon(learned, toxic)
         lexicon = without_chance_neighbours(lexicon, sample.where(~F.col("held")))
         shared = docs.sparkSession.sparkContext.broadcast(lexicon)
 

@@ -134,3 +134,32 @@ def test_short_terms_forgive_an_edit_where_the_labels_support_it(spark):
         labels.append((i, 1, int(i % 5 == 0)))
     terms = {w: edits for w, _, _, edits in tx.fit(documents(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).lexicon.terms}
     assert terms["zonk"] == 1 and terms["wurp"] == 0
+
+
+def test_lexicon_counts_all_labelled_rows_and_copies_once_wherever_they_lie(spark):
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    copied = " ".join([word(), *("xq" + word() for _ in range(30)), word()])  # one passage in many toxic documents
+    rows, labels = [], []
+    for i in range(11_000):
+        words = [word() for _ in range(8)]
+        if i % 5 == 0:  # 2,200 toxic documents, of which 1,500 are sampled
+            words += [copied] * (i % 50 == 0) + ["klmnopqrst"[i // 5 % 10] + "zzvwk"] * (i // 5 < 130) + ["zapper"] * (i % 3 == 0)
+            rng.shuffle(words)
+        elif i == 7:
+            words.append("zaqper")  # one chance neighbour in a clean document
+        rows.append((i, " ".join(words)))
+        labels.append((i, 1, int(i % 5 == 0)))
+    lab = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    docs = documents(spark, rows)
+    lexicons = []
+    for parts in (2, 40):
+        _, learned, toxic = tx.labelled(docs.repartition(parts), lab)
+        lexicons.append(tx.learn_lexicon(learned, toxic).terms)
+    assert lexicons[0] == lexicons[1]
+    assert not any(w.startswith("xq") for w, *_ in lexicons[0])
+    assert "zapper" in {w for w, *_ in lexicons[0]}
+    assert sum(c + "zzvwk" in {w for w, *_ in lexicons[0]} for c in "klmnopqrst") >= 7  # 13 documents each, some held for calibration
+    sample = spark.createDataFrame([("zaqper", 0)] + [("ab", 0)] * 40 + [("zapper", 1)] * 10, "text string, y int")
+    near = tx.without_chance_neighbours(tx.Lexicon([("zapper", False, 3.0, 1)]), sample)
+    assert near.terms[0][3] == 1
