@@ -6,8 +6,9 @@
   words in repeated windows.
 * Learned verdict: relative frequencies of hashed word 1- and 2-grams and of
   runs of 2 to 4 code points, logistic regression fitted on a bounded sample of
-  labelled rows (``SAMPLE``, drawn by a hash of the id), calibrated (Platt) on a
-  fifth of the sample that the fit does not see. A document that the base rule
+  labelled rows (``SAMPLE``, drawn by a hash of the id), whose design goes slice by
+  slice into arrays of known size, calibrated (Platt) on a fifth of the sample
+  that the fit does not see. A document that the base rule
   passes is kept if the calibrated probability reaches ``KEEP_FROM``.
 * Everything runs in one Arrow pass over the documents, without a shuffle.
 
@@ -19,6 +20,7 @@ no part.
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairn.llm import textvec as tv
-from cairn.llm.common import ROW, as_row, map_arrow, text_of, with_text
+from cairn.llm.common import ROW, as_row, map_arrow, text_of, with_text, written
 from cairn.llm.linear import Sparse, fit_logistic, fit_platt, sigmoid
 
 #: Fixed values of the base rule.
@@ -37,7 +39,9 @@ SYMBOLS = b"#*$%&|<>"
 #: A document is kept from this calibrated probability on.
 KEEP_FROM = 0.3
 #: Labelled rows of which the model is learned.
-SAMPLE = 2_000
+SAMPLE = 4_000
+#: Slices in which the sample's design reaches the driver: only one is held beside the arrays it goes into.
+SLICES = 16
 BITS = 17
 WORD_ORDERS = (1, 2)
 CHAR_ORDERS = (2, 3, 4)
@@ -106,7 +110,7 @@ def base_counts(texts: tv.Texts) -> dict[str, np.ndarray]:
 
 
 def _sample_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
-    cols, vals = [], []
+    cols, vals, order = [], [], []
     for _, _, texts in tv.texts_of(batch.column("text")):
         grams = _columns(texts)
         for i in range(texts.n):
@@ -115,7 +119,31 @@ def _sample_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
             keys, inverse = np.unique(at, return_inverse=True)
             cols.append(keys.astype(np.int32).tobytes())
             vals.append(np.bincount(inverse, weights=v, minlength=len(keys)).astype(np.float32).tobytes())
-    return pa.RecordBatch.from_arrays([batch.column("y"), batch.column("held"), pa.array(cols, pa.binary()), pa.array(vals, pa.binary())], names=["y", "held", "cols", "vals"])
+            order.append(int.from_bytes(hashlib.blake2b(cols[-1] + vals[-1], digest_size=7).digest(), "little"))
+    return pa.RecordBatch.from_arrays([batch.column("y"), batch.column("held"), pa.array(cols, pa.binary()), pa.array(vals, pa.binary()), pa.array(order, pa.int64())], names=["y", "held", "cols", "vals", "order"])
+
+
+def gather(design: DataFrame, slices: int = SLICES) -> tuple[tuple[Sparse, np.ndarray], tuple[Sparse, np.ndarray]]:
+    """The written design's rows to learn from and the held ones, each with labels; the order of arrival plays no part."""
+    size = {r["held"]: (r["n"], r["entries"]) for r in design.groupBy("held").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("cols") / 4).cast("long").alias("entries")).collect()}
+    sides = []
+    for held in (False, True):
+        n, entries = size.get(held, (0, 0))
+        sides.append((Sparse(np.zeros(n + 1, np.int64), np.empty(entries, np.int32), np.empty(entries, np.float32), 1 << BITS), np.zeros(n)))
+    at = [0, 0]
+    for k in range(slices):
+        rows = design.where(F.pmod("order", F.lit(slices)) == k).toArrow()
+        keys = [rows.column(c).to_numpy() for c in ("y", "order", "held")]
+        cols, vals = rows.column("cols").combine_chunks(), rows.column("vals").combine_chunks()
+        for i in np.lexsort(keys[:2]).tolist():  # by order, then label
+            side = int(keys[2][i])
+            x, y = sides[side]
+            row = at[side]
+            index, value = np.frombuffer(cols[i].as_buffer(), np.int32), np.frombuffer(vals[i].as_buffer(), np.float32)
+            a, b = int(x.ptr[row]), int(x.ptr[row]) + len(index)
+            x.index[a:b], x.value[a:b], x.ptr[row + 1], y[row] = index, value, b, keys[0][i]
+            at[side] += 1
+    return sides[0], sides[1]
 
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str, sample: int) -> DataFrame:
@@ -134,19 +162,13 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, sample: int) -> Dat
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> QualityModel | None:
     """Fits and calibrates; ``None`` if there are not both labels to learn from."""
-    rows = map_arrow(labelled(docs, labels, "quality", sample).select("text", "y", "held"), _sample_batch, "y int, held boolean, cols binary, vals binary").toArrow().to_pylist()
-    rows.sort(key=lambda r: (r["y"], r["cols"], r["vals"]))  # the order of arrival plays no part
-    y = np.array([r["y"] for r in rows], float)
-    held = np.array([r["held"] for r in rows], bool)
-    if not 0 < y[~held].sum() < (~held).sum():
+    rows = map_arrow(labelled(docs, labels, "quality", sample).select("text", "y", "held"), _sample_batch, "y int, held boolean, cols binary, vals binary, order long")
+    (learn, y), (unseen, y_held) = gather(written(rows, "design"))
+    if not 0 < y.sum() < len(y):
         return None
-    unpack = lambda r: (np.frombuffer(r["cols"], np.int32), np.frombuffer(r["vals"], np.float32))
-    unseen = Sparse.of([unpack(r) for r in rows if r["held"]], 1 << BITS)
-    learn = Sparse.of([unpack(r) for r in rows if not r["held"]], 1 << BITS)
-    del rows
-    w, b = fit_logistic(learn, y[~held])
+    w, b = fit_logistic(learn, y)
     margin = unseen.dot(w) + b
-    slope, shift = fit_platt(margin, y[held])
+    slope, shift = fit_platt(margin, y_held)
     return QualityModel(w.astype(np.float32), b, slope, shift)
 
 

@@ -49,3 +49,18 @@ def test_filter_keeps_columns_and_works_without_labels(spark):
     one_class = spark.createDataFrame([(1, 1, 0), (None, 0, 0), (2, None, None)], "doc_id long, quality int, toxic int")
     assert [r.doc_id for r in qr.keep_good(docs, one_class).collect()] == [1]
     assert qr.keep_good(docs.limit(0), none).count() == 0
+
+
+def test_four_thousand_rows_are_learned_slice_by_slice(spark):
+    rows = [(i, " ".join(f"w{(i * k) % 97}" for k in range(1, 6 + i % 4))) for i in range(6_000)]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(6_000)], "doc_id long, quality int, toxic int")
+    drawn = qr.labelled(documents(spark, rows), labels, "quality", qr.SAMPLE).select("text", "y", "held")
+    assert 3_700 < drawn.count() < 4_300
+    make = lambda parts: qr.map_arrow(drawn.repartition(parts), qr._sample_batch, "y int, held boolean, cols binary, vals binary, order long").persist()
+    one = make(3)
+    want = {h: sorted((r.y, bytes(r.cols), bytes(r.vals)) for r in one.collect() if r.held == h) for h in (False, True)}
+    first, again = qr.gather(one), qr.gather(make(5))
+    for h, (x, y), (x2, y2) in zip((False, True), first, again):
+        got = [(int(y[i]), x.index[x.ptr[i] : x.ptr[i + 1]].tobytes(), x.value[x.ptr[i] : x.ptr[i + 1]].tobytes()) for i in range(len(y))]
+        assert sorted(got) == want[h]
+        assert (x.ptr == x2.ptr).all() and (x.index == x2.index).all() and (x.value == x2.value).all() and (y == y2).all()
