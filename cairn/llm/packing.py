@@ -17,7 +17,9 @@ The work is one Arrow pass without a shuffle: every partition packs its own
 documents, ``POOL_TOKENS`` at a time, so memory is bounded; sequence ids carry
 the partition number. Losing an executor repeats whole partitions.
 
-Defined cases: null text counts as empty and is one end token; null ids and
+Defined cases: null text counts as empty and is one end token; the letters of a
+special token in a text (``<|endoftext|>``) are ordinary text
+(``encode_special_tokens``), not the token as an unmodified tokenizer has it; null ids and
 repeated rows are documents of their own; other columns play no part; an empty
 table gives no pieces.
 """
@@ -80,9 +82,10 @@ class WordIds(dict):
         return ids
 
     def encode(self, text: str) -> bytes:
-        if _PLAIN.search(text):
+        lower = text.lower()
+        if _PLAIN.search(lower) or _PLAIN.search(text):  # some capitals have their small letter above U+024F
             return array("I", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
-        return b"".join(map(self.__getitem__, _WORD.findall(text.lower())))
+        return b"".join(map(self.__getitem__, _WORD.findall(lower)))
 
 
 _WORD_IDS: dict[str, WordIds] = {}

@@ -74,3 +74,15 @@ def test_step_groups_hold_one_tier_and_like_costs():
     assert all(len(t) == 1 for t in tiers.values())
     big = [c for (size, _), c in costs.items() if size == 4096]
     assert max(big) <= 1.5 * min(big)
+
+
+def test_capitals_whose_small_letters_lie_above_the_plain_range():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    fast, own, rng = pk.WordIds(path), Tokenizer.from_file(path), random.Random(3)
+    for letter in map(chr, range(0x250)):
+        for text in (f"{letter}li", f"a{letter}b {letter}", f"x1{letter}'s"):
+            assert fast.encode(text) == np.array(own.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), text
+    capitals = [c for c in map(chr, range(0x250)) if c.lower() > "ɏ"] + list("abÉß 1'.")
+    for _ in range(2_000):
+        text = "".join(rng.choice(capitals) for _ in range(rng.randint(0, 12)))
+        assert fast.encode(text) == np.array(own.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
