@@ -1,14 +1,15 @@
-"""Jaccard self-join of documents on sets of 5-word shingles: MinHash LSH forest, then exact verification.
+"""Jaccard self-join of documents on sets of 5-word shingles: banded MinHash, then exact verification.
 
 1. One Arrow pass turns each text into its set of 5-word shingles (64-bit
    hashes), a 128-bit identity of the set, ``TREES`` signature prefixes and an
    80-byte sketch. Documents with the same set are one **node** from here on
    (pre-aggregated, so a text copied a million times is one row).
-2. LSH forest: the signature has one sorted label sequence per tree. Prefixes
-   start at ``MAX_DEPTH`` labels and are shortened until a pair at the
+2. Fixed bands in place of an LSH forest: each of ``TREES`` trees has one prefix
+   of ``DEPTH`` labels, the longest up to ``MAX_DEPTH`` at which a pair at the
    similarity bound is found with ``TARGET_RECALL`` in some tree
-   (``prefix_depth``); nodes with equal prefixes share a trie node. Trie nodes
-   with the same members (found in several trees) are looked at once.
+   (``prefix_depth``, no data play a part); nodes with equal prefixes share a
+   trie node. Trie nodes with the same members (found in several trees) are
+   looked at once; a crowded one is not refined by further labels.
 3. Inside a trie node sketches are compared block by block. Pairs whose sketch
    agreement lies more than 5 standard deviations below the bound are dropped
    (chance of losing a link below 1e-6); of the rest only the edges of a
