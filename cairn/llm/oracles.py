@@ -33,3 +33,14 @@ q AS (SELECT doc_id, string_agg(substr(h, CAST(2 * start + 1 AS BIGINT), CAST(2
 SELECT d.doc_id, CAST(len(d.h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(a.n_removed, 0) AS BIGINT) AS n_removed,
   CAST(coalesce(a.n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(q.kept, d.h))) AS kept_sha256
 FROM d LEFT JOIN a USING (doc_id) LEFT JOIN q USING (doc_id)"""
+
+#: Lines by place, keys by count and largest document.
+LINE_DEDUP = r"""
+WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+l AS (SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS i FROM d),
+k AS (SELECT *, trim(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS key FROM l),
+g AS (SELECT key, max(doc_id) AS holder FROM k WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5),
+m AS (SELECT k.*, g.key IS NOT NULL AND doc_id <> holder AS goes FROM k LEFT JOIN g USING (key))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (goes) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT goes), '')) AS kept_sha256
+FROM m GROUP BY doc_id"""
