@@ -44,3 +44,48 @@ m AS (SELECT k.*, g.key IS NOT NULL AND doc_id <> holder AS goes FROM k LEFT JOI
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (goes) AS n_dropped,
   sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT goes), '')) AS kept_sha256
 FROM m GROUP BY doc_id"""
+
+
+def _crc32(text: str) -> str:
+    """SQL of the unsigned crc32 of an ASCII string, by a table of 256 values (``crc_t``, column ``t``)."""
+    return (f"xor(list_reduce([4294967295::BIGINT] || [CAST(ascii(ch) AS BIGINT) FOR ch IN string_split({text}, '')], "
+            "lambda c, b: xor(c >> 8, t[xor(c, b) % 256 + 1])), 4294967295)")
+
+
+_CRC_TABLE = """crc_t AS (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce([CAST(i AS BIGINT), 0, 0, 0, 0, 0, 0, 0, 0],
+  lambda c, z: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) AS r(i)))"""
+
+
+def _merkle() -> str:
+    """Levels written out: six per source (16 million documents), four over the sources."""
+    field = lambda c: f"coalesce(CAST(strlen(CAST({c} AS VARCHAR)) AS VARCHAR) || ':' || CAST({c} AS VARCHAR), '-')"
+    head = " || ".join(field(c) for c in ("doc_id", "source", "lang", "n_chars"))
+    low = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    parts = [_CRC_TABLE, f"""d AS (SELECT doc_id, source, sha256({head} || {field('text')}) AS leaf,
+  CASE WHEN {_crc32('CAST(doc_id AS VARCHAR)')} % 5 = 0 THEN sha256({head} || {field(low)}) END AS changed FROM documents, crc_t)""",
+             "a0 AS (SELECT source AS g, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, leaf AS h FROM d)",
+             "dd AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i FROM d)"]
+
+    def tree(x: str, levels: int) -> None:
+        for k in range(levels):
+            run = "PARTITION BY g, i // 16 ORDER BY i ROWS BETWEEN"
+            parts.append(f"""{x}s{k} AS (SELECT g, i, h, count(*) OVER (PARTITION BY g) AS n,
+  coalesce(string_agg(h, '') OVER ({run} UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+  coalesce(string_agg(h, '') OVER ({run} 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r FROM {x}{k})""")
+            parts.append(f"{x}{k + 1} AS (SELECT g, i // 16 AS i, CASE WHEN max(n) = 1 THEN max(h) ELSE sha256(string_agg(h, '' ORDER BY i)) END AS h FROM {x}s{k} GROUP BY g, i // 16)")
+
+    tree("a", 6)
+    parts.append("src AS (SELECT g AS source, h AS subroot, row_number() OVER (ORDER BY g NULLS FIRST) - 1 AS k FROM a6)")
+    parts.append("b0 AS (SELECT 0 AS g, k AS i, subroot AS h FROM src)")
+    tree("b", 4)
+    parts.append("f0 AS (SELECT dd.doc_id, dd.source, dd.i, dd.leaf, s.k, s.subroot, coalesce(dd.changed, dd.leaf) AS f, '' AS p FROM dd JOIN src AS s ON dd.source IS NOT DISTINCT FROM s.source)")
+    steps = [("a", k, f"f.source IS NOT DISTINCT FROM s.g AND f.i // {16**k} = s.i") for k in range(6)] + [("b", k, f"f.k // {16**k} = s.i") for k in range(4)]
+    for j, (x, k, on) in enumerate(steps):
+        parts.append(f"""f{j + 1} AS (SELECT f.doc_id, f.source, f.i, f.leaf, f.k, f.subroot, CASE WHEN s.n = 1 THEN f.f ELSE sha256(s.l || f.f || s.r) END AS f,
+  f.p || s.l || s.r AS p FROM f{j} AS f JOIN {x}s{k} AS s ON {on})""")
+    return "WITH " + ",\n".join(parts) + f"""
+SELECT doc_id, leaf, subroot, b4.h AS root, sha256(p) AS proof_sha256, f AS folded_root, f = b4.h AS verified FROM f{len(steps)}, b4"""
+
+
+#: Every level as a table of nodes with what stands left and right of each.
+MERKLE = _merkle()

@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cairn.llm import byte_bpe, language_id, line_crf, line_dedup, ngram_join, one_bit_ann, oracles, packing, quality_rules, suffix_dedup, toxicity, wrapper_extract
+from cairn.llm import byte_bpe, language_id, line_crf, line_dedup, merkle_manifest, ngram_join, one_bit_ann, oracles, packing, quality_rules, suffix_dedup, toxicity, wrapper_extract
 
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {"op1_ngram_jaccard_join": oracles.NGRAM_JOIN, "op3_suffix_array_dedup": oracles.SUFFIX_DEDUP,
-                      "op13_line_dedup": oracles.LINE_DEDUP}
+                      "op11_merkle_manifest": oracles.MERKLE, "op13_line_dedup": oracles.LINE_DEDUP}
 
 
 def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -82,6 +82,12 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one_bit_ann.digest(table(spark, sf_dir, "embeddings"))
 
 
+@query
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, subroot, root, proof and the root of the tampered version of every document."""
+    return merkle_manifest.manifest(table(spark, sf_dir, "documents"))
+
+
 @query
 def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines that at least five documents hold stay in the largest one only."""
