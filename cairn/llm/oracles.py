@@ -89,3 +89,54 @@ SELECT doc_id, leaf, subroot, b4.h AS root, sha256(p) AS proof_sha256, f AS fold
 
 #: Every level as a table of nodes with what stands left and right of each.
 MERKLE = _merkle()
+
+
+def _conversations() -> str:
+    """A recursive table over the rows: per state the least ``cost (ten digits) || audit``."""
+    add = lambda x, c, letter: f"lpad(CAST(CAST(left({x}, 10) AS INT) + {c} AS VARCHAR), 10, '0') || substr({x}, 11) || '{letter}'"
+    insert = lambda x: add(x, 5, "I")
+    stays, before = "fault IS NULL OR fault = 'truncated'", "least(s0, s1, s3)"
+    extra = "(CASE WHEN fault = 'truncated' THEN 5 ELSE 0 END)"
+    return "WITH RECURSIVE " + _CRC_TABLE + f""",
+src AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+  {_crc32("(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '))")} % 20 AS hit FROM conversations, crc_t),
+dmg AS (SELECT conv_id, turn, CASE WHEN hit = 4 THEN 'user' ELSE role END AS role,
+  CASE hit WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, copy
+  FROM src, (VALUES (0), (1)) AS c(copy) WHERE hit <> 0 AND (copy = 0 OR hit = 3)),
+num AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i FROM dmg),
+flt AS (SELECT conv_id, turn, role, text, i, left(role, 1) AS initial, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS previous,
+  CASE WHEN NOT regexp_matches(text, '[^\\x20\\x09-\\x0D]') THEN 'blank'
+    WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+    WHEN NOT regexp_matches(text, '[.!?][\\x20\\x09-\\x0D]*$') THEN 'truncated' END AS fault FROM num),
+stat AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+  count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+  count(*) FILTER (previous IS NOT NULL AND previous || initial NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n FROM flt GROUP BY conv_id),
+ids AS (SELECT DISTINCT conv_id FROM conversations),
+st AS (SELECT conv_id, 0 AS i, '0000000000' AS s0, CAST(NULL AS VARCHAR) AS s1, '0000000005I' AS s2, '0000000010II' AS s3 FROM ids
+  UNION ALL
+  SELECT conv_id, i, s0, s1, least(u, {insert('a')}), a FROM (
+    SELECT conv_id, i, s0, s1, u, least(s3, {insert('u')}) AS a FROM (
+      SELECT conv_id, i, s0, s1, s3, least(s2, {insert(before)}) AS u FROM (
+        SELECT st.conv_id, flt.i AS i, {add('s0', 2, 'D')} AS s0,
+          least({add('s1', 2, 'D')}, CASE WHEN ({stays}) AND initial = 's' THEN {add('s0', extra, 'K')} END) AS s1,
+          least({add('s2', 2, 'D')}, CASE WHEN {stays} THEN {add(before, '1 + ' + extra, 'R')} END,
+            CASE WHEN ({stays}) AND initial = 'u' THEN {add(before, extra, 'K')} END) AS s2,
+          least({add('s3', 2, 'D')}, CASE WHEN {stays} THEN {add('s2', '1 + ' + extra, 'R')} END,
+            CASE WHEN ({stays}) AND initial = 'a' THEN {add('s2', extra, 'K')} END) AS s3
+        FROM st JOIN flt ON st.conv_id IS NOT DISTINCT FROM flt.conv_id AND flt.i = st.i + 1)))),
+best AS (SELECT ids.conv_id, least(st.s0, st.s3) AS b FROM ids LEFT JOIN stat ON ids.conv_id IS NOT DISTINCT FROM stat.conv_id
+  JOIN st ON ids.conv_id IS NOT DISTINCT FROM st.conv_id AND st.i = coalesce(stat.n, 0)),
+aud AS (SELECT conv_id, CASE WHEN b = '0000000000' THEN '' ELSE substr(b, 11) END AS audit, CAST(left(b, 10) AS BIGINT) AS cost FROM best),
+let AS (SELECT conv_id, unnest(string_split(audit, '')) AS letter, unnest(range(len(audit))) AS p FROM aud WHERE audit <> ''),
+pos AS (SELECT *, count(*) FILTER (letter <> 'I') OVER (PARTITION BY conv_id ORDER BY p) AS i FROM let),
+lin AS (SELECT pos.conv_id, p, letter, row_number() OVER (PARTITION BY pos.conv_id ORDER BY p) AS j, flt.role, CASE WHEN letter = 'I' THEN '' ELSE flt.text END AS text
+  FROM pos LEFT JOIN flt ON pos.conv_id IS NOT DISTINCT FROM flt.conv_id AND pos.i = flt.i WHERE letter <> 'D'),
+sys AS (SELECT *, max(CASE WHEN j = 1 AND letter = 'K' AND left(role, 1) = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id) AS shift FROM lin),
+fin AS (SELECT conv_id, sha256(string_agg(CASE WHEN letter = 'K' THEN role WHEN (j - shift) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || text, chr(10) ORDER BY j)) AS h FROM sys GROUP BY conv_id)
+SELECT aud.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+  coalesce(illegal, 0) AS illegal, cost, audit, coalesce(fin.h, sha256('')) AS repaired_sha256
+FROM aud LEFT JOIN stat ON aud.conv_id IS NOT DISTINCT FROM stat.conv_id LEFT JOIN fin ON aud.conv_id IS NOT DISTINCT FROM fin.conv_id"""
+
+
+#: The edit lattice row by row; rows of equal turn do not occur in the tables (copies made by the damage aside).
+CONVERSATIONS = _conversations()

@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cairn.llm import byte_bpe, language_id, line_crf, line_dedup, merkle_manifest, ngram_join, one_bit_ann, oracles, packing, quality_rules, suffix_dedup, toxicity, wrapper_extract
+from cairn.llm import byte_bpe, conversation_repair, language_id, line_crf, line_dedup, merkle_manifest, ngram_join, one_bit_ann, oracles, packing, quality_rules, suffix_dedup, toxicity, wrapper_extract
 
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {"op1_ngram_jaccard_join": oracles.NGRAM_JOIN, "op3_suffix_array_dedup": oracles.SUFFIX_DEDUP,
-                      "op11_merkle_manifest": oracles.MERKLE, "op13_line_dedup": oracles.LINE_DEDUP}
+                      "op11_merkle_manifest": oracles.MERKLE, "op12_conversation_repair": oracles.CONVERSATIONS,
+                      "op13_line_dedup": oracles.LINE_DEDUP}
 
 
 def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -88,6 +89,12 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle_manifest.manifest(table(spark, sf_dir, "documents"))
 
 
+@query
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults, cheapest edits and repaired text's hash of every damaged conversation."""
+    return conversation_repair.repair(table(spark, sf_dir, "conversations"))
+
+
 @query
 def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines that at least five documents hold stay in the largest one only."""
