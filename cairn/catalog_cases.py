@@ -60,6 +60,12 @@ def _csv(df: DataFrame, path: str, header: bool = True, **options: str) -> None:
     df.write.options(header=str(header).lower(), escape='"', **options).csv(path)
 
 
+def _headed(lines: DataFrame, header: str, path: str) -> None:
+    """Lines (column ``value``) as text files that each start with the header, written by their own tasks."""
+    first = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1) == 0
+    lines.select(F.when(first, F.concat(F.lit(header + "\n"), "value")).otherwise(F.col("value")).alias("value")).write.text(path)
+
+
 @query("target_last_csv", "SELECT o_orderkey::DOUBLE AS o_orderkey, o_totalprice AS label, 'o_totalprice' AS target FROM orders")
 def q_target_last_csv(spark: SparkSession, d: str) -> DataFrame:
     from cairn.sources.csv import read_csv
@@ -99,24 +105,51 @@ def q_csv_case_headers(spark: SparkSession, d: str) -> DataFrame:
 
     path = scratch_path(spark, "case-headers")
     c = _t(spark, d, "customer")
-    body = c.select(F.col("c_custkey").cast("string").alias("v"), F.col("c_acctbal").cast("string").alias("w"), F.col("c_name").alias("z"))
-    head = spark.createDataFrame([("A", "a", "x`y")], "v string, w string, z string")
-    body.unionByName(head).orderBy(F.col("v") != "A").coalesce(1).write.option("header", "false").csv(path)
+    _headed(c.select(F.concat_ws(",", F.col("c_custkey").cast("string"), F.col("c_acctbal").cast("string"), "c_name").alias("value")), "A,a,x`y", path)
     df, _, _ = read_csv(spark, FileSpec(path, "utf-8", check_exists=False))
     return df.toDF("A", "a_1", "tick")
 
 
-@query("csv_too_long_row", "SELECT count(*) AS n, true AS refused FROM customer")
+@query("csv_too_long_row", "SELECT count(*) AS n, true AS refused, true AS refused_behind_empty, true AS empty_surplus_kept FROM customer")
 def q_csv_too_long(spark: SparkSession, d: str) -> DataFrame:
+    """A value beyond the header is refused, directly behind it or after an empty field; empty fields alone are not."""
     from cairn.sources.csv import read_csv
 
-    path = scratch_path(spark, "too-long")
     c = _t(spark, d, "customer")
-    rest = F.when(F.col("c_custkey") == 1, F.concat("c_name", F.lit(",extra"))).otherwise(F.col("c_name"))
-    lines = c.select(F.concat_ws(",", F.col("c_custkey").cast("string"), rest).alias("value"))
-    spark.createDataFrame([("key,name",)], "value string").unionByName(lines).orderBy(F.col("value") != "key,name").coalesce(1).write.text(path)
-    refused = _raises(lambda: read_csv(spark, FileSpec(path, "utf-8", check_exists=False)), "more fields")
-    return c.agg(F.count(F.lit(1)).alias("n")).withColumn("refused", F.lit(refused))
+
+    def read(more: str) -> DataFrame:
+        path = scratch_path(spark, "too-long")
+        rest = F.when(F.col("c_custkey") == 1, F.concat("c_name", F.lit(more))).otherwise(F.col("c_name"))
+        _headed(c.select(F.concat_ws(",", F.col("c_custkey").cast("string"), rest).alias("value")), "key,name", path)
+        return read_csv(spark, FileSpec(path, "utf-8", check_exists=False))[0]
+
+    refused = _raises(lambda: read(",extra"), "more fields")
+    behind = _raises(lambda: read(",,5"), "more fields")
+    kept = read(",,").count() == c.count()
+    return c.agg(F.count(F.lit(1)).alias("n")).withColumns({"refused": F.lit(refused), "refused_behind_empty": F.lit(behind), "empty_surplus_kept": F.lit(kept)})
+
+
+@query("csv_quoted_parallel", "SELECT CAST(doc_id AS DOUBLE) AS k, nullif(text, '') AS t, true AS several_tasks FROM documents")
+def q_csv_quoted_parallel(spark: SparkSession, d: str) -> DataFrame:
+    """Every document, line breaks and quotes in quoted fields, read back by splits: a file by more than one task."""
+    from cairn.sources.csv import read_csv
+
+    path = scratch_path(spark, "quoted")
+    quoted = F.concat(F.lit('"'), F.replace("text", F.lit('"'), F.lit('""')), F.lit('"'))
+    docs = _t(spark, d, "documents").select(F.concat_ws(",", F.col("doc_id").cast("string"), quoted).alias("value"))
+    _headed(docs, "k,t", path)
+    setting = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(setting)
+    size = docs.agg(F.sum(F.octet_length("value"))).first()[0] or 0
+    try:
+        # about 16 blocks of a small table, of the usual size for a large one
+        spark.conf.set(setting, str(min(max(size // 16, 1 << 16), 128 << 20)))
+        df = read_csv(spark, FileSpec(path, "utf-8", check_exists=False))[0]
+        blocks = spark.read.text(path).select(F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b")).distinct()
+        several = blocks.groupBy("f").count().agg(F.max("count")).first()[0] > 1
+    finally:
+        spark.conf.set(setting, before)
+    return df.select("k", "t").withColumn("several_tasks", F.lit(several))
 
 
 @query("csv_shift_jis", "SELECT CAST(o_orderkey AS DOUBLE) AS k, CASE WHEN o_orderkey % 2 = 0 THEN '東京' ELSE '大阪' END AS city, 'shift_jis' AS encoding FROM orders")

@@ -161,16 +161,17 @@ def _run(spark: SparkSession, config: PipelineConfig, df: DataFrame | None = Non
     from_csv = df is None
     if from_csv:
         from cairn.session import materialize
-        from cairn.sources.csv import csv_encoding, read_csv
+        from cairn.sources.csv import csv_encoding, csv_inventory, read_csv
 
         if config.file is None:
             raise ValueError("either a DataFrame or config.file is required")
         with run.step("detect_encoding"):
-            encoding = csv_encoding(spark, config.file)
+            inventory = csv_inventory(spark, config.file)
+            encoding = csv_encoding(spark, config.file, inventory)
             logs.append(f"encoding={encoding}")
         with run.step("load_csv"):
             # parse once: later passes read columnar
-            df = materialize(read_csv(spark, config.file, encoding)[0], "csv-typed")
+            df = materialize(read_csv(spark, config.file, encoding, inventory)[0], "csv-typed")
     for name in steps:
         with run.step(name):
             df = (registry or StepRegistry()).get(name)(df)

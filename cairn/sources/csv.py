@@ -1,12 +1,12 @@
 """CSV scan with the semantics of the pandas reader the workflow was defined on.
 
-* every field is read as text (``escape='"'`` so doubled quotes collapse;
-  ``multiLine`` where a file holds quoted line breaks, else large files are split);
+* every field is read as text (``escape='"'`` so doubled quotes collapse); large
+  files are split, those with line breaks in quotes too (``cairn.sources.records``);
 * header cells are named like pandas: duplicates ``a, a.1, a.2``, blank cells
   ``Unnamed: <i>``; no header → ``"0" .. "n-1"``; names that differ only in case
   are duplicates too while the session does not tell them apart;
-* a row with more fields than the header is an error (a shorter one is filled
-  with missing values);
+* a row with anything beyond the header's fields is an error, however many empty
+  fields stand before it (a shorter row is filled with missing values);
 * the pandas default NA tokens become NULL;
 * kinds are decided in one aggregation over all rows and numeric columns are
   parsed with the configured decimal separator (``"1,5"`` → 1.5), booleans
@@ -68,7 +68,7 @@ def pandas_style_names(raw: list[str | None], case_sensitive: bool = True) -> li
     return out
 
 
-#: The column after a header's last one: a value there is a field too many.
+#: What a row holds beyond the header's fields.
 EXTRA = "_cairn_extra"
 LEGACY = "spark.sql.legacy.javaCharsets"
 
@@ -99,14 +99,16 @@ def _reader(spark: SparkSession, spec: FileSpec, charset: str) -> DataFrameReade
     )
 
 
-def read_raw(spark: SparkSession, spec: FileSpec, encoding: str = "utf-8", paths: list[str] | None = None) -> DataFrame:
+def read_raw(spark: SparkSession, spec: FileSpec, encoding: str = "utf-8", paths: list[str] | None = None, in_parallel: bool = False) -> DataFrame:
     """All-text frame with pandas-style column names (NA tokens not yet applied).
 
     ``paths`` reads several files with the same header in one scan (default:
-    ``spec.path``). The frame's last column, ``EXTRA``, holds what a row has
-    beyond the header; :func:`type_columns` refuses rows with it.
+    ``spec.path``); ``in_parallel`` reads quoted line breaks by splits. The
+    frame's last column, ``EXTRA``, holds what a row has beyond the header;
+    :func:`type_columns` refuses rows with it.
     """
     from cairn.session import materialize
+    from cairn.sources.records import parsed, quoted_records, surplus
 
     charset = spark_charset(encoding)
     src = paths or spec.path
@@ -117,11 +119,19 @@ def read_raw(spark: SparkSession, spec: FileSpec, encoding: str = "utf-8", paths
         width = len(first[0])
         sensitive = str(spark.conf.get("spark.sql.caseSensitive")).lower() == "true"
         names = pandas_style_names(list(first[0]), sensitive) if spec.has_header else [str(i) for i in range(width)]
-        schema = ", ".join(f"_c{i} string" for i in range(width + 1))
-        df = _reader(spark, spec, charset).schema(schema).option("header", str(spec.has_header).lower()).option("enforceSchema", "true").csv(src)
-        df = df.toDF(*names, EXTRA)
+        if in_parallel:
+            records = quoted_records(spark, paths or [spec.path], spec.delimiter, charset)
+            df = parsed(records.where("NOT first") if spec.has_header else records, width, spec.delimiter, EXTRA)
+        else:
+            # the corrupt-record column holds a row whose number of fields is another one
+            schema = ", ".join([*[f"_c{i} string" for i in range(width)], f"{EXTRA} string"])
+            df = (_reader(spark, spec, charset).schema(schema).option("columnNameOfCorruptRecord", EXTRA)
+                  .option("header", str(spec.has_header).lower()).option("enforceSchema", "true").csv(src))
+        df = df.withColumn(EXTRA, surplus(F.col(EXTRA), width, spec.delimiter)).toDF(*names, EXTRA)
+        if in_parallel or charset in STANDARD_CHARSETS:
+            return df
         # the setting must hold while the file is read, so such a file is read now
-        return df if charset in STANDARD_CHARSETS else materialize(df.toDF(*[f"c{i}" for i in range(width + 1)]), "csv-raw").toDF(*names, EXTRA)
+        return materialize(df.toDF(*[f"c{i}" for i in range(width + 1)]), "csv-raw").toDF(*names, EXTRA)
 
 
 def type_columns(df: DataFrame, decimal: str = ".") -> tuple[DataFrame, dict[str, str]]:
@@ -150,13 +160,19 @@ def type_columns(df: DataFrame, decimal: str = ".") -> tuple[DataFrame, dict[str
     return clean.select(*cols).toDF(*names), dict(zip(names, kinds.values()))
 
 
-def csv_encoding(spark: SparkSession, spec: FileSpec) -> str:
+def csv_inventory(spark: SparkSession, spec: FileSpec) -> list:
+    """The inventory's row per file; without a look at encodings if one is configured."""
+    from cairn.sources.encoding import encoding_inventory
+
+    return encoding_inventory(spark, spec.path, spec.encoding).collect()
+
+
+def csv_encoding(spark: SparkSession, spec: FileSpec, inventory: list | None = None) -> str:
     """The configured encoding (stripped, lower-cased), else the one that the inventory finds."""
     if spec.encoding:
         return spec.encoding.strip().lower()
-    from cairn.sources.encoding import encoding_inventory
-
-    encs = sorted(r["encoding"] for r in encoding_inventory(spark, spec.path).select("encoding").distinct().collect())
+    rows = csv_inventory(spark, spec) if inventory is None else inventory
+    encs = sorted({r["encoding"] for r in rows})
     others = [e for e in encs if e != "ascii"]
     if len(others) == 1 and others[0] in ASCII_SUPERSETS:
         encs = others  # pure-ASCII files read the same under the other encoding
@@ -165,13 +181,15 @@ def csv_encoding(spark: SparkSession, spec: FileSpec) -> str:
     return encs[0] if encs else "utf-8"
 
 
-def read_csv(spark: SparkSession, spec: FileSpec, encoding: str | None = None) -> tuple[DataFrame, dict[str, str], str]:
+def read_csv(spark: SparkSession, spec: FileSpec, encoding: str | None = None, inventory: list | None = None) -> tuple[DataFrame, dict[str, str], str]:
     """Typed frame, column kinds and the encoding used.
 
-    Several files are grouped by their header and matched by column name.
+    Several files are grouped by their header and matched by column name. The
+    inventory is taken once and may be handed on (:func:`csv_inventory`).
     """
     from cairn.sources.encoding import read_csv_folder
 
-    encoding = encoding or csv_encoding(spark, spec)
-    typed, kinds, _ = read_csv_folder(spark, replace(spec, encoding=encoding, check_exists=False))
+    inventory = csv_inventory(spark, spec) if inventory is None else inventory
+    encoding = encoding or csv_encoding(spark, spec, inventory)
+    typed, kinds, _ = read_csv_folder(spark, replace(spec, encoding=encoding, check_exists=False), inventory)
     return typed, kinds, encoding

@@ -184,3 +184,84 @@ def test_line_rules_equal_whole_file_rules(spark, tmp_path):
         _write(tmp_path / name, data)
     got = {r.path.rsplit("/", 1)[-1]: r.encoding for r in encoding_inventory(spark, str(tmp_path)).collect()}
     assert got == {name: detect_bytes(data) for name, data in files.items()}
+
+
+@pytest.mark.parametrize("row", ["3,4,,5", "3,4,5", '3,4,,"x, y"', '3,"4,5",,,,z', "3,4,NA"])
+def test_every_surplus_field_counts(spark, tmp_path, row):
+    for quoted in ("", '7,"line\nbreak"\n'):  # read by lines, and by records
+        p = _write(tmp_path / f"s{len(quoted)}.csv", f"a,b\n1,2\n{quoted}{row}\n6\n".encode())
+        with pytest.raises(ValueError, match="1 CSV row"):
+            read_csv(spark, FileSpec(p))
+
+
+def test_surplus_of_empty_fields_only_loses_nothing(spark, tmp_path):
+    p = _write(tmp_path / "e.csv", b'a,b\n1,2\n3,4,\n5,6,,\n"7,x",8,,\n9\n')
+    assert [tuple(r) for r in read_csv(spark, FileSpec(p))[0].collect()] == [("1", 2.0), ("3", 4.0), ("5", 6.0), ("7,x", 8.0), ("9", None)]
+
+
+def _quoted_lines(seed, rows, end):
+    """CSV text with line breaks, delimiters and quotes in and around quoted fields."""
+    import random
+
+    rng = random.Random(seed)
+    field = lambda: rng.choice([
+        "plain", "", '"q"', '"a,b"', f'"line{end}two"', f'"{end}{end}"', '"say ""hi"""', '""', f'"""{end}"', 'stray " quote', '5"', f'"x{end},""{end}y"', "é", "7",
+        '"closed"more', " spaced "])
+    return "k,u,v" + end + "".join(f"{i},{field()},{field()}{end}" for i in range(rows))
+
+
+@pytest.mark.parametrize("end,codec", [("\n", "utf-8"), ("\r\n", "utf-8"), ("\n", "utf-8-sig"), ("\n", "windows-1252")])
+def test_quoted_line_breaks_by_splits_equal_the_whole_file_read(spark, tmp_path, end, codec):
+    from cairn.sources.csv import EXTRA, charsets, read_raw
+
+    paths = [_write(tmp_path / f"q{k}.csv", _quoted_lines(k, 400, end).encode(codec)) for k in range(2)]
+    paths.append(_write(tmp_path / "q2.csv", ("k,u,v" + end + f'1,"{("long " + end) * 2000}",x' + end + f'2,"never closed{end}3,a').encode(codec)))
+    old = {c: spark.conf.get(c) for c in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    enc = "utf-8" if codec == "utf-8-sig" else codec
+    spec = FileSpec(paths[0], enc, multi_line=True)
+    with charsets(spark, enc):
+        want = sorted((r.k or "", r.u or "", r.v or "") for r in read_raw(spark, spec, enc, paths).collect())
+    try:
+        for size in ("300b", "1500b", "1m"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            spark.conf.set("spark.sql.files.openCostInBytes", "64b")
+            df = read_raw(spark, spec, enc, paths, in_parallel=True)
+            got = sorted((r.k or "", r.u or "", r.v or "") for r in df.collect())
+            assert got == want, size
+            assert df.where(f"{EXTRA} IS NOT NULL").count() == 0
+    finally:
+        for c, v in old.items():
+            spark.conf.set(c, v)
+
+
+def test_states_of_splits_compose(spark):
+    import random
+
+    from cairn.sources.records import split_states
+
+    rng = random.Random(6)
+    rows, want = [], {}
+    for path in ("a", "b", "c"):
+        state = False
+        for start in range(40):
+            out, inside = rng.choice([(False, True), (True, False), (True, True), (False, False)] if path != "c" else [(False, True), (True, False)])
+            want[path, start] = state
+            rows.append((path, start, out, inside))
+            state = inside if state else out
+    rng.shuffle(rows)
+    got = split_states(spark.createDataFrame(rows, "path string, start long, out boolean, inside boolean"))
+    assert {(r.path, r.start): r.begins for r in got.collect()} == want
+
+
+def test_files_with_other_line_ends_are_read_whole(spark, tmp_path):
+    p = _write(tmp_path / "mac.csv", b'a,b\r1,"x\ry"\r2,z\r')
+    df, _, _ = read_csv(spark, FileSpec(p, multi_line=True))
+    assert sorted(r.a for r in df.collect()) == [1.0, 2.0]
+
+
+def test_given_encoding_asks_for_no_flags(spark, tmp_path):
+    from cairn.sources.encoding import file_facts
+
+    p = _write(tmp_path / "g.csv", "a,b\n1,é\n".encode())
+    assert "utf8" not in file_facts(spark, p, encodings=False).columns
+    assert [r.encoding for r in encoding_inventory(spark, p, " UTF-8 ").collect()] == ["utf-8"]
