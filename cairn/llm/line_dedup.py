@@ -192,7 +192,8 @@ def keep_lines(docs: DataFrame, **settings) -> DataFrame:
     """(doc_id, kept, n_lines, n_dropped) of every row of ``docs``: its text without the lines that go."""
     drops = dropped_places(docs, **settings).select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), "drop")
     text = docs.select(*identity(), split_lines(F.col("text")).alias("ls"))
-    both = text.join(drops, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th")), "left")
+    # merged at every size: the places grow with the lines
+    both = text.join(drops.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th")), "left")
     stays = F.array_except(F.sequence(F.lit(0), F.size("ls") - 1), F.col("drop"))
     kept = F.when(F.col("drop").isNull(), F.col("ls")).otherwise(F.transform(stays, lambda i: F.get(F.col("ls"), i)))
     return both.select("doc_id", F.array_join(kept, "\n").alias("kept"), F.size("ls").cast("long").alias("n_lines"),

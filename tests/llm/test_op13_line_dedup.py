@@ -90,8 +90,8 @@ def test_runs_are_levelled_and_hold_every_key_fresh_once(spark):
     assert max(len(s) for s in sizes) == 4 and len(sizes) == 10
     got_keys = {(r.h1, r.h2): (r.n, r.holder) for r in runs.totals().collect()}
     assert got_keys == want
-    plan = runs.runs[0]._jdf.queryExecution().executedPlan().toString()
-    assert "Bucketed: true" in plan
+    plan = ld.LineRuns._merged(runs.runs)._jdf.queryExecution().executedPlan().toString()
+    assert len(runs.runs) == 2 and "SortMergeJoin" in plan and "Exchange" not in plan
     runs.forget()
 
 
