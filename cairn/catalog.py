@@ -595,6 +595,32 @@ def q_nnls(spark, d):
     return _coef_frame(spark, ["pk_mod", "size_full"], model)
 
 
+_WIDE_SQL = """WITH g AS (SELECT l_orderkey % 12000 AS k, ROUND(AVG(l_extendedprice), 6) AS prediction, COUNT(*) AS n FROM lineitem GROUP BY 1)
+SELECT k, prediction, n, CAST((SELECT COUNT(*) FROM g) AS BIGINT) AS width FROM g"""
+
+
+def _wide_fit(spark: SparkSession, d: str, params: dict) -> DataFrame:
+    """lineitem on up to 12,000 one-hot columns (beyond the Gram width on every table but the smallest): the fit is each category's mean."""
+    li = _t(spark, d, "lineitem").select((F.col("l_orderkey") % 12000).alias("k"), F.col("l_extendedprice").alias("y"))
+    li = li.withColumn("c", F.col("k").cast("string"))
+    prep = fit_prep(li, [], ["c"], MissingPolicy(), ScalingPolicy("none"))
+    prep_model = prep.pipeline_model("features", li)
+    model = build_estimator(ModelPolicy("linear_regression", params), prep.feature_count, "features", "y", "prediction").fit(prep_model.transform(li))
+    means = model.transform(prep_model.transform(li)).groupBy("k").agg(F.max("prediction").alias("p"), F.count(F.lit(1)).alias("n"))
+    return means.select("k", _r("p", "prediction"), "n", F.lit(prep.feature_count).cast("long").alias("width"))
+
+
+@query("ols_wide", _WIDE_SQL)
+def q_ols_wide(spark, d):
+    return _wide_fit(spark, d, {})
+
+
+@query("nnls_wide", _WIDE_SQL)
+def q_nnls_wide(spark, d):
+    """With a free intercept, non-negative coefficients fit the means as well."""
+    return _wide_fit(spark, d, {"positive": True})
+
+
 @query("stream_score", _PREDICT_SQL)
 def q_stream_score(spark, d):
     from cairn.streaming import score_stream

@@ -8,10 +8,12 @@
   intercept needs for predictions on unseen categories) or active-set NNLS.
   Columns that lie far from zero are shifted by a data row first, so that
   centring does not cancel; the system is equilibrated before it is solved.
-  A design wider than ``GRAM_MAX_FEATURES`` is refused by name rather than
-  solved in another way; ``solver="spark"`` (Spark's ``LinearRegression``, two
-  passes) is the explicit choice for it. Scoring is a JVM-side dot product over
-  the non-zero entries, wrapped in a persistable ML model.
+  A design wider than ``GRAM_MAX_FEATURES`` has the same problem solved by
+  products alone (``cairn.operators.wide_linear``): conjugate gradients to the
+  same minimum-norm fit, or projected ones to NNLS with a checked certificate.
+  ``solver="spark"`` (Spark's ``LinearRegression``, two passes) is an explicit
+  choice. Scoring is a JVM-side dot product over the non-zero entries, wrapped
+  in a persistable ML model.
 * ``random_forest``: ``RandomForestRegressor`` with the workflow defaults
   (100 trees, fully grown = Spark's deepest, 30; all features per split) and
   the same number of histogram bins at every width.
@@ -33,6 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairn.config import ModelPolicy
+from cairn.operators.wide_linear import Design, least_squares, non_negative
 
 _LOG = logging.getLogger(__name__)
 
@@ -63,6 +66,8 @@ def max_features_count(value, n_features: int) -> str:
 GRAM_RCOND = 1e-12
 # the driver holds and solves a d x d matrix (128 MB at this width)
 GRAM_MAX_FEATURES = 4096
+# coefficients written into a plan one by one
+LITERAL_COEFFICIENTS = 1_000
 # widths at which a batch of sparse rows is multiplied as a full matrix (the same sums either way)
 NARROW = 64
 
@@ -73,9 +78,6 @@ def build_estimator(policy: ModelPolicy, n_features: int, features_col: str = "f
     if policy.kind == "linear_regression":
         fit_intercept = bool(p.get("fit_intercept", True))
         if p.get("positive", False) or policy.solver != "spark":
-            if n_features > GRAM_MAX_FEATURES:
-                raise ValueError(f"{n_features} features are more than the one-pass solver holds ({GRAM_MAX_FEATURES}); "
-                                 "encode categories as ordinals, or choose solver='spark' (without positive=True)")
             return NonNegativeLeastSquares(featuresCol=features_col, labelCol=label_col,
                                            predictionCol=prediction_col, fitIntercept=fit_intercept,
                                            positive=bool(p.get("positive", False)))
@@ -311,7 +313,11 @@ class NonNegativeLeastSquaresModel(Model, _NnlsParams, DefaultParamsReadable, De
         self._set(**self._input_kwargs)
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
-        coef = F.array(*[F.lit(float(c)) for c in self.getOrDefault(self.coefficients)])
+        values = self.getOrDefault(self.coefficients)
+        if len(values) <= LITERAL_COEFFICIENTS:
+            coef = F.array(*[F.lit(float(c)) for c in values])
+        else:  # one literal that Spark folds to the array, instead of an expression each
+            coef = F.from_json(F.lit("[" + ",".join(map(repr, map(float, values))) + "]"), "array<double>")
         x = _entries(self.getOrDefault(self.featuresCol))
         plus = lambda acc, v: acc + v
         dense = F.aggregate(F.zip_with(x["values"], coef, lambda v, c: v * c), F.lit(0.0), plus)
@@ -345,15 +351,20 @@ class NonNegativeLeastSquares(Estimator, _NnlsParams, DefaultParamsReadable, Def
         shift = shift or shift_row(dataset, fc, lc)
         if shift is None:
             raise ValueError("No training rows to fit the linear model.")
-        xtx, xty, sx, sy, _, n = gram_statistics(dataset, fc, lc, shift)
-        solve = nnls_equilibrated if self.getOrDefault(self.positive) else min_norm_gram
-        if self.getOrDefault(self.fitIntercept):
-            mx, my = sx / n, sy / n
-            beta = solve(xtx - n * np.outer(mx, mx), xty - n * mx * my)
-            icpt = float(my + shift[1] - (mx + shift[0]) @ beta)
+        if len(shift[0]) > GRAM_MAX_FEATURES:
+            design = Design(dataset, _entries(fc), lc, len(shift[0]), shift, self.getOrDefault(self.fitIntercept))
+            z = non_negative(design) if self.getOrDefault(self.positive) else least_squares(design)
+            beta, icpt = design.coefficients(z, self.getOrDefault(self.fitIntercept))
         else:
-            beta = solve(xtx, xty)
-            icpt = 0.0
+            xtx, xty, sx, sy, _, n = gram_statistics(dataset, fc, lc, shift)
+            solve = nnls_equilibrated if self.getOrDefault(self.positive) else min_norm_gram
+            if self.getOrDefault(self.fitIntercept):
+                mx, my = sx / n, sy / n
+                beta = solve(xtx - n * np.outer(mx, mx), xty - n * mx * my)
+                icpt = float(my + shift[1] - (mx + shift[0]) @ beta)
+            else:
+                beta = solve(xtx, xty)
+                icpt = 0.0
         return NonNegativeLeastSquaresModel(featuresCol=fc, labelCol=lc, predictionCol=self.getOrDefault(self.predictionCol),
                                             fitIntercept=self.getOrDefault(self.fitIntercept),
                                             positive=self.getOrDefault(self.positive),

@@ -153,15 +153,14 @@ def test_gram_statistics_equal_numpy_over_many_partitions(spark):
     assert np.isclose(sy, y.sum()) and np.isclose(yy, y @ y)
 
 
-def test_one_solver_at_every_width_and_a_refusal_beyond_it():
+def test_one_solver_at_every_width():
     from pyspark.ml.regression import LinearRegression
 
     from cairn.operators.models import GRAM_MAX_FEATURES, NonNegativeLeastSquares
 
-    assert isinstance(build_estimator(ModelPolicy(), GRAM_MAX_FEATURES), NonNegativeLeastSquares)
-    for policy in (ModelPolicy(), ModelPolicy(params={"positive": True})):
-        with pytest.raises(ValueError, match="solver='spark'"):
-            build_estimator(policy, GRAM_MAX_FEATURES + 1)
+    for width in (3, GRAM_MAX_FEATURES, GRAM_MAX_FEATURES + 1):
+        for policy in (ModelPolicy(), ModelPolicy(params={"positive": True})):
+            assert isinstance(build_estimator(policy, width), NonNegativeLeastSquares)
     assert isinstance(build_estimator(ModelPolicy(solver="spark"), GRAM_MAX_FEATURES + 1), LinearRegression)
     assert not build_estimator(ModelPolicy(), 3).getOrDefault("positive")
     assert build_estimator(ModelPolicy("random_forest"), 10).getMaxBins() == build_estimator(ModelPolicy("random_forest"), 900).getMaxBins()
