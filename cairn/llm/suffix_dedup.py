@@ -1,14 +1,14 @@
 """Removal of byte passages that occur twice: a sparse suffix array ordered by deep-shallow sorting.
 
-A byte goes if a ``SPAN``-byte string that covers it also starts anywhere else
-(another document, or another place of the same one). Matches never cross
-documents and are judged on the input.
+A byte goes if a string of ``span`` bytes (``SPAN`` = 400 unless asked otherwise)
+that covers it also starts anywhere else (another document, or another place of
+the same one). Matches never cross documents and are judged on the input.
 
-*Which suffixes are sorted.* Of the ``GRAM``-byte hashes inside every
-``SPAN``-byte window the smallest one is an **anchor**. Two equal windows have
+*Which suffixes are sorted.* Of the gram hashes (two fifths of the span) inside
+every window of ``span`` bytes the smallest one is an **anchor**. Two equal windows have
 the same anchors at the same places, so every repeated window shows as two
 anchors with the same gram: only suffixes (and reversed prefixes) at anchors
-are compared, about one in 120 bytes, and only where the gram occurs twice.
+are compared, about one in 120 bytes at a span of 400, and only where the gram occurs twice.
 
 1. One Arrow pass emits an anchor's gram hash and the hash of its context (all
    bytes a window over the anchor can reach). A pre-aggregated count by gram
@@ -20,13 +20,13 @@ are compared, about one in 120 bytes, and only where the gram occurs twice.
    are put in suffix order by multikey quicksort down to a shallow depth; what
    is still tied there is ordered by blind tries. The neighbours' common
    prefix lengths then give how far each context matches another one to the
-   right and to the left; both together must reach ``SPAN`` bytes.
+   right and to the left; both together must reach ``span`` bytes.
 3. A gram with more than ``HOT_CONTEXTS`` different contexts is not handled
    in one task: its windows are counted by a plain pre-aggregated ``groupBy``
    on the window hash, which deals them evenly. Both ways give the same spans.
 4. Spans meet per text and are cut from it in an Arrow pass.
 
-Defined cases: null text counts as empty; texts under ``SPAN`` bytes lose
+Defined cases: null text counts as empty; texts under ``span`` bytes lose
 nothing by themselves; repeated rows count as other places, so exact copies
 lose everything; columns other than the id and text play no part; an empty
 table gives an empty result.
@@ -36,6 +36,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -46,7 +47,13 @@ from cairn.llm import textvec as tv
 from cairn.llm.common import ROW, as_row, map_arrow, row_key, shuffle_partitions, text_frame, text_key, written
 
 SPAN = 400
-GRAM = 160
+
+
+def gram_of(span: int) -> int:
+    """Bytes of the grams whose hashes choose the anchors: two fifths of the span (160 of 400)."""
+    return 2 * span // 5
+
+
 #: A gram with more different contexts than this (about 70 MB of bytes) is counted by window hashes instead of in one task.
 HOT_CONTEXTS = 100_000
 #: Depth to which multikey quicksort orders before blind tries take over.
@@ -224,32 +231,33 @@ def _reaches_few(n: int, order_l: list[int], lcp_l: list[int], order_r: list[int
 ANCHORS = "k1 long, k2 long, rid long, pos int, hi int, kh long, ch long"
 
 
-def _anchor_batch(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+def _anchor_batch(batch: pa.RecordBatch, span: int) -> pa.RecordBatch | None:
     data, offsets = tv.utf8(batch.column("text"))
     keys = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("k1", "k2", "rid")]
     out = []
-    back = SPAN - GRAM
+    gram = gram_of(span)
+    back = span - gram
     for a, b in tv.chunks(offsets):
         o = offsets[a : b + 1] - offsets[a]
         part = data[offsets[a] : offsets[b]]
-        if np.diff(o).max(initial=0) < SPAN:
+        if np.diff(o).max(initial=0) < span:
             continue
         ph = tv.PolyHash(part)
-        grams = ph.grams(GRAM) | tv.U64(1)
+        grams = ph.grams(gram) | tv.U64(1)
         doc_of_start = np.repeat(np.arange(b - a), np.diff(o))
         ends = o[1:][doc_of_start]
         lows = tv.window_min(grams, back + 1)
         place = np.arange(len(lows))
-        lows[place + SPAN > ends[: len(lows)]] = 0  # windows over a document's end
+        lows[place + span > ends[: len(lows)]] = 0  # windows over a document's end
         top = np.zeros(len(grams) + back, dtype=tv.U64)
         top[back : back + len(lows)] = lows
         is_anchor = (tv.window_max(top, back + 1) == grams)
         at = np.flatnonzero(is_anchor)
-        at = at[at + GRAM <= ends[at]]
+        at = at[at + gram <= ends[at]]
         if not len(at):
             continue
         doc = doc_of_start[at]
-        lo, hi = np.maximum(at - back, o[doc]), np.minimum(at + SPAN, ends[at])
+        lo, hi = np.maximum(at - back, o[doc]), np.minimum(at + span, ends[at])
         context = tv.mix64(ph.spans(lo, hi) + (at - lo).astype(tv.U64) * tv.U64(0x2545F4914F6CDD1D))
         out.append([*[k[a:b][doc] for k in keys], (at - o[doc]).astype(np.int32), (hi - o[doc]).astype(np.int32), grams[at].view(np.int64), context.view(np.int64)])
     if not out:
@@ -260,11 +268,12 @@ def _anchor_batch(batch: pa.RecordBatch) -> pa.RecordBatch | None:
 CONTEXTS = "kh long, ch long, before binary, after binary"
 
 
-def _context_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
+def _context_batch(batch: pa.RecordBatch, span: int) -> pa.RecordBatch:
     """The bytes around the asked anchors of each text: reversed before the gram, plain after it."""
     texts = batch.column("text")
     kh, ch, before, after = [], [], [], []
-    back = SPAN - GRAM
+    gram = gram_of(span)
+    back = span - gram
     for i, asked in enumerate(batch.column("asked").to_pylist()):
         raw = texts[i].as_py().encode()
         for x in asked:
@@ -272,14 +281,14 @@ def _context_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
             kh.append(x["kh"])
             ch.append(x["ch"])
             before.append(raw[max(0, p - back) : p][::-1])
-            after.append(raw[p + GRAM : p + SPAN])
+            after.append(raw[p + gram : p + span])
     return pa.RecordBatch.from_arrays([pa.array(kh, pa.int64()), pa.array(ch, pa.int64()), pa.array(before, pa.binary()), pa.array(after, pa.binary())], names=["kh", "ch", "before", "after"])
 
 
 REACH = "kh long, ch long, l int, r int"
 
 
-def _solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _solve(batches: Iterator[pa.RecordBatch], span: int) -> Iterator[pa.RecordBatch]:
     """Reach of every context; the rows come sorted by gram, so groups follow one another."""
     now: int | None = None
     group: dict[int, tuple[bytes, bytes]] = {}
@@ -287,7 +296,7 @@ def _solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def close() -> None:
         if now is not None and len(group) > 1:
-            left, right = reaches([x[0] for x in group.values()], [x[1] for x in group.values()], SPAN - GRAM)
+            left, right = reaches([x[0] for x in group.values()], [x[1] for x in group.values()], span - gram_of(span))
             out.extend((now, c, l, r) for c, l, r in zip(group, left, right) if l >= 0)
 
     def flush() -> pa.RecordBatch:
@@ -308,10 +317,10 @@ def _solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield flush()
 
 
-def _window_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
+def _window_batch(batch: pa.RecordBatch, span: int) -> pa.RecordBatch:
     """All windows of the contexts of hot grams, by their split and hash."""
     kh, ch, ls, hs = [], [], [], []
-    need = SPAN - GRAM
+    need = span - gram_of(span)
     for k, c, b, a in zip(*(batch.column(i).to_pylist() for i in range(4))):
         raw = b[::-1] + a
         ph = tv.PolyHash(np.frombuffer(raw, np.uint8))
@@ -356,11 +365,12 @@ def _cut_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["k1", "k2", "n_removed", "n_spans", "kept", "kept_sha256", "spans"])
 
 
-def repeated_spans(docs: DataFrame, hot_contexts: int = HOT_CONTEXTS) -> DataFrame:
-    """Covered spans ``(k1, k2, rid, lo, hi)`` in bytes, for every text with a repeated passage."""
+def repeated_spans(docs: DataFrame, hot_contexts: int = HOT_CONTEXTS, span: int = SPAN) -> DataFrame:
+    """Covered spans ``(k1, k2, rid, lo, hi)`` in bytes, for every text with a repeated passage of ``span`` bytes."""
+    gram = gram_of(span)
     keyed = text_frame(docs).select(*text_key(), row_key(), "text")
-    long_texts = keyed.where(F.octet_length("text") >= SPAN)
-    anchors = written(map_arrow(long_texts, _anchor_batch, ANCHORS), "anchors")
+    long_texts = keyed.where(F.octet_length("text") >= span)
+    anchors = written(map_arrow(long_texts, partial(_anchor_batch, span=span), ANCHORS), "anchors")
     heads = written(
         anchors.groupBy("kh").agg(F.count(F.lit(1)).alias("n"), F.min("ch").alias("c0"), F.max("ch").alias("c1")).where("n > 1")
         .select("kh", (F.col("c0") != F.col("c1")).alias("mixed")), "grams")
@@ -371,31 +381,31 @@ def repeated_spans(docs: DataFrame, hot_contexts: int = HOT_CONTEXTS) -> DataFra
     hot = contexts.groupBy("kh").agg(F.count(F.lit(1)).alias("d")).where(F.col("d") > hot_contexts).select("kh", F.lit(True).alias("hot"))
     asked = (contexts.select("kh", "ch", "at.*").groupBy("k1", "k2", "rid")
              .agg(F.collect_list(F.struct("kh", "ch", "pos")).alias("asked")))
-    around = map_arrow(long_texts.join(asked, ["k1", "k2", "rid"]).select("text", "asked"), _context_batch, CONTEXTS)
+    around = map_arrow(long_texts.join(asked, ["k1", "k2", "rid"]).select("text", "asked"), partial(_context_batch, span=span), CONTEXTS)
     around = written(around.join(hot, "kh", "left"), "around")
     parts = max(1, shuffle_partitions(docs))
     cool = around.where("hot is null").select("kh", "ch", "before", "after")
-    solved = cool.repartition(parts, "kh").sortWithinPartitions("kh").mapInArrow(_solve, REACH)
-    windows = map_arrow(around.where("hot").select("kh", "ch", "before", "after").dropDuplicates(["kh", "ch"]), _window_batch, "kh long, ch long, l int, wh long")
+    solved = cool.repartition(parts, "kh").sortWithinPartitions("kh").mapInArrow(lambda batches: _solve(batches, span), REACH)
+    windows = map_arrow(around.where("hot").select("kh", "ch", "before", "after").dropDuplicates(["kh", "ch"]), partial(_window_batch, span=span), "kh long, ch long, l int, wh long")
     again = windows.groupBy("kh", "l", "wh").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("kh", "l", "wh")
     crowded = (windows.join(again, ["kh", "l", "wh"]).groupBy("kh", "ch")
-               .agg(F.max("l").alias("l"), (F.lit(SPAN - GRAM) - F.min("l")).cast("int").alias("r")))
+               .agg(F.max("l").alias("l"), (F.lit(span - gram) - F.min("l")).cast("int").alias("r")))
     reach = solved.unionByName(crowded)
-    copies = contexts.where("n > 1").select("kh", "ch", F.lit(SPAN).alias("l"), F.lit(SPAN).alias("r"))
+    copies = contexts.where("n > 1").select("kh", "ch", F.lit(span).alias("l"), F.lit(span).alias("r"))
     reach = written(copies.unionByName(reach).groupBy("kh", "ch").agg(F.max("l").cast("int").alias("l"), F.max("r").cast("int").alias("r")), "reach")
     partly = mixed.join(reach, ["kh", "ch"])
-    whole = shared.where("not mixed").withColumns({"l": F.lit(SPAN), "r": F.lit(SPAN)})
-    back = SPAN - GRAM
+    whole = shared.where("not mixed").withColumns({"l": F.lit(span), "r": F.lit(span)})
+    back = span - gram
     return whole.unionByName(partly).select(
         "k1", "k2", "rid",
         F.greatest(F.lit(0), F.col("pos") - F.least(F.col("l"), F.lit(back))).cast("int").alias("lo"),
-        F.least(F.col("hi"), F.col("pos") + GRAM + F.col("r")).cast("int").alias("hi"))
+        F.least(F.col("hi"), F.col("pos") + gram + F.col("r")).cast("int").alias("hi"))
 
 
-def _removed(docs: DataFrame, hot_contexts: int = HOT_CONTEXTS) -> DataFrame:
+def _removed(docs: DataFrame, hot_contexts: int = HOT_CONTEXTS, span: int = SPAN) -> DataFrame:
     """One row per text (not per document) that loses bytes, with what remains."""
     keyed = text_frame(docs).select(*text_key(), row_key(), "text")
-    hits = (repeated_spans(docs, hot_contexts).groupBy("k1", "k2")
+    hits = (repeated_spans(docs, hot_contexts, span).groupBy("k1", "k2")
             .agg(F.min("rid").alias("rid"), F.collect_set(F.struct("lo", "hi")).alias("hits")))
     cut = map_arrow(keyed.join(hits, ["k1", "k2", "rid"]).select("k1", "k2", "text", "hits"), _cut_batch, REMOVED)
     return written(cut.dropDuplicates(["k1", "k2"]), "removed")
@@ -412,13 +422,13 @@ def digest(docs: DataFrame, hot_contexts: int = HOT_CONTEXTS) -> DataFrame:
         F.coalesce("kept_sha256", "whole").alias("kept_sha256"))
 
 
-def remove_repeats(docs: DataFrame, hot_contexts: int = HOT_CONTEXTS) -> DataFrame:
-    """The documents with repeated passages cut out of ``text`` (``n_chars`` follows).
+def remove_repeats(docs: DataFrame, hot_contexts: int = HOT_CONTEXTS, span: int = SPAN) -> DataFrame:
+    """The documents with repeated passages of at least ``span`` bytes cut out of ``text`` (``n_chars`` follows).
 
     A cut through a character drops the character's remaining bytes. All other
     columns and all rows stay; documents without repeats are untouched.
     """
-    removed = _removed(docs, hot_contexts).select("k1", "k2", F.col("kept").alias("_kept"))
+    removed = _removed(docs, hot_contexts, span).select("k1", "k2", F.col("kept").alias("_kept"))
     whole = F.try_validate_utf8(F.col("_kept").cast("string"))
     new = F.coalesce(whole, F.regexp_replace(F.make_valid_utf8(F.col("_kept").cast("string")), "\ufffd", ""))
     rows = as_row(docs).select(ROW, *text_key(f"{ROW}.text")).join(removed, ["k1", "k2"], "left").withColumn("_new", new)

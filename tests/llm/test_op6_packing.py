@@ -14,7 +14,6 @@ from llm_tables import documents
 
 def check(spark, docs):
     own = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    own.encode_special_tokens = True
     rows = pk.pack(docs, with_ids=True).collect()
     ids = defaultdict(list)
     for r in docs.select("doc_id", "text").collect():
@@ -46,15 +45,16 @@ def test_whole_table_is_packed_without_padding(spark, table):
 
 
 def test_defined_cases(spark):
-    rows = check(spark, documents(spark, [(1, None), (2, ""), (3, "a"), (3, "a"), (None, "b c"), (4, "word " * 30_000), (5, "x" * 5_000), (6, "<|endoftext|> é İ 日本")], clashes=True))
+    rows = check(spark, documents(spark, [(1, None), (2, ""), (3, "a"), (3, "a"), (None, "b c"), (4, "word " * 30_000), (5, "x" * 5_000), (6, "<|endoftext|> é İ 日本"), (7, "Some text <|endoftext|> more"), (8, "a<|startoftext|>b <|ENDOFTEXT|> <|endoftext")], clashes=True))
     assert sum(r.length for r in rows if r.doc_id in (1, 2)) == 2
+    special = sorted((r.start, r.ids) for r in rows if r.doc_id == 7)
+    assert [i for _, ids in special for i in ids] == [836, 4160, 49407, 750, 2]
     assert pk.pack(documents(spark, [])).count() == 0
 
 
 def test_word_by_word_ids_equal_the_tokenizers():
     path = public_tokenizers.path("word_bpe_49k.json")
     fast, own, rng = pk.WordIds(path), Tokenizer.from_file(path), random.Random(0)
-    own.encode_special_tokens = True
     letters = "aAé ÉßẞİıǅΣςσ'sS’tre\n\t\x1c\x85\xa0 ²½٣中文éﬁ<|endoftext|>ªµ×÷.,'LL日0123\x00ſK"
     for _ in range(4_000):
         text = "".join(rng.choice(letters) for _ in range(rng.randint(0, 25)))
