@@ -17,10 +17,9 @@ The work is one Arrow pass without a shuffle: every partition packs its own
 documents, ``POOL_TOKENS`` at a time, so memory is bounded; sequence ids carry
 the partition number. Losing an executor repeats whole partitions.
 
-Defined cases: null text counts as empty and is one end token; the letters of a
-special token in a text (``<|endoftext|>``) are ordinary text
-(``encode_special_tokens``), not the token as an unmodified tokenizer has it; null ids and
-repeated rows are documents of their own; other columns play no part; an empty
+Defined cases: null text counts as empty and is one end token; the ids are those
+of the unmodified tokenizer, so the letters of a special token in a text
+(``<|endoftext|>``) are that token; null ids and repeated rows are documents of their own; other columns play no part; an empty
 table gives no pieces.
 """
 
@@ -65,10 +64,10 @@ class WordIds(dict):
 
         self.old: dict[str, bytes] = {}
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
         self.single = Tokenizer.from_file(path)
-        self.single.encode_special_tokens = True
         self.single.normalizer = normalizers.Sequence([])
+        # a text that holds one of these is not a sequence of plain words
+        self.added = re.compile("|".join(re.escape(t.content) for t in self.whole.get_added_tokens_decoder().values()) or r"(?!)")
         self.single.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, trim_offsets=True, use_regex=False)
 
     def __missing__(self, word: str) -> bytes:
@@ -83,7 +82,7 @@ class WordIds(dict):
 
     def encode(self, text: str) -> bytes:
         lower = text.lower()
-        if _PLAIN.search(lower) or _PLAIN.search(text):  # some capitals have their small letter above U+024F
+        if _PLAIN.search(lower) or _PLAIN.search(text) or self.added.search(text) or self.added.search(lower):  # some capitals have their small letter above U+024F
             return array("I", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
         return b"".join(map(self.__getitem__, _WORD.findall(lower)))
 
