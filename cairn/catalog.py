@@ -423,6 +423,25 @@ def q_ordinal_large(spark, d):
     return prep.columns(li, keep=["l_orderkey", "l_linenumber"])
 
 
+_HOT_CODE = "CASE WHEN l_orderkey % 5 < 3 THEN 'hot' WHEN l_linenumber = 1 THEN NULL ELSE CAST(l_orderkey * 10 + l_linenumber AS VARCHAR) END"
+
+
+@query("hot_category", f"""WITH li AS (SELECT *, COALESCE({_HOT_CODE}, 'missing') AS k FROM lineitem),
+v AS (SELECT k, CAST(row_number() OVER (ORDER BY k) - 1 AS DOUBLE) AS code FROM (SELECT DISTINCT k FROM li WHERE l_returnflag <> 'R'))
+SELECT l_orderkey, l_linenumber, COALESCE(v.code, CAST(-1 AS DOUBLE)) AS as_column, COALESCE(v.code, CAST(-1 AS DOUBLE)) AS in_vector
+FROM li LEFT JOIN v USING (k)""")
+def q_hot_category(spark, d):
+    """A table vocabulary with 60 % of the rows in one category and a frequent missing one, as column and in the vector."""
+    from pyspark.ml.functions import vector_to_array
+
+    li = _t(spark, d, "lineitem").withColumn("line_code", F.expr(_HOT_CODE.replace("VARCHAR", "STRING")))
+    keys = ["l_orderkey", "l_linenumber"]
+    prep = fit_prep(li.where(F.col("l_returnflag") != "R"), [], ["line_code"], MissingPolicy(categorical="constant", fill_value_categorical="missing"),
+                    category=CategoryPolicy("ordinal", "ignore"))
+    vector = prep.pipeline_model("features", li).transform(li).select(*keys, "line_code", vector_to_array("features")[0].alias("in_vector"))
+    return prep.columns(vector, keep=[*keys, "in_vector"]).withColumnRenamed("line_code", "as_column")
+
+
 # ---- D1–D6 split --------------------------------------------------------------------------------
 
 _EDGES = "e AS (SELECT quantile_cont(o_totalprice, [0.0, 0.2, 0.4, 0.6, 0.8, 1.0]) AS q FROM orders)"

@@ -29,7 +29,8 @@ at any number); ``FittedPrep.pipeline_model()`` is a persistable Spark ML
 ``PipelineModel`` (SQL stage + string indexers + one-hot encoder + vector
 assembler) giving the same values as a (sparse) feature vector, usable on
 batch and streaming frames alike. Vocabularies too large for the plan are
-``(value, code)`` tables that are joined in; both forms give the same values.
+``(value, code)`` tables that are joined in, their frequent categories as a small
+table of proven size; both forms give the same values.
 """
 
 from __future__ import annotations
@@ -54,7 +55,7 @@ EPS = 2.220446049250313e-16
 # categories a column may have for its vocabulary to be written into the plan as literals
 LITERAL_VOCAB_LIMIT = 10_000
 LITERAL_VOCAB_TOTAL = 200_000
-# keys over which rows with a missing category are dealt in a vocabulary join
+# keys over which rows that have no code to look up are dealt in a vocabulary join
 NULL_SPREAD = 512
 
 
@@ -76,6 +77,8 @@ class CategoricalPlan:
     # large vocabularies live in a (value, code) parquet table instead of the plan
     vocab_path: str | None = None
     vocab_size: int = 0
+    # its frequent categories, fewer than FREQUENT_PARTS rows
+    hot_path: str | None = None
 
     @property
     def size(self) -> int:
@@ -125,7 +128,7 @@ class FittedPrep:
 
     def _unknown_error(self, i: int, p: CategoricalPlan, s: str) -> str:
         vocab = ", ".join(sql_string(v) for v in p.vocabulary) or "CAST(NULL AS STRING)"
-        known = f"__vc{i} IS NOT NULL" if p.vocab_path else f"coalesce({s} IN ({vocab}), false)"
+        known = f"{self._table_code(i, p)} IS NOT NULL" if p.vocab_path else f"coalesce({s} IN ({vocab}), false)"
         msg = sql_string(f"Found unknown categories in column {p.name} during transform")
         return f"CASE WHEN {s} IS NOT NULL AND NOT ({known}) THEN raise_error({msg}) END"
 
@@ -135,29 +138,55 @@ class FittedPrep:
     def _table_plans(self) -> list[tuple[int, CategoricalPlan]]:
         return [(i, p) for i, p in enumerate(self.categorical) if p.vocab_path and not p.dropped]
 
-    def _vocab_join_sql(self) -> str:
-        """LEFT JOINs bringing each table vocabulary's code in as ``__vc<i>``."""
-        joins = []
-        for i, p in self._table_plans():
-            joins.append(
-                f" LEFT JOIN (SELECT value AS __vv{i}, code AS __vc{i} FROM parquet.`{p.vocab_path}`) AS __j{i}"
-                f" ON {self._cat_imputed_sql(p)} = __j{i}.__vv{i}"
-            )
-        return "".join(joins)
+    @staticmethod
+    def _table_code(i: int, p: CategoricalPlan) -> str:
+        return f"coalesce(__hc{i}, __vc{i})" if p.hot_path else f"__vc{i}"
 
-    def _with_codes(self, df: DataFrame) -> DataFrame:
-        """Column form: join the table vocabularies, look up the literal ones.
+    def _spread_sql(self) -> str:
+        """A key over which rows are dealt by their contents and input partition (copies lie in many)."""
+        cols = [p.name for p in (*self.numeric, *self.categorical)][:8]
+        return f"CAST(pmod(xxhash64(spark_partition_id(), {', '.join(map(sql_ident, cols))}), {NULL_SPREAD}) AS STRING)"
+
+    def _joins(self) -> list[tuple[str, str, str, str]]:
+        """Per table that is joined in: its alias, its rows, the condition, and a hint.
 
-        A missing category matches nothing; it is dealt over ``NULL_SPREAD``
-        keys so that the rows without one do not meet in one task (AQE splits
-        other hot categories).
+        The frequent categories of a column are a table of proven size and go to
+        all tasks. Their rows, and rows without a category, have nothing to look
+        up in the whole vocabulary: they are dealt over ``NULL_SPREAD`` keys, so
+        no category with very many rows meets in one task.
         """
-        spread = F.pmod(F.xxhash64(*[qcol(c) for c in df.columns[:8]]), F.lit(NULL_SPREAD)).cast("string")
+        out = []
+        for i, p in self._table_plans():
+            s = self._cat_imputed_sql(p)
+            done = f"({s} IS NULL)"
+            if p.hot_path:
+                out.append((f"__h{i}", f"SELECT value AS __hv{i}, code AS __hc{i} FROM parquet.`{p.hot_path}`", f"{s} = __hv{i}", "broadcast"))
+                done = f"({s} IS NULL OR __hc{i} IS NOT NULL)"
+            out.append((f"__j{i}", f"SELECT value AS __vv{i}, code AS __vc{i}, false AS __vd{i} FROM parquet.`{p.vocab_path}`",
+                        f"CASE WHEN {done} THEN __spread ELSE {s} END = __vv{i} AND {done} = __vd{i}", ""))
+        return out
+
+    def _vocab_from_sql(self) -> str:
+        """The input, with LEFT JOINs bringing each table vocabulary's codes in."""
+        joins = self._joins()
+        if not joins:
+            return "__THIS__"
+        return f"(SELECT *, {self._spread_sql()} AS __spread FROM __THIS__) AS __t" + "".join(
+            f" LEFT JOIN ({rows}) AS {alias} ON {on}" for alias, rows, on, _ in joins)
+
+    def _join_temp(self) -> list[str]:
+        names = ["__spread"] if self._table_plans() else []
         for i, p in self._table_plans():
-            voc = df.sparkSession.read.parquet(p.vocab_path).select(
-                F.col("value").alias(f"__vv{i}"), F.col("code").alias(f"__vc{i}"))
-            key = F.coalesce(F.expr(self._cat_imputed_sql(p)), F.concat(F.lit("\u0000"), spread))
-            df = df.join(voc, key == F.col(f"__vv{i}"), "left")
+            names += [f"__vv{i}", f"__vc{i}", f"__vd{i}", *([f"__hv{i}", f"__hc{i}"] if p.hot_path else [])]
+        return names
+
+    def _with_codes(self, df: DataFrame) -> DataFrame:
+        """Column form: join the table vocabularies, look up the literal ones."""
+        if joins := self._joins():
+            df = df.withColumn("__spread", F.expr(self._spread_sql()))
+            for _, rows, on, hint in joins:
+                table = df.sparkSession.sql(rows)
+                df = df.join(table.hint(hint) if hint else table, F.expr(on), "left")
         for i, p in self._ordinal_plans():
             df = self._indexer(i, p).transform(df.withColumn(f"__cat_{i}", F.expr(self._cat_imputed_sql(p))))
         return df
@@ -190,10 +219,11 @@ class FittedPrep:
 
     def _table_index_sql(self, i: int, p: CategoricalPlan, unknown: int) -> str:
         s = self._cat_imputed_sql(p)
-        code = f"coalesce(__vc{i}, {int(unknown)})"
+        own = self._table_code(i, p)
+        code = f"coalesce({own}, {int(unknown)})"
         if self.handle_unknown == "error":
             msg = sql_string(f"Found unknown categories in column {p.name} during transform")
-            code = f"CASE WHEN {s} IS NOT NULL AND __vc{i} IS NULL THEN raise_error({msg}) ELSE {code} END"
+            code = f"CASE WHEN {s} IS NOT NULL AND {own} IS NULL THEN raise_error({msg}) ELSE {code} END"
         return f"CAST({code} AS DOUBLE)"
 
     def categorical_outputs(self) -> list[tuple[str, str]]:
@@ -205,7 +235,7 @@ class FittedPrep:
             if self.encode == "onehot":
                 guard = self._unknown_error(i, p, s) if self.handle_unknown == "error" else None
                 for k, v in enumerate(self._vocabulary(p)):
-                    hit = f"__vc{i} = {k}" if p.vocab_path else f"{s} = {sql_string(v)}"
+                    hit = f"{self._table_code(i, p)} = {k}" if p.vocab_path else f"{s} = {sql_string(v)}"
                     e = f"CASE WHEN {hit} THEN 1.0D ELSE 0.0D END"
                     if guard and k == 0:
                         e = f"coalesce({guard}, {e})"
@@ -285,7 +315,7 @@ class FittedPrep:
                 num_out.append(name)
         cats = [(i, p) for i, p in enumerate(self.categorical) if not p.dropped]
         cat_out: list[str] = []
-        temp: list[str] = [f"__vv{i}" for i, _ in self._table_plans()] + [f"__vc{i}" for i, _ in self._table_plans()]
+        temp = self._join_temp()
         stages: list = []
         if self.encode == "onehot" and cats:
             invalid = "error" if self.handle_unknown == "error" else "keep"
@@ -321,8 +351,9 @@ class FittedPrep:
                 cat_out.append(name)
             if after:
                 stages.append(SQLTransformer(statement=f"SELECT *, {', '.join(after)} FROM __THIS__"))
-        sql = SQLTransformer(
-            statement=f"SELECT {', '.join(select)} FROM __THIS__{self._vocab_join_sql()}{self._where_sql()}")
+        hot = [alias for alias, _, _, hint in self._joins() if hint]
+        hint = f"/*+ BROADCAST({', '.join(hot)}) */ " if hot else ""
+        sql = SQLTransformer(statement=f"SELECT {hint}{', '.join(select)} FROM {self._vocab_from_sql()}{self._where_sql()}")
         assembler = VectorAssembler(inputCols=num_out + cat_out, outputCol=features_col, handleInvalid="error")
         drop = SQLTransformer(statement="SELECT * EXCEPT ({}) FROM __THIS__".format(
             ", ".join(sql_ident(c) for c in num_out + cat_out + temp)))
@@ -491,5 +522,5 @@ def _large_plan(train: DataFrame, c: str, st, missing: MissingPolicy, category:
     if category.encode == "none":
         return CategoricalPlan(c, fill)
     extra = fill if (st.missing and fill is not None) else None
-    path, size = vocabulary_table(train, c, extra)
-    return CategoricalPlan(c, fill, (), vocab_path=path, vocab_size=size)
+    path, size, hot = vocabulary_table(train, c, extra)
+    return CategoricalPlan(c, fill, (), vocab_path=path, vocab_size=size, hot_path=hot)

@@ -114,39 +114,52 @@ def column_stats(df: DataFrame, columns: list[str], categorical: list[str] = ())
     return out
 
 
-def vocabulary_table(df: DataFrame, column: str, extra: str | None = None) -> tuple[str, int]:
+#: A category with more than one part in so many of the rows is frequent; there are fewer frequent ones than that.
+FREQUENT_PARTS = 1_000
+
+
+def vocabulary_table(df: DataFrame, column: str, extra: str | None = None) -> tuple[str, int, str | None]:
     """Sorted distinct values of a text column with their 0-based rank, as a parquet table.
 
-    For vocabularies too large to travel with the plan: distinct values are
-    range-partitioned and sorted inside each partition (distributed sort),
-    row ids are frozen in a written table, per-partition counts (one row per
-    partition) give each partition's first code, and the codes are written
-    under the shared checkpoint folder. Returns (path, vocabulary size).
+    For vocabularies too large to travel with the plan: values are counted
+    (pre-aggregated; ``extra`` stands for a missing one), range-partitioned and
+    sorted inside each partition (distributed sort), row ids are frozen in a
+    written table, per-partition counts (one row per partition) give each
+    partition's first code, and the codes are written under the shared
+    checkpoint folder. The frequent values are written as a table of their own,
+    which by its definition has fewer than ``FREQUENT_PARTS`` rows. Returns
+    (path, vocabulary size, path of the frequent values or None).
     """
     from cairn.session import materialize, scratch_path
 
     spark = df.sparkSession
-    vals = df.select(qcol(column).cast("string").alias("value")).where(F.col("value").isNotNull())
-    if extra is not None:
-        vals = vals.unionByName(spark.createDataFrame([(extra,)], "value string"))
+    value = qcol(column).cast("string")
+    vals = df.select((value if extra is None else F.coalesce(value, F.lit(extra))).alias("value")).where(F.col("value").isNotNull())
     parts = max(1, spark.sparkContext.defaultParallelism)
-    # with AQE the distinct shuffle runs once as a query stage; the range partitioner's sampling
+    # with AQE the count's shuffle runs once as a query stage; the range partitioner's sampling
     # job reads its output rather than the input again (checked in the event log)
-    ranged = (vals.distinct().repartitionByRange(parts, "value").sortWithinPartitions("value")
+    ranged = (vals.groupBy("value").agg(F.count(F.lit(1)).alias("n")).repartitionByRange(parts, "value").sortWithinPartitions("value")
               .withColumn("mid", F.monotonically_increasing_id()))
     frozen = materialize(ranged, "vocab-ids")
     pid = F.shiftright(F.col("mid"), 33)
-    sizes = sorted((r["pid"], r["count"]) for r in _rows(frozen.groupBy(pid.alias("pid")).count()))
-    offsets, total = [], 0
-    for p_, n in sizes:
+    sizes = sorted((r["pid"], r["count"], r["rows"]) for r in
+                   _rows(frozen.groupBy(pid.alias("pid")).agg(F.count(F.lit(1)).alias("count"), F.sum("n").alias("rows"))))
+    offsets, total, rows = [], 0, 0
+    for p_, n, k in sizes:
         offsets.append((int(p_), total))
         total += int(n)
+        rows += int(k)
     base = spark.createDataFrame(offsets, "pid long, base long")  # one row per partition
     coded = frozen.join(F.broadcast(base), pid == F.col("pid")).select(
-        "value", (F.col("base") + F.col("mid").bitwiseAND(F.lit((1 << 33) - 1))).alias("code"))
+        "value", (F.col("base") + F.col("mid").bitwiseAND(F.lit((1 << 33) - 1))).alias("code"), "n")
     path = scratch_path(spark, "vocab")
     coded.write.parquet(path)
-    return path, total
+    frequent = spark.read.parquet(path).where(F.col("n") * FREQUENT_PARTS > rows).select("value", "code")
+    if frequent.isEmpty():
+        return path, total, None
+    frequent_path = scratch_path(spark, "vocab-frequent")
+    frequent.coalesce(1).write.parquet(frequent_path)
+    return path, total, frequent_path
 
 
 def _positions(n: int, p: float) -> tuple[int, int, float]:

@@ -154,3 +154,48 @@ def test_saved_preprocessor_carries_its_vocabulary_tables(spark, tmp_path, monke
     assert all(scratch not in s.getStatement() and str(tmp_path / "a") not in s.getStatement() for s in pm2.stages if hasattr(s, "getStatement"))
     got = [r.prediction for r in model2.transform(pm2.transform(df)).orderBy("num").collect()]
     assert np.allclose(got, want)
+
+
+@pytest.mark.parametrize("encode", ["onehot", "ordinal"])
+def test_frequent_categories_of_a_table_vocabulary_are_spread(spark, monkeypatch, encode):
+    import cairn.operators.prep as P
+
+    monkeypatch.setattr(P, "LITERAL_VOCAB_LIMIT", 100)
+    n = 40_000
+    cat = "CASE WHEN id % 10 < 6 THEN 'hot' WHEN id % 10 = 6 THEN NULL WHEN id % 10 = 7 THEN concat('w', id % 30) ELSE concat('c', id % 3000) END"
+    df = spark.range(n, numPartitions=16).selectExpr("id", "CAST(id % 11 AS DOUBLE) AS num", f"{cat} AS cat").repartition(16)
+    prep = fit_prep(df.where("cat IS NULL OR cat != 'w7'"), ["num"], ["cat"], category=CategoryPolicy(encode))
+    plan = prep.categorical[0]
+    frequent = [r.value for r in spark.read.parquet(plan.hot_path).collect()]
+    assert "hot" in frequent and len(frequent) < 1_000 and plan.fill in frequent
+    monkeypatch.setattr(P, "LITERAL_VOCAB_LIMIT", 10_000)
+    literal = fit_prep(df.where("cat IS NULL OR cat != 'w7'"), ["num"], ["cat"], category=CategoryPolicy(encode))
+    keep = {c: spark.conf.get(c) for c in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        for c, v in zip(keep, ("16", "false", "-1")):
+            spark.conf.set(c, v)
+        vectors = [p.pipeline_model("features", df).transform(df) for p in (prep, literal)]
+        a, b = ({r.id: r.features for r in v.select("id", "features").collect()} for v in vectors)
+        assert a == b
+        wide = [vectors[0]] + ([prep.columns(df, keep=["id"])] if encode == "ordinal" else [])
+        for out in wide:
+            sizes = sorted(r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect())
+            assert len(sizes) == 16 and sizes[-1] <= 2 * sizes[len(sizes) // 2]
+    finally:
+        for c, v in keep.items():
+            spark.conf.set(c, v)
+
+
+def test_table_vocabulary_scores_a_stream(spark, monkeypatch, tmp_path):
+    import cairn.operators.prep as P
+
+    monkeypatch.setattr(P, "LITERAL_VOCAB_LIMIT", 3)
+    df = spark.range(200).selectExpr("CAST(id AS DOUBLE) AS num", "CASE WHEN id % 3 = 0 THEN 'hot' ELSE concat('v', id % 20) END AS cat")
+    pm = fit_prep(df, ["num"], ["cat"]).pipeline_model("features", df)
+    df.write.parquet(str(tmp_path / "in"))
+    stream = pm.transform(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")))
+    q = stream.select("num", "features").writeStream.format("parquet").option("path", str(tmp_path / "out")).option(
+        "checkpointLocation", str(tmp_path / "ckpt")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    got = {r.num: r.features for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got == {r.num: r.features for r in pm.transform(df).collect()} and len(got) == 200
