@@ -37,7 +37,9 @@ from cairn.operators import split as SP
 from cairn.operators.metrics import regression_metrics
 from cairn.operators.models import build_estimator
 from cairn.operators.prep import fit_prep
+from cairn.operators.stats import column_stats
 from cairn.operators.target import repair_target, resolve_target
+from cairn.plans import run_regression
 from cairn.session import scratch_path
 
 
@@ -197,7 +199,7 @@ def q_target_failed(spark: SparkSession, d: str) -> DataFrame:
 def q_target_distinct(spark: SparkSession, d: str) -> DataFrame:
     """The exact distinct count behind the number of bins (fewer than 100 distinct values)."""
     li = _t(spark, d, "lineitem")
-    n = li.select("l_discount").where("l_discount is not null").distinct().count()
+    n = SP.target_distinct(li, "l_discount", column_stats(li.select(F.col("l_discount").cast("double")), ["l_discount"])["l_discount"])
     edges = SP.stratify_edges(li, "l_discount")
     return spark.createDataFrame([("l_discount", n, edges is not None)], "column_name string, n long, full_bins boolean")
 
@@ -263,14 +265,12 @@ def q_onehot_vector(spark: SparkSession, d: str) -> DataFrame:
 
 # ---- split rules -----------------------------------------------------------------------------------
 
-@query("split_random_nokey", """WITH h AS (SELECT r_regionkey, n_nationkey, row_number() OVER (ORDER BY md5('42:{"n_nationkey":' || n_nationkey || ',"r_regionkey":' || r_regionkey || '}')) AS rn,
-count(*) OVER () AS n FROM nation JOIN region ON n_regionkey = r_regionkey)
-SELECT n_nationkey, r_regionkey, rn <= greatest(1, least(n - 1, ceil(n * CAST(0.2 AS DOUBLE)))) AS is_test FROM h""")
+@query("split_random_nokey", """WITH h AS (SELECT o_orderkey, o_custkey, row_number() OVER (ORDER BY md5('42:{"o_orderkey":' || o_orderkey || ',"o_custkey":' || o_custkey || '}')) AS rn,
+count(*) OVER () AS n FROM orders)
+SELECT o_orderkey, o_custkey, rn <= greatest(1, least(n - 1, ceil(n * CAST(0.2 AS DOUBLE)))) AS is_test FROM h""")
 def q_split_nokey(spark: SparkSession, d: str) -> DataFrame:
     """Without a key the rows' own content gives the order."""
-    n, r = _t(spark, d, "nation"), _t(spark, d, "region")
-    df = n.join(r, n.n_regionkey == r.r_regionkey).select("n_nationkey", "r_regionkey")
-    return SP.random_split(df, 0.2, 42)
+    return SP.random_split(_t(spark, d, "orders").select("o_orderkey", "o_custkey"), 0.2, 42)
 
 
 @query("split_copies", """WITH c AS (SELECT count(*) AS n FROM lineitem) SELECT n, CAST(greatest(1, least(n - 1, ceil(n * CAST(0.2 AS DOUBLE)))) AS BIGINT) AS n_test,
@@ -306,12 +306,13 @@ def q_split_null_label(spark: SparkSession, d: str) -> DataFrame:
     return SP.stratified_split(o, "y", 0.2, 42, "o_orderkey", unique_key=True).select("o_orderkey", "is_test")
 
 
-@query("split_fallback_many_groups", """SELECT n_nationkey, row_number() OVER (ORDER BY md5('42:' || CAST(n_nationkey AS VARCHAR)))
-  <= greatest(1, least(count(*) OVER () - 1, ceil(count(*) OVER () * CAST(0.1 AS DOUBLE)))) AS is_test FROM nation""")
+@query("split_fallback_many_groups", """WITH g AS (SELECT o_custkey % 25 AS g FROM orders GROUP BY 1)
+SELECT g, row_number() OVER (ORDER BY md5('42:' || CAST(g AS VARCHAR)))
+  <= greatest(1, least(count(*) OVER () - 1, ceil(count(*) OVER () * CAST(0.1 AS DOUBLE)))) AS is_test FROM g""")
 def q_split_many_groups(spark: SparkSession, d: str) -> DataFrame:
-    """More strata (5) than test rows (3): the random split."""
-    n = _t(spark, d, "nation").select("n_nationkey", F.col("n_nationkey").cast("double").alias("y"))
-    return SP.stratified_split(n, "y", 0.1, 42, "n_nationkey", unique_key=True).select("n_nationkey", "is_test")
+    """More strata (5) than test rows (3): the random split, here of all orders in 25 groups."""
+    g = _t(spark, d, "orders").groupBy((F.col("o_custkey") % 25).alias("g")).agg(F.sum("o_totalprice").cast("double").alias("y"))
+    return SP.stratified_split(g, "y", 0.1, 42, "g", unique_key=True).select("g", "is_test")
 
 
 # ---- linear models ----------------------------------------------------------------------------------
@@ -362,24 +363,85 @@ def q_ols_unseen(spark: SparkSession, d: str) -> DataFrame:
 
 # ---- forests: settings and the R² bound ----------------------------------------------------------------
 
-@query("forest_settings", """SELECT * FROM (VALUES
- ('default', 100, 30, 'all', 1, true, CAST(0 AS BIGINT)), ('sqrt', 7, 4, '2', 3, false, CAST(5 AS BIGINT)), ('log2', 1, 30, '2', 1, true, CAST(0 AS BIGINT)),
- ('half', 500, 30, '2', 1000, true, CAST(0 AS BIGINT)), ('three', 100, 30, '3', 1, true, CAST(0 AS BIGINT))) AS t(setting, n_trees, depth, subset, leaf, bootstrap, seed)
+_FOREST_CASES = {
+    "few": {"n_estimators": 3, "max_depth": 2, "random_state": 5}, "leaf": {"n_estimators": 2, "max_depth": 6, "min_samples_leaf": 50, "bootstrap": False},
+    "sqrt": {"n_estimators": 1, "max_depth": 3, "max_features": "sqrt"}, "deep": {"n_estimators": 1, "max_depth": 31, "min_samples_leaf": 20},
+}
+
+
+@query("forest_settings", """SELECT * FROM (VALUES ('few', 3, true, true, true, CAST(5 AS BIGINT)), ('leaf', 2, true, true, true, CAST(0 AS BIGINT)),
+ ('sqrt', 1, true, true, true, CAST(0 AS BIGINT)), ('deep', 1, true, true, true, CAST(0 AS BIGINT))) AS t(setting, n_trees, depth_reached, leaves_large_enough, subset_ok, seed)
  WHERE (SELECT count(*) FROM part) > 0""")
 def q_forest_settings(spark: SparkSession, d: str) -> DataFrame:
-    """How the forest's settings arrive in Spark for the five columns of ``part`` that are features."""
-    width = len([c for c in _t(spark, d, "part").columns if c != "p_retailprice"])
-    cases = {
-        "default": {}, "sqrt": {"n_estimators": 7, "max_depth": 4, "max_features": "sqrt", "min_samples_leaf": 3, "bootstrap": False, "random_state": 5},
-        "log2": {"n_estimators": 1, "max_features": "log2"}, "half": {"n_estimators": 500, "max_features": 0.5, "min_samples_leaf": 1000, "max_depth": 31},
-        "three": {"max_features": 3},
-    }
+    """Forests fitted on all of ``part``: number and depth of trees and size of leaves are read from the fitted trees."""
+    p = part_frame(spark, d)
+    prep = fit_prep(p, ["pk_mod", "size_full"], [])
+    data = prep.pipeline_model("features", p).transform(p).select("features", "p_retailprice").cache()
     rows = []
-    for name, params in cases.items():
-        f = build_estimator(ModelPolicy("random_forest", params), width)
-        seed = f.getSeed() if "random_state" in params else 0
-        rows.append((name, f.getNumTrees(), f.getMaxDepth(), f.getFeatureSubsetStrategy(), f.getMinInstancesPerNode(), f.getBootstrap(), seed))
-    return spark.createDataFrame(rows, "setting string, n_trees int, depth int, subset string, leaf int, bootstrap boolean, seed long")
+    for name, params in _FOREST_CASES.items():
+        made = build_estimator(ModelPolicy("random_forest", params), 2, "features", "p_retailprice")
+        model = made.fit(data)
+        depth, least = min(params["max_depth"], 30), params.get("min_samples_leaf", 1)
+        trees = model.trees
+        # without a bootstrap a leaf's rows are the table's own; each tree is a table of nodes
+        full = params.get("bootstrap", True) or all(_leaf_sizes(data, t) >= least for t in trees)
+        reached = all(t.depth <= depth for t in trees) and (name in ("leaf", "deep") or max(t.depth for t in trees) == depth)
+        subset = made.getFeatureSubsetStrategy() == ("1" if params.get("max_features") else "all")
+        rows.append((name, model.getNumTrees, reached, full, subset, model.getSeed() if "random_state" in params else 0))
+    data.unpersist()
+    return spark.createDataFrame(rows, "setting string, n_trees int, depth_reached boolean, leaves_large_enough boolean, subset_ok boolean, seed long")
+
+
+def _leaf_sizes(data: DataFrame, tree) -> int:
+    """Rows of a fitted tree's smallest leaf: rows that share a leaf share its prediction."""
+    return tree.transform(data).groupBy("prediction").count().agg(F.min("count")).first()[0]
+
+
+def _gradient_boosted(columns: dict, params: dict):
+    from pyspark.ml.regression import GBTRegressor
+
+    return GBTRegressor(**columns, maxIter=int(params.get("rounds", 20)), maxDepth=int(params.get("depth", 5)), seed=int(params.get("seed", 42)))
+
+
+@query("user_model", f"WITH {PART_SPLIT_CTE} SELECT count(*) AS n_test, 'train_model:gradient_boosted' AS entry, true AS r2_ok, true AS reloaded_same, true AS unknown_refused FROM ps WHERE is_test")
+def q_user_model(spark: SparkSession, d: str) -> DataFrame:
+    """A registered kind of model in a whole run over ``part``: log, metrics, artefacts and their reload."""
+    from cairn.model_kinds import register_model_kind
+    from cairn.sources.artifacts import load_artifacts, save_artifacts
+
+    register_model_kind("gradient_boosted", _gradient_boosted, ["rounds", "depth", "seed"], fixed_partitions=True)
+    p = part_frame(spark, d).select("p_partkey", "pk_mod", "size_full", "p_retailprice")
+    cfg = PipelineConfig(target=TargetSpec("explicit", "p_retailprice"), model=ModelPolicy("gradient_boosted", {"rounds": 15}))
+    res = run_regression(spark, cfg, p, key="p_partkey", unique_key=True)
+    where = scratch_path(spark, "user-model")
+    save_artifacts(res.prep_model, res.model, where)
+    prep, model = load_artifacts(where)
+    test = res.split.where("is_test")
+    again = model.transform(prep.transform(test)).select("p_partkey", F.col("prediction").alias("again"))
+    both = res.predictions.select("p_partkey", "prediction").join(again, "p_partkey")
+    entry = next((x for x in res.logs if x.startswith("train_model:")), "")
+    refused = _raises(lambda: ModelPolicy("gradient_boosted", {"trees": 3}), "Unsupported parameter")
+    return both.agg(F.count(F.lit(1)).alias("n_test"), F.lit(entry).alias("entry"), F.lit(res.metrics["r2"] >= 0.9).alias("r2_ok"),
+                    (F.max(F.abs(F.col("prediction") - F.col("again"))) == 0).alias("reloaded_same"), F.lit(refused).alias("unknown_refused"))
+
+
+@query("forest_copies", "SELECT count(*) AS n, true AS all_there, true AS even FROM lineitem")
+def q_forest_copies(spark: SparkSession, d: str) -> DataFrame:
+    """A third of lineitem as copies of one row: the forest's input keeps every copy and no partition has over 1.5 times the median."""
+    from pyspark.ml.feature import VectorAssembler
+
+    from cairn.plans.regression import forest_input
+
+    crowd = F.col("l_orderkey") % 3 == 0
+    li = _t(spark, d, "lineitem").select(*[F.when(crowd, 1.0).otherwise(F.col(c).cast("double")).alias(c) for c in ("l_quantity", "l_discount", "l_extendedprice")])
+    keyed = VectorAssembler(inputCols=["l_quantity", "l_discount"], outputCol="features").transform(SP.with_order_keys(li, 42))
+    total = li.count()
+    dealt = forest_input(keyed, total)
+    sizes = sorted(r["count"] for r in dealt.groupBy(F.spark_partition_id()).count().collect())
+    even = sizes[-1] <= 1.5 * sizes[len(sizes) // 2]
+    left = keyed.groupBy("l_quantity", "l_discount", "l_extendedprice").count()
+    same = left.exceptAll(dealt.groupBy("l_quantity", "l_discount", "l_extendedprice").count()).isEmpty()
+    return dealt.agg(F.count(F.lit(1)).alias("n"), F.lit(same).alias("all_there"), F.lit(even).alias("even"))
 
 
 @query("forest_fits", f"WITH {PART_SPLIT_CTE} SELECT count(*) AS n_test, true AS r2_ok, true AS criterion_refused FROM ps WHERE is_test")

@@ -35,6 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairn.config import ModelPolicy
+from cairn.model_kinds import registered
 from cairn.operators.wide_linear import Design, least_squares, non_negative
 
 _LOG = logging.getLogger(__name__)
@@ -75,6 +76,8 @@ NARROW = 64
 def build_estimator(policy: ModelPolicy, n_features: int, features_col: str = "features",
                     label_col: str = "label", prediction_col: str = "prediction"):
     p = dict(policy.params)
+    if own := registered(policy.kind):
+        return own.estimator(features_col, label_col, prediction_col, p)
     if policy.kind == "linear_regression":
         fit_intercept = bool(p.get("fit_intercept", True))
         if p.get("positive", False) or policy.solver != "spark":

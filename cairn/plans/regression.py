@@ -23,10 +23,13 @@ from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.config import PipelineConfig
+from cairn.functions.text import qcol
+from cairn.model_kinds import registered
 from cairn.operators.metrics import metrics_log, regression_metrics
 from cairn.operators.models import SPARK_MAX_DEPTH, build_estimator, model_log
 from cairn.operators.prep import FittedPrep, fit_prep
@@ -42,6 +45,9 @@ SPREAD_MIN_ROWS = 100_000
 # rows of a forest's input partition; its bootstrap follows the partitions, so their number follows the rows alone
 FOREST_ROWS = 250_000
 FOREST_MIN_PARTITIONS = 8
+# identical rows of a forest's input that may lie together: this many, or less where a partition holds few rows
+FOREST_COPIES = 1_000
+FOREST_PORTIONS = 64
 
 
 class StepRegistry:
@@ -235,8 +241,10 @@ def _run(spark: SparkSession, config: PipelineConfig, df: DataFrame | None = Non
     with run.step("train_model"):
         estimator = build_estimator(config.model, prep.feature_count, model_features_col, target, "prediction")
         fit_input = prep_model.transform(train)
-        if config.model.kind == "random_forest":
+        own = registered(config.model.kind)
+        if config.model.kind == "random_forest" or (own and own.fixed_partitions):
             fit_input = forest_input(fit_input, repair.rows)
+        if config.model.kind == "random_forest":
             wanted = config.model.params.get("max_depth")
             if wanted is None or wanted > SPARK_MAX_DEPTH:
                 logs.append(f"forest_depth_limit:{SPARK_MAX_DEPTH}")
@@ -270,11 +278,26 @@ def forest_input(df: DataFrame, rows: int) -> DataFrame:
 
     Spark draws a forest's bootstrap per partition, in row order: with fixed
     partitions the same data and seed give the same trees on any number of
-    cores, and a retried task draws the same rows.
+    cores, and a retried task draws the same rows. Where identical rows crowd
+    one key, every row becomes one with a count (pre-aggregated), the counts are
+    dealt in portions of up to ``FOREST_COPIES`` and the copies made again there,
+    so each still draws for itself in the bootstrap and none meet in one task.
     """
     parts = max(FOREST_MIN_PARTITIONS, -(-rows // FOREST_ROWS))
     keys = [c for c in KEY_COLUMNS if c in df.columns]
-    return df.repartition(parts, *keys).sortWithinPartitions(*keys)
+    size = max(1, min(FOREST_COPIES, rows // (parts * FOREST_PORTIONS)))
+    if df.groupBy(*keys).count().where(F.col("count") > size).isEmpty():
+        return df.repartition(parts, *keys).sortWithinPartitions(*keys)
+    others = [c for c in df.columns if c not in keys]
+    plain = [qcol(c) for c in others if not isinstance(df.schema[c].dataType, VectorUDT)]
+    # the key of a key column that is not unique after all: rows of one group are equal
+    groups = df.withColumn("__same", F.xxhash64(*plain) if plain else F.lit(0)).groupBy(*keys, "__same").agg(
+        F.count(F.lit(1)).alias("__n"), F.first(F.struct(*map(qcol, others))).alias("__row"))
+    last = F.expr(f"(__n - 1) div {size}")
+    portions = groups.withColumn("__portion", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+    dealt = portions.repartition(parts, *keys, "__same", "__portion").sortWithinPartitions(*keys, "__same", "__portion")
+    copies = F.least(F.col("__n") - F.col("__portion") * size, F.lit(size).cast("long"))
+    return dealt.select(*keys, "__row", F.explode(F.array_repeat(F.lit(True), copies.cast("int"))).alias("__copy")).select(*keys, "__row.*")
 
 
 # The payload's status and error kinds.

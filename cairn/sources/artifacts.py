@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import json
 import re
+import time
+import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import SQLTransformer
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
@@ -26,40 +30,62 @@ def _with_tables(model: PipelineModel, place) -> PipelineModel:
     return PipelineModel(stages=stages)
 
 
+#: The table of complete versions under an artefact folder: a row is appended once both parts are written.
+MANIFEST = "manifest"
+MANIFEST_SCHEMA = "at double, version string, model string, preprocessor string"
+
+
 def save_artifacts(prep_model: PipelineModel, model, directory: str,
                    model_name: str = "model", preprocessor_name: str = "preprocessor") -> tuple[str, str]:
-    """Write both parts under ``directory`` (two sub-folders); returns their paths.
+    """Write both parts in a version folder of their own under ``directory``; returns their paths.
 
-    Vocabulary tables that the preprocessor joins are copied next to it, so
-    the scratch folder may go.
+    The version counts once its manifest row is committed, last of all: a
+    failure in between leaves the former pair in place. Vocabulary tables that
+    the preprocessor joins are copied next to it, so the scratch folder may go.
     """
+    spark = SparkSession.getActiveSession()
     base = directory.rstrip("/")
-    model_path, prep_path = f"{base}/{model_name}", f"{base}/{preprocessor_name}"
-    tables = TABLES.format(base=base, name=preprocessor_name)
+    version = f"version-{uuid.uuid4().hex}"
+    model_path, prep_path = f"{base}/{version}/{model_name}", f"{base}/{version}/{preprocessor_name}"
+    tables = TABLES.format(base=f"{base}/{version}", name=preprocessor_name)
     places: dict[str, str] = {}
 
     def keep(path: str) -> str:
         if path not in places:
             places[path] = f"{tables}/{len(places)}"
-            SparkSession.getActiveSession().read.parquet(path).write.mode("overwrite").parquet(places[path])
+            spark.read.parquet(path).write.parquet(places[path])
         return places[path]
 
     prep_model = _with_tables(prep_model, keep)
-    prep_model.write().overwrite().save(prep_path)
+    prep_model.write().save(prep_path)
     wrapped = model if isinstance(model, PipelineModel) else PipelineModel(stages=[model])
-    wrapped.write().overwrite().save(model_path)
+    wrapped.write().save(model_path)
+    row = spark.createDataFrame([(time.time(), version, model_name, preprocessor_name)], MANIFEST_SCHEMA)
+    row.coalesce(1).write.mode("append").parquet(f"{base}/{MANIFEST}")
     return model_path, prep_path
 
 
+def current_version(directory: str, model_name: str = "model", preprocessor_name: str = "preprocessor") -> str:
+    """The folder of the latest complete pair of these names (the folder itself if it was written without a manifest)."""
+    base = directory.rstrip("/")
+    spark = SparkSession.getActiveSession()
+    try:
+        manifest = spark.read.schema(MANIFEST_SCHEMA).parquet(f"{base}/{MANIFEST}")
+    except AnalysisException:
+        return base
+    row = manifest.where((F.col("model") == model_name) & (F.col("preprocessor") == preprocessor_name)).orderBy(F.desc("at"), F.desc("version")).first()
+    return f"{base}/{row['version']}" if row else base
+
+
 def load_artifacts(directory: str, model_name: str = "model",
                    preprocessor_name: str = "preprocessor") -> tuple[PipelineModel, PipelineModel]:
-    base = directory.rstrip("/")
+    """The latest complete pair; the folder may have been moved since it was written."""
+    base = current_version(directory, model_name, preprocessor_name)
     try:
         prep = PipelineModel.load(f"{base}/{preprocessor_name}")
         model = PipelineModel.load(f"{base}/{model_name}")
     except Exception as exc:  # both parts must exist
         raise RuntimeError(f"artifacts under {base} are incomplete: {exc}") from exc
-    # the folder may have been moved since it was written
     tables = TABLES.format(base=base, name=preprocessor_name)
     return _with_tables(prep, lambda path: f"{tables}/{path.rsplit('/', 1)[-1]}"), model
 
