@@ -8,6 +8,8 @@
   intercept needs for predictions on unseen categories) or active-set NNLS.
   Columns that lie far from zero are shifted by a data row first, so that
   centring does not cancel; the system is equilibrated before it is solved.
+  Narrow designs take one job without a shuffle: every task shifts by its own
+  first row, and the driver adds the tasks' co-moments.
   A design wider than ``GRAM_MAX_FEATURES`` has the same problem solved by
   products alone (``cairn.operators.wide_linear``): conjugate gradients to the
   same minimum-norm fit, or projected ones to NNLS with a checked certificate.
@@ -236,6 +238,76 @@ def gram_statistics(df: DataFrame, features_col: str, label_col: str, shift: tup
     return xtx, xty, sx, float(sy), float(yy), int(round(n))
 
 
+def vector_size(df: DataFrame, features_col: str) -> int | None:
+    """Width of a vector column: from its metadata, else from a row (None without one)."""
+    attrs = df.schema[features_col].metadata.get("ml_attr", {})
+    if attrs.get("num_attrs"):
+        return int(attrs["num_attrs"])
+    row = df.select(features_col).first()
+    return row[0].size if row else None
+
+
+def narrow_statistics(df: DataFrame, features_col: str, label_col: str, d: int, centred: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, float, int]:
+    """Co-moments of the features, those with the label, both means, and the rows, in one job without a shuffle.
+
+    For narrow designs. Every task takes its own first row as its origin, so
+    nothing cancels however far the columns lie from zero, and gives one row of
+    (d + 1)(d + 2) / 2 products and sums; the driver adds the tasks' co-moments
+    about the common mean (about zero unless ``centred``).
+    """
+    tasks = 4 * df.sparkSession.sparkContext.defaultParallelism
+    rows = df.select(_entries(features_col).alias("x"), F.col(label_col).cast("double").alias("y")).coalesce(tasks)
+    w = d + 1
+
+    def partial(batches):
+        import pyarrow as pa
+
+        origin, n, sums, products = None, 0, np.zeros(w), np.zeros((w, w))
+        for b in batches:
+            k = b.num_rows
+            if not k:
+                continue
+            indices, values = b.column("x").field("indices"), b.column("x").field("values")
+            flat = values.flatten().to_numpy(zero_copy_only=False)
+            z = np.zeros((k, w))
+            if indices.null_count == k:
+                z[:, :d] = flat.reshape(k, d)
+            else:
+                sizes = np.diff(values.offsets.to_numpy())
+                row = np.repeat(np.arange(k), sizes)
+                full = np.asarray(indices.is_null())[row]  # rows stored in full
+                cols = np.arange(len(flat)) - (np.cumsum(sizes) - sizes)[row]
+                cols[~full] = indices.flatten().to_numpy(zero_copy_only=False)
+                z[row, cols] = flat
+            z[:, d] = b.column("y").to_numpy(zero_copy_only=False)
+            if origin is None:
+                origin = np.where(np.isfinite(z[0]), z[0], 0.0) if centred else np.zeros(w)
+            z -= origin
+            n += k
+            sums += z.sum(axis=0)
+            products += z.T @ z
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array([np.concatenate((origin, sums, products[np.triu_indices(w)], [n]))], pa.list_(pa.float64()))], names=["s"])
+
+    n, mean, moments = 0, np.zeros(w), np.zeros((w, w))
+    upper = np.triu_indices(w)
+    for part in rows.mapInArrow(partial, "s array<double>").toArrow().column("s").to_pylist():
+        part = np.asarray(part)
+        origin, sums, k = part[:w], part[w : 2 * w], int(part[-1])
+        own = np.zeros((w, w))
+        own[upper] = part[2 * w : -1]
+        own += np.triu(own, 1).T
+        if centred:
+            own -= np.outer(sums, sums) / k
+            gap = origin + sums / k - mean
+            moments += own + np.outer(gap, gap) * (n * k / (n + k))
+            mean += gap * (k / (n + k))
+        else:
+            moments += own
+        n += k
+    return moments[:d, :d], moments[:d, d], mean[:d], float(mean[d]), n
+
+
 def nnls_gram(g: np.ndarray, b: np.ndarray, tol: float = 1e-10, max_iter: int | None = None) -> np.ndarray:
     """Active-set (Lawson–Hanson) NNLS on the normal equations: min ½β'Gβ − b'β, β ≥ 0."""
     d = len(b)
@@ -347,30 +419,33 @@ class NonNegativeLeastSquares(Estimator, _NnlsParams, DefaultParamsReadable, Def
 
     def _fit(self, dataset: DataFrame) -> NonNegativeLeastSquaresModel:
         fc, lc = self.getOrDefault(self.featuresCol), self.getOrDefault(self.labelCol)
+        with_intercept, positive = self.getOrDefault(self.fitIntercept), self.getOrDefault(self.positive)
+        solve = nnls_equilibrated if positive else min_norm_gram
+        d = vector_size(dataset, fc)
         shift = None
-        if not self.getOrDefault(self.fitIntercept):  # through the origin: nothing may be moved
-            row = dataset.select(fc).first()
-            shift = (np.zeros(row[0].size), 0.0) if row else None
-        shift = shift or shift_row(dataset, fc, lc)
-        if shift is None:
-            raise ValueError("No training rows to fit the linear model.")
-        if len(shift[0]) > GRAM_MAX_FEATURES:
-            design = Design(dataset, _entries(fc), lc, len(shift[0]), shift, self.getOrDefault(self.fitIntercept))
-            z = non_negative(design) if self.getOrDefault(self.positive) else least_squares(design)
-            beta, icpt = design.coefficients(z, self.getOrDefault(self.fitIntercept))
+        if d is not None and d <= NARROW:
+            g, c, mx, my, n = narrow_statistics(dataset, fc, lc, d, with_intercept)
+            if not n:
+                raise ValueError("No training rows to fit the linear model.")
+            beta = solve(g, c)
+            icpt = my - float(mx @ beta) if with_intercept else 0.0
         else:
-            xtx, xty, sx, sy, _, n = gram_statistics(dataset, fc, lc, shift)
-            solve = nnls_equilibrated if self.getOrDefault(self.positive) else min_norm_gram
-            if self.getOrDefault(self.fitIntercept):
-                mx, my = sx / n, sy / n
-                beta = solve(xtx - n * np.outer(mx, mx), xty - n * mx * my)
-                icpt = float(my + shift[1] - (mx + shift[0]) @ beta)
+            if not with_intercept:  # through the origin: nothing may be moved
+                shift = (np.zeros(d), 0.0) if d is not None else None
+            shift = shift or shift_row(dataset, fc, lc)
+            if shift is None:
+                raise ValueError("No training rows to fit the linear model.")
+            if len(shift[0]) > GRAM_MAX_FEATURES:
+                design = Design(dataset, _entries(fc), lc, len(shift[0]), shift, with_intercept)
+                z = non_negative(design) if positive else least_squares(design)
+                beta, icpt = design.coefficients(z, with_intercept)
             else:
-                beta = solve(xtx, xty)
-                icpt = 0.0
+                xtx, xty, sx, sy, _, n = gram_statistics(dataset, fc, lc, shift)
+                mx, my = (sx / n, sy / n) if with_intercept else (np.zeros_like(sx), 0.0)
+                beta = solve(xtx - n * np.outer(mx, mx), xty - n * mx * my)
+                icpt = float(my + shift[1] - (mx + shift[0]) @ beta) if with_intercept else 0.0
         return NonNegativeLeastSquaresModel(featuresCol=fc, labelCol=lc, predictionCol=self.getOrDefault(self.predictionCol),
-                                            fitIntercept=self.getOrDefault(self.fitIntercept),
-                                            positive=self.getOrDefault(self.positive),
+                                            fitIntercept=with_intercept, positive=positive,
                                             coefficients=[float(v) for v in beta], intercept=icpt)
 
 

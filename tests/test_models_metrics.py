@@ -272,3 +272,31 @@ def test_gram_fit_on_no_rows_is_an_error(spark):
     empty = spark.createDataFrame([], "x array<double>, y double").select(array_to_vector("x").alias("features"), "y")
     with pytest.raises(ValueError, match="No training rows"):
         build_estimator(ModelPolicy("linear_regression", solver="gram"), 2, "features", "y").fit(empty)
+
+
+def test_narrow_fit_takes_one_job_and_equals_the_gram_pass(spark):
+    from cairn.operators.models import gram_statistics, narrow_statistics, vector_size
+
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(700, 6)) * [1, 1e3, 1e-3, 1, 1, 1] + [0, 1e9, 5, 0, 0, -7]
+    x[:, 3] = rng.integers(0, 2, 700)
+    y = x @ [1, 2e-3, 300, 4, 0, 1] + rng.normal(size=700)
+    from pyspark.ml.linalg import Vectors
+
+    rows = [((Vectors.dense if i % 2 else lambda r: Vectors.sparse(6, {j: float(v) for j, v in enumerate(r) if v}))(r), float(t)) for i, (r, t) in enumerate(zip(x, y))]
+    df = spark.createDataFrame(rows, ["features", "y"]).repartition(5)
+    assert vector_size(df, "features") == 6
+    g, c, mx, my, n = narrow_statistics(df, "features", "y", 6)
+    xc, yc = x - x.mean(0), y - y.mean()
+    size = np.sqrt(np.outer((xc ** 2).sum(0), (xc ** 2).sum(0)))
+    assert n == 700 and np.allclose(mx, x.mean(0)) and np.isclose(my, y.mean())
+    assert np.abs(g - xc.T @ xc).max() < 1e-8 * size.max() and np.allclose(g / size, xc.T @ xc / size, atol=1e-9) and np.allclose(c, xc.T @ yc, rtol=1e-6)
+    g0, c0, _, _, _ = narrow_statistics(df, "features", "y", 6, centred=False)
+    xtx, xty, *_ = gram_statistics(df, "features", "y", (np.zeros(6), 0.0))
+    assert np.allclose(g0, xtx) and np.allclose(c0, xty)
+    tracker = spark.sparkContext
+    tracker.setJobGroup("narrow", "one job")
+    narrow_statistics(df, "features", "y", 6)
+    jobs = tracker.statusTracker().getJobIdsForGroup("narrow")
+    tracker.setLocalProperty("spark.jobGroup.id", None)
+    assert len(jobs) <= 2  # with adaptive execution the test frame's own repartition is a job of its stage
