@@ -10,13 +10,16 @@ stay exact and keep every pass a partial (map-side combined) aggregation:
 * ``exact_quantiles`` – linear-interpolated quantiles.
   Low-cardinality columns: one ``groupBy(column, value).count()`` pass whose
   result is bounded by the distinct count, then cumulative counts.
-  High-cardinality columns: order statistics by histogram refinement — each
-  pass counts rows per value bucket inside the current bracket (first pass:
-  binary exponent x 2048 mantissa buckets, so any spread of magnitudes is
-  cut finely at once; later passes: 2048 equal-width buckets), keeps the
-  bucket holding the wanted rank, and stops when the bracket holds one value
-  or few enough rows to fetch. Typically one histogram pass plus one small
-  fetch, each reading only that column.
+  High-cardinality columns: two passes on any distribution. Spark's mergeable
+  quantile sketch, whose rank error is bounded, gives every wanted rank a
+  bracket of values; the second pass counts the rows below each bracket and the
+  values inside it, a few ten-thousandths of the rows, and picks the exact rank.
+  Where the first pass is shared with category counts (``first_pass``), order
+  statistics come by histogram refinement instead: each pass counts rows per
+  value bucket inside the current bracket (first pass: binary exponent x 2048
+  mantissa buckets; later passes: 2048 equal-width buckets), keeps the bucket
+  holding the wanted rank, and stops when the bracket holds one value or few
+  enough rows to fetch.
 * ``modes`` – most frequent value (smallest among ties) via a distributed
   value count and a ``min(struct(-count, value))`` reduction per column.
 """
@@ -219,9 +222,16 @@ def exact_quantiles(
         wanted[c] = ranks
     if not wanted:
         return result
+    found: dict[str, dict[int, float]] = {}
     if first is None:
-        first, _ = first_pass(df, list(wanted), stats, [], wanted)
-    found = _order_stats_by_refinement(df, list(wanted), wanted, stats, first)
+        few = [c for c in wanted if _by_value(stats[c])]
+        many = {c: r for c, r in wanted.items() if c not in few}
+        found = _order_stats_by_sketch(df, many, stats) if many else {}
+    # the others by their values, or by a first pass that was made already
+    rest = {c: r for c, r in wanted.items() if c not in found}
+    if rest:
+        hist = first if first is not None else first_pass(df, list(rest), stats, [], rest)[0]
+        found |= _order_stats_by_refinement(df, list(rest), rest, stats, hist)
     for c in wanted:
         n = stats[c].count
         vals = []
@@ -232,6 +242,84 @@ def exact_quantiles(
     return result
 
 
+def _by_value(s: ColumnStats) -> bool:
+    """Whether a column has few enough distinct values to count them all."""
+    return s.approx_distinct <= VALUE_TABLE_LIMIT or s.min == s.max
+
+
+#: Accuracy of the quantile sketch: its rank error is at most one part in so many of the rows.
+SKETCH_ACCURACY = 10_000
+#: Columns sketched in one aggregate; a wider frame takes several in one job.
+SKETCH_COLUMNS = 16
+
+
+def _brackets(ranks: set[int], n: int) -> list[tuple[int, int]]:
+    """Merged rank intervals that surely hold the wanted ranks, with the sketch's error on both sides."""
+    slack = 2 * math.ceil(n / SKETCH_ACCURACY) + 1
+    out: list[list[int]] = []
+    for r in sorted(ranks):
+        lo, hi = max(0, r - slack), min(n - 1, r + slack)
+        if out and lo <= out[-1][1]:
+            out[-1][1] = hi
+        else:
+            out.append([lo, hi])
+    return [(lo, hi) for lo, hi in out]
+
+
+def _order_stats_by_sketch(df: DataFrame, wanted: dict[str, set[int]], stats: dict[str, ColumnStats]) -> dict[str, dict[int, float]]:
+    """Order statistics in two jobs, whatever the distribution; a column whose bracket misses a rank is left out."""
+    from pyspark.sql import Window
+
+    columns = list(wanted)
+    ranks = {c: _brackets(wanted[c], stats[c].count) for c in columns}
+    # pass 1: the values at the ends of the brackets
+    chunks = [columns[at : at + SKETCH_COLUMNS] for at in range(0, len(columns), SKETCH_COLUMNS)]
+    parts = []
+    for chunk in chunks:
+        asked = [F.percentile_approx(_num(c), [min(1.0, (r + 1) / stats[c].count) for pair in ranks[c] for r in pair], SKETCH_ACCURACY).alias(f"q{i}")
+                 for i, c in enumerate(chunk)]
+        pairs = F.array(*[F.struct(F.lit(c).alias("c"), F.col(f"q{i}").alias("q")) for i, c in enumerate(chunk)])
+        parts.append(df.agg(*asked).select(F.inline(pairs)))
+    told = parts[0]
+    for part in parts[1:]:
+        told = told.unionByName(part)
+    ends = {r["c"]: r["q"] for r in _rows(told)}
+    # pass 2: per column the rows in the gaps (even places) and the values inside the brackets (odd places)
+    keys = []
+    x = F.col("x")
+    place = F.lit(None).cast("int")
+    for i, c in enumerate(columns):
+        own = F.lit(2 * len(ranks[c]))
+        for k in reversed(range(len(ranks[c]))):
+            lo, hi = (float(v) for v in ends[c][2 * k : 2 * k + 2])
+            first, last = ranks[c][k]
+            lo = float(stats[c].min) if first == 0 else lo
+            hi = float(stats[c].max) if last == stats[c].count - 1 else hi
+            own = F.when(x < F.lit(lo), 2 * k).when(x <= F.lit(hi), 2 * k + 1).otherwise(own)
+        keys.append(own)
+    for i, own in reversed(list(enumerate(keys))):
+        place = F.when(F.col("cid") == i, own).otherwise(place)
+    long = _long_frame(df, columns).withColumn("place", place)
+    groups = long.groupBy("cid", "place", F.when(F.col("place") % 2 == 1, x).alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    inside = sum(hi - lo + 1 + 4 * math.ceil(stats[c].count / SKETCH_ACCURACY) for c in columns for lo, hi in ranks[c])
+    if inside > FETCH_TOTAL:  # too many for the driver: only the values at the wanted ranks leave
+        running = Window.partitionBy("cid").orderBy("place", "v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        asked = df.sparkSession.createDataFrame([(i, r) for i, c in enumerate(columns) for r in sorted(wanted[c])], "rcid int, rank long")
+        counted = groups.withColumn("cum", F.sum("n").over(running))
+        hit = counted.join(F.broadcast(asked), (F.col("cid") == F.col("rcid")) & (F.col("cum") - F.col("n") <= F.col("rank")) & (F.col("rank") < F.col("cum")))
+        at = {(r["cid"], r["rank"]): r["v"] for r in _rows(hit.select("cid", "rank", "v"))}
+    else:
+        at, cum = {}, {}
+        open_ranks = {i: sorted(wanted[c]) for i, c in enumerate(columns)}
+        for r in sorted(_rows(groups), key=lambda r: (r["cid"], r["place"], r["v"] is not None, r["v"] or 0.0)):
+            i = r["cid"]
+            cum[i] = cum.get(i, 0) + r["n"]
+            while open_ranks[i] and open_ranks[i][0] < cum[i]:
+                at[i, open_ranks[i].pop(0)] = r["v"]
+    out = {c: {r: at.get((i, r)) for r in wanted[c]} for i, c in enumerate(columns)}
+    return {c: {r: float(v) for r, v in vals.items()} for c, vals in out.items() if all(v is not None for v in vals.values())}
+
+
 def first_pass(
     df: DataFrame,
     numeric: list[str],
@@ -264,8 +352,7 @@ def first_pass(
     for i, c in enumerate(numeric):
         x = _num(c)
         s = stats[c]
-        by_value = s.approx_distinct <= VALUE_TABLE_LIMIT or s.min == s.max
-        key = x if by_value else _exp_bucket(x).cast("double")
+        key = x if _by_value(s) else _exp_bucket(x).cast("double")
         items.append(F.struct(F.lit(i).alias("cid"), key.alias("kd"), F.lit(None).cast("string").alias("ks"), x.alias("x")))
     off = len(numeric)
     for j, c in enumerate(categorical):
@@ -327,7 +414,7 @@ def _histogram_bound(s: ColumnStats) -> int:
     """Upper bound on the first-pass histogram rows of a column, from its moments pass."""
     if s.count == 0:
         return 0
-    if s.approx_distinct <= VALUE_TABLE_LIMIT or s.min == s.max:
+    if _by_value(s):
         return int(s.approx_distinct * 1.3) + 16  # HLL error margin (6 sigma at HLL_RSD)
     lo, hi = float(s.min), float(s.max)
     if not (math.isfinite(lo) and math.isfinite(hi)) or lo <= 0 <= hi:
