@@ -16,8 +16,9 @@ all documents that are long enough.
 
 Defined cases: null text and text without words have no line and score 0;
 without both labels in the learning rows every other text scores 0.5; labels
-other than 0 and 1 and rows with a null id are not learned; repeated rows score
-alike; other columns play no part.
+other than 0 and 1 and rows with a null id are not learned; of a document's labels
+that disagree the smallest counts; repeated rows score alike; other columns play
+no part.
 """
 
 from __future__ import annotations

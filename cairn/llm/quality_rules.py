@@ -14,8 +14,8 @@
 
 Defined cases: null text has no words (base rule fails); without labelled rows,
 or with one label only, the base rule decides alone; rows without an id or
-label are not learned; repeated rows get the same verdict; other columns play
-no part.
+label are not learned; of a document's labels that disagree the smallest counts;
+repeated rows get the same verdict; other columns play no part.
 """
 
 from __future__ import annotations
@@ -152,7 +152,7 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, sample: int) -> Dat
     The draw hashes the id, so it does not depend on row order; only the drawn
     ids (at most a few more than ``sample``) are broadcast to the documents.
     """
-    known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).dropDuplicates(["doc_id"])
+    known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).groupBy("doc_id").agg(F.min("y").alias("y"))
     n = known.count()
     drawn = known.where(F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1_000_000)) / 1e6 < min(1.0, sample / max(1, n)))
     held = F.pmod(F.xxhash64(F.lit("calibration"), "doc_id"), F.lit(5)) == 0

@@ -25,7 +25,8 @@ Scoring is one Arrow pass without a shuffle.
 
 Defined cases: null and empty texts have no match and get the score of a clean
 text; without toxic labels to learn from the lexicon is empty and all scores
-are equal; repeated rows score alike; other columns play no part.
+are equal; of a document's labels that disagree the smallest counts; repeated
+rows score alike; other columns play no part.
 """
 
 from __future__ import annotations
@@ -451,7 +452,7 @@ def fit_scores(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
 def labelled(docs: DataFrame, labels: DataFrame, toxic: int = SAMPLE_TOXIC, clean: int = SAMPLE_CLEAN) -> tuple[DataFrame, DataFrame, DataFrame]:
     """``(text, y, held)`` of about ``toxic`` toxic and ``clean`` other labelled documents, drawn by a hash of the id;
     all labelled documents but the drawn ones that are held; the toxic ones of these."""
-    known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("y")).dropDuplicates(["doc_id"])
+    known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("y")).groupBy("doc_id").agg(F.min("y").alias("y"))
     counts = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     share = F.when(F.col("y") == 1, min(1.0, toxic / max(1, counts.get(1, 0)))).otherwise(min(1.0, clean / max(1, counts.get(0, 0))))
     drawn = F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1_000_000)) / 1e6 < share
