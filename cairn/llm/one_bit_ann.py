@@ -10,11 +10,12 @@ estimates are reranked exactly, which gives a threshold; every further vector
 whose upper bound reaches the threshold is reranked too. So only vectors that
 are worse than the threshold by more than the bound are left out.
 
-Work is dealt as blocks: codes and vectors in blocks of ``DATA_BLOCK`` rows,
-the stated query set in blocks of ``QUERY_BLOCK``; a task answers one query
-block in one data block, and each query's best of all blocks are merged. Block
-numbers come from a hash of the row's id and vector, so equal vectors do not
-gather.
+Work is dealt as blocks: vectors in blocks of ``DATA_BLOCK`` rows, which are
+shuffled once; the stated query set in small blocks of ``QUERY_BLOCK``, each sent
+to every data block. A task reads a data block's vectors, encodes them, and
+answers the query blocks as they pass; each query's best of all blocks are
+merged. Block numbers come from a hash of the row's id and vector, so equal
+vectors do not gather.
 
 Defined cases: vectors that are null, empty, zero or hold a null or non-finite
 component, and rows without an id, take no part; vectors are compared with
@@ -39,7 +40,7 @@ TOP = 20
 #: Error bounds in standard errors of the estimate.
 ERRORS = 2.5
 DATA_BLOCK = 8_192
-QUERY_BLOCK = 1_024
+QUERY_BLOCK = 64
 SEED = 11
 
 
@@ -157,43 +158,56 @@ def nearest(vectors: DataFrame, is_query: Column, top: int = TOP, ident: str = "
     data = base.join(F.broadcast(sizes), "d").select("d", F.pmod(spread, F.col("blocks")).cast("int").alias("b"), "vec_id", "v")
     once = base.where(is_query).groupBy("vec_id").agg(F.min(F.struct("d", "v")).alias("x")).select("vec_id", "x.*")
     asked = once.join(F.broadcast(sizes), "d").select("d", F.pmod(spread, F.col("query_blocks")).cast("int").alias("b"), "vec_id", "v")
-    index = _blocks(data, parts, shared)
-    queries = _blocks(asked, parts, None).select("d", F.col("b").alias("qb"), F.col("ids").alias("qids"), F.col("vs").alias("qvs"))
-    dealt = queries.join(F.broadcast(sizes.select("d", "blocks")), "d").select("d", "qb", "qids", "qvs", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("b"))
-    pairs = dealt.join(index, ["d", "b"]).repartition(parts, "d", "b", "qb")
+    queries = _query_blocks(asked, parts).join(F.broadcast(sizes.select("d", "blocks")), "d")
+    # every data block gets its vectors (kind 0) and then, one after the other, all blocks of the stated queries (kind 1)
+    none = lambda name, kind: F.lit(None).cast(kind).alias(name)
+    rows = data.select("d", "b", F.lit(0).alias("kind"), none("qb", "int"), "vec_id", "v", none("qids", "binary"), none("qvs", "binary"))
+    sent = queries.select("d", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("b"), F.lit(1).alias("kind"), "qb", none("vec_id", "long"), none("v", "array<double>"), "qids", "qvs")
+    dealt = rows.unionByName(sent).repartition(parts, "d", "b").sortWithinPartitions("d", "b", "kind", "qb")
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key: tuple[int, int] | None = None
+        ids: list[np.ndarray] = []
+        vs: list[np.ndarray] = []
+        block = None
         for batch in batches:
-            for i in range(batch.num_rows):
-                r = {c: batch.column(c)[i].as_py() for c in batch.schema.names}
-                d = r["d"]
-                n = len(r["ids"]) // 8
-                numbers = np.frombuffer(r["scalars"], np.float64).reshape(2, n)
-                code = (np.frombuffer(r["codes"], np.uint8).reshape(n, -1), *numbers)
-                found = search_block(np.frombuffer(r["ids"], np.int64), np.frombuffer(r["vs"], np.float64).reshape(n, d), code, shared.value[d], np.frombuffer(r["qids"], np.int64), np.frombuffer(r["qvs"], np.float64).reshape(-1, d), top)
+            d, b, kind = (batch.column(c).to_numpy() for c in ("d", "b", "kind"))
+            cuts = np.flatnonzero((d[1:] != d[:-1]) | (b[1:] != b[:-1]) | (kind[1:] != kind[:-1])) + 1
+            for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(d)]):
+                if (d[lo], b[lo]) != key:
+                    key, ids, vs, block = (d[lo], b[lo]), [], [], None
+                if kind[lo] == 0:
+                    ids.append(batch.column("vec_id").slice(lo, hi - lo).to_numpy())
+                    vs.append(_matrix(batch.column("v").slice(lo, hi - lo)))
+                    continue
+                if not ids:
+                    continue
+                centre = shared.value[int(key[0])]
+                if block is None:
+                    x = np.concatenate(vs)
+                    block = (np.concatenate(ids), x, encode(x, centre))
+                found = []
+                for i in range(lo, hi):
+                    qids, qvs = (np.frombuffer(batch.column(c)[i].as_py(), t) for c, t in (("qids", np.int64), ("qvs", np.float64)))
+                    found += search_block(*block, centre, qids, qvs.reshape(len(qids), -1), top)
                 cols = list(zip(*found)) if found else [[], [], []]
                 yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64())], names=["query_id", "vec_id", "score"])
 
-    found = pairs.mapInArrow(answer, "query_id long, vec_id long, score double")
+    found = dealt.mapInArrow(answer, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
-def _blocks(rows: DataFrame, parts: int, shared) -> DataFrame:  # noqa: ANN001
-    """One row per block ``(d, b)``: ids and vectors, packed; with the broadcast centres also codes and scalars."""
+def _query_blocks(rows: DataFrame, parts: int) -> DataFrame:
+    """One row per query block ``(d, qb)``: ids and vectors, packed."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, ids, vs = None, [], []
 
         def out() -> pa.RecordBatch:
-            x = np.concatenate(vs).reshape(len(ids), -1)
-            codes, scalars = b"", b""
-            if shared is not None:
-                packed, *numbers = encode(x, shared.value[now[0]])
-                codes, scalars = packed.tobytes(), np.stack(numbers).tobytes()
-            cols = [[now[0]], [now[1]], [np.array(ids, np.int64).tobytes()], [x.tobytes()], [codes], [scalars]]
-            types = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["d", "b", "ids", "vs", "codes", "scalars"])
+            cols = [[now[0]], [now[1]], [np.array(ids, np.int64).tobytes()], [np.concatenate(vs).tobytes()]]
+            types = [pa.int32(), pa.int32(), pa.binary(), pa.binary()]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["d", "qb", "qids", "qvs"])
 
         for batch in batches:
             for d, b, i, v in zip(batch.column("d").to_pylist(), batch.column("b").to_pylist(), batch.column("vec_id").to_pylist(), batch.column("v")):
@@ -206,7 +220,7 @@ def _blocks(rows: DataFrame, parts: int, shared) -> DataFrame:  # noqa: ANN001
         if ids:
             yield out()
 
-    return rows.repartition(parts, "d", "b").sortWithinPartitions("d", "b").mapInArrow(pack, "d int, b int, ids binary, vs binary, codes binary, scalars binary")
+    return rows.repartition(parts, "d", "b").sortWithinPartitions("d", "b").mapInArrow(pack, "d int, qb int, qids binary, qvs binary")
 
 
 def digest(vectors: DataFrame) -> DataFrame:
