@@ -3,11 +3,12 @@
 Every line with a word is a place in a chain with the states bad and good. Its
 emission score is linear in features of the line itself, of its two
 neighbouring lines and of its place; transition and start scores are learned
-too. Documents carry the labels, so in learning every line of a labelled
-document has its document's state. Forward-backward gives each line's
-probability of being good; the document's quality is their mean weighted by
-line length, brought to a probability by a logistic calibration on a fifth of
-the sample that the fit does not see.
+too. Documents carry the labels and the lines' states are latent in learning:
+forward-backward gives each line's probability of being good, the document's
+quality is their mean weighted by line length, and the gradient of the labels'
+likelihood goes through that mean to the chain's scores. The quality is brought
+to a probability by a logistic calibration on a fifth of the sample that the fit
+does not see.
 
 Learning uses a bounded sample (``SAMPLE`` labelled documents by a hash of the
 id, whole texts); scoring is one Arrow pass without a shuffle. Chains of a
@@ -38,6 +39,8 @@ SAMPLE = 2_500
 PREDICT_FROM = 0.3
 L2 = 1e-3
 STEPS = 120
+#: Gradient steps in which the lines' states are latent.
+LATENT_STEPS = 60
 
 _CLASS = {name: np.zeros(256, bool) for name in ("symbol", "digit", "upper", "mark", "wide")}
 _CLASS["symbol"][list(b"#*$%&|<>@^~_=+\\{}[]")] = True
@@ -196,27 +199,59 @@ class LineModel:
         return np.where(np.isnan(odds), 0.0, sigmoid(self.slope * np.nan_to_num(odds) + self.shift))
 
 
-def fit_chain(x: np.ndarray, first: np.ndarray, y: np.ndarray) -> LineModel:
-    """Conditional likelihood by gradient steps with momentum (Adam); one label per chain."""
+def latent_gradient(emit: np.ndarray, start: float, trans: np.ndarray, chains: Chains, share: np.ndarray, first: np.ndarray, y: np.ndarray,
+                    ) -> tuple[np.ndarray, np.ndarray, float]:
+    """How the log likelihood of the documents' labels changes with every line's score, and with the transitions.
+
+    ``share`` is each line's part of its document's length, ``y`` a label per
+    chain. A document is good with its length-weighted marginal s. The change of
+    s with a parameter is the covariance of that parameter's feature with the
+    weighted number of good lines, which is the change of the feature's
+    expectation as all lines' scores move by their shares: the difference of two
+    forward-backward runs. Returns the two gradients and the log likelihood.
+    """
+    good, _ = forward_backward(emit, start, trans, chains)
+    s = np.clip(tv.range_sums(share * good, first), 1e-4, 1 - 1e-4)
+    some = np.diff(first) > 0
+    pull = np.where(some, np.where(y == 1, 1 / s, -1 / (1 - s)), 0.0)
+    push = share * np.repeat(pull, np.diff(first))
+    step = 1e-4 / max(float(np.abs(push).max(initial=0.0)), 1e-300)
+    up, up_counts = forward_backward(emit + step * push, start, trans, chains, expect=True)
+    down, down_counts = forward_backward(emit - step * push, start, trans, chains, expect=True)
+    likelihood = float(np.log(np.where(y == 1, s, 1 - s))[some].sum())
+    return (up - down) / (2 * step), (up_counts - down_counts) / (2 * step), likelihood
+
+
+def fit_chain(x: np.ndarray, size: np.ndarray, first: np.ndarray, y: np.ndarray) -> LineModel:
+    """Likelihood of the documents' labels, the lines' states being latent, by gradient steps with momentum (Adam).
+
+    The emission scores start from a fit of single lines in which each line has
+    its document's state; from there only the documents' labels count.
+    """
     mean, std = x.mean(axis=0), x.std(axis=0)
     mean[-1], std[-1] = 0.0, 1.0  # the constant
     scale = 1.0 / np.where(std > 1e-6, std, 1.0)
     z = ((x - mean) * scale).astype(np.float64)
-    state = np.repeat(y, np.diff(first)).astype(float)
+    length = np.diff(first)
+    state = np.repeat(y, length).astype(float)
     chains = Chains.of(first)
-    inner = np.diff(first) - 1
-    seen = np.array([[inner[(y == 0) & (inner > 0)].sum(), 0.0], [0.0, inner[(y == 1) & (inner > 0)].sum()]])
     head = chains.place[0] if chains.place else np.zeros(0, np.int64)
-    n = max(1, len(state))
+    total = tv.range_sums(size, first)
+    share = size / np.maximum(1e-300, np.repeat(total, length))
+    n, documents = max(1, len(state)), max(1, int((length > 0).sum()))
     w = np.zeros(z.shape[1] + 5)  # weights, start, transitions
-    m, v = np.zeros_like(w), np.zeros_like(w)
-    for step in range(1, STEPS + 1):
-        weights, start, trans = w[:-5], w[-5], w[-4:].reshape(2, 2)
-        good, counts = forward_backward(z @ weights, start, trans, chains, expect=True)
-        miss = state - good
-        g = np.concatenate((z.T @ miss / n, [miss[head].sum() / n], ((seen - counts) / n).ravel())) - L2 * w
-        m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
-        w = w + 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
+    for steps, rate, latent in ((STEPS, 0.1, False), (LATENT_STEPS, 0.05, True)):
+        m, v = np.zeros_like(w), np.zeros_like(w)
+        for step in range(1, steps + 1):
+            weights, start, trans = w[:-5], w[-5], w[-4:].reshape(2, 2)
+            emit = z @ weights
+            if latent:
+                lines, moves, _ = latent_gradient(emit, start, trans, chains, share, first, y)
+                g = np.concatenate((z.T @ lines, [lines[head].sum()], moves.ravel())) / documents - L2 * w
+            else:
+                g = np.concatenate((z.T @ (state - sigmoid(emit)) / n, np.zeros(5))) - L2 * w
+            m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
+            w = w + rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
     return LineModel(mean, scale, w[:-5], float(w[-5]), w[-4:].reshape(2, 2))
 
 
@@ -244,8 +279,8 @@ def fit(sample: DataFrame) -> LineModel | None:
     learn, held = [r for r in rows if not r["held"]], [r for r in rows if r["held"]]
     if len({r["y"] for r in learn}) < 2:
         return None
-    x, _, first, y = _stack(learn)
-    model = fit_chain(x, first, y)
+    x, size, first, y = _stack(learn)
+    model = fit_chain(x, size, first, y)
     if held:
         x, size, first, y = _stack(held)
         model.slope, model.shift = fit_platt(model.quality(x, size, first), y)
