@@ -67,7 +67,7 @@ class WordIds(dict):
         self.single = Tokenizer.from_file(path)
         self.single.normalizer = normalizers.Sequence([])
         # a text that holds one of these is not a sequence of plain words
-        self.added = re.compile("|".join(re.escape(t.content) for t in self.whole.get_added_tokens_decoder().values()) or r"(?!)")
+        self.added = tuple(t.content for t in self.whole.get_added_tokens_decoder().values())
         self.single.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, trim_offsets=True, use_regex=False)
 
     def __missing__(self, word: str) -> bytes:
@@ -82,7 +82,7 @@ class WordIds(dict):
 
     def encode(self, text: str) -> bytes:
         lower = text.lower()
-        if _PLAIN.search(lower) or _PLAIN.search(text) or self.added.search(text) or self.added.search(lower):  # some capitals have their small letter above U+024F
+        if _PLAIN.search(lower) or _PLAIN.search(text) or any(t in text for t in self.added):  # some capitals have their small letter above U+024F
             return array("I", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
         return b"".join(map(self.__getitem__, _WORD.findall(lower)))
 
