@@ -40,7 +40,8 @@ from cairn.operators.prep import fit_prep
 from cairn.operators.stats import column_stats
 from cairn.operators.target import repair_target, resolve_target
 from cairn.plans import run_regression
-from cairn.session import scratch_path
+from cairn.plans.regression import forest_input
+from cairn.session import materialize, scratch_path
 
 
 def _raises(action: Callable[[], object], part: str) -> bool:
@@ -430,18 +431,19 @@ def q_forest_copies(spark: SparkSession, d: str) -> DataFrame:
     """A third of lineitem as copies of one row: the forest's input keeps every copy and no partition has over 1.5 times the median."""
     from pyspark.ml.feature import VectorAssembler
 
-    from cairn.plans.regression import forest_input
-
     crowd = F.col("l_orderkey") % 3 == 0
     li = _t(spark, d, "lineitem").select(*[F.when(crowd, 1.0).otherwise(F.col(c).cast("double")).alias(c) for c in ("l_quantity", "l_discount", "l_extendedprice")])
     keyed = VectorAssembler(inputCols=["l_quantity", "l_discount"], outputCol="features").transform(SP.with_order_keys(li, 42))
     total = li.count()
     dealt = forest_input(keyed, total)
-    sizes = sorted(r["count"] for r in dealt.groupBy(F.spark_partition_id()).count().collect())
+    names = ["l_quantity", "l_discount", "l_extendedprice"]
+    # dealt once: its rows of each kind by partition
+    there = materialize(dealt.groupBy(F.spark_partition_id().alias("part"), *names).count(), "forest-dealt")
+    sizes = sorted(r["n"] for r in there.groupBy("part").agg(F.sum("count").alias("n")).collect())
     even = sizes[-1] <= 1.5 * sizes[len(sizes) // 2]
-    left = keyed.groupBy("l_quantity", "l_discount", "l_extendedprice").count()
-    same = left.exceptAll(dealt.groupBy("l_quantity", "l_discount", "l_extendedprice").count()).isEmpty()
-    return dealt.agg(F.count(F.lit(1)).alias("n"), F.lit(same).alias("all_there"), F.lit(even).alias("even"))
+    left = keyed.groupBy(*names).count()
+    same = left.exceptAll(there.groupBy(*names).agg(F.sum("count").alias("count"))).isEmpty()
+    return there.agg(F.sum("count").alias("n"), F.lit(same).alias("all_there"), F.lit(even).alias("even"))
 
 
 @query("forest_fits", f"WITH {PART_SPLIT_CTE} SELECT count(*) AS n_test, true AS r2_ok, true AS criterion_refused FROM ps WHERE is_test")

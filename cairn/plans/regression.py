@@ -36,6 +36,7 @@ from cairn.operators.prep import FittedPrep, fit_prep
 from cairn.operators.profile import column_kinds, missing_ratios
 from cairn.operators.split import KEY_COLUMNS, random_split, stratified_split, with_order_keys
 from cairn.operators.target import repair_target, resolve_target
+from cairn.session import materialize
 
 
 _LOG = logging.getLogger(__name__)
@@ -48,6 +49,8 @@ FOREST_MIN_PARTITIONS = 8
 # identical rows of a forest's input that may lie together: this many, or less where a partition holds few rows
 FOREST_COPIES = 1_000
 FOREST_PORTIONS = 64
+# buckets of keys per ``rows / size``: a bucket holds a fraction of the copies that may lie together
+FOREST_BUCKETS = 4
 
 
 class StepRegistry:
@@ -166,7 +169,6 @@ def _run(spark: SparkSession, config: PipelineConfig, df: DataFrame | None = Non
     logs = run.logs
     from_csv = df is None
     if from_csv:
-        from cairn.session import materialize
         from cairn.sources.csv import csv_encoding, csv_inventory, read_csv
 
         if config.file is None:
@@ -279,25 +281,33 @@ def forest_input(df: DataFrame, rows: int) -> DataFrame:
     Spark draws a forest's bootstrap per partition, in row order: with fixed
     partitions the same data and seed give the same trees on any number of
     cores, and a retried task draws the same rows. Where identical rows crowd
-    one key, every row becomes one with a count (pre-aggregated), the counts are
+    one key, they become one row with a count (pre-aggregated), the counts are
     dealt in portions of up to ``FOREST_COPIES`` and the copies made again there,
     so each still draws for itself in the bootstrap and none meet in one task.
+    Rows outside of crowded buckets of keys go to their partitions as they are.
     """
     parts = max(FOREST_MIN_PARTITIONS, -(-rows // FOREST_ROWS))
     keys = [c for c in KEY_COLUMNS if c in df.columns]
     size = max(1, min(FOREST_COPIES, rows // (parts * FOREST_PORTIONS)))
-    if df.groupBy(*keys).count().where(F.col("count") > size).isEmpty():
+    # a crowded key makes its bucket crowded: the buckets, a quarter of ``size`` rows on average, are counted first
+    bucketed = df.withColumn("__bucket", F.pmod(F.xxhash64(*keys), F.lit(max(1, FOREST_BUCKETS * rows // size))))
+    crowded = materialize(bucketed.groupBy("__bucket").count().where(F.col("count") > size).select("__bucket"), "forest-crowds")
+    if crowded.isEmpty():
         return df.repartition(parts, *keys).sortWithinPartitions(*keys)
     others = [c for c in df.columns if c not in keys]
     plain = [qcol(c) for c in others if not isinstance(df.schema[c].dataType, VectorUDT)]
     # the key of a key column that is not unique after all: rows of one group are equal
-    groups = df.withColumn("__same", F.xxhash64(*plain) if plain else F.lit(0)).groupBy(*keys, "__same").agg(
-        F.count(F.lit(1)).alias("__n"), F.first(F.struct(*map(qcol, others))).alias("__row"))
-    last = F.expr(f"(__n - 1) div {size}")
-    portions = groups.withColumn("__portion", F.explode(F.sequence(F.lit(0).cast("long"), last)))
-    dealt = portions.repartition(parts, *keys, "__same", "__portion").sortWithinPartitions(*keys, "__same", "__portion")
-    copies = F.least(F.col("__n") - F.col("__portion") * size, F.lit(size).cast("long"))
-    return dealt.select(*keys, "__row", F.explode(F.array_repeat(F.lit(True), copies.cast("int"))).alias("__copy")).select(*keys, "__row.*")
+    same, row = (F.xxhash64(*plain) if plain else F.lit(0).cast("long")).alias("__same"), F.struct(*map(qcol, others)).alias("__row")
+    # at most rows / size buckets; grouped by the row itself, a task holds one entry per different row and sorts nothing
+    crowd = bucketed.join(F.broadcast(crowded), "__bucket", "left_semi").select(*keys, same, row)
+    groups = materialize(crowd.groupBy(*keys, "__same", "__row").agg(F.count(F.lit(1)).alias("__n")), "forest-copies")
+    if groups.groupBy(*keys).agg(F.sum("__n").alias("n")).where(F.col("n") > size).isEmpty():
+        return df.repartition(parts, *keys).sortWithinPartitions(*keys)
+    portions = groups.withColumn("__portion", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(__n - 1) div {size}"))))
+    many = portions.select(*keys, "__same", "__row", "__portion", F.least(F.col("__n") - F.col("__portion") * size, F.lit(size).cast("long")).cast("int").alias("__copies"))
+    single = bucketed.join(F.broadcast(crowded), "__bucket", "left_anti").select(*keys, same, row, F.lit(0).cast("long").alias("__portion"), F.lit(1).alias("__copies"))
+    dealt = many.unionByName(single).repartition(parts, *keys, "__same", "__portion").sortWithinPartitions(*keys, "__same", "__portion")
+    return dealt.select(*keys, "__row", F.explode(F.array_repeat(F.lit(True), F.col("__copies"))).alias("__copy")).select(*keys, "__row.*")
 
 
 # The payload's status and error kinds.

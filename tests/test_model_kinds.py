@@ -101,3 +101,14 @@ def test_copies_are_dealt_and_the_fit_follows_the_rows_alone(spark):
         model = RandomForestRegressor(featuresCol="features", labelCol="y", numTrees=3, maxDepth=5, seed=3).fit(dealt)
         results.append(model.toDebugString.split("\n", 1)[1])
     assert results[0] == results[1] == results[2]
+
+
+def test_copies_are_grouped_without_a_sort_of_the_rows(spark, capsys):
+    n = 20_000
+    df = spark.range(n).selectExpr("IF(id % 3 = 0, 1.0D, CAST(id % 4001 AS DOUBLE)) AS a", "IF(id % 3 = 0, null, 'x') AS name")
+    frame = VectorAssembler(inputCols=["a"], outputCol="features").transform(with_order_keys(df, 42))
+    dealt = forest_input(frame, n)
+    dealt.explain()
+    assert "SortAggregate" not in capsys.readouterr().out
+    assert dealt.groupBy("a", "name", "features").count().exceptAll(frame.groupBy("a", "name", "features").count()).isEmpty()
+    assert dealt.count() == n and dealt.columns == [*[c for c in frame.columns if c.startswith("_cairn")], *[c for c in frame.columns if not c.startswith("_cairn")]]
