@@ -448,12 +448,12 @@ def q_forest_copies(spark: SparkSession, d: str) -> DataFrame:
 
 @query("forest_fits", f"WITH {PART_SPLIT_CTE} SELECT count(*) AS n_test, true AS r2_ok, true AS criterion_refused FROM ps WHERE is_test")
 def q_forest_fits(spark: SparkSession, d: str) -> DataFrame:
-    sp = _part_split(spark, d)
+    sp = SP.random_split(part_frame(spark, d), 0.2, 42, "p_partkey", unique_key=True, keep_keys=True)
     train = sp.where(~F.col("is_test"))
     prep = fit_prep(train, ["pk_mod", "size_full"], [])
     pm = prep.pipeline_model("features", train)
     forest = build_estimator(ModelPolicy("random_forest", {"n_estimators": 20, "max_depth": 12, "random_state": 42}), 2, "features", "p_retailprice")
-    out = forest.fit(pm.transform(train)).transform(pm.transform(sp.where("is_test")))
+    out = forest.fit(forest_input(pm.transform(train), train.count())).transform(pm.transform(sp.where("is_test")))
     refused = _raises(lambda: build_estimator(ModelPolicy("random_forest", {"criterion": "poisson"}), 2), "criterion")
     m = regression_metrics(out, "p_retailprice", "prediction", with_count=True)
     return m.select(F.col("n").alias("n_test"), (F.col("r2") >= 0.9).alias("r2_ok"), F.lit(refused).alias("criterion_refused"))

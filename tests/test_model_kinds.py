@@ -112,3 +112,17 @@ def test_copies_are_grouped_without_a_sort_of_the_rows(spark, capsys):
     assert "SortAggregate" not in capsys.readouterr().out
     assert dealt.groupBy("a", "name", "features").count().exceptAll(frame.groupBy("a", "name", "features").count()).isEmpty()
     assert dealt.count() == n and dealt.columns == [*[c for c in frame.columns if c.startswith("_cairn")], *[c for c in frame.columns if not c.startswith("_cairn")]]
+
+
+@pytest.mark.parametrize("name", ["forest_fits"])
+def test_a_query_s_forest_reads_partitions_that_follow_the_rows(spark, tmp_path, monkeypatch, name):
+    import cairn.catalog as catalog
+    import cairn.catalog_cases  # noqa: F401
+
+    part = spark.range(600).selectExpr("id AS p_partkey", "CAST(id % 50 AS INT) AS p_size", "'t' AS p_type", "'b' AS p_brand", "900.0D + id AS p_retailprice")
+    part.coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    seen = []
+    plain = RandomForestRegressor._fit
+    monkeypatch.setattr(RandomForestRegressor, "_fit", lambda self, data: seen.append(data.rdd.getNumPartitions()) or plain(self, data))
+    assert catalog.Q[name](spark, str(tmp_path)).count() > 0
+    assert seen and set(seen) == {8}
