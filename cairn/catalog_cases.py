@@ -377,7 +377,9 @@ def q_forest_settings(spark: SparkSession, d: str) -> DataFrame:
     """Forests fitted on all of ``part``: number and depth of trees and size of leaves are read from the fitted trees."""
     p = part_frame(spark, d)
     prep = fit_prep(p, ["pk_mod", "size_full"], [])
-    data = prep.pipeline_model("features", p).transform(p).select("features", "p_retailprice").cache()
+    # partitions that follow the rows, not the table's files
+    keyed = prep.pipeline_model("features", p).transform(SP.with_order_keys(p, 42, ["p_partkey"]))
+    data = forest_input(keyed, p.count()).select("features", "p_retailprice").cache()
     rows = []
     for name, params in _FOREST_CASES.items():
         made = build_estimator(ModelPolicy("random_forest", params), 2, "features", "p_retailprice")

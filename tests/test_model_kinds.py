@@ -114,7 +114,7 @@ def test_copies_are_grouped_without_a_sort_of_the_rows(spark, capsys):
     assert dealt.count() == n and dealt.columns == [*[c for c in frame.columns if c.startswith("_cairn")], *[c for c in frame.columns if not c.startswith("_cairn")]]
 
 
-@pytest.mark.parametrize("name", ["forest_fits"])
+@pytest.mark.parametrize("name", ["forest_fits", "forest_settings"])
 def test_a_query_s_forest_reads_partitions_that_follow_the_rows(spark, tmp_path, monkeypatch, name):
     import cairn.catalog as catalog
     import cairn.catalog_cases  # noqa: F401
