@@ -65,7 +65,9 @@ def parse_decimal(c: Column | str, decimal: str = ".") -> Column:
     if decimal != ".":
         text = F.when(~text.contains("."), F.replace(text, F.lit(decimal), F.lit(".")))
     ok = text.rlike(CSV_FLOAT_PATTERN) | text.rlike(CSV_SPECIAL_PATTERN)
-    return F.when(ok, text.try_cast("double"))
+    value = F.when(ok, text.try_cast("double"))
+    # most numbers need no stripping
+    return F.when(col.rlike(CSV_FLOAT_PATTERN), col.try_cast("double")).otherwise(value) if decimal == "." else value
 
 
 def bin_by_edges(c: Column | str, inner_edges: list[float]) -> Column:

@@ -255,8 +255,12 @@ def narrow_statistics(df: DataFrame, features_col: str, label_col: str, d: int,
     (d + 1)(d + 2) / 2 products and sums; the driver adds the tasks' co-moments
     about the common mean (about zero unless ``centred``).
     """
+    from pyspark.ml.functions import vector_to_array
+
     tasks = 4 * df.sparkSession.sparkContext.defaultParallelism
-    rows = df.select(_entries(features_col).alias("x"), F.col(label_col).cast("double").alias("y")).coalesce(tasks)
+    # one plain column a feature: nested ones take most of the job's time on their way to Python
+    full = df.select(vector_to_array(features_col).alias("x"), F.col(label_col).cast("double").alias("y"))
+    rows = full.select(*[F.get("x", F.lit(i)).alias(f"x{i}") for i in range(d)], "y").coalesce(tasks)
     w = d + 1
 
     def partial(batches):
@@ -267,19 +271,9 @@ def narrow_statistics(df: DataFrame, features_col: str, label_col: str, d: int,
             k = b.num_rows
             if not k:
                 continue
-            indices, values = b.column("x").field("indices"), b.column("x").field("values")
-            flat = values.flatten().to_numpy(zero_copy_only=False)
-            z = np.zeros((k, w))
-            if indices.null_count == k:
-                z[:, :d] = flat.reshape(k, d)
-            else:
-                sizes = np.diff(values.offsets.to_numpy())
-                row = np.repeat(np.arange(k), sizes)
-                full = np.asarray(indices.is_null())[row]  # rows stored in full
-                cols = np.arange(len(flat)) - (np.cumsum(sizes) - sizes)[row]
-                cols[~full] = indices.flatten().to_numpy(zero_copy_only=False)
-                z[row, cols] = flat
-            z[:, d] = b.column("y").to_numpy(zero_copy_only=False)
+            z = np.empty((k, w))
+            for i in range(w):
+                z[:, i] = b.column(i).to_numpy(zero_copy_only=False)
             if origin is None:
                 origin = np.where(np.isfinite(z[0]), z[0], 0.0) if centred else np.zeros(w)
             z -= origin

@@ -300,3 +300,31 @@ def test_narrow_fit_takes_one_job_and_equals_the_gram_pass(spark):
     jobs = tracker.statusTracker().getJobIdsForGroup("narrow")
     tracker.setLocalProperty("spark.jobGroup.id", None)
     assert len(jobs) <= 2  # with adaptive execution the test frame's own repartition is a job of its stage
+
+
+def test_a_narrow_design_reaches_python_in_plain_columns(spark, monkeypatch):
+    from pyspark.ml.linalg import Vectors
+
+    from cairn.operators import models
+
+    def nested(column):
+        raise AssertionError("vectors are taken apart in nested form")
+
+    monkeypatch.setattr(models, "_entries", nested)
+    rows = [(Vectors.dense(1e8 + i, 0.0, i % 3), float(i)) if i % 2 else (Vectors.sparse(3, {0: 1e8 + i, 2: i % 5 + 1.0}), float(i * i)) for i in range(50)]
+    df = spark.createDataFrame(rows, ["features", "y"]).repartition(3)
+    x, y = np.array([r[0].toArray() for r in rows]), np.array([r[1] for r in rows])
+    g, c, mx, my, n = models.narrow_statistics(df, "features", "y", 3)
+    assert n == 50 and my == pytest.approx(y.mean()) and mx == pytest.approx(x.mean(axis=0))
+    assert g == pytest.approx((x - x.mean(axis=0)).T @ (x - x.mean(axis=0))) and c == pytest.approx((x - x.mean(axis=0)).T @ (y - y.mean()))
+
+
+@pytest.mark.parametrize("decimal", [".", ","])
+def test_numbers_parse_alike_with_and_without_white_space(spark, decimal):
+    from cairn.functions.numeric import parse_decimal
+
+    texts = ["1.5", " 1.5\t", "1,5", " 1,5", "-2e3", "5\n", " 5\n", "1_0", "inf", " -Infinity ", "nan", "", "x", "1 5", "+.5", "7.", None]
+    value = {t: None for t in texts} | {"-2e3": -2000.0, "5\n": 5.0, " 5\n": 5.0, "inf": float("inf"), " -Infinity ": float("-inf")}
+    value |= {"1.5": 1.5, " 1.5\t": 1.5, "+.5": 0.5, "7.": 7.0} if decimal == "." else {"1,5": 1.5, " 1,5": 1.5}
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert {r.t: r.v for r in df.select("t", parse_decimal("t", decimal).alias("v")).collect()} == value
