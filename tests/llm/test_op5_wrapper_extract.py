@@ -1,6 +1,7 @@
 """Wrapper inference, tag soup, and the whole pages table against a plain reading of its article."""
 
 import html
+import json
 import re
 
 from pyspark.sql import functions as F
@@ -118,3 +119,26 @@ def test_partial_wrappers_align_as_their_pages_do():
     assert wrapper.seen == 9 and we.labels(wrapper, 9, ()) == we.labels(we.infer(pages[::-1]), 9, ())
     # a label that the page's own article tells as well need not travel
     assert we.told(wrapper, "article", ()) == {}
+
+
+def test_pages_with_an_article_are_counted_and_every_place_has_a_label(spark):
+    """The menu of one page without an article is told by the host's pages that have one."""
+    menu, body = "<div class=lead>Home of a house and all its rooms</div>", "<p>Text {0} of the page</p>"
+    pages = [f"<body>{menu}<article>{body.format(i)}</article></body>" for i in range(6)] + [f"<body>{menu}{body.format(6)}</body>"]
+    df = spark.createDataFrame([(i, f"http://h.x/{i}", page) for i, page in enumerate(pages)], "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in we.main_text(df).collect()} == {i: f"Text {i} of the page" for i in range(7)}
+    seen = we.surveyed(df.withColumn("host", we.host_of(F.col("url"))))
+    assert {r.page_id: len(r.blocks) for r in seen.collect()} == dict.fromkeys(range(7), 2)
+    found = [json.loads(r.wrapper) for r in we.wrappers(seen).collect()]
+    assert sorted((x["labels"], x["region"], len(x["constant"])) for x in found if "body/article/p" in x["labels"]) == [({"body/div.lead": False, "body/article/p": True}, "", 0)]
+    assert [(sorted(x["labels"]), len(x["constant"])) for x in found if "body/p" in x["labels"]] == [(["body/div.lead", "body/p"], 1)]
+
+
+def test_an_article_in_a_header_takes_no_text_from_the_template(spark):
+    """Pages of a template with a teaser in the header, and of one with an article in its main and another beside it."""
+    teaser = "<header><article>Teaser</article></header>"
+    pages = [f"<body>{teaser if i in (2, 5) else ''}<{tag}><p>Text {i} of the page</p></{tag}></body>" for i, tag in enumerate(["main"] * 4 + ["section"] * 4)]
+    pages += [f"<body><main><article><p>Text {i} of the page</p></article></main><article><p>More {i}</p></article></body>" for i in (8, 9)]
+    df = spark.createDataFrame([(i, f"http://h.x/{i}", page) for i, page in enumerate(pages)], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in we.main_text(df).collect()}
+    assert got == {i: f"Text {i} of the page" + (f"\nMore {i}" if i > 7 else "") for i in range(10)}
