@@ -1,7 +1,9 @@
 """Wrapper inference, tag soup, and the whole pages table against a plain reading of its article."""
 
 import html
+import itertools
 import json
+import random
 import re
 
 from pyspark.sql import functions as F
@@ -130,8 +132,20 @@ def test_pages_with_an_article_are_counted_and_every_place_has_a_label(spark):
     seen = we.surveyed(df.withColumn("host", we.host_of(F.col("url"))))
     assert {r.page_id: len(r.blocks) for r in seen.collect()} == dict.fromkeys(range(7), 2)
     found = [json.loads(r.wrapper) for r in we.wrappers(seen).collect()]
-    assert sorted((x["labels"], x["region"], len(x["constant"])) for x in found if "body/article/p" in x["labels"]) == [({"body/div.lead": False, "body/article/p": True}, "", 0)]
-    assert [(sorted(x["labels"]), len(x["constant"])) for x in found if "body/p" in x["labels"]] == [(["body/div.lead", "body/p"], 1)]
+    of_articles = {"": False, "body/article": True}
+    assert [(x["region"], x["constant"]) for x in found if x["labels"] == of_articles] == [("", [])]
+    assert [(x["labels"], len(x["constant"])) for x in found if x["labels"] != of_articles] == [({"": True}, 1)]
+
+
+def test_few_elements_give_the_labels_of_all_places():
+    rng = random.Random(3)
+    for _ in range(300):
+        paths = {"/".join(rng.choices("abc", k=rng.randint(0, 5))) for _ in range(rng.randint(1, 40))}
+        labels = {p: rng.random() < 0.5 if rng.random() < 0.3 else p.startswith("a/b") for p in paths}
+        known = we.Known(subtrees=we.subtrees(labels))
+        assert {p: known.label(p) for p in paths} == labels and len(known.subtrees) <= len(labels) + 1
+    inline = {f"body/main/article/p/{'/'.join(x)}": True for x in itertools.product("abi", repeat=6)}
+    assert we.subtrees(inline | {"body/div": False, "body/main/h2": False, "": False}) == {"": False, "body/main/article": True}
 
 
 def test_an_article_in_a_header_takes_no_text_from_the_template(spark):
